@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binary_records, language_id, line_dedup, mixing, ngram_join, packing, topk, url_filter
+from . import binary_records, language_id, line_dedup, mixing, ngram_join, packing, suffix_dedup, topk, url_filter
 from ._common import table
 
 #: The rules of the URL query: host, path, verdict.
@@ -33,6 +33,11 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.drop("ids")
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return topk.top_k(vectors.filter("vec_id % 20 = 0"), vectors, k=20, scale=64)
@@ -76,13 +81,28 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_packing, op3_topk, op4_line_dedup, op5_token_records, op6_mixing, op7_language_id, op8_ngram_join, op9_url_filter)
+    for f in (op1_packing, op2_suffix_dedup, op3_topk, op4_line_dedup, op5_token_records, op6_mixing, op7_language_id, op8_ngram_join, op9_url_filter)
 }
 
 _TRIM = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_suffix_dedup": """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+p AS (SELECT doc_id, h, unnest(range(CAST(length(h) // 2 AS BIGINT))) AS i FROM d),
+s AS (SELECT doc_id, i, CASE WHEN 2 * i + 100 <= length(h) THEN md5(substr(h, 2 * i + 1, 100)) END AS w, substr(h, 2 * i + 1, 2) AS b FROM p),
+f AS (SELECT w, min(doc_id) AS first FROM s WHERE w IS NOT NULL GROUP BY w),
+g AS (SELECT s.doc_id, s.i, s.b, coalesce(f.first < s.doc_id, false) AS starts FROM s LEFT JOIN f ON f.w = s.w),
+c AS (SELECT doc_id, i, b, max(starts) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS gone FROM g),
+e AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS opens FROM c),
+k AS (
+  SELECT doc_id, count(*) AS n_bytes, sum(gone::INT)::BIGINT AS n_removed, sum(opens::INT)::BIGINT AS n_spans,
+    string_agg(b, '' ORDER BY i) FILTER (WHERE NOT gone) AS kept FROM e GROUP BY doc_id)
+SELECT documents.doc_id, coalesce(n_bytes, 0) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM documents LEFT JOIN k ON k.doc_id = documents.doc_id
+""",
     "op3_topk": """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e FROM embeddings
