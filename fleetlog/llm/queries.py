@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binary_records, language_id, line_dedup, mixing, ngram_join, packing, suffix_dedup, topk, url_filter
+from . import binary_records, fingerprint, language_id, line_dedup, mixing, ngram_join, packing, suffix_dedup, topk, url_filter
 from ._common import table
 
 #: The rules of the URL query: host, path, verdict.
@@ -79,9 +79,24 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES, marks).drop("url")
 
 
+def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_packing, op2_suffix_dedup, op3_topk, op4_line_dedup, op5_token_records, op6_mixing, op7_language_id, op8_ngram_join, op9_url_filter)
+    for f in (
+        op1_packing,
+        op2_suffix_dedup,
+        op3_topk,
+        op4_line_dedup,
+        op5_token_records,
+        op6_mixing,
+        op7_language_id,
+        op8_ngram_join,
+        op9_url_filter,
+        op10_fingerprint,
+    )
 }
 
 _TRIM = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
