@@ -16,7 +16,7 @@ from fleetlog.llm._common import stage, table
 from fleetlog.llm.queries import MIX_WEIGHTS, tokenizer_file
 
 #: Texts whose best language gets less of the softmax than this have no clear language.
-MIN_LANGUAGE_SCORE = 0.4
+MIN_LANGUAGE_SCORE = 0.3
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
