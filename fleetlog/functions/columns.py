@@ -53,6 +53,17 @@ def to_seconds(value: float, unit: str) -> float:
     return value * UNITS[unit]
 
 
+def fixed8(c: Column) -> Column:
+    """The double's exact value with eight decimals, as C's %.8f writes it."""
+    size = F.abs(c)
+    whole = F.floor(size).cast("long")
+    bits = ((size - whole) * float(1 << 52)).cast("long").cast("decimal(20,0)")
+    part = F.round(bits * F.lit(10**8).cast("decimal(9,0)") / F.lit(1 << 52).cast("decimal(16,0)"), 0).cast("long")
+    carried = whole + F.when(part == 10**8, 1).otherwise(0)
+    digits = F.lpad(F.when(part == 10**8, 0).otherwise(part).cast("string"), 8, "0")
+    return F.concat(F.when(c < 0, "-").otherwise(""), carried.cast("string"), F.lit("."), digits)
+
+
 def split_type(topic: Column) -> tuple[Column, Column]:
     """Type and multi id of a topic named type_id, split at the last underscore."""
     return F.regexp_extract(topic, r"^(.*)_([^_]*)$", 1), F.regexp_extract(topic, r"^(.*)_([^_]*)$", 2)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .lookback import TICK, lookback_frames, lookback_time
+from ..functions.columns import fixed8
 from .catalog import field_rows, leaf
 from .relation import ffill, wide
 
@@ -42,14 +43,14 @@ def frame_manifest(df: DataFrame, ticks: DataFrame, n: int) -> DataFrame:
     return lookback_frames(df, ticks, n).select(
         *TICK,
         (F.row_number().over(w) - 1).alias("frame"),
-        F.concat("topic", F.lit(" "), F.format_string("%.8f", "timestamp_seconds")).alias("caption"),
+        F.concat("topic", F.lit(" "), fixed8(F.col("timestamp_seconds"))).alias("caption"),
         F.lit(100).alias("duration_ms"),
     )
 
 
 def alert_task(ticks: DataFrame, subject: str, body: str) -> DataFrame:
     return ticks.select(
-        *TICK, F.concat(F.lit(subject), F.lit(" (asof_seconds="), F.format_string("%.8f", "asof_seconds"), F.lit(")")).alias("subject"), F.lit(body).alias("body")
+        *TICK, F.concat(F.lit(subject), F.lit(" (asof_seconds="), fixed8(F.col("asof_seconds")), F.lit(")")).alias("subject"), F.lit(body).alias("body")
     )
 
 

@@ -651,10 +651,10 @@ def _(s, d):
 # Tasks
 
 
-@query("task_topic_sql", f"{M}{FRAME_TICKS} SELECT tick_no, round(avg(value), 4) AS mean, count(*) AS n FROM ticks JOIN m ON m.topic = 'view' AND m.t BETWEEN upto - 7200 AND upto GROUP BY tick_no")
+@query("task_topic_sql", f"{M}{FRAME_TICKS} SELECT tick_no, round(avg(value), 8) AS mean, count(*) AS n FROM ticks JOIN m ON m.topic = 'view' AND m.t BETWEEN upto - 7200 AND upto GROUP BY tick_no")
 def _(s, d):
     views = one(s, d).filter("topic = 'view'")
-    return tasks.topic_sql_task(frame_ticks(s, d), views, [R4(F.avg(value())).alias("mean"), F.count("*").alias("n")], 7200.0).drop("log_id", "asof_seconds")
+    return tasks.topic_sql_task(frame_ticks(s, d), views, [F.round(F.avg(value()), 8).alias("mean"), F.count("*").alias("n")], 7200.0).drop("log_id", "asof_seconds")
 
 
 @query("task_write_topics", f"{M}{FRAME_TICKS} SELECT tick_no, seq, CASE WHEN topic = 'click' THEN value END AS click, CASE WHEN topic = 'error' THEN value END AS error FROM ticks JOIN m ON m.topic IN ('click', 'error') AND m.t BETWEEN upto - 3600 AND upto")
