@@ -76,35 +76,34 @@ def rate_after(steps: list[np.ndarray], posterior: Column, start: Column) -> Col
     return rate
 
 
-def fit_rates(parts: DataFrame, targets: dict[int, float], steps: int = 30, every: int = 10, tolerance: float = 1e-6) -> DataFrame:
+def fit_rates(parts: DataFrame, targets: dict[int, float], steps: int = 60, every: int = 10, tolerance: float = 1e-5) -> DataFrame:
     """``parts`` (key, n_tokens, posterior) with ``rate``.
 
-    Minimises the squared gaps between expected totals and targets, in the metric weighted by tokens,
-    from rate 1, so that a document's length doesn't sway its rate. The gradient is scaled by the
-    inverse of the domains' overlap among documents with a rate above 0, one small matrix, so few
-    steps do. Each ``every`` steps the rates are written out.
+    Projected gradient from rate 1 on the least squares of the gaps between expected totals and
+    targets. Documents are weighted by their tokens, so that length doesn't sway a rate, and gaps by
+    the inverse of the domains' overlap (one small matrix), so that a unit step never overshoots and
+    one step is exact while no rate is cut at 0. Each ``every`` steps the rates are written out. Where
+    the targets can't be met with nonnegative rates, it ends at the least squares.
     """
     k = len(targets)
     t, p = F.col("n_tokens").cast("double"), F.col("posterior")
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
-    aim = np.array([targets[i] for i in range(k)], float)
+    sums = parts.agg(*[F.coalesce(F.sum(t * p[i] * p[j]), F.lit(0.0)) for i, j in pairs]).first()
+    overlap = np.zeros((k, k))
+    for (i, j), x in zip(pairs, sums):
+        overlap[i, j] = overlap[j, i] = x
+    inverse = np.linalg.pinv(overlap, rcond=1e-9)
+    aim = np.where(np.diag(overlap) > 0, [targets[i] for i in range(k)], 0.0)
     parts = parts.withColumn("rate", F.lit(1.0))
     taken: list[np.ndarray] = []
+    before, enough = np.full(k, np.inf), tolerance * max(aim.sum(), 1e-9)
     for _ in range(steps):
-        rated = parts.select(t.alias("t"), p.alias("p"), rate_after(taken, p, F.col("rate")).alias("r"))
-        live = F.when(F.col("r") > 0, F.col("t")).otherwise(0.0)
-        got = rated.agg(
-            *[F.coalesce(F.sum(F.col("r") * F.col("t") * F.col("p")[i]), F.lit(0.0)) for i in range(k)],
-            *[F.coalesce(F.sum(live * F.col("p")[i] * F.col("p")[j]), F.lit(0.0)) for i, j in pairs],
-        ).first()
-        gap = aim - np.array(got[:k])
-        overlap = np.zeros((k, k))
-        for (i, j), x in zip(pairs, got[k:]):
-            overlap[i, j] = overlap[j, i] = x
-        gap[np.diag(overlap) <= 0] = 0.0
-        if np.abs(gap).max(initial=0) <= tolerance * max(aim.sum(), 1e-9):
+        rate = rate_after(taken, p, F.col("rate"))
+        gap = aim - np.array(parts.agg(*[F.coalesce(F.sum(rate * t * p[i]), F.lit(0.0)) for i in range(k)]).first())
+        if np.abs(gap).max(initial=0) <= enough or np.abs(gap - before).max(initial=0) <= enough / 10:
             break
-        taken.append(np.linalg.pinv(overlap, rcond=1e-9) @ gap)
+        before = gap
+        taken.append(inverse @ gap)
         if len(taken) == every:
             parts = stage(parts.withColumn("rate", rate_after(taken, p, F.col("rate"))), "mix-rates")
             taken = []
@@ -135,8 +134,9 @@ def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float]) -> DataFr
     rated = fit_rates(parts, {i: weights[d] * whole for i, d in enumerate(domains)})
     rated = stage(rated.select("k_id", "k_text", F.col("each").alias("n_tokens"), "posterior", "rate"), "mix-fitted")
     u = F.pmod(F.xxhash64(F.lit("copies"), "doc_id", "text"), F.lit(1 << 20)) / float(1 << 20)
+    rated = rated.withColumnRenamed("k_text", "r_text")
     return (
-        docs.select(*own, F.xxhash64("text").alias("k_text"))
-        .join(rated.withColumnRenamed("k_text", "r_text"), F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("k_text") == F.col("r_text")))
-        .select(*own, "n_tokens", "posterior", "rate", F.floor(F.col("rate") + u).cast("int").alias("copies"))
+        docs.select("doc_id", F.xxhash64("text").alias("k_text"), u.alias("u"), F.struct(*own).alias("row"))
+        .join(rated, F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("k_text") == F.col("r_text")))
+        .select("row.*", "n_tokens", "posterior", "rate", F.floor(F.col("rate") + F.col("u")).cast("int").alias("copies"))
     )
