@@ -1,8 +1,9 @@
 """N-gram Jaccard join by a token-group matrix.
 
 Sets of word shingles are partitioned into groups of similar sets. The matrix says which groups hold
-which tokens; a set is compared only with groups that can hold a partner: at least one of the set's
-rarest tokens (its prefix) is in the group's row of the matrix, sizes fit, and at least the share
+which tokens; a set is compared only with groups that can hold a partner: enough of the set's
+rarest tokens (its prefix) are in the group's row of the matrix (prefixes are a little longer than
+one shared token would need, so as many more must be shared), sizes fit, and at least the share
 ``percent`` of all its tokens is in the group's union. Inside an opened group overlaps are counted
 exactly. The join loses no link; links that join nothing new within a task are not written out.
 
@@ -34,6 +35,7 @@ from ._common import stage
 from .components import components
 
 SKETCH_BITS, SLICES = 18, 16
+SPARE = 20  # a prefix is longer than it must be by a part in so many, and must share that much more
 CLASS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("cls", pa.binary()), ("slice", pa.int64())])
 SENT = pa.schema([("range", pa.int64()), ("tokens", pa.binary()), ("owner", pa.binary()), ("cls", pa.binary()), ("n", pa.binary())])
 SHARED = pa.schema([("token", pa.int64()), ("cls", pa.binary()), ("n", pa.int64()), ("holders", pa.int64())])
@@ -164,7 +166,7 @@ def shared_tokens(docs: DataFrame, sketch: np.ndarray, percent: int, ranges: int
                 if len(seen) < 200_000:
                     seen.add(key)
                 order = np.lexsort((found, rarity.value[(found >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]))
-                prefix = found[order[: len(found) - -(-percent * len(found) // 100) + 1]]
+                prefix = found[order[: len(found) - -(-percent * len(found) // 100) + 1 + len(found) // SPARE]]
                 tokens.append(prefix)
                 owner.append(np.full(len(prefix), len(cls)))
                 cls.append(key)
@@ -250,7 +252,14 @@ def compare(members: pa.Table, queries: pa.Table, first: bool, percent: int) ->
 def links_of(shared: DataFrame, classes: DataFrame, docs: DataFrame, percent: int, group_size: int, block: int) -> DataFrame:
     """Links (u, v) between the smallest doc_ids of classes; enough of them to connect all that link."""
     reps = classes.filter("n > 0 AND doc_id IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("rep"))
-    home = shared.groupBy("cls").agg(F.max(F.struct("holders", "token"))["token"].alias("home"), F.max("n").alias("n"))
+    needed = lambda n: F.floor(n / SPARE) + 1  # noqa: E731  prefix tokens that partners of sizes n or more share
+    partner = F.ceil(percent * F.col("n") / 100)  # the smallest size of a partner
+    home = (
+        shared.groupBy("cls")
+        .agg(F.max(F.struct("holders", "token"))["token"].alias("home"), F.max("n").alias("n"), F.count("*").alias("k"))
+        .filter(F.col("k") >= needed(partner))
+        .drop("k")
+    )
     parts = home.groupBy("home").agg(F.ceil(F.count("*") / group_size).alias("parts"))
     member = stage(
         home.join(parts, "home")
@@ -260,13 +269,21 @@ def links_of(shared: DataFrame, classes: DataFrame, docs: DataFrame, percent: in
     )
     held = shared.join(member.select("cls", "grp"), "cls")
     row = held.groupBy("token", F.col("grp").alias("to")).agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    smallest = member.groupBy(F.col("grp").alias("to")).agg(F.min("n").alias("smallest"))
     query = stage(
         held.join(row, "token")
         .filter((F.col("grp") > F.col("to")) & (100 * F.col("n") >= percent * F.col("least")) & (100 * F.col("most") >= percent * F.col("n")))
-        .select("cls", F.col("to").alias("grp"))
-        .distinct(),
+        .groupBy("cls", "n", "to")
+        .agg(F.count("*").alias("k"))
+        .join(smallest, "to")
+        .filter(F.col("k") >= F.least(needed(F.col("n")), F.greatest(needed(F.col("smallest")), needed(partner))))
+        .select("cls", F.col("to").alias("grp")),
         "join-queries",
     )
+    # Alone in a group that nobody opens, and opening none: no partner.
+    crowd = member.groupBy("grp").count().filter("count > 1").select("grp")
+    met = member.join(crowd.union(query.select("grp")).distinct(), "grp", "left_semi").select("cls").union(query.select("cls"))
+    member = stage(member.join(met, "cls", "left_semi"), "join-met")
     wanted = member.select(F.col("rep").alias("doc_id"))
     sets = stage(sets_of(docs.select("doc_id", "text").join(wanted, "doc_id")).dropDuplicates(["cls"]), "join-sets")
     blocks = query.groupBy("grp").agg(F.ceil(F.count("*") / block).alias("blocks"))
