@@ -56,7 +56,7 @@ def describe_topic(messages: DataFrame, topic: str) -> DataFrame:
     rows = [(f.name, f.dataType.simpleString(), f.metadata.get("description"), f.metadata.get("units")) for f in fields]
     made = messages.sparkSession.createDataFrame(rows, "column string, type string, description string, units string")
     count = messages.filter(F.col("topic") == topic).groupBy("topic").agg(F.count("*").alias("message_count"))
-    return count.crossJoin(made)  # one row with one a field
+    return count.join(made.withColumn("topic", F.lit(topic)), "topic")
 
 
 def describe_source(messages: DataFrame) -> DataFrame:

@@ -146,7 +146,7 @@ def to_struct(fields: DataFrame, resolved: DataFrame, text_id: str) -> T.StructT
         for r in rows:
             if r["section_type"] != section:
                 continue
-            kind = T._parse_datatype_string(BUILTIN[r["type"]]) if r["type"] in BUILTIN else build(r["target"], (*path, section) if section else path)
+            kind = T.DataType.fromDDL(BUILTIN[r["type"]]) if r["type"] in BUILTIN else build(r["target"], (*path, section) if section else path)
             meta = {k: v for k, v in (("description", r["comment"]), ("default", r["value"])) if v}
             if r["array"] != "none":
                 kind = T.ArrayType(kind)

@@ -137,18 +137,14 @@ def buffer_folder(s: SparkSession, d: str) -> str:
     folder = new_folder(s, "buffer")
     for topic in ("click", "view"):
         rows = one(s, d).filter(F.col("topic") == topic).select("timestamp_seconds", F.struct("message.value", "message.user_id").alias(topic))
-        rows.write.json(f"{folder}/parts/{topic}")
+        rows.write.json(f"{folder}/data/{topic}")
     return folder
 
 
 @query("buffer_read", f"{M} SELECT topic, t AS timestamp_seconds, value FROM m WHERE topic IN ('click', 'view')")
 def _(s, d):
-    folder, out = buffer_folder(s, d), None
-    for topic in ("click", "view"):
-        one_topic = s.read.schema(f"timestamp_seconds double, {topic} struct<value: double, user_id: long>").json(f"{folder}/parts/{topic}")
-        one_topic = one_topic.select(F.lit(topic).alias("topic"), "timestamp_seconds", F.col(f"{topic}.value").alias("value"))
-        out = one_topic if out is None else out.union(one_topic)
-    return out
+    made = files.read_buffer(s, buffer_folder(s, d), dict.fromkeys(("click", "view"), "value: double, user_id: long"))
+    return flat(made).select("topic", "timestamp_seconds", "value")
 
 
 def bag_folder(s: SparkSession, d: str) -> str:

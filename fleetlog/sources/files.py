@@ -166,7 +166,7 @@ def read_buffer(spark: SparkSession, folder: str, topics: dict[str, str]) -> Dat
     overflow file of a topic comes before its current one. ``topics``: each topic's schema."""
     out = None
     for topic, ddl in topics.items():
-        df = spark.read.schema(f"timestamp_seconds double, `{topic}` struct<{ddl}>").json(f"{folder}/data/{topic}/*.jsonl")
+        df = spark.read.schema(f"timestamp_seconds double, `{topic}` struct<{ddl}>").json(f"{folder}/data/{topic}/*.json*")
         one = df.select(
             F.lit(folder.rstrip("/").rpartition("/")[2]).alias("log_id"),
             F.lit(topic).alias("topic"),
