@@ -68,7 +68,7 @@ class Chunk:
     def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Positions, hashes of the bytes after them, and documents of the anchors."""
         positions, hashes = [], []
-        limit = np.repeat(self.ends, self.ends - self.starts)  # end of each byte's document
+        limit = np.repeat(self.ends.astype(np.int32), self.ends - self.starts)  # end of each byte's document
         for at in range(0, len(self.bytes), (1 << 20) - LENGTH):
             d = self.bytes[at : at + (1 << 20)].astype(np.uint64) + np.uint64(1)
             if len(d) < LENGTH:
@@ -139,12 +139,24 @@ def front_coded(matrix: np.ndarray) -> tuple[bytes, bytes]:
     """Shared prefix lengths of neighbours, and the bytes after them."""
     differs = matrix[1:] != matrix[:-1]
     shared = np.r_[0, differs.argmax(1)].astype(np.uint8)
-    return shared.tobytes(), matrix[np.arange(WIDTH) >= shared[:, None]].tobytes()
+    return packed(shared.tobytes()), packed(matrix[np.arange(WIDTH) >= shared[:, None]].tobytes())
+
+
+def packed(data: bytes) -> bytes:
+    import zstandard
+
+    return zstandard.compress(data, 1)
+
+
+def unpacked(data: bytes) -> bytes:
+    import zstandard
+
+    return zstandard.decompress(data)
 
 
 def strings_of(shared: bytes, tails: bytes) -> Iterator[tuple[bytes, int]]:
     """Each string of a run and the prefix it shares with the one before."""
-    now, at = b"", 0
+    shared, tails, now, at = unpacked(shared), unpacked(tails), b"", 0
     for n in shared:
         end = at + WIDTH - n
         now = now[:n] + tails[at:end]
@@ -241,7 +253,7 @@ def rows(schema: pa.Schema, found: list[tuple]) -> pa.Table:
     return pa.table([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
-def remove_repeats(docs: DataFrame, chunk_bytes: int = 4 << 20, range_bytes: int = 16 << 20) -> DataFrame:
+def remove_repeats(docs: DataFrame, chunk_bytes: int = 4 << 20, range_bytes: int = 8 << 20) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept) of each of ``docs``; ``kept``: the bytes left.
 
     ``chunk_bytes`` and ``range_bytes``: about how much text a chunk, and the strings of a range,
@@ -282,13 +294,13 @@ def remove_repeats(docs: DataFrame, chunk_bytes: int = 4 << 20, range_bytes: int
         ends, out = run.ends(splitters), []
         for r, (a, b) in enumerate(zip(ends, ends[1:])):
             if a < b:
-                out.append((r, key[0].as_py(), *front_coded(run.matrix[a:b]), run.least[a:b].tobytes()))
+                out.append((r, key[0].as_py(), *front_coded(run.matrix[a:b]), packed(run.least[a:b].tobytes())))
         return rows(RUN, out)
 
     def combine(key: tuple, t: pa.Table) -> pa.Table:
         t = t.sort_by("sender")
         senders, shared, tails, least = (t.column(c).to_pylist() for c in ("sender", "shared", "tails", "least"))
-        least = [np.frombuffer(x, np.int64) for x in least]
+        least = [np.frombuffer(unpacked(x), np.int64) for x in least]
         order, strings, same = [], [], []
         for run, text, n in merged([strings_of(a, b) for a, b in zip(shared, tails)]):
             order.append(run)
@@ -309,7 +321,7 @@ def remove_repeats(docs: DataFrame, chunk_bytes: int = 4 << 20, range_bytes: int
         run = chunk.run(known(back))
         told = sorted((r, p) for k, r, p in zip(*(back.column(c).to_pylist() for c in ("kind", "part", "payload"))) if k == 1)
         bits = np.frombuffer(b"".join(p for _, p in told), np.uint32)
-        depth = np.zeros(len(chunk.bytes) + 1, np.int64)
+        depth = np.zeros(len(chunk.bytes) + 1, np.int32)
         if len(run.position):
             later, own = run.ids > run.least[run.which], bits[run.which]
             for o in range(STEP):
@@ -317,7 +329,7 @@ def remove_repeats(docs: DataFrame, chunk_bytes: int = 4 << 20, range_bytes: int
                 start = run.position[fits & (later | (own >> np.uint32(o) & 1).astype(bool))] - o
                 np.add.at(depth, start, 1)
                 np.add.at(depth, start + LENGTH, -1)
-        gone = np.cumsum(depth)[:-1] > 0
+        gone = np.cumsum(depth, dtype=np.int32)[:-1] > 0
         begins = gone & ~np.r_[False, gone[:-1]]
         out = []
         for doc_id, text, a, b in zip(chunk.ids, chunk.texts, chunk.starts, chunk.ends):
