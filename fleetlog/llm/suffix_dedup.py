@@ -198,9 +198,9 @@ def merged(runs: list[Iterator[tuple[bytes, int]]]) -> Iterator[tuple[int, bytes
         known[a] = same
         return b, a
 
-    loser, winner = [0] * size, list(range(size)) * 2
+    loser, winner = [0] * size, [0] * size + list(range(size))
     for node in range(size - 1, 0, -1):
-        winner[node], loser[node] = plays(winner[2 * node] if 2 * node < size else 2 * node - size, winner[2 * node + 1] if 2 * node + 1 < size else 2 * node + 1 - size)
+        winner[node], loser[node] = plays(winner[2 * node], winner[2 * node + 1])
     top = winner[1] if size > 1 else 0
     while text[top] is not None:
         yield top, text[top], known[top]
