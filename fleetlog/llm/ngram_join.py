@@ -207,20 +207,52 @@ def shared_tokens(docs: DataFrame, sketch: np.ndarray, percent: int, ranges: int
     return sent.groupBy("range").applyInArrow(meet, "token long, cls binary, n long, holders long")
 
 
-def sets_of(docs: DataFrame) -> DataFrame:
+def bitmap_of(ids: DataFrame, most: int = 1 << 29) -> np.ndarray:
+    """Bits at the hashes of ``ids`` (doc_id), 16 bits an id and at most 64 MB: a filter that lets all
+    of them through, and few others."""
+    bits = 1 << max(16, (min(most, 16 * ids.count()) - 1).bit_length())
+    at = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
+    rows = (
+        ids.select(F.floor(at / 32768).alias("bucket"), F.pmod(at, F.lit(32768)).alias("bit"))
+        .groupBy("bucket")
+        .agg(F.bitmap_construct_agg("bit").alias("bitmap"))
+        .collect()
+    )
+    out = np.zeros((bits // 32768, 4096), np.uint8)
+    for r in rows:
+        out[r["bucket"]] = np.frombuffer(bytes(r["bitmap"]), np.uint8)
+    return out.ravel()
+
+
+def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(cls, n, tokens) of the documents ``wanted`` (doc_id), and of a few others."""
+    filtered = docs.sparkSession.sparkContext.broadcast(bitmap_of(wanted))
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, bits = set(), filtered.value
         for b in batches:
-            found = [shingles(x) for x in texts(b)]
-            yield made(SETS, [class_of(x) for x in found], [len(x) for x in found], [x.tobytes() for x in found])
+            h = b.column(2).to_numpy().astype(np.uint64) % np.uint64(8 * len(bits))
+            hit = (bits[(h >> np.uint64(3)).astype(np.int64)] >> (h & np.uint64(7)).astype(np.uint8)) & 1
+            found = {class_of(x): x for t in texts(b.filter(pa.array(hit.astype(bool)))) if len(x := shingles(t))}
+            found = {k: x for k, x in found.items() if k not in seen}
+            if len(seen) < 200_000:  # copies in one task are sent once
+                seen.update(found)
+            yield made(SETS, list(found), [len(x) for x in found.values()], [x.tobytes() for x in found.values()])
 
-    return docs.select("doc_id", "text").mapInArrow(read, "cls binary, n long, tokens binary")
+    h = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 62)).alias("h")
+    return docs.filter("doc_id IS NOT NULL").select("doc_id", "text", h).mapInArrow(read, "cls binary, n long, tokens binary")
 
 
-def compare(members: pa.Table, queries: pa.Table, first: bool, percent: int) -> list[tuple[int, int]]:
+def compare(met: pa.Table, first: bool, percent: int) -> list[tuple[int, int]]:
     """Links between members (if ``first``) and of queries to members that join something new."""
-    ids = members.column("rep").to_pylist() + queries.column("q_rep").to_pylist()
-    sets = [np.frombuffer(x, np.uint64) for c in (members.column("tokens"), queries.column("q_tokens")) for x in c.to_pylist()]
-    m, sizes = members.num_rows, np.array([len(x) for x in sets])
+    rows = {}
+    for rep, asks, tokens in zip(*(met.column(c).to_pylist() for c in ("rep", "asks", "tokens"))):
+        rows[asks, rep] = np.frombuffer(tokens, np.uint64)  # a set may have been sent by several tasks
+    rows = sorted(rows.items(), key=lambda x: x[0])
+    ids, sets = [rep for (_, rep), _ in rows], [x for _, x in rows]
+    m, sizes = sum(not asks for (asks, _), _ in rows), np.array([len(x) for x in sets])
+    if not m:
+        return []
     token, who = np.concatenate(sets[:m]), np.repeat(np.arange(m), sizes[:m])
     order = np.argsort(token, kind="stable")
     token, who = token[order], who[order]
@@ -285,28 +317,23 @@ def links_of(shared: DataFrame, classes: DataFrame, docs: DataFrame, percent: in
     met = member.join(crowd.union(query.select("grp")).distinct(), "grp", "left_semi").select("cls").union(query.select("cls"))
     member = stage(member.join(met, "cls", "left_semi"), "join-met")
     wanted = member.select(F.col("rep").alias("doc_id"))
-    sets = stage(sets_of(docs.select("doc_id", "text").join(wanted, "doc_id")).dropDuplicates(["cls"]), "join-sets")
+    # Where each set is to go, before any set moves: members to all blocks of their group, queries to one.
     blocks = query.groupBy("grp").agg(F.ceil(F.count("*") / block).alias("blocks"))
-    sets = sets.select("cls", "tokens").join(member, "cls")
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("blocks", F.lit(1)) - 1)).alias("block")
-    left = sets.join(blocks, "grp", "left").select("grp", "rep", "tokens", every)
-    right = (
-        query.join(blocks, "grp")
-        .withColumn("block", F.pmod(F.xxhash64("cls"), "blocks"))
-        .join(sets.select("cls", "rep", "tokens"), "cls")
-        .select(*(F.col(c).alias(f"q_{c}") for c in ("grp", "rep", "tokens", "block")))
-    )
+    mine = member.join(blocks, "grp", "left").select("cls", "rep", "grp", every, F.lit(False).alias("asks"))
+    theirs = query.join(blocks, "grp").join(member.select("cls", "rep"), "cls")
+    theirs = theirs.select("cls", "rep", "grp", F.pmod(F.xxhash64("cls"), "blocks").alias("block"), F.lit(True).alias("asks"))
+    going = stage(mine.union(theirs), "join-going")
 
-    def check(key: tuple, members: pa.Table, queries: pa.Table) -> pa.Table:
-        if not members.num_rows:
-            return LINK.empty_table()
-        found = compare(members, queries, key[1].as_py() == 0, percent)
+    def check(key: tuple, met: pa.Table) -> pa.Table:
+        found = compare(met, key[1].as_py() == 0, percent)
         return pa.Table.from_batches([made(LINK, *(zip(*found) if found else ([], [])))])
 
-    return left.groupBy("grp", "block").cogroup(right.groupBy("q_grp", "q_block")).applyInArrow(check, "u long, v long")
+    sent = sets_of(docs, wanted).drop("n").join(going, "cls").select("grp", "block", "rep", "asks", "tokens")
+    return sent.groupBy("grp", "block").applyInArrow(check, "u long, v long")
 
 
-def jaccard_join(docs: DataFrame, percent: int = 75, group_size: int = 256, block: int = 512, range_rows: int = 8192) -> DataFrame:
+def jaccard_join(docs: DataFrame, percent: int = 75, group_size: int = 1024, block: int = 512, range_rows: int = 8192) -> DataFrame:
     """For each document: ``doc_id``, ``n_shingles`` and ``component_id``, the smallest doc_id that
     links of ``percent`` Jaccard or more reach. Two documents with equal sets are linked."""
     classes, sketch = classify(docs)
