@@ -5,8 +5,8 @@ cells (count, XOR of digests, XOR of their checks); each distinct digest is adde
 third of the table. The cells of two versions subtract, so that shared paragraphs cancel out, and
 peeling recovers the digests that differ: a cell with one digest left gives it away, and it is taken
 out of its other cells. One third is peeled at a time, so no digest is taken out twice. The
-fingerprint is a sketch of ``CELLS`` cells; where its cells don't peel empty, the pair is tried again
-with tables large enough for all its paragraphs, then twice and four times as large.
+fingerprint is a sketch of ``CELLS`` cells. Pairs with more paragraphs than that are compared by tables
+for all of them; where cells don't peel empty, tables twice as large are tried, then four times.
 
 Defined cases: a null text is empty; an empty text has no paragraphs, and two of those are alike (1);
 a null doc_id comes first in the order of documents, equal ones are ordered by text hash; repeated
@@ -122,34 +122,37 @@ def peeled(cells: DataFrame, third: int, seed: int) -> DataFrame:
     return summed(cells.select("pid", "kind", "size", F.inline(F.when(alone, F.array(*taken)).otherwise(F.array(same)))))
 
 
-def differing(pairs: DataFrame, seed: int, rounds: int = 2) -> DataFrame:
+def differing(pairs: DataFrame, seed: int) -> DataFrame:
     """(pid, kind, whole, differ) of the pairs that differ: whether the cells peeled empty, and the
     digests recovered. All steps keep the pairs' partitioning, so none of them shuffles."""
-    cells = subtracted(pairs.repartition("pid"), seed)
-    for _ in range(rounds):
-        for third in (0, 1, 2, 0, 1, 2):
-            cells = peeled(cells, third, seed)
-        cells = stage(cells, "sketch-cells").repartition("pid")
+    cells = subtracted(pairs, seed)
+    for third in (0, 1, 2, 0, 1, 2):
+        cells = peeled(cells, third, seed)
     return cells.groupBy("pid", "kind").agg(
         F.bool_and(F.col("cell") < 0).alias("whole"), F.collect_list("digest").alias("differ")
     )
 
 
 def compare(pairs: DataFrame, attempts: int = 4) -> DataFrame:
-    """(pid, kind, differ): how many digests differ, for those of ``pairs`` (pid, kind, mine, yours)
-    that differ at all. What ``attempts`` sketches leave undecided (practically never) is counted from
-    the digests themselves."""
+    """(pid, kind, differ): how many digests differ, for those of ``pairs`` (pid, kind, mine, yours;
+    partitioned by pid) that differ at all.
+
+    A pair that could differ in few paragraphs is tried with the fingerprint's own size, others with
+    a table for all their paragraphs; cells that don't peel empty are tried again with tables twice as
+    large and other places. What ``attempts`` leave undecided (practically never) is counted from the
+    digests themselves.
+    """
     both = F.size("mine") + F.size("yours")
-    done, left = None, pairs.withColumn("size", F.lit(CELLS // 3).cast("long"))
+    size = F.greatest(F.lit(CELLS // 3), F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(both, F.lit(1)))))).cast("long")
+    done, left = None, pairs.withColumn("size", size)
     for attempt in range(attempts):
-        if attempt:
-            left = left.withColumn("size", F.pow(F.lit(2.0), F.ceil(F.log2(both / 2 + 4)) + (attempt - 1)).cast("long"))
         found = stage(differing(left, SEED + attempt).withColumn("differ", F.size("differ")), "sketch-found")
         good = found.filter("whole").select("pid", "kind", "differ")
         done = good if done is None else done.union(good)
-        left = left.join(found.filter("NOT whole").select("pid", "kind"), ["pid", "kind"], "left_semi")
-        if not found.filter("NOT whole").limit(1).count():
+        failed = found.filter("NOT whole").select("pid", "kind")
+        if failed.isEmpty():
             return done
+        left = left.join(failed, ["pid", "kind"], "left_semi").withColumn("size", F.col("size") * 2)
     exact = F.size(F.array_except("mine", "yours")) + F.size(F.array_except("yours", "mine"))
     return done.union(left.select("pid", "kind", exact.alias("differ")))
 
@@ -177,8 +180,9 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         ),
         "sketch-digests",
     )
-    pair = lambda kind, other: base.select("pid", F.lit(kind).alias("kind"), F.col("found").alias("mine"), F.col(other).alias("yours"))
-    differ = compare(pair("edited", "new_found").union(pair("next", "next_found")))
+    pair = lambda kind, other: F.struct(F.lit(kind).alias("kind"), F.col("found").alias("mine"), F.col(other).alias("yours"))
+    dealt = base.select("pid", "found", "new_found", "next_found").repartition("pid")
+    differ = compare(dealt.select("pid", F.inline(F.array(pair("edited", "new_found"), pair("next", "next_found")))))
     by_pid = differ.groupBy("pid").agg(
         F.max(F.when(F.col("kind") == "edited", F.col("differ"))).alias("d_edited"),
         F.max(F.when(F.col("kind") == "next", F.col("differ"))).alias("d_next"),
