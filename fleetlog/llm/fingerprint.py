@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import stage
+from ._common import partitions, stage
 
 PIECE, CELLS, SEED = 128, 24, 1
 MOST_BUCKETS = 1 << 20  # bounds what is broadcast: one small row a bucket
@@ -149,7 +149,8 @@ def compare(pairs: DataFrame, attempts: int = 4) -> DataFrame:
         found = stage(differing(left, SEED + attempt).withColumn("differ", F.size("differ")), "sketch-found")
         good = found.filter("whole").select("pid", "kind", "differ")
         done = good if done is None else done.union(good)
-        failed = found.filter("NOT whole").select("pid", "kind")
+        # A table of its own, so that the next join knows how small it is and leaves the pairs in place.
+        failed = stage(found.filter("NOT whole").select("pid", "kind"), "sketch-failed")
         if failed.isEmpty():
             return done
         left = left.join(failed, ["pid", "kind"], "left_semi").withColumn("size", F.col("size") * 2)
@@ -181,7 +182,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         "sketch-digests",
     )
     pair = lambda kind, other: F.struct(F.lit(kind).alias("kind"), F.col("found").alias("mine"), F.col(other).alias("yours"))
-    dealt = base.select("pid", "found", "new_found", "next_found").repartition("pid")
+    # Cells are many times the digests, so the number of partitions is kept, whatever the digests' size.
+    dealt = base.select("pid", "found", "new_found", "next_found").repartition(2 * partitions(docs.sparkSession), "pid")
     differ = compare(dealt.select("pid", F.inline(F.array(pair("edited", "new_found"), pair("next", "next_found")))))
     by_pid = differ.groupBy("pid").agg(
         F.max(F.when(F.col("kind") == "edited", F.col("differ"))).alias("d_edited"),
