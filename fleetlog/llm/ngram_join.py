@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import stage
@@ -207,6 +207,23 @@ def shared_tokens(docs: DataFrame, sketch: np.ndarray, percent: int, ranges: int
     return sent.groupBy("range").applyInArrow(meet, "token long, cls binary, n long, holders long")
 
 
+def needed(n: Column) -> Column:
+    """How many prefix tokens partners of sizes n or more share at least."""
+    return F.floor(n / SPARE) + 1
+
+
+def smallest_partner(percent: int) -> Column:
+    return F.ceil(percent * F.col("n") / 100)
+
+
+def likely(shared: DataFrame, percent: int) -> DataFrame:
+    """Tokens of the classes that share enough of them to have a partner, and the class's ``home``, its
+    commonest shared token."""
+    w = Window.partitionBy("cls")
+    made = shared.withColumns({"k": F.count("*").over(w), "home": F.max(F.struct("holders", "token")).over(w)["token"]})
+    return made.filter(F.col("k") >= needed(smallest_partner(percent))).select("token", "cls", "n", "home")
+
+
 def bitmap_of(ids: DataFrame, most: int = 1 << 29) -> np.ndarray:
     """Bits at the hashes of ``ids`` (doc_id), 16 bits an id and at most 64 MB: a filter that lets all
     of them through, and few others."""
@@ -284,14 +301,7 @@ def compare(met: pa.Table, first: bool, percent: int) -> list[tuple[int, int]]:
 def links_of(shared: DataFrame, classes: DataFrame, docs: DataFrame, percent: int, group_size: int, block: int) -> DataFrame:
     """Links (u, v) between the smallest doc_ids of classes; enough of them to connect all that link."""
     reps = classes.filter("n > 0 AND doc_id IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("rep"))
-    needed = lambda n: F.floor(n / SPARE) + 1  # noqa: E731  prefix tokens that partners of sizes n or more share
-    partner = F.ceil(percent * F.col("n") / 100)  # the smallest size of a partner
-    home = (
-        shared.groupBy("cls")
-        .agg(F.max(F.struct("holders", "token"))["token"].alias("home"), F.max("n").alias("n"), F.count("*").alias("k"))
-        .filter(F.col("k") >= needed(partner))
-        .drop("k")
-    )
+    home = shared.groupBy("cls").agg(F.first("home").alias("home"), F.first("n").alias("n"))
     parts = home.groupBy("home").agg(F.ceil(F.count("*") / group_size).alias("parts"))
     member = stage(
         home.join(parts, "home")
@@ -299,7 +309,7 @@ def links_of(shared: DataFrame, classes: DataFrame, docs: DataFrame, percent: in
         .select("cls", "n", "rep", F.struct("home", F.pmod(F.xxhash64("cls"), "parts").alias("part")).alias("grp")),
         "join-groups",
     )
-    held = shared.join(member.select("cls", "grp"), "cls")
+    held = shared.drop("home").join(member.select("cls", "grp"), "cls")
     row = held.groupBy("token", F.col("grp").alias("to")).agg(F.min("n").alias("least"), F.max("n").alias("most"))
     smallest = member.groupBy(F.col("grp").alias("to")).agg(F.min("n").alias("smallest"))
     query = stage(
@@ -308,7 +318,7 @@ def links_of(shared: DataFrame, classes: DataFrame, docs: DataFrame, percent: in
         .groupBy("cls", "n", "to")
         .agg(F.count("*").alias("k"))
         .join(smallest, "to")
-        .filter(F.col("k") >= F.least(needed(F.col("n")), F.greatest(needed(F.col("smallest")), needed(partner))))
+        .filter(F.col("k") >= F.least(needed(F.col("n")), F.greatest(needed(F.col("smallest")), needed(smallest_partner(percent)))))
         .select("cls", F.col("to").alias("grp")),
         "join-queries",
     )
@@ -338,7 +348,7 @@ def jaccard_join(docs: DataFrame, percent: int = 75, group_size: int = 1024, blo
     links of ``percent`` Jaccard or more reach. Two documents with equal sets are linked."""
     classes, sketch = classify(docs)
     ranges = int(min(4096, max(8, classes.count() // range_rows)))
-    shared = stage(shared_tokens(docs, sketch, percent, ranges), "join-shared")
+    shared = stage(likely(shared_tokens(docs, sketch, percent, ranges), percent), "join-shared")
     reached = components(links_of(shared, classes, docs, percent, group_size, block))
     reps = classes.filter("doc_id IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("rep"))
     top = reps.join(reached, reps.rep == reached.node, "left").select("cls", F.coalesce("component", "rep").alias("top"))
