@@ -14,8 +14,8 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import NaiveBayes
-from pyspark.ml.feature import HashingTF
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import HashingTF, Normalizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,38 +34,33 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\x20\x09-\x0D]+"), lambda w: w != "")
 
 
-def fit_classifier(labelled: DataFrame, most: int = 4000, features: int = 1 << 13):
-    """Multinomial naive Bayes on hashed word presence of at most about ``most`` labelled rows
-    (text, domain), taken by text hash; None if there are none."""
+def fit_classifier(labelled: DataFrame, most: int = 4000, features: int = 1 << 14):
+    """Multinomial logistic regression on hashed word presence of at most about ``most`` labelled rows
+    (text, domain), taken by text hash; None if there are fewer than two domains."""
     rows = labelled.filter("domain IS NOT NULL AND text IS NOT NULL")
-    n = rows.count()
-    if not n:
+    n, kinds = rows.agg(F.count("*"), F.count_distinct("domain")).first()
+    if kinds < 2:
         return None
     share = int(1_000_000 * min(1.0, most / n)) + 1
     sample = rows.filter(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share).dropDuplicates(["text", "domain"])
     return Pipeline(
         stages=[
-            HashingTF(inputCol="words", outputCol="features", numFeatures=features, binary=True),
-            NaiveBayes(featuresCol="features", labelCol="domain", smoothing=1.0),
+            HashingTF(inputCol="words", outputCol="presence", numFeatures=features, binary=True),
+            Normalizer(inputCol="presence", outputCol="features"),
+            LogisticRegression(labelCol="domain", regParam=0.01, maxIter=40, family="multinomial"),
         ]
     ).fit(sample.select(F.array_distinct(words(F.col("text"))).alias("words"), F.col("domain").cast("double")))
 
 
-def posteriors(docs: DataFrame, model, domains: tuple[str, ...], soften: float = 0.2) -> DataFrame:
-    """``docs`` with ``n_tokens`` and ``posterior``: normalised exp of ``soften`` times the log joint."""
+def posteriors(docs: DataFrame, model, domains: tuple[str, ...]) -> DataFrame:
+    """``docs`` with ``n_tokens`` and ``posterior``, the classifier's probability of each domain."""
     k = len(domains)
     made = docs.withColumn("_words", words(F.col("text"))).withColumn("n_tokens", F.size("_words").cast("long"))
     if model is None:
         return made.withColumn("posterior", F.array(*[F.lit(1.0 / k)] * k)).drop("_words")
-    drop = ["words", "features", "rawPrediction", "probability", "prediction", "_words", "_raw"]
-    out = model.transform(made.withColumn("words", F.array_distinct("_words")))
-    raw = F.transform(vector_to_array("rawPrediction"), lambda x: x * soften)
-    top = lambda a: F.transform(a, lambda x: F.exp(x - F.array_max(a)))
-    out = out.withColumn("_raw", top(raw))
-    total = F.aggregate("_raw", F.lit(0.0), lambda s, x: s + x)
-    seen = F.transform("_raw", lambda x: x / total)
-    padded = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.coalesce(F.get(seen, i), F.lit(0.0)))
-    return out.withColumn("posterior", padded).drop(*drop)
+    out = model.transform(made.withColumn("words", F.array_distinct("_words"))).withColumn("_seen", vector_to_array("probability"))
+    padded = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.coalesce(F.get("_seen", i), F.lit(0.0)))
+    return out.select(*docs.columns, "n_tokens", padded.alias("posterior"))
 
 
 def rate_after(steps: list[np.ndarray], posterior: Column, start: Column) -> Column:
