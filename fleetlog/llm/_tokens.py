@@ -10,10 +10,11 @@ from __future__ import annotations
 import os
 import re
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 
-MEMO = 900_000  # pieces kept by each worker; then the memo starts afresh
+MEMO = 500_000  # pieces a worker keeps in each memo, which then starts afresh
 LONGEST = 64  # longer pieces are encoded each time they occur
 #: A run of Latin letters whose lower case is one letter each, and punctuation that never joins it.
 SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?|%&#$)]*)")
@@ -41,7 +42,7 @@ class Encoder:
 
     def learn_runs(self, runs: list[str], prefix: str) -> None:
         """Encode runs of letters together; each is one word of the joined text."""
-        text, step = (" " + " ".join(runs), 1) if prefix or self.drops_space else ("\n".join(runs), 2)
+        text, step = (" " + " ".join(runs), 1) if prefix else ("\n".join(runs), 2)
         e = self.tok.encode(text, add_special_tokens=False)
         ids, word = np.array(e.ids, "<u4"), np.array(e.word_ids)
         ends = np.searchsorted(word, step * np.arange(len(runs)), "right").tolist()
@@ -77,35 +78,33 @@ class Encoder:
             memo.update((p, np.array(e.ids, "<u4").tobytes()) for p, e in zip(other, got))
         return True
 
-    def joined(self, memo: dict[str, bytes], pieces: list[str], prefix: str) -> bytes | None:
+    def encode(self, text: str) -> bytes:
+        if not text:
+            return b""
+        if self.drops_space:
+            firsts, others = [], [[p for p in text.replace("\n", " ").split(" ") if p]]
+        else:
+            lines = [line.split(" ") for line in text.split("\n")]
+            firsts, others = [p[0] for p in lines], [p[1:] for p in lines]
         try:
-            return b"".join(map(memo.__getitem__, pieces))
+            return self.joined(firsts, others)
         except KeyError:
             pass
-        if not self.learn(memo, pieces, prefix):
-            return None
-        out = b"".join(map(memo.__getitem__, pieces))
-        for p in pieces:
-            if len(p) > LONGEST:
-                memo.pop(p, None)
+        # All that the text lacks is learnt at once.
+        if not self.learn(self.plain, firsts, "") or not self.learn(self.after_space, list(chain.from_iterable(others)), " "):
+            return self.whole(text)
+        out = self.joined(firsts, others)
+        for memo, pieces in ((self.plain, firsts), (self.after_space, chain.from_iterable(others))):
+            for p in pieces:
+                if len(p) > LONGEST:
+                    memo.pop(p, None)
         return out
 
-    def encode(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if self.drops_space:
-            pieces = [p for p in text.replace("\n", " ").split(" ") if p]
-            out = self.joined(self.plain, pieces, "")
-            return self.whole(text) if out is None else out
-        done = []
-        for line in text.split("\n"):
-            first, *others = line.split(" ")
-            head = self.joined(self.plain, [first], "")
-            tail = head is not None and self.joined(self.after_space, others, " ")
-            if head is None or tail is None:
-                return self.whole(text)
-            done.append(head + tail)
-        return self.newline.join(done)
+    def joined(self, firsts: list[str], others: list[list[str]]) -> bytes:
+        rest = [b"".join(map(self.after_space.__getitem__, x)) for x in others]
+        if not firsts:
+            return rest[0]
+        return self.newline.join([self.plain[f] + r for f, r in zip(firsts, rest)])
 
 
 @lru_cache(maxsize=4)
