@@ -5,6 +5,9 @@ hold, counted by presence: k(x, y) = |x ∩ y| / sqrt(|x| |y|). A bounded sample
 gives Nyström landmarks; kernel ridge regression on their features is fitted one language against
 the rest. Scoring is a product of a batch's presence bits, the landmarks' bits and the weights.
 
+Presence bits of a long text would fill up and tell nothing, so a text is cut into equal pieces of at
+most ``PIECE`` bytes, and its kernel is the mean of all its pieces', by their numbers of letters.
+
 Defined cases: a null text or one without a letter is ``und`` with score 0; without labelled rows
 every text is ``und``; ties go to the first language in name order; repeated rows get the same
 prediction; other columns pass through (``lang_pred`` and ``score`` are replaced). Whole texts
@@ -23,11 +26,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 UND = "und"
+PIECE, BLOCK = 2048, 128  # bytes of a piece; pieces scored together
 
 
 @dataclass
 class Model:
-    """``bits``: presence of n-gram buckets in each landmark; ``weights``: landmarks by languages."""
+    """``bits``: presence of n-gram buckets in each landmark, a piece of a text; ``weights``: landmarks
+    by languages."""
 
     langs: list[str]
     lengths: tuple[int, ...]
@@ -36,19 +41,23 @@ class Model:
     sharpness: float
 
 
-def presence(text: str, lengths: tuple[int, ...], buckets: int) -> np.ndarray:
-    """Which buckets the n-grams of the lower-cased text fall into."""
+def pieces(text: str, lengths: tuple[int, ...], buckets: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Which buckets the n-grams of the lower-cased text's pieces fall into, and the pieces' letters (as
+    bytes); at most ``BLOCK`` pieces at a time. An n-gram belongs to the piece that it starts in."""
     data = np.frombuffer(text.lower().encode("utf-8", "replace"), np.uint8)
-    found = np.zeros(buckets, bool)
+    step = max(1, -(-len(data) // max(1, -(-len(data) // PIECE))))
     shift = np.uint32(32 - (buckets - 1).bit_length())
-    for n in lengths:
-        for at in range(0, max(0, len(data) - n + 1), 1 << 20):
-            part = data[at : at + (1 << 20) + n - 1].astype(np.uint32)
-            h = np.full(len(part) - n + 1, n, np.uint32)
+    for low in range(0, max(1, len(data)), BLOCK * step):
+        own = data[low : low + BLOCK * step]
+        found = np.zeros((max(1, -(-len(own) // step)), buckets), bool)
+        at = np.arange(len(own)) // step
+        for n in lengths:
+            part = data[low : low + len(own) + n - 1].astype(np.uint32)
+            h = np.full(max(0, len(part) - n + 1), n, np.uint32)
             for j in range(n):
                 h = (h ^ part[j : j + len(h)]) * np.uint32(0x9E3779B1)
-            found[h >> shift] = True
-    return found
+            found[at[: len(h)], h >> shift] = True
+        yield found, np.bincount(at, ((own >= 97) & (own <= 122)) | (own >= 128), minlength=len(found))
 
 
 def kernel(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -57,6 +66,30 @@ def kernel(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a @ b.T) / size(a)[:, None] / size(b)[None, :]
 
 
+def likeness(texts: list[str], marks: np.ndarray, lengths: tuple[int, ...]) -> np.ndarray:
+    """Kernels of texts and landmarks (float32 bits): the mean of each text's pieces by their letters."""
+    total, letters = np.zeros((len(texts), len(marks))), np.zeros(len(texts))
+    held, owner, size = [], [], 0
+
+    def add() -> None:
+        found, weight = (np.concatenate(x) for x in zip(*held))
+        to, first = np.unique(np.repeat(owner, [len(x) for x, _ in held]), return_index=True)
+        total[to] += np.add.reduceat(kernel(found.astype(np.float32), marks) * weight[:, None], first)
+        letters[to] += np.add.reduceat(weight, first)
+
+    for i, text in enumerate(texts):
+        for part in pieces(text, lengths, marks.shape[1]):
+            held.append(part)
+            owner.append(i)
+            size += len(part[1])
+            if size >= BLOCK:
+                add()
+                held, owner, size = [], [], 0
+    if held:
+        add()
+    return total / np.maximum(letters, 1)[:, None]
+
+
 def fit(
     labelled: DataFrame,
     per_language: int = 400,
@@ -67,8 +100,8 @@ def fit(
     sharpness: float = 8.0,
 ) -> Model:
     """From (text, lang). At most ``per_language`` texts of each language are learnt from, those
-    with the smallest text hashes, so the sample has a documented bound at any size; the driver gets
-    ``buckets`` bits of each, not the texts."""
+    with the smallest text hashes, so the sample has a documented bound at any size; all pieces of those
+    texts count. The driver gets ``buckets`` bits of a piece of each and its kernels, not the texts."""
     usable = labelled.select("text", "lang").filter("lang IS NOT NULL AND text RLIKE '\\\\p{L}'")
     ranked = usable.withColumn("h", F.xxhash64("text"))
     counts = {r["lang"]: r["count"] for r in ranked.groupBy("lang").count().collect()}
@@ -80,24 +113,43 @@ def fit(
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            packed = [np.packbits(presence(t, lengths, buckets)).tobytes() for t in b.column(0).to_pylist()]
+            packed = []
+            for text, h in zip(b.column(0).to_pylist(), b.column(2).to_pylist()):
+                left = h % max(1, -(-len(text.encode("utf-8", "replace")) // PIECE))
+                for found, _ in pieces(text, lengths, buckets):
+                    piece = found[min(left, len(found) - 1)]
+                    if left < len(found):
+                        break
+                    left -= len(found)
+                packed.append(np.packbits(piece).tobytes())
             yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array(packed, pa.binary())], ["lang", "h", "bits"])
 
-    rows = near.select("text", "lang", "h").mapInArrow(bits, "lang string, h long, bits binary").distinct().collect()
+    near = near.select("text", "lang", "h")
+    rows = near.mapInArrow(bits, "lang string, h long, bits binary").distinct().collect()
     langs = sorted({r["lang"] for r in rows})
     chosen = {k: sorted((r["h"], bytes(r["bits"])) for r in rows if r["lang"] == k)[:per_language] for k in langs}
-    x = np.array([np.unpackbits(np.frombuffer(b, np.uint8)) for k in langs for _, b in chosen[k]], np.float32)
-    y = np.repeat(np.arange(len(langs)), [len(chosen[k]) for k in langs])
     each = max(1, landmarks // len(langs))
-    held = np.concatenate([np.flatnonzero(y == k)[:each] for k in range(len(langs))])
-    inner, outer = kernel(x[held], x[held]).astype(float), kernel(x, x[held]).astype(float)
+    held = np.array([np.unpackbits(np.frombuffer(b, np.uint8)) for k in langs for _, b in chosen[k][:each]], np.float32)
+    wanted = {(k, h) for k in langs for h, _ in chosen[k]}
+
+    def kernels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for text, lang, h in zip(*(c.to_pylist() for c in b.columns)):
+                if (lang, h) in wanted:
+                    made = likeness([text], held, lengths).tolist()
+                    yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([h]), pa.array(made, pa.list_(pa.float64()))], ["lang", "h", "k"])
+
+    rows = near.mapInArrow(kernels, "lang string, h long, k array<double>").dropDuplicates(["lang", "h"]).collect()
+    rows.sort(key=lambda r: (r["lang"], r["h"]))
+    y = np.array([langs.index(r["lang"]) for r in rows])
+    inner, outer = kernel(held, held).astype(float), np.array([r["k"] for r in rows])
     values, vectors = np.linalg.eigh(inner)
     root = vectors / np.sqrt(np.maximum(values, 1e-6))  # Nyström: features are outer @ root
     z = outer @ root
     target = np.where(y[:, None] == np.arange(len(langs)), 1.0, -1.0)
     balance = (1 / np.bincount(y, minlength=len(langs)))[y][:, None]
     beta = np.linalg.solve((z * balance).T @ z + ridge / len(y) * np.eye(z.shape[1]), (z * balance).T @ target)
-    return Model(langs, lengths, x[held].astype(bool), root @ beta, sharpness)
+    return Model(langs, lengths, held.astype(bool), root @ beta, sharpness)
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
@@ -111,7 +163,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
         import regex
 
         letter = regex.compile(r"\p{L}")
-        marks, buckets = model.bits.astype(np.float32), model.bits.shape[1]
+        marks = model.bits.astype(np.float32)
         for b in batches:
             texts, langs, scores = b.column(own.index("text")).to_pylist(), [], []
             for at in range(0, len(texts), 128):
@@ -119,8 +171,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                 known = [i for i, t in enumerate(part) if t and model.langs and letter.search(t)]
                 lang, score = [UND] * len(part), [0.0] * len(part)
                 if known:
-                    x = np.array([presence(part[i], model.lengths, buckets) for i in known], np.float32)
-                    margin = kernel(x, marks) @ model.weights
+                    margin = likeness([part[i] for i in known], marks, model.lengths) @ model.weights
                     p = np.exp(model.sharpness / 2 * (margin - margin.max(1, keepdims=True)))
                     p /= p.sum(1, keepdims=True)
                     for i, best, row in zip(known, margin.argmax(1), p):
