@@ -15,15 +15,15 @@ from fleetlog.llm import language_id, line_dedup, mixing, ngram_join, packing
 from fleetlog.llm._common import stage, table
 from fleetlog.llm.queries import MIX_WEIGHTS, tokenizer_file
 
-#: Texts whose best language gets less of the softmax than this have no clear language.
-MIN_LANGUAGE_SCORE = 0.3
+#: Texts whose best language is less ahead of the second than this (of about 2) have no clear language.
+MIN_LANGUAGE_LEAD = 0.0625
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without letters or without a clear language."""
     model = language_id.fit(docs.filter(~language_id.held_out(F.col("doc_id"))))
     seen = language_id.predict(docs, model)
-    clear = (F.col("lang_pred") != language_id.UND) & (F.col("score") >= MIN_LANGUAGE_SCORE)
+    clear = (F.col("lang_pred") != language_id.UND) & (F.col("lead") >= MIN_LANGUAGE_LEAD)
     return seen.filter(clear).select(*docs.columns)
 
 

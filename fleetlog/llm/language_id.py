@@ -9,9 +9,9 @@ Presence bits of a long text would fill up and tell nothing, so a text is cut in
 most ``PIECE`` bytes, and its kernel is the mean of all its pieces', by their numbers of letters.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0; without labelled rows
-every text is ``und``; ties go to the first language in name order; repeated rows get the same
-prediction; other columns pass through (``lang_pred`` and ``score`` are replaced). Whole texts
-count, of any length.
+every text is ``und``; with one language a text's lead is its margin itself; ties go to the first language in name order; repeated rows get the same
+prediction; other columns pass through (``lang_pred``, ``score`` and ``lead`` are replaced). Whole
+texts count, of any length.
 """
 
 from __future__ import annotations
@@ -32,13 +32,14 @@ PIECE, BLOCK = 2048, 128  # bytes of a piece; pieces scored together
 @dataclass
 class Model:
     """``bits``: presence of n-gram buckets in each landmark, a piece of a text; ``weights``: landmarks
-    by languages."""
+    by languages; ``usual``: mean kernel of the learned texts and the landmarks."""
 
     langs: list[str]
     lengths: tuple[int, ...]
     bits: np.ndarray
     weights: np.ndarray
     sharpness: float
+    usual: float
 
 
 def pieces(text: str, lengths: tuple[int, ...], buckets: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -106,7 +107,7 @@ def fit(
     ranked = usable.withColumn("h", F.xxhash64("text"))
     counts = {r["lang"]: r["count"] for r in ranked.groupBy("lang").count().collect()}
     if not counts:
-        return Model([], lengths, np.zeros((0, buckets), bool), np.zeros((0, 0)), sharpness)
+        return Model([], lengths, np.zeros((0, buckets), bool), np.zeros((0, 0)), sharpness, 1.0)
     # A hash threshold first, so that only about twice the sample is ranked.
     share = F.create_map(*(F.lit(x) for k, v in counts.items() for x in (k, min(1.0, 2 * per_language / v))))
     near = ranked.filter((F.pmod("h", F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000) | (share[F.col("lang")] >= 1.0))
@@ -149,14 +150,16 @@ def fit(
     target = np.where(y[:, None] == np.arange(len(langs)), 1.0, -1.0)
     balance = (1 / np.bincount(y, minlength=len(langs)))[y][:, None]
     beta = np.linalg.solve((z * balance).T @ z + ridge / len(y) * np.eye(z.shape[1]), (z * balance).T @ target)
-    return Model(langs, lengths, held.astype(bool), root @ beta, sharpness)
+    return Model(langs, lengths, held.astype(bool), root @ beta, sharpness, float(outer.mean()))
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score`` (softmax of the languages' margins)."""
-    own = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    """``docs`` with ``lang_pred``, ``score`` (softmax of the languages' margins) and ``lead``, the best
+    margin less the second. Kernels of short texts are small, so the lead is taken at ``usual`` ones; it is
+    about 2 for a text of one language and 0 for one between two, whatever the number of languages."""
+    own = [c for c in docs.columns if c not in ("lang_pred", "score", "lead")]
     made = docs.select(*own)
-    added = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
+    added = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("lead", T.DoubleType())]
     schema = T.StructType([*made.schema.fields, *added])
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,20 +168,24 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
         letter = regex.compile(r"\p{L}")
         marks = model.bits.astype(np.float32)
         for b in batches:
-            texts, langs, scores = b.column(own.index("text")).to_pylist(), [], []
+            texts, langs, scores, leads = b.column(own.index("text")).to_pylist(), [], [], []
             for at in range(0, len(texts), 128):
                 part = texts[at : at + 128]
                 known = [i for i, t in enumerate(part) if t and model.langs and letter.search(t)]
-                lang, score = [UND] * len(part), [0.0] * len(part)
+                lang, score, lead = [UND] * len(part), [0.0] * len(part), [0.0] * len(part)
                 if known:
-                    margin = likeness([part[i] for i in known], marks, model.lengths) @ model.weights
+                    near = likeness([part[i] for i in known], marks, model.lengths)
+                    margin = near @ model.weights
+                    ahead = np.sort(np.c_[margin, np.zeros(len(known))] if len(model.langs) == 1 else margin, axis=1)
+                    ahead = (ahead[:, -1] - ahead[:, -2]) * model.usual / np.maximum(near.mean(1), 1e-9)
                     p = np.exp(model.sharpness / 2 * (margin - margin.max(1, keepdims=True)))
                     p /= p.sum(1, keepdims=True)
-                    for i, best, row in zip(known, margin.argmax(1), p):
-                        lang[i], score[i] = model.langs[best], float(row[best])
+                    for i, best, row, by in zip(known, margin.argmax(1), p, ahead):
+                        lang[i], score[i], lead[i] = model.langs[best], float(row[best]), float(by)
                 langs += lang
                 scores += score
-            arrays = [b.column(i) for i in range(len(own))] + [pa.array(langs, pa.string()), pa.array(scores, pa.float64())]
+                leads += lead
+            arrays = [b.column(i) for i in range(len(own))] + [pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(leads, pa.float64())]
             yield pa.RecordBatch.from_arrays(arrays, [f.name for f in schema])
 
     return made.mapInArrow(scored, schema)
