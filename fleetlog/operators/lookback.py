@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import stage
 from .rowindex import row_index
 
 TICK = ("log_id", "tick_no", "asof_seconds")
@@ -54,17 +55,36 @@ def lookback_frames(df: DataFrame, ticks: DataFrame, n: int, huge: bool = False,
     return indexed.join(wanted, ["log_id", "row_index"]).select(*TICK, "row_index", *(F.col(f"`{c}`") for c in df.columns if c != "log_id"))
 
 
-def asof_all(df: DataFrame, ticks: DataFrame, value: Column) -> DataFrame:
+def asof_all(df: DataFrame, ticks: DataFrame, value: Column, huge: bool = False) -> DataFrame:
     """Count, sum and maximum of ``value`` over everything at or before each tick: a running window
-    over rows and ticks together, rows first where times are equal."""
-    rows = df.select("log_id", F.col("timestamp_seconds").alias("t"), F.lit(0).alias("kind"), value.alias("v"), F.lit(None).cast("long").alias("tick_no"))
-    marks = ticks.select("log_id", F.col("asof_seconds").alias("t"), F.lit(1).alias("kind"), F.lit(None).cast("double").alias("v"), "tick_no")
-    w = Window.partitionBy("log_id").orderBy("t", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    seen = rows.unionByName(marks).select(
-        "log_id", "tick_no", F.col("t").alias("asof_seconds"), "kind",
+    over rows and ticks together, rows first where times are equal.
+
+    With ``huge`` a log is also cut into ranges of time, equal times included: each range is run over
+    alone, and the figures of earlier ranges (one small row a range) are added.
+    """
+    none, order = F.lit(None), ("t", "kind", "seq")
+    rows = df.select("log_id", F.col("timestamp_seconds").alias("t"), F.lit(0).alias("kind"), F.col("seq").cast("long"), value.alias("v"), none.cast("long").alias("tick_no"))
+    marks = ticks.select("log_id", F.col("asof_seconds").alias("t"), F.lit(1).alias("kind"), F.col("tick_no").cast("long").alias("seq"), none.cast("double").alias("v"), "tick_no")
+    both, keys = rows.unionByName(marks), ["log_id"]
+    if huge:
+        keys = ["log_id", "chunk"]
+        both = stage(both.repartitionByRange("log_id", *order).withColumn("chunk", F.spark_partition_id()), "asof")
+    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    seen = both.select(
+        *keys, "tick_no", F.col("t").alias("asof_seconds"), "kind",
         F.count("v").over(w).alias("n"), F.sum("v").over(w).alias("total"), F.max("v").over(w).alias("high"),
+    ).filter("kind = 1").drop("kind")
+    if not huge:
+        return seen
+    tails = both.groupBy(*keys).agg(F.count("v").alias("n0"), F.sum("v").alias("total0"), F.max("v").alias("high0"))
+    before = Window.partitionBy("log_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    carry = tails.select(*keys, F.sum("n0").over(before).alias("n0"), F.sum("total0").over(before).alias("total0"), F.max("high0").over(before).alias("high0"))
+    return seen.join(carry, keys).select(
+        "log_id", "tick_no", "asof_seconds",
+        (F.col("n") + F.coalesce("n0", F.lit(0))).alias("n"),
+        F.coalesce(F.col("total") + F.col("total0"), "total", "total0").alias("total"),
+        F.greatest("high", "high0").alias("high"),
     )
-    return seen.filter("kind = 1").drop("kind")
 
 
 def asof_rows(df: DataFrame, ticks: DataFrame) -> DataFrame:

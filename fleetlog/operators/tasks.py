@@ -23,12 +23,12 @@ def topic_sql_task(ticks: DataFrame, rows: DataFrame, aggregates: list[Column],
     return lookback_time(rows, ticks, seconds).groupBy(*TICK).agg(*aggregates)
 
 
-def write_topics_task(ticks: DataFrame, messages: DataFrame, topics: list[str], seconds: float, filled: bool = False) -> DataFrame:
+def write_topics_task(ticks: DataFrame, messages: DataFrame, topics: list[str], seconds: float, filled: bool = False, huge: bool = False) -> DataFrame:
     """The wide relation of ``topics`` in each tick's lookback; filled first, windowed second."""
     if not topics:
         raise ValueError("no topics")
     relation = wide(messages, topics)
-    return lookback_time(ffill(relation) if filled else relation, ticks, seconds)
+    return lookback_time(ffill(relation, huge) if filled else relation, ticks, seconds)
 
 
 def snippet_task(ticks: DataFrame, messages: DataFrame, topics: list[str], seconds: float) -> DataFrame:
@@ -37,10 +37,10 @@ def snippet_task(ticks: DataFrame, messages: DataFrame, topics: list[str], secon
     return lookback_time(chosen, ticks, seconds).withColumn("timestamp_ns", F.floor(F.col("timestamp_seconds") * 1e9).cast("long"))
 
 
-def frame_manifest(df: DataFrame, ticks: DataFrame, n: int) -> DataFrame:
+def frame_manifest(df: DataFrame, ticks: DataFrame, n: int, huge: bool = False) -> DataFrame:
     """Ordered frames of a strip for each tick: caption and 100 ms each; no frames, no rows."""
     w = Window.partitionBy(*TICK).orderBy("timestamp_seconds", "seq")
-    return lookback_frames(df, ticks, n).select(
+    return lookback_frames(df, ticks, n, huge).select(
         *TICK,
         (F.row_number().over(w) - 1).alias("frame"),
         F.concat("topic", F.lit(" "), fixed8(F.col("timestamp_seconds"))).alias("caption"),

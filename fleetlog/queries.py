@@ -569,7 +569,7 @@ def _(s, d):
 
 @query("asof_all", f"{M}{FRAME_TICKS} SELECT tick_no, count(*) AS n, round(sum(value), 2) AS total, max(value) AS high FROM ticks JOIN m ON m.t <= upto GROUP BY tick_no")
 def _(s, d):
-    return lookback.asof_all(one(s, d), frame_ticks(s, d), value()).select("tick_no", "n", F.round("total", 2).alias("total"), "high")
+    return lookback.asof_all(one(s, d), frame_ticks(s, d), value(), huge=True).select("tick_no", "n", F.round("total", 2).alias("total"), "high")
 
 
 @query("lookback_ffill", f"{ffill_sql(M).replace('SELECT log_id, seq, t AS', FRAME_TICKS + ', f AS (SELECT log_id, seq, t AS', 1)}) SELECT tick_no, f.seq, f.click, f.\"view\" FROM ticks JOIN f ON f.timestamp_seconds BETWEEN upto - 3600 AND upto")
@@ -668,7 +668,7 @@ def _(s, d):
 
 @query("frame_manifest", f"{M}{FRAME_TICKS}, x AS ({LAST_ROWS}) SELECT tick_no, CAST(row_number() OVER (PARTITION BY tick_no ORDER BY t, seq) - 1 AS INTEGER) AS frame, topic || ' ' || printf('%.8f', t) AS caption, 100 AS duration_ms FROM x WHERE back <= 5")
 def _(s, d):
-    return tasks.frame_manifest(one(s, d), frame_ticks(s, d), 5).drop("log_id", "asof_seconds")
+    return tasks.frame_manifest(one(s, d), frame_ticks(s, d), 5, huge=True).drop("log_id", "asof_seconds")
 
 
 @query("decode_payloads", "SELECT event_id AS key, CASE WHEN user_id % 7 > 0 THEN props END AS decoded, CASE WHEN user_id % 7 = 0 THEN 'UnicodeDecodeError' END AS failure FROM events")
