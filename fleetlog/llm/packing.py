@@ -7,7 +7,7 @@ over groups of partitions, so that one padded window a group is left.
 
 Defined cases: a null or empty text is the end id alone; repeated rows and null ids are packed
 like any others; an empty table gives no pieces; other columns are ignored; ties go to the window
-opened first.
+opened first; a very long text fills windows of its own, and only its end is placed.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import stage
-from ._tokens import encoder
+from ._tokens import encoder, slices
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 ARROW = pa.schema(
@@ -128,13 +128,15 @@ def pack(
         windows, encode = Windows(size, open_windows, min_cut), encoder(tokenizer).encode
         end, made, sequence = np.array([end_id], "<u4").tobytes(), [], part << 32
         for b in batches:
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                for window in windows.place(doc_id, encode(text or "") + end):
-                    made += [(*r, part, False) for r in rows(window, sequence, with_ids)]
-                    sequence += 1
-                if len(made) >= BATCH:
-                    yield batch(made, STAGED)
-                    made = []
+            for low, high in slices(b.column(1)):
+                ids, starts, ends = encode(b.column(1)[low:high])
+                for doc_id, at, to in zip(b.column(0)[low:high].to_pylist(), starts.tolist(), ends.tolist()):
+                    for window in windows.place(doc_id, ids[at:to].tobytes() + end):
+                        made += [(*r, part, False) for r in rows(window, sequence, with_ids)]
+                        sequence += 1
+                    if len(made) >= BATCH:
+                        yield batch(made, STAGED)
+                        made = []
         full, last = windows.rest()
         for window in full:
             made += [(*r, part, False) for r in rows(window, sequence, with_ids)]
