@@ -7,11 +7,14 @@ small staged table (tokens and posteriors), which gives the driver one number a
 
 Defined cases: null or empty texts have no tokens and rate 1; without labelled rows every domain has
 the same posterior; a domain without documents cannot be met and is left out of the fit; repeated
-rows are separate documents; an empty table gives an empty result; other columns pass through.
+rows are separate documents; an empty table gives an empty result; other columns pass through; all
+words of very long texts count. Targets that the fit doesn't meet are logged with their gaps.
 """
 
 from __future__ import annotations
 
+import logging
+
 import numpy as np
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
@@ -20,8 +23,9 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import stage
+from ._common import SPACE, stage
 
+LOG = logging.getLogger(__name__)
 #: Domains of the labelled table.
 DOMAINS = ("high", "low", "toxic")
 
@@ -31,7 +35,9 @@ def domain_of(quality: Column, toxic: Column) -> Column:
 
 
 def words(text: Column) -> Column:
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    """Lower-cased words between ASCII white space."""
+    spaced = F.translate(F.lower(F.coalesce(text, F.lit(""))), SPACE, " " * len(SPACE))
+    return F.array_remove(F.split(spaced, " ", -1), "")
 
 
 def fit_classifier(labelled: DataFrame, most: int = 4000, features: int = 1 << 14):
@@ -41,26 +47,28 @@ def fit_classifier(labelled: DataFrame, most: int = 4000, features: int = 1 << 1
     n, kinds = rows.agg(F.count("*"), F.count_distinct("domain")).first()
     if kinds < 2:
         return None
-    share = int(1_000_000 * min(1.0, most / n)) + 1
-    sample = rows.filter(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share).dropDuplicates(["text", "domain"])
+    share = int((1 << 40) * min(1.0, most / n)) + 1
+    sample = rows.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 40)) < share).dropDuplicates(["text", "domain"])
     return Pipeline(
         stages=[
             HashingTF(inputCol="words", outputCol="presence", numFeatures=features, binary=True),
             Normalizer(inputCol="presence", outputCol="features"),
             LogisticRegression(labelCol="domain", regParam=0.01, maxIter=40, family="multinomial"),
         ]
-    ).fit(sample.select(F.array_distinct(words(F.col("text"))).alias("words"), F.col("domain").cast("double")))
+    ).fit(sample.select(words(F.col("text")).alias("words"), F.col("domain").cast("double")))
 
 
 def posteriors(docs: DataFrame, model, domains: tuple[str, ...]) -> DataFrame:
-    """``docs`` with ``n_tokens`` and ``posterior``, the classifier's probability of each domain."""
+    """``docs`` with ``n_tokens`` and ``posterior``, the classifier's probability of each domain.
+
+    Each expression names a costly one once, or it would be worked out again.
+    """
     k = len(domains)
-    made = docs.withColumn("_words", words(F.col("text"))).withColumn("n_tokens", F.size("_words").cast("long"))
+    made = docs.withColumn("words", words(F.col("text")))
     if model is None:
-        return made.withColumn("posterior", F.array(*[F.lit(1.0 / k)] * k)).drop("_words")
-    out = model.transform(made.withColumn("words", F.array_distinct("_words"))).withColumn("_seen", vector_to_array("probability"))
-    padded = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.coalesce(F.get("_seen", i), F.lit(0.0)))
-    return out.select(*docs.columns, "n_tokens", padded.alias("posterior"))
+        return made.withColumns({"n_tokens": F.size("words").cast("long"), "posterior": F.array(*[F.lit(1.0 / k)] * k)}).drop("words")
+    padded = F.slice(F.concat(vector_to_array("probability"), F.array_repeat(F.lit(0.0), k)), 1, k)
+    return model.transform(made).select(*docs.columns, F.size("words").cast("long").alias("n_tokens"), padded.alias("posterior"))
 
 
 def rate_after(steps: list[np.ndarray], posterior: Column, start: Column) -> Column:
@@ -95,13 +103,18 @@ def fit_rates(parts: DataFrame, targets: dict[int, float], steps: int = 60, ever
     for _ in range(steps):
         rate = rate_after(taken, p, F.col("rate"))
         gap = aim - np.array(parts.agg(*[F.coalesce(F.sum(rate * t * p[i]), F.lit(0.0)) for i in range(k)]).first())
-        if np.abs(gap).max(initial=0) <= enough or np.abs(gap - before).max(initial=0) <= enough / 10:
+        if np.abs(gap).max(initial=0) <= enough:
+            break
+        if np.abs(gap - before).max(initial=0) <= enough / 10:
+            LOG.warning("least squares leave these gaps to the targets: %s", gap.tolist())
             break
         before = gap
         taken.append(inverse @ gap)
         if len(taken) == every:
             parts = stage(parts.withColumn("rate", rate_after(taken, p, F.col("rate"))), "mix-rates")
             taken = []
+    else:
+        LOG.warning("rates did not settle in %d steps; gaps to the targets: %s", steps, gap.tolist())
     return parts.withColumn("rate", rate_after(taken, p, F.col("rate")))
 
 
@@ -120,11 +133,13 @@ def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float]) -> DataFr
     labelled = docs.select("doc_id", "text").join(marks, "doc_id").select("text", domain)
     model = fit_classifier(labelled)
     key = [F.col("doc_id").alias("k_id"), F.xxhash64("text").alias("k_text")]
-    made = posteriors(docs.select(*key, "text"), model, domains).groupBy("k_id", "k_text")
-    parts = made.agg(
-        F.first("posterior").alias("posterior"), F.first("n_tokens").alias("each"), F.sum("n_tokens").alias("n_tokens")
+    made = stage(posteriors(docs.select(*key, "text"), model, domains).drop("text"), "mix-posteriors")
+    # Numbers by themselves, as arrays can't be aggregated by hash.
+    each = {f"p{i}": F.col("posterior")[i] for i in range(len(domains))}
+    same = made.withColumns(each).groupBy("k_id", "k_text").agg(
+        *(F.max(c).alias(c) for c in each), F.max("n_tokens").alias("each"), F.sum("n_tokens").alias("n_tokens")
     )
-    parts = stage(parts, "mix-parts")
+    parts = stage(same.select("k_id", "k_text", F.array(*each).alias("posterior"), "each", "n_tokens"), "mix-parts")
     whole = float(parts.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0])
     rated = fit_rates(parts, {i: weights[d] * whole for i, d in enumerate(domains)})
     rated = stage(rated.select("k_id", "k_text", F.col("each").alias("n_tokens"), "posterior", "rate"), "mix-fitted")
