@@ -18,7 +18,8 @@ all documents hold is one entry a chunk, so no task gathers its holders.
 
 Defined cases: null texts are empty and stay empty; rows with a null doc_id are kept whole and are
 no sources; rows with equal doc_ids don't remove from each other; texts shorter than ``length`` stay;
-an empty table gives an empty result; other columns are ignored.
+an empty table gives an empty result; other columns are ignored; a very long text is a chunk of its
+own or makes one larger.
 """
 
 from __future__ import annotations
@@ -37,6 +38,8 @@ TMER = 17  # (KMER - 4) % STEP + 4: the length whose minimum picks the anchor
 LEFT = STEP - 1
 WIDTH = LENGTH + 1 + LEFT + 1  # suffix, its length, bytes before it (nearest first), their number
 BASE = np.uint64(0x9E3779B97F4A7C15)
+BLOCK = 1 << 16  # positions worked on at once
+MOST_DRAWN = 1_000_000  # strings that the driver draws range bounds from; more ranges need larger ``range_bytes``
 SENT = pa.schema([("part", pa.int64()), ("sender", pa.int64()), ("payload", pa.binary())])
 BACK = pa.schema([("home", pa.int64()), ("kind", pa.int64()), ("part", pa.int64()), ("payload", pa.binary())])
 RUN = pa.schema([("part", pa.int64()), ("sender", pa.int64()), ("shared", pa.binary()), ("tails", pa.binary()), ("least", pa.binary())])
@@ -68,9 +71,8 @@ class Chunk:
     def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Positions, hashes of the bytes after them, and documents of the anchors."""
         positions, hashes = [], []
-        limit = np.repeat(self.ends.astype(np.int32), self.ends - self.starts)  # end of each byte's document
-        for at in range(0, len(self.bytes), (1 << 20) - LENGTH):
-            d = self.bytes[at : at + (1 << 20)].astype(np.uint64) + np.uint64(1)
+        for at in range(0, len(self.bytes), BLOCK - LENGTH):
+            d = self.bytes[at : at + BLOCK].astype(np.uint64) + np.uint64(1)
             if len(d) < LENGTH:
                 break
             h2 = d[:-1] * power(1) + d[1:]
@@ -78,25 +80,33 @@ class Chunk:
             h8 = h4[:-4] * power(4) + h4[4:]
             h16 = h8[:-8] * power(8) + h8[8:]
             h17 = h16[:-1] * power(1) + d[16:]
-            m = mixed(h17) & ~np.uint64((1 << 20) - 1) | np.arange(len(h17), dtype=np.uint64)
+            m = mixed(h17) & ~np.uint64(BLOCK - 1) | np.arange(len(h17), dtype=np.uint64)
             for s in (1, 2, 4, 8, 16):
                 m = np.minimum(m[:-s], m[s:])
             m = np.minimum(m[:-2], m[2:])  # over the 34 positions of a window
             start = np.arange(len(m))
-            first = (m & np.uint64((1 << 20) - 1)).astype(np.int64)
-            own = at + start + LENGTH <= limit[at : at + len(m)]
+            first = (m & np.uint64(BLOCK - 1)).astype(np.int64)
             picked = np.zeros(len(d), bool)
-            picked[(start + (first - start) % STEP)[own]] = True
+            picked[(start + (first - start) % STEP)[start + LENGTH <= self.limits(at, len(m))]] = True
             a = np.flatnonzero(picked)
             h32 = h16[a] * power(16) + h16[a + 16]
             positions.append(a + at)
             hashes.append(mixed(h32 * power(2) + h2[a + 32]) >> np.uint64(16))
         if not positions:
             return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        position, at = np.unique(np.concatenate(positions), return_index=True)  # parts overlap
+        position, hashes = np.concatenate(positions), np.concatenate(hashes)
+        order = np.argsort(position, kind="stable")
+        order = order[np.r_[True, np.diff(position[order]) > 0]]  # blocks overlap
+        position, hashes = position[order], hashes[order]
         doc = np.searchsorted(self.ends, position, "right")
         sound = np.array([i is not None for i in self.ids], bool)[doc]
-        return position[sound], np.concatenate(hashes)[at][sound], doc[sound]
+        return position[sound], hashes[sound], doc[sound]
+
+    def limits(self, at: int, n: int) -> np.ndarray:
+        """Where the document of each of ``n`` bytes from ``at`` on ends, counted from ``at``."""
+        first, last = np.searchsorted(self.ends, (at, at + n - 1), "right")
+        ends = self.ends[first : last + 1] - at
+        return np.repeat(ends, np.diff(np.minimum(ends, n), prepend=0))
 
     def run(self, elsewhere: np.ndarray) -> "Run":
         """Sorted distinct strings at the anchors that several documents share."""
@@ -111,12 +121,13 @@ class Chunk:
         left = np.minimum(position - self.starts[doc], LEFT)
         padded = np.concatenate([np.zeros(LEFT, np.uint8), self.bytes, np.zeros(LENGTH, np.uint8)])
         key = np.zeros((len(position), WIDTH), np.uint8)
-        for j in range(LENGTH):
-            key[:, j] = np.where(j < right, padded[position + LEFT + j], 0)
-        key[:, LENGTH] = right
-        for j in range(LEFT):
-            key[:, LENGTH + 1 + j] = np.where(j < left, padded[position + LEFT - 1 - j], 0)
-        key[:, WIDTH - 1] = left + 1
+        around = np.lib.stride_tricks.sliding_window_view(padded, LEFT + LENGTH)[position]
+        key[:, :LENGTH], key[:, LENGTH + 1 : -1] = around[:, LEFT:], around[:, LEFT - 1 :: -1]
+        key[:, LENGTH], key[:, WIDTH - 1] = right, left + 1
+        # What lies beyond the document's ends is zero.
+        for own, n, first in ((right, LENGTH, 0), (left, LEFT, LENGTH + 1)):
+            short = np.flatnonzero(own < n)
+            key[short, first : first + n] *= np.arange(n) < own[short, None]
         strings, which = np.unique(np.ascontiguousarray(key).view(f"S{WIDTH}").ravel(), return_inverse=True)
         least = np.full(len(strings), np.iinfo(np.int64).max)
         np.minimum.at(least, which, ids)
@@ -130,8 +141,9 @@ class Run:
         self.which, self.left, self.right = which, left, right
 
     def ends(self, splitters: np.ndarray) -> np.ndarray:
-        """Where the strings of each range end; the last bytes of a splitter are no zeros."""
-        heads = np.ascontiguousarray(self.matrix[:, :16]).view("S16").ravel()
+        """Where the strings of each range end; the last bytes of a splitter are no zeros. Strings that
+        may hold equal windows have equal heads."""
+        heads = np.ascontiguousarray(self.matrix[:, :KMER]).view(f"S{KMER}").ravel()
         return np.r_[0, np.searchsorted(heads, splitters), len(heads)]
 
 
@@ -174,41 +186,45 @@ def merged(runs: list[Iterator[tuple[bytes, int]]]) -> Iterator[tuple[int, bytes
     size = 1
     while size < len(runs):
         size *= 2
-    text: list[bytes | None] = [None] * size
-    known = [0] * size
+    text: list[bytes] = [b""] * size
+    known = [-1] * size  # a run that has ended loses to all others
     for i, r in enumerate(runs):
-        text[i], known[i] = next(r, (None, 0))
-
-    def plays(a: int, b: int) -> tuple[int, int]:
-        """Winner and loser."""
-        x, y = text[a], text[b]
-        if x is None or y is None:
-            return (b, a) if x is None else (a, b)
-        m, n = known[a], known[b]
-        if m != n:
-            return (a, b) if m > n else (b, a)
+        text[i], known[i] = next(r, (b"", -1))
+
+    def loses(a: int, b: int) -> bool:
+        """Whether ``a`` comes after ``b``, where both share ``known`` with the last winner; the loser's
+        shared length becomes theirs."""
+        x, y, same = text[a], text[b], known[a]
         if x == y:
-            known[b] = WIDTH
-            return a, b
-        rest_x, rest_y = int.from_bytes(x[m:]), int.from_bytes(y[m:])
+            known[b] = WIDTH if same >= 0 else -1
+            return False
+        rest_x, rest_y = int.from_bytes(x[same:]), int.from_bytes(y[same:])
         same = WIDTH - ((rest_x ^ rest_y).bit_length() + 7) // 8
         if rest_x < rest_y:
             known[b] = same
-            return a, b
+            return False
         known[a] = same
-        return b, a
+        return True
 
     loser, winner = [0] * size, [0] * size + list(range(size))
     for node in range(size - 1, 0, -1):
-        winner[node], loser[node] = plays(winner[2 * node], winner[2 * node + 1])
+        a, b = winner[2 * node], winner[2 * node + 1]
+        if known[a] < known[b] or known[a] == known[b] and loses(a, b):
+            a, b = b, a
+        winner[node], loser[node] = a, b
     top = winner[1] if size > 1 else 0
-    while text[top] is not None:
+    while known[top] >= 0:
         yield top, text[top], known[top]
-        text[top], known[top] = next(runs[top], (None, 0))
-        node = (top + size) // 2
+        text[top], n = next(runs[top], (b"", -1))
+        known[top] = n
+        node = (top + size) >> 1
         while node:
-            top, loser[node] = plays(top, loser[node])
-            node //= 2
+            other = loser[node]
+            m = known[other]
+            if n < m or n == m and loses(top, other):
+                loser[node], top = top, other
+                n = known[top]
+            node >>= 1
 
 
 def covered_bits(matrix: np.ndarray, shared: np.ndarray, least: np.ndarray) -> np.ndarray:
@@ -262,12 +278,13 @@ def remove_repeats(docs: DataFrame, chunk_bytes: int = 4 << 20, range_bytes: int
     size = F.octet_length("text")
     total = docs.agg(F.coalesce(F.sum(size), F.lit(0)).alias("bytes"), F.count("*").alias("n")).first()
     chunks, parts = (max(1, -(-total["bytes"] // n)) for n in (chunk_bytes, range_bytes))
-    # Range bounds from a sample of strings: they only balance the ranges.
-    sample = docs.filter(size >= LENGTH).sample(min(1.0, 4000 / max(1, total["n"])), seed=7)
-    at = F.pmod(F.xxhash64("text"), F.length("text")).cast("int") + 1
-    heads = sorted(r[0].encode()[:16].rstrip(b"\0") for r in sample.select(F.substring("text", at, F.lit(16))).collect())
-    splitters = np.array([heads[len(heads) * i // parts] for i in range(1, parts)] if heads else [], "S16")
-    homes = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).alias("home"))
+    # Range bounds from a sample of strings, as large as the ranges are many: they only balance the ranges.
+    drawn = min(MOST_DRAWN, max(4000, 8 * parts))
+    at = F.explode(F.transform(F.sequence(F.lit(1), F.lit(-(-drawn // max(1, total["n"])))), lambda i: F.pmod(F.xxhash64("text", i), F.length("text")).cast("int") + 1))
+    sample = docs.filter(size >= LENGTH).sample(min(1.0, drawn / max(1, total["n"])), seed=7).select("text", at.alias("at"))
+    heads = sorted({r[0].encode()[:KMER].rstrip(b"\0") for r in sample.select(F.substring("text", F.col("at"), F.lit(KMER))).collect()})
+    splitters = np.array([heads[len(heads) * i // parts] for i in range(1, parts)] if heads else [], f"S{KMER}")
+    homes = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).alias("home"))
 
     def hashes(key: tuple, t: pa.Table) -> pa.Table:
         h = np.unique(Chunk(t).anchors()[1])
