@@ -18,7 +18,7 @@ exactly. The join loses no link; links that join nothing new within a task are n
 Defined cases: A-Z are lower-cased and words split at ASCII white space; fewer words than a shingle
 are one shingle; null or wordless texts have no shingles and no links; a null doc_id gets its size
 and a null component; repeated rows share a class; an empty table gives an empty result; other
-columns are ignored.
+columns are ignored; all shingles of very long texts count.
 """
 
 from __future__ import annotations
@@ -36,10 +36,11 @@ from .components import components
 
 SKETCH_BITS, SLICES = 18, 16
 SPARE = 20  # a prefix is longer than it must be by a part in so many, and must share that much more
-CLASS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("cls", pa.binary()), ("slice", pa.int64())])
-SENT = pa.schema([("range", pa.int64()), ("tokens", pa.binary()), ("owner", pa.binary()), ("cls", pa.binary()), ("n", pa.binary())])
-SHARED = pa.schema([("token", pa.int64()), ("cls", pa.binary()), ("n", pa.int64()), ("holders", pa.int64())])
-SETS = pa.schema([("cls", pa.binary()), ("n", pa.int64()), ("tokens", pa.binary())])
+CLASS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("cls", pa.binary()), ("key", pa.int64()), ("slice", pa.int64())])
+SENT = pa.schema([("range", pa.int64()), ("tokens", pa.binary()), ("owner", pa.binary()), ("keys", pa.binary()), ("n", pa.binary())])
+SHARED = pa.schema([("token", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("holders", pa.int64())])
+SETS = pa.schema([("cls", pa.binary()), ("text", pa.binary())])
+HOT = 10_000  # a class with more than one in so many of all rows is joined by broadcast: at most so many rows
 LINK = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
 
@@ -78,6 +79,35 @@ def class_of(tokens: np.ndarray) -> bytes:
     return xxhash.xxh128_digest(tokens.tobytes())
 
 
+def key_of(cls: bytes) -> int:
+    """Half of a class's name: enough to find candidates by, which whole names then decide."""
+    return int.from_bytes(cls[:8], "little", signed=True)
+
+
+def packed(data: bytes) -> bytes:
+    import zstandard
+
+    return zstandard.compress(data, 1)
+
+
+def unpacked(data: bytes) -> bytes:
+    import zstandard
+
+    return zstandard.decompress(data)
+
+
+def sorted_numbers(t: np.ndarray) -> bytes:
+    """Sorted numbers of 48 bits by their gaps, a byte plane after the other."""
+    return packed(np.diff(t, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].T.tobytes())
+
+
+def from_sorted(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(unpacked(data), np.uint8).reshape(6, -1)
+    wide = np.zeros((planes.shape[1], 8), np.uint8)
+    wide[:, :6] = planes.T
+    return np.cumsum(wide.view("<u8").ravel()).view(np.int64)
+
+
 def texts(b: pa.RecordBatch) -> list[bytes | None]:
     return b.column(1).cast(pa.large_binary()).to_pylist()
 
@@ -87,7 +117,7 @@ def made(schema: pa.Schema, *columns) -> pa.RecordBatch:
 
 
 def classify(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
-    """(doc_id, n, cls) of every document, and the sketch."""
+    """(doc_id, n, cls, key) of every document, and the sketch."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch, held, size = np.zeros(1 << SKETCH_BITS, np.int64), [], 0
@@ -109,16 +139,16 @@ def classify(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
                 if size > 1 << 20:
                     count()
                     size = 0
-            yield made(CLASS, b.column(0), n, cls, [None] * len(n))
+            yield made(CLASS, b.column(0), n, cls, list(map(key_of, cls)), [None] * len(n))
         count()
         parts = [zlib.compress(p.tobytes(), 1) for p in np.split(sketch, SLICES)]
-        yield made(CLASS, [None] * SLICES, [-1] * SLICES, parts, list(range(SLICES)))
+        yield made(CLASS, [None] * SLICES, [-1] * SLICES, parts, [None] * SLICES, list(range(SLICES)))
 
     def add(key: tuple, t: pa.Table) -> pa.Table:
         total = sum(np.frombuffer(zlib.decompress(x), np.int64) for x in t.column("cls").to_pylist())
         return pa.table({"slice": [key[0].as_py()], "total": [total.tobytes()]})
 
-    found = stage(docs.select("doc_id", "text").mapInArrow(read, "doc_id long, n long, cls binary, slice long"), "join-classes")
+    found = stage(docs.select("doc_id", "text").mapInArrow(read, "doc_id long, n long, cls binary, key long, slice long"), "join-classes")
     slices = found.filter("slice IS NOT NULL").groupBy("slice").applyInArrow(add, "slice long, total binary")
     parts = {r["slice"]: np.frombuffer(bytes(r["total"]), np.int64) for r in slices.collect()}
     empty = np.zeros((1 << SKETCH_BITS) // SLICES, np.int64)
@@ -126,32 +156,23 @@ def classify(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
 
 
 def shared_tokens(docs: DataFrame, sketch: np.ndarray, percent: int, ranges: int) -> DataFrame:
-    """Prefix tokens that classes of fitting sizes share: token, cls, n and how many hold it."""
+    """Prefix tokens that classes of fitting sizes share: token, key, n and how many hold it."""
     rarity = docs.sparkSession.sparkContext.broadcast(sketch)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, tokens, owner, cls, n, size = set(), [], [], [], [], 0
+        seen, tokens, owner, keys, n, size = set(), [], [], [], [], 0
 
         def flush() -> pa.RecordBatch:
             t, o = np.concatenate(tokens), np.concatenate(owner)
+            order = np.argsort(t, kind="stable")
+            t, o = t[order], o[order]
             to = ((t >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
-            order = np.argsort(to, kind="stable")
-            t, o, to = t[order], o[order], to[order]
-            ends, rows = np.searchsorted(to, np.arange(ranges + 1)), []
-            for r in range(ranges):
-                part, who = t[ends[r] : ends[r + 1]], o[ends[r] : ends[r + 1]]
-                if len(part):
-                    names, who = np.unique(who, return_inverse=True)
-                    rows.append(
-                        (
-                            r,
-                            (part >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6].tobytes(),
-                            who.astype(np.uint16).tobytes(),
-                            b"".join(cls[i] for i in names),
-                            np.array([n[i] for i in names], np.int64).tobytes(),
-                        )
-                    )
-            for x in (tokens, owner, cls, n):
+            first, rows = np.flatnonzero(np.r_[True, to[1:] != to[:-1]]), []
+            for low, high in zip(first.tolist(), [*first[1:].tolist(), len(to)]):
+                names, who = np.unique(o[low:high], return_inverse=True)
+                own = [np.array([x[i] for i in names], np.int64).tobytes() for x in (keys, n)]
+                rows.append((int(to[low]), sorted_numbers(t[low:high] >> np.uint64(16)), who.astype(np.uint16).tobytes(), *own))
+            for x in (tokens, owner, keys, n):
                 x.clear()
             return made(SENT, *zip(*rows))
 
@@ -160,7 +181,7 @@ def shared_tokens(docs: DataFrame, sketch: np.ndarray, percent: int, ranges: int
                 found = shingles(text)
                 if not len(found):
                     continue
-                key = class_of(found)
+                key = key_of(class_of(found))
                 if key in seen:
                     continue
                 if len(seen) < 200_000:
@@ -168,31 +189,29 @@ def shared_tokens(docs: DataFrame, sketch: np.ndarray, percent: int, ranges: int
                 order = np.lexsort((found, rarity.value[(found >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]))
                 prefix = found[order[: len(found) - -(-percent * len(found) // 100) + 1 + len(found) // SPARE]]
                 tokens.append(prefix)
-                owner.append(np.full(len(prefix), len(cls)))
-                cls.append(key)
+                owner.append(np.full(len(prefix), len(keys)))
+                keys.append(key)
                 n.append(len(found))
                 size += len(prefix)
-                if size > 1 << 20 or len(cls) == 1 << 16:
+                if size > 1 << 20 or len(keys) == 1 << 16:
                     yield flush()
                     size = 0
-        if cls:
+        if keys:
             yield flush()
 
     def meet(t: pa.Table) -> pa.Table:
         token, who, n, names, base = [], [], [], [], 0
-        for part, owner, cls, sizes in zip(*(t.column(c).to_pylist() for c in ("tokens", "owner", "cls", "n"))):
-            wide = np.zeros((len(part) // 6, 8), np.uint8)
-            wide[:, :6] = np.frombuffer(part, np.uint8).reshape(-1, 6)
-            token.append(wide.view(np.int64).ravel())
+        for part, owner, keys, sizes in zip(*(t.column(c).to_pylist() for c in ("tokens", "owner", "keys", "n"))):
+            token.append(from_sorted(part))
             own = np.frombuffer(owner, np.uint16).astype(np.int64)
             who.append(own + base)
             n.append(np.frombuffer(sizes, np.int64)[own])
-            names.append(np.frombuffer(cls, "V16"))
+            names.append(np.frombuffer(keys, np.int64))
             base += len(names[-1])
         token, who, n, names = map(np.concatenate, (token, who, n, names))
         # One number a class, whichever task it came from.
-        _, first, number = np.unique(names.view(np.uint64).reshape(-1, 2), axis=0, return_index=True, return_inverse=True)
-        who = first[number.ravel()[who]]
+        names, number = np.unique(names, return_inverse=True)
+        who = number[who]
         order = np.lexsort((who, n, token))
         token, who, n = token[order], who[order], n[order]
         new = np.r_[True, (token[1:] != token[:-1]) | (who[1:] != who[:-1])]
@@ -201,10 +220,10 @@ def shared_tokens(docs: DataFrame, sketch: np.ndarray, percent: int, ranges: int
         keep = fits | np.r_[False, fits[:-1]]
         token, who, n = token[keep], who[keep], n[keep]
         _, at, holders = np.unique(token, return_inverse=True, return_counts=True)
-        return pa.Table.from_batches([made(SHARED, token, [x.tobytes() for x in names[who]], n, holders[at])])
+        return pa.Table.from_batches([made(SHARED, token, names[who], n, holders[at])])
 
-    sent = docs.select("doc_id", "text").mapInArrow(send, "range long, tokens binary, owner binary, cls binary, n binary")
-    return sent.groupBy("range").applyInArrow(meet, "token long, cls binary, n long, holders long")
+    sent = docs.select("doc_id", "text").mapInArrow(send, "range long, tokens binary, owner binary, keys binary, n binary")
+    return sent.groupBy("range").applyInArrow(meet, "token long, key long, n long, holders long")
 
 
 def needed(n: Column) -> Column:
@@ -219,15 +238,15 @@ def smallest_partner(percent: int) -> Column:
 def likely(shared: DataFrame, percent: int) -> DataFrame:
     """Tokens of the classes that share enough of them to have a partner, and the class's ``home``, its
     commonest shared token."""
-    w = Window.partitionBy("cls")
+    w = Window.partitionBy("key")
     made = shared.withColumns({"k": F.count("*").over(w), "home": F.max(F.struct("holders", "token")).over(w)["token"]})
-    return made.filter(F.col("k") >= needed(smallest_partner(percent))).select("token", "cls", "n", "home")
+    return made.filter(F.col("k") >= needed(smallest_partner(percent))).select("token", "key", "n", "home")
 
 
-def bitmap_of(ids: DataFrame, most: int = 1 << 29) -> np.ndarray:
-    """Bits at the hashes of ``ids`` (doc_id), 16 bits an id and at most 64 MB: a filter that lets all
-    of them through, and few others."""
-    bits = 1 << max(16, (min(most, 16 * ids.count()) - 1).bit_length())
+def bitmap_of(ids: DataFrame, n: int) -> np.ndarray:
+    """Bits at the hashes of ``n`` ``ids`` (doc_id), 16 bits an id: a filter that lets all of them through,
+    and few others."""
+    bits = 1 << max(16, (16 * n - 1).bit_length())
     at = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
     rows = (
         ids.select(F.floor(at / 32768).alias("bucket"), F.pmod(at, F.lit(32768)).alias("bit"))
@@ -241,30 +260,43 @@ def bitmap_of(ids: DataFrame, most: int = 1 << 29) -> np.ndarray:
     return out.ravel()
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(cls, n, tokens) of the documents ``wanted`` (doc_id), and of a few others."""
-    filtered = docs.sparkSession.sparkContext.broadcast(bitmap_of(wanted))
+def sets_of(docs: DataFrame, wanted: DataFrame, most: int = 1 << 24) -> DataFrame:
+    """(cls, text) of the documents ``wanted`` (doc_id), and of a few others; texts are compressed, as
+    their words take less room than their tokens. More than ``most`` documents (whose filter would have
+    over 64 MB) are found by a join instead."""
+    n = wanted.count()
+    docs = docs.filter("doc_id IS NOT NULL").select("doc_id", "text")
+    filtered = None
+    if n > most:
+        docs = docs.join(wanted, "doc_id", "left_semi")
+    else:
+        filtered = docs.sparkSession.sparkContext.broadcast(bitmap_of(wanted, n))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, bits = set(), filtered.value
+        seen = set()
         for b in batches:
-            h = b.column(2).to_numpy().astype(np.uint64) % np.uint64(8 * len(bits))
-            hit = (bits[(h >> np.uint64(3)).astype(np.int64)] >> (h & np.uint64(7)).astype(np.uint8)) & 1
-            found = {class_of(x): x for t in texts(b.filter(pa.array(hit.astype(bool)))) if len(x := shingles(t))}
-            found = {k: x for k, x in found.items() if k not in seen}
+            if filtered:
+                bits = filtered.value
+                h = b.column(2).to_numpy().astype(np.uint64) % np.uint64(8 * len(bits))
+                hit = (bits[(h >> np.uint64(3)).astype(np.int64)] >> (h & np.uint64(7)).astype(np.uint8)) & 1
+                b = b.filter(pa.array(hit.astype(bool)))
+            found = {}
+            for text in texts(b):
+                if len(tokens := shingles(text)) and (cls := class_of(tokens)) not in seen:
+                    found[cls] = packed(text)
             if len(seen) < 200_000:  # copies in one task are sent once
                 seen.update(found)
-            yield made(SETS, list(found), [len(x) for x in found.values()], [x.tobytes() for x in found.values()])
+            yield made(SETS, list(found), list(found.values()))
 
     h = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 62)).alias("h")
-    return docs.filter("doc_id IS NOT NULL").select("doc_id", "text", h).mapInArrow(read, "cls binary, n long, tokens binary")
+    return docs.select("doc_id", "text", h).mapInArrow(read, "cls binary, text binary")
 
 
 def compare(met: pa.Table, first: bool, percent: int) -> list[tuple[int, int]]:
     """Links between members (if ``first``) and of queries to members that join something new."""
     rows = {}
-    for rep, asks, tokens in zip(*(met.column(c).to_pylist() for c in ("rep", "asks", "tokens"))):
-        rows[asks, rep] = np.frombuffer(tokens, np.uint64)  # a set may have been sent by several tasks
+    for rep, asks, text in zip(*(met.column(c).to_pylist() for c in ("rep", "asks", "text"))):
+        rows[asks, rep] = shingles(unpacked(text))  # a set may have been sent by several tasks
     rows = sorted(rows.items(), key=lambda x: x[0])
     ids, sets = [rep for (_, rep), _ in rows], [x for _, x in rows]
     m, sizes = sum(not asks for (asks, _), _ in rows), np.array([len(x) for x in sets])
@@ -298,59 +330,77 @@ def compare(met: pa.Table, first: bool, percent: int) -> list[tuple[int, int]]:
     return links
 
 
-def links_of(shared: DataFrame, classes: DataFrame, docs: DataFrame, percent: int, group_size: int, block: int) -> DataFrame:
+def pieces(n: Column, tokens: Column, most: int, room: int) -> Column:
+    """Into how many parts ``n`` sets of so many ``tokens`` are cut: at most ``most`` sets each, and about
+    ``room`` tokens."""
+    return F.greatest(F.ceil(n / most), F.ceil(tokens / room))
+
+
+def links_of(shared: DataFrame, classes: DataFrame, docs: DataFrame, percent: int, group_size: int, block: int, room: int) -> DataFrame:
     """Links (u, v) between the smallest doc_ids of classes; enough of them to connect all that link."""
-    reps = classes.filter("n > 0 AND doc_id IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("rep"))
-    home = shared.groupBy("cls").agg(F.first("home").alias("home"), F.first("n").alias("n"))
-    parts = home.groupBy("home").agg(F.ceil(F.count("*") / group_size).alias("parts"))
-    member = stage(
-        home.join(parts, "home")
-        .join(reps, "cls")
-        .select("cls", "n", "rep", F.struct("home", F.pmod(F.xxhash64("cls"), "parts").alias("part")).alias("grp")),
-        "join-groups",
-    )
-    held = shared.drop("home").join(member.select("cls", "grp"), "cls")
+    reps = classes.filter("n > 0 AND doc_id IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("key").alias("key"), F.first("n").alias("n"))
+    home = shared.groupBy("key").agg(F.first("home").alias("home"))
+    home = stage(home.join(reps, "key"), "join-homes")
+    parts = home.groupBy("home").agg(pieces(F.count("*"), F.sum("n"), group_size, room).alias("parts"))
+    grp = F.struct("home", F.pmod(F.xxhash64("cls"), "parts").alias("part")).alias("grp")
+    member = stage(home.join(parts, "home").select("cls", "key", "n", "rep", grp), "join-groups")
+    held = shared.select("token", "key", "n").join(member.select("key", "grp"), "key")
     row = held.groupBy("token", F.col("grp").alias("to")).agg(F.min("n").alias("least"), F.max("n").alias("most"))
     smallest = member.groupBy(F.col("grp").alias("to")).agg(F.min("n").alias("smallest"))
     query = stage(
         held.join(row, "token")
         .filter((F.col("grp") > F.col("to")) & (100 * F.col("n") >= percent * F.col("least")) & (100 * F.col("most") >= percent * F.col("n")))
-        .groupBy("cls", "n", "to")
+        .groupBy("key", "n", "to")
         .agg(F.count("*").alias("k"))
         .join(smallest, "to")
         .filter(F.col("k") >= F.least(needed(F.col("n")), F.greatest(needed(F.col("smallest")), needed(smallest_partner(percent)))))
-        .select("cls", F.col("to").alias("grp")),
+        .select("key", F.col("to").alias("grp")),
         "join-queries",
     )
     # Alone in a group that nobody opens, and opening none: no partner.
     crowd = member.groupBy("grp").count().filter("count > 1").select("grp")
-    met = member.join(crowd.union(query.select("grp")).distinct(), "grp", "left_semi").select("cls").union(query.select("cls"))
-    member = stage(member.join(met, "cls", "left_semi"), "join-met")
+    met = member.join(crowd.union(query.select("grp")).distinct(), "grp", "left_semi").select("key").union(query.select("key"))
+    member = stage(member.join(met, "key", "left_semi"), "join-met")
     wanted = member.select(F.col("rep").alias("doc_id"))
     # Where each set is to go, before any set moves: members to all blocks of their group, queries to one.
-    blocks = query.groupBy("grp").agg(F.ceil(F.count("*") / block).alias("blocks"))
+    query = query.join(member.select("cls", "key", "n", "rep"), "key")
+    blocks = query.groupBy("grp").agg(pieces(F.count("*"), F.sum("n"), block, room).alias("blocks"))
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("blocks", F.lit(1)) - 1)).alias("block")
     mine = member.join(blocks, "grp", "left").select("cls", "rep", "grp", every, F.lit(False).alias("asks"))
-    theirs = query.join(blocks, "grp").join(member.select("cls", "rep"), "cls")
-    theirs = theirs.select("cls", "rep", "grp", F.pmod(F.xxhash64("cls"), "blocks").alias("block"), F.lit(True).alias("asks"))
+    theirs = query.join(blocks, "grp").select("cls", "rep", "grp", F.pmod(F.xxhash64("cls"), "blocks").alias("block"), F.lit(True).alias("asks"))
     going = stage(mine.union(theirs), "join-going")
 
     def check(key: tuple, met: pa.Table) -> pa.Table:
         found = compare(met, key[1].as_py() == 0, percent)
         return pa.Table.from_batches([made(LINK, *(zip(*found) if found else ([], [])))])
 
-    sent = sets_of(docs, wanted).drop("n").join(going, "cls").select("grp", "block", "rep", "asks", "tokens")
+    sent = sets_of(docs, wanted).join(going, "cls").select("grp", "block", "rep", "asks", "text")
     return sent.groupBy("grp", "block").applyInArrow(check, "u long, v long")
 
 
-def jaccard_join(docs: DataFrame, percent: int = 75, group_size: int = 1024, block: int = 512, range_rows: int = 8192) -> DataFrame:
+def with_top(classes: DataFrame, top: DataFrame) -> DataFrame:
+    """``classes`` with their class's ``top``; classes with very many rows by broadcast, so that no task
+    gathers theirs."""
+    rows = classes.groupBy("cls").agg(F.count("*").alias("rows")).filter(F.col("rows") > classes.count() / HOT)
+    hot = stage(rows.join(top, "cls").select("cls", F.col("top").alias("hot_top")), "join-hot")
+    marked = classes.join(F.broadcast(hot), "cls", "left")
+    held = [*classes.columns, "top"]
+    cold = marked.filter("hot_top IS NULL").join(top, "cls", "left").select(*held)
+    return cold.union(marked.filter("hot_top IS NOT NULL").withColumnRenamed("hot_top", "top").select(*held))
+
+
+def jaccard_join(docs: DataFrame, percent: int = 75, group_size: int = 1024, block: int = 512, range_rows: int = 8192, room: int = 1 << 21) -> DataFrame:
     """For each document: ``doc_id``, ``n_shingles`` and ``component_id``, the smallest doc_id that
-    links of ``percent`` Jaccard or more reach. Two documents with equal sets are linked."""
+    links of ``percent`` Jaccard or more reach. Two documents with equal sets are linked.
+
+    ``group_size`` and ``block``: sets of a group, and queries that meet it in one task; ``room``: about as
+    many tokens as each of the two may hold. ``range_rows``: documents for each range of tokens.
+    """
     classes, sketch = classify(docs)
-    ranges = int(min(4096, max(8, classes.count() // range_rows)))
+    ranges = max(8, classes.count() // range_rows)
     shared = stage(likely(shared_tokens(docs, sketch, percent, ranges), percent), "join-shared")
-    reached = components(links_of(shared, classes, docs, percent, group_size, block))
+    reached = components(links_of(shared, classes, docs, percent, group_size, block, room))
     reps = classes.filter("doc_id IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("rep"))
     top = reps.join(reached, reps.rep == reached.node, "left").select("cls", F.coalesce("component", "rep").alias("top"))
     own = F.when(F.col("n") == 0, F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col("top"))
-    return classes.join(top, "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
+    return with_top(classes.select("doc_id", "n", "cls"), stage(top, "join-tops")).select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
