@@ -10,7 +10,7 @@ DIRECTIVES = {
     "%Y": "yyyy", "%m": "MM", "%d": "dd", "%H": "HH", "%M": "mm", "%S": "ss", "%f": "SSSSSS",
     "%y": "yy", "%b": "MMM", "%B": "MMMM", "%p": "a", "%I": "hh", "%j": "DDD", "%z": "xx",
 }
-SCALES = {"s": 1.0, "ms": 1e3, "us": 1e6, "ns": 1e9}
+SCALES = {"s": 1.0, "ms": 1e3, "us": 1e6, "ns": 1e9, "seconds": 1.0, "milliseconds": 1e3, "microseconds": 1e6, "nanoseconds": 1e9}
 UNITS = {"second": 1.0, "minute": 60.0, "hour": 3600.0}
 
 
@@ -30,7 +30,7 @@ def spark_pattern(strptime: str) -> str:
 
 
 def to_seconds_col(c: Column | None, kind: str, fmt: str | None = None) -> Column:
-    """Seconds from a number (``fmt``: s, ms, us or ns), a string (a strptime format) or a timestamp;
+    """Seconds from a number (``fmt``: s, ms, us or ns, or their full names), a string (a strptime format) or a timestamp;
     without a column, processing time."""
     if c is None:
         return F.unix_micros(F.current_timestamp()) / 1e6

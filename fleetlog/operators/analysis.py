@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .catalog import gaps
 from .relation import between, topic_relation
-from .rowindex import row_index
+from .rowindex import row_index, with_previous, with_running_sum
 
 ORDER = ("timestamp_seconds", "seq")
 
@@ -46,9 +46,9 @@ def summarise(df: DataFrame, value: Column) -> DataFrame:
     )
 
 
-def latency_stats(df: DataFrame) -> DataFrame:
+def latency_stats(df: DataFrame, huge: bool = False) -> DataFrame:
     """Of the gaps between messages, by topic."""
-    return gaps(df).groupBy("log_id", "topic").agg(
+    return gaps(df.select("log_id", "topic", *ORDER), huge).groupBy("log_id", "topic").agg(
         F.min("latency").alias("low"),
         F.max("latency").alias("high"),
         F.avg("latency").alias("mean"),
@@ -57,9 +57,9 @@ def latency_stats(df: DataFrame) -> DataFrame:
     )
 
 
-def rate_class(df: DataFrame, cv: float) -> DataFrame:
+def rate_class(df: DataFrame, cv: float, huge: bool = False) -> DataFrame:
     """Frequency, and ``fixed`` if gaps vary by at most ``cv`` of their mean, else ``event``."""
-    return latency_stats(df).select(
+    return latency_stats(df, huge).select(
         "log_id",
         "topic",
         F.when(F.col("mean") > 0, 1 / F.col("mean")).alias("frequency"),
@@ -67,30 +67,29 @@ def rate_class(df: DataFrame, cv: float) -> DataFrame:
     )
 
 
-def latency_anomalies(df: DataFrame, k: float) -> DataFrame:
+def latency_anomalies(df: DataFrame, k: float, huge: bool = False) -> DataFrame:
     """Messages whose gap is more than mean + k standard deviations of their topic."""
-    w = Window.partitionBy("log_id", "topic")
-    gap = gaps(df)
-    limit = F.avg("latency").over(w) + k * F.stddev("latency").over(w)
-    return gap.withColumn("limit", limit).filter(F.col("latency") > F.col("limit")).drop("limit")
+    gap = gaps(df, huge)
+    limit = gap.groupBy("log_id", "topic").agg((F.avg("latency") + k * F.stddev("latency")).alias("limit"))
+    return gap.join(limit, ["log_id", "topic"]).filter(F.col("latency") > F.col("limit")).select(*gap.columns)
 
 
 def correlate(df: DataFrame, a: Column, b: Column) -> DataFrame:
     return df.groupBy("log_id", "topic").agg(F.corr(a, b).alias("correlation"))
 
 
-def sudden_change(df: DataFrame, value: Column, threshold: float) -> DataFrame:
+def sudden_change(df: DataFrame, value: Column, threshold: float, huge: bool = False) -> DataFrame:
     """Messages whose value moved by more than ``threshold`` a second since the one before."""
-    w = Window.partitionBy("log_id", "topic").orderBy(*ORDER)
-    slope = F.abs(value - F.lag(value).over(w)) / F.nullif(F.col("timestamp_seconds") - F.lag("timestamp_seconds").over(w), F.lit(0.0))
-    return df.withColumn("slope", slope).filter(F.col("slope") > threshold)
+    now = F.struct(value.alias("value"), F.col("timestamp_seconds").alias("t"))
+    made = with_previous(df, ["log_id", "topic"], list(ORDER), now, "before", huge)
+    slope = F.abs(value - F.col("before.value")) / F.nullif(F.col("timestamp_seconds") - F.col("before.t"), F.lit(0.0))
+    return made.withColumn("slope", slope).filter(F.col("slope") > threshold).drop("before")
 
 
-def excursions(df: DataFrame, value: Column, limit: float) -> DataFrame:
+def excursions(df: DataFrame, value: Column, limit: float, huge: bool = False) -> DataFrame:
     """Runs of consecutive messages above ``limit``: start, end, length and peak."""
-    w = Window.partitionBy("log_id", "topic").orderBy(*ORDER)
     made = df.select("log_id", "topic", *ORDER, value.alias("v"), (value > limit).alias("above"))
-    made = made.withColumn("run", F.sum(F.when(F.col("above"), 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    made = with_running_sum(made, ["log_id", "topic"], list(ORDER), F.when(F.col("above"), 0).otherwise(1), "run", huge)
     return made.filter("above").groupBy("log_id", "topic", "run").agg(
         F.min("timestamp_seconds").alias("start_seconds"),
         F.max("timestamp_seconds").alias("end_seconds"),

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import split_type
+from .rowindex import with_previous
 
 
 class MissingTopicError(ValueError):
@@ -32,19 +33,19 @@ def topics(messages: DataFrame) -> DataFrame:
 def topic_counts(messages: DataFrame) -> DataFrame:
     """Messages of each topic; of an unbounded source the count isn't known (NULL)."""
     if messages.isStreaming:
-        return messages.select("log_id", "topic", F.lit(None).cast("long").alias("message_count"))
+        return messages.select("log_id", "topic").dropDuplicates(["log_id", "topic"]).withColumn("message_count", F.lit(None).cast("long"))
     return messages.groupBy("log_id", "topic").agg(F.count("*").alias("message_count"))
 
 
-def gaps(messages: DataFrame) -> DataFrame:
+def gaps(messages: DataFrame, huge: bool = False) -> DataFrame:
     """Each message's ``latency``: seconds since the one before in its log and topic."""
-    w = Window.partitionBy("log_id", "topic").orderBy("timestamp_seconds", "seq")
-    return messages.withColumn("latency", F.col("timestamp_seconds") - F.lag("timestamp_seconds").over(w))
+    made = with_previous(messages, ["log_id", "topic"], ["timestamp_seconds", "seq"], F.col("timestamp_seconds"), "latency", huge)
+    return made.withColumn("latency", F.col("timestamp_seconds") - F.col("latency"))
 
 
-def topic_frequency(messages: DataFrame) -> DataFrame:
+def topic_frequency(messages: DataFrame, huge: bool = False) -> DataFrame:
     """Messages a second: one over the median gap."""
-    gap = gaps(messages.select("log_id", "topic", "seq", "timestamp_seconds"))
+    gap = gaps(messages.select("log_id", "topic", "seq", "timestamp_seconds"), huge)
     middle = F.median("latency")
     return gap.groupBy("log_id", "topic").agg(F.when(middle > 0, 1 / middle).alias("frequency"))
 
@@ -103,17 +104,22 @@ def annotate(df: DataFrame, dictionary: dict[str, dict[str, str]]) -> DataFrame:
     return df.select(*(F.col(f"`{c}`").alias(c, metadata=dictionary.get(c, {})) for c in df.columns))
 
 
-def field_rows(schema: T.StructType, prefix: str = "") -> list[tuple[str, str]]:
-    """Dotted path and type name of every leaf field."""
+def field_paths(schema: T.StructType, above: tuple[str, ...] = ()) -> list[tuple[tuple[str, ...], str]]:
+    """Path, as names from the outside in, and type name of every leaf field."""
     found = []
     for f in schema.fields:
         if isinstance(f.dataType, T.StructType):
-            found += field_rows(f.dataType, f"{prefix}{f.name}.")
+            found += field_paths(f.dataType, (*above, f.name))
         else:
-            found.append((prefix + f.name, f.dataType.simpleString()))
+            found.append(((*above, f.name), f.dataType.simpleString()))
     return found
 
 
+def field_rows(schema: T.StructType) -> list[tuple[str, str]]:
+    """Dotted path and type name of every leaf field."""
+    return [(".".join(path), kind) for path, kind in field_paths(schema)]
+
+
 def describe_text(fields: DataFrame) -> DataFrame:
     """(topic, text): a line ``type name # description`` for each of (topic, position, type, name,
     description), after a comment line with the topic."""
@@ -124,5 +130,11 @@ def describe_text(fields: DataFrame) -> DataFrame:
     )
 
 
-def leaf(path: str) -> Column:
-    return F.col(".".join(f"`{p}`" for p in path.split(".")))
+def leaf(path: tuple[str, ...]) -> Column:
+    """The field at a path; names may hold dots."""
+    return F.col(".".join(f"`{p.replace('`', '``')}`" for p in path))
+
+
+def leaves(schema: T.StructType) -> list[Column]:
+    """Every leaf field as a column named by its path, joined by ``_``."""
+    return [leaf(path).alias("_".join(path).replace(".", "_")) for path, _ in field_paths(schema)]

@@ -107,14 +107,15 @@ def definition_errors(fields: DataFrame) -> DataFrame:
     return wide.select("text_id", "line_no", "name", F.explode(broken).alias("error"))
 
 
-def resolve_types(fields: DataFrame, version: int = 2) -> DataFrame:
+def resolve_types(fields: DataFrame, sections: DataFrame, version: int = 2) -> DataFrame:
     """The section a complex field's type stands for, by the first rule that fits; else an error.
+    ``sections``: all lines with theirs, as a dependency may have no fields.
 
     Rules: the exact name; Header; time and duration (2); pkg/T as pkg/msg/T (2); the same namespace;
     the first dependency that ends in /T.
     """
     asked = fields.filter("kind = 'complex'").select("text_id", "line_no", "type", "section_type")
-    known = fields.filter("section_type IS NOT NULL").select("text_id", F.col("section_type").alias("target"), F.col("section").alias("at")).distinct()
+    known = sections.filter("section_type IS NOT NULL").select("text_id", F.col("section_type").alias("target"), F.col("section").alias("at")).distinct()
     t, target = F.col("type"), F.col("target")
     space = F.regexp_replace("section_type", "/[^/]*$", "")
     rules = [

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -44,17 +45,18 @@ def sql_gate(ticks: DataFrame, rows: DataFrame, select: Column, seconds: float)
 def sql_gate_statement(ticks: DataFrame, rows: DataFrame, statement: str, seconds: float) -> DataFrame:
     """A full statement over ``window``, evaluated for each tick (a correlated subquery: few ticks)."""
     spark = ticks.sparkSession
-    ticks.createOrReplaceTempView("gate_ticks")
-    rows.createOrReplaceTempView("gate_rows")
+    own = uuid.uuid4().hex  # runs in one session don't share views
+    ticks.createOrReplaceTempView(f"gate_ticks_{own}")
+    rows.createOrReplaceTempView(f"gate_rows_{own}")
     body = statement.replace(
         "{window}",
-        f"(SELECT * FROM gate_rows r WHERE r.log_id = t.log_id AND r.timestamp_seconds BETWEEN t.asof_seconds - {seconds} AND t.asof_seconds)",
+        f"(SELECT * FROM gate_rows_{own} r WHERE r.log_id = t.log_id AND r.timestamp_seconds BETWEEN t.asof_seconds - {seconds} AND t.asof_seconds)",
     )
     try:
-        return spark.sql(f"SELECT t.log_id, t.tick_no, t.asof_seconds, g.passed FROM gate_ticks t, LATERAL ({body}) AS g(passed)")
+        return spark.sql(f"SELECT t.log_id, t.tick_no, t.asof_seconds, g.passed FROM gate_ticks_{own} t, LATERAL ({body}) AS g(passed)")
     finally:
-        spark.catalog.dropTempView("gate_ticks")
-        spark.catalog.dropTempView("gate_rows")
+        spark.catalog.dropTempView(f"gate_ticks_{own}")
+        spark.catalog.dropTempView(f"gate_rows_{own}")
 
 
 def passing(gate: DataFrame) -> DataFrame:
@@ -68,10 +70,10 @@ def gate_and(ticks: DataFrame, gates: list[Callable[[DataFrame], DataFrame]]) ->
     return ticks
 
 
-def detection_gate(detections: DataFrame, labels: list[str], score: float, threshold: float | None = None) -> DataFrame:
-    """Frames of ``detections`` (frame, label, score, closeness) with one of ``labels``, sure enough
-    and near enough. Closeness is scaled to 0..1 in each frame; without a threshold, the median."""
-    if not labels:
+def detection_gate(detections: DataFrame, labels: list[str] | None, score: float, threshold: float | None = None) -> DataFrame:
+    """Frames of ``detections`` (frame, label, score, closeness) with one of ``labels`` (None: any), sure
+    enough and near enough. Closeness is scaled to 0..1 in each frame; without a threshold, the median."""
+    if labels is not None and not labels:
         raise ValueError("no labels")
     if not 0 <= score <= 1 or (threshold is not None and not 0 <= threshold <= 1):
         raise ValueError("score and threshold lie between 0 and 1")
@@ -80,5 +82,5 @@ def detection_gate(detections: DataFrame, labels: list[str], score: float, thres
     scaled = detections.withColumn("near", F.when(high > low, (F.col("closeness") - low) / (high - low)).otherwise(0.0))
     limit = F.median("near").over(w) if threshold is None else F.lit(threshold)
     return scaled.withColumn("limit", limit).groupBy("frame").agg(
-        F.bool_or(F.col("label").isin(labels) & (F.col("score") >= score) & (F.col("near") >= F.col("limit"))).alias("passed")
+        F.bool_or((F.lit(True) if labels is None else F.col("label").isin(labels)) & (F.col("score") >= score) & (F.col("near") >= F.col("limit"))).alias("passed")
     )

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..storage import stage
-from .rowindex import row_index
+from .rowindex import earlier, ranged, row_index
 
 TICK = ("log_id", "tick_no", "asof_seconds")
 
@@ -25,33 +24,12 @@ def lookback_time(df: DataFrame, ticks: DataFrame, seconds: float) -> DataFrame:
     )
 
 
-def asof_position(indexed: DataFrame, ticks: DataFrame, bin_seconds: float) -> DataFrame:
-    """``ticks`` with ``position``, the index of the last row at or before each; by bins, whose last
-    indexes (one small row a bin) are carried to later ones."""
-    rows = indexed.select("log_id", "timestamp_seconds", "row_index", F.floor(F.col("timestamp_seconds") / bin_seconds).alias("bin"))
-    last = rows.groupBy("log_id", "bin").agg(F.max("row_index").alias("last"))
-    bins = ticks.select("log_id", F.floor(F.col("asof_seconds") / bin_seconds).alias("bin")).distinct()
-    before = Window.partitionBy("log_id").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    carry = (
-        last.join(bins, ["log_id", "bin"], "full")
-        .withColumn("carried", F.max("last").over(before))
-        .select("log_id", "bin", "carried")
-    )
-    made = ticks.withColumn("bin", F.floor(F.col("asof_seconds") / bin_seconds)).join(carry, ["log_id", "bin"], "left")
-    inside = (
-        made.join(rows.withColumnRenamed("timestamp_seconds", "t"), ["log_id", "bin"])
-        .filter(F.col("t") <= F.col("asof_seconds"))
-        .groupBy(*TICK)
-        .agg(F.max("row_index").alias("inside"))
-    )
-    return made.join(inside, list(TICK), "left").select(*TICK, F.coalesce("inside", "carried").alias("position"))
-
-
-def lookback_frames(df: DataFrame, ticks: DataFrame, n: int, huge: bool = False, bin_seconds: float = 3600.0) -> DataFrame:
-    """The last ``n`` rows at or before each tick, in order: an equi-join on positions."""
+def lookback_frames(df: DataFrame, ticks: DataFrame, n: int, huge: bool = False) -> DataFrame:
+    """The last ``n`` rows at or before each tick, in order: an equi-join on positions. A tick's own
+    position is a running maximum over rows and ticks together."""
     indexed = row_index(df, ["log_id"], ["timestamp_seconds", "seq"], huge)
-    at = asof_position(indexed, ticks, bin_seconds).filter("position IS NOT NULL")
-    wanted = at.select(*TICK, F.explode(F.sequence(F.greatest(F.col("position") - (n - 1), F.lit(0)), F.col("position"))).alias("row_index"))
+    at = asof_all(indexed, ticks, F.col("row_index"), huge).filter("high IS NOT NULL")
+    wanted = at.select(*TICK, F.explode(F.sequence(F.greatest(F.col("high") - (n - 1), F.lit(0)), F.col("high"))).alias("row_index"))
     return indexed.join(wanted, ["log_id", "row_index"]).select(*TICK, "row_index", *(F.col(f"`{c}`") for c in df.columns if c != "log_id"))
 
 
@@ -62,13 +40,13 @@ def asof_all(df: DataFrame, ticks: DataFrame, value: Column, huge: bool = False)
     With ``huge`` a log is also cut into ranges of time, equal times included: each range is run over
     alone, and the figures of earlier ranges (one small row a range) are added.
     """
-    none, order = F.lit(None), ("t", "kind", "seq")
+    none, order = F.lit(None), ["t", "kind", "seq"]
     rows = df.select("log_id", F.col("timestamp_seconds").alias("t"), F.lit(0).alias("kind"), F.col("seq").cast("long"), value.alias("v"), none.cast("long").alias("tick_no"))
-    marks = ticks.select("log_id", F.col("asof_seconds").alias("t"), F.lit(1).alias("kind"), F.col("tick_no").cast("long").alias("seq"), none.cast("double").alias("v"), "tick_no")
+    marks = ticks.select("log_id", F.col("asof_seconds").alias("t"), F.lit(1).alias("kind"), F.col("tick_no").cast("long").alias("seq"), none.alias("v"), "tick_no")
     both, keys = rows.unionByName(marks), ["log_id"]
     if huge:
         keys = ["log_id", "chunk"]
-        both = stage(both.repartitionByRange("log_id", *order).withColumn("chunk", F.spark_partition_id()), "asof")
+        both = ranged(both, ["log_id"], order, "asof")
     w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     seen = both.select(
         *keys, "tick_no", F.col("t").alias("asof_seconds"), "kind",
@@ -77,7 +55,7 @@ def asof_all(df: DataFrame, ticks: DataFrame, value: Column, huge: bool = False)
     if not huge:
         return seen
     tails = both.groupBy(*keys).agg(F.count("v").alias("n0"), F.sum("v").alias("total0"), F.max("v").alias("high0"))
-    before = Window.partitionBy("log_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    before = earlier(["log_id"])
     carry = tails.select(*keys, F.sum("n0").over(before).alias("n0"), F.sum("total0").over(before).alias("total0"), F.max("high0").over(before).alias("high0"))
     return seen.join(carry, keys).select(
         "log_id", "tick_no", "asof_seconds",
@@ -89,6 +67,4 @@ def asof_all(df: DataFrame, ticks: DataFrame, value: Column, huge: bool = False)
 
 def asof_rows(df: DataFrame, ticks: DataFrame) -> DataFrame:
     """All rows at or before each tick; as many rows as that is, so for few ticks."""
-    return df.join(ticks, "log_id").filter("timestamp_seconds <= asof_seconds")
-
-
+    return df.join(ticks.select(*TICK), "log_id").filter("timestamp_seconds <= asof_seconds").select(*TICK, *(F.col(f"`{c}`") for c in df.columns if c != "log_id"))

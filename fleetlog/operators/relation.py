@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..storage import shared_dir, stage
-from .catalog import field_rows, leaf, require_topics
+from .catalog import field_paths, leaves, require_topics
+from .rowindex import row_index
 
 KEYS = ("log_id", "seq", "timestamp_seconds")
 
@@ -113,20 +114,20 @@ def converted(c: Column, kind: T.DataType) -> Column:
 
 def leaf_paths(schema: T.StructType) -> list[tuple[str, str]]:
     """Quoted dotted path and type name of every leaf."""
-    return [(".".join(f'"{p}"' for p in path.split(".")), kind) for path, kind in field_rows(schema)]
+    return [(".".join(f'"{p}"' for p in path), kind) for path, kind in field_paths(schema)]
 
 
 def flatten(df: DataFrame) -> DataFrame:
     """A column for every leaf field, named by its path."""
-    return df.select(*(leaf(path).alias(path.replace(".", "_")) for path, _ in field_rows(df.schema)))
+    return df.select(*leaves(df.schema))
 
 
 def as_messages(df: DataFrame, seconds: Column, log_id: str, order: list[str]) -> DataFrame:
-    """A table as the one topic ``message``: all columns as a struct, ties by row order."""
-    w = Window.partitionBy("bin").orderBy(*order)
+    """A table as the one topic ``message``: all columns as a struct. ``seq`` is the position in the log
+    by time, ties by ``order``."""
     made = df.select(F.lit(log_id).alias("log_id"), F.lit("message").alias("topic"), seconds.alias("timestamp_seconds"), F.struct("*").alias("message"), *order)
-    made = made.withColumn("bin", F.floor("timestamp_seconds"))
-    return made.withColumn("seq", F.row_number().over(w).cast("long")).drop("bin", *order)
+    made = row_index(made, ["log_id"], ["timestamp_seconds", *order], huge=True)
+    return made.withColumnRenamed("row_index", "seq").drop(*order)
 
 
 def materialise(df: DataFrame, *key: str) -> DataFrame:

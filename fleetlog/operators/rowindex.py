@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import stage
@@ -28,3 +28,42 @@ def row_index(df: DataFrame, keys: list[str], order: list[str], huge: bool = Fal
     spans = spans.withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).drop("_n", "_first")
     joined = dealt.join(spans, [*keys, "_part"])
     return joined.select(*df.columns, (F.col("_base") + F.col("_local")).cast("long").alias("row_index"))
+
+
+def ranged(df: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
+    """``df`` dealt by ranges of keys and order and written, with each row's range as ``chunk``."""
+    return stage(df.repartitionByRange(*keys, *order).withColumn("chunk", F.spark_partition_id()), name)
+
+
+def earlier(keys: list[str]) -> Window:
+    """The ranges of a group before this one."""
+    return Window.partitionBy(*keys).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+
+
+def with_previous(df: DataFrame, keys: list[str], order: list[str], value: Column, name: str, huge: bool = False) -> DataFrame:
+    """``df`` with ``name``, the ``value`` of the row before in its group; NULL at its first row.
+
+    With ``huge`` a group is cut into ranges; a range's first row looks at the last of the range before
+    (one small row a range).
+    """
+    held = F.struct(value.alias("v"))
+    if not huge:
+        return df.withColumn(name, F.lag(held).over(Window.partitionBy(*keys).orderBy(*order))["v"])
+    dealt = ranged(df, keys, order, "previous")
+    last = dealt.groupBy(*keys, "chunk").agg(F.max_by(held, F.struct(*order)).alias("_last"))
+    carry = last.withColumn("_last", F.last("_last").over(earlier(keys)))
+    local = F.lag(held).over(Window.partitionBy(*keys, "chunk").orderBy(*order))
+    made = dealt.withColumn("_own", local).join(carry, [*keys, "chunk"])
+    return made.withColumn(name, F.coalesce("_own", "_last")["v"]).select(*df.columns, name)
+
+
+def with_running_sum(df: DataFrame, keys: list[str], order: list[str], value: Column, name: str, huge: bool = False) -> DataFrame:
+    """``df`` with ``name``, the sum of ``value`` from its group's first row to this one; ``huge`` as above."""
+    first = lambda own: Window.partitionBy(*own).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    if not huge:
+        return df.withColumn(name, F.sum(value).over(first(keys)))
+    dealt = ranged(df.withColumn("_v", value), keys, order, "running")
+    total = dealt.groupBy(*keys, "chunk").agg(F.sum("_v").alias("_sum"))
+    carry = total.withColumn("_sum", F.coalesce(F.sum("_sum").over(earlier(keys)), F.lit(0)))
+    made = dealt.withColumn("_own", F.sum("_v").over(first([*keys, "chunk"]))).join(carry, [*keys, "chunk"])
+    return made.withColumn(name, F.col("_own") + F.col("_sum")).select(*df.columns, name)

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from .lookback import TICK, lookback_frames, lookback_time
 from ..functions.columns import fixed8
-from .catalog import field_rows, leaf
+from .catalog import leaves
 from .relation import ffill, wide
 
 
@@ -91,12 +91,13 @@ LAYOUT = ["pipeline", "task", "datestr", "site", "asset", "log_id", "asof_second
 
 
 def write_artifacts(df: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """Files by ``LAYOUT``; CSV has no structs, so they are flattened."""
+    """Files by ``LAYOUT``; CSV has no structs, so they are flattened. Rows are dealt by folder first, so
+    that a folder has one file, or a few where AQE splits a large one."""
     if fmt == "csv":
-        df = df.select(*(leaf(p).alias(p.replace(".", "_")) for p, _ in field_rows(df.schema)))
+        df = df.select(*leaves(df.schema))
     elif fmt != "parquet":
         raise ValueError(f"unknown format {fmt!r}")
-    writer = df.write.mode("append").partitionBy(*LAYOUT)
+    writer = df.repartition(*LAYOUT).write.mode("append").partitionBy(*LAYOUT)
     writer.option("header", True).csv(path) if fmt == "csv" else writer.parquet(path)
 
 

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .rowindex import row_index
 
 ORDER = ["timestamp_seconds", "seq"]
+TICKS = pa.schema([("log_id", pa.string()), ("tick_no", pa.int64()), ("asof_seconds", pa.float64())])
 
 
 def numbered(ticks: DataFrame) -> DataFrame:
@@ -48,12 +51,22 @@ def greedy(seconds: np.ndarray, every: float, last: float | None = None) -> list
 
 def ticks_every_seconds(df: DataFrame, every: float) -> DataFrame:
     """Greedy: fires on the first message, then on the first at least ``every`` seconds after the
-    last fired. Sequential within a log by definition, so only its times are shipped."""
-
-    def fire(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(ORDER)
-        t = pdf["timestamp_seconds"].to_numpy()
-        at = greedy(t, every)
-        return pd.DataFrame({"log_id": pdf["log_id"].iloc[0], "tick_no": range(len(at)), "asof_seconds": t[at]})
-
-    return df.select("log_id", *ORDER).groupBy("log_id").applyInPandas(fire, "log_id string, tick_no long, asof_seconds double")
+    last fired. Sequential within a log by definition, so only its times are shipped: sorted, many logs
+    in a batch, and a long log over several."""
+
+    def fire(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, last, count = object(), None, 0
+        for b in batches:
+            logs, t, found = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(), []
+            starts = np.flatnonzero(np.r_[True, logs[1:] != logs[:-1]]).tolist() if len(t) else []
+            for low, high in zip(starts, [*starts[1:], len(t)]):
+                if logs[low] != now:
+                    now, last, count = logs[low], None, 0
+                for at in greedy(t[low:high], every, last):
+                    last = float(t[low + at])
+                    found.append((now, count, last))
+                    count += 1
+            yield pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(list(zip(*found)) or [[]] * 3, TICKS)], schema=TICKS)
+
+    times = df.select("log_id", *ORDER).repartition("log_id").sortWithinPartitions("log_id", *ORDER).select("log_id", "timestamp_seconds")
+    return times.mapInArrow(fire, "log_id string, tick_no long, asof_seconds double")

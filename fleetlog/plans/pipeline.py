@@ -5,6 +5,7 @@ Ticks are a table. Gates narrow it by semi-joins, each task is one plan over wha
 
 from __future__ import annotations
 
+import inspect
 import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import to_seconds
 from ..operators.gates import gate_and
-from ..operators.lookback import TICK
+from ..operators.lookback import TICK, asof_rows, lookback_frames, lookback_time
 from ..operators.ticks import ticks_at_end, ticks_every_frames, ticks_every_seconds
 
 NAME = re.compile(r"[a-z][a-z0-9]*(_[a-z0-9]+)*")
@@ -40,21 +41,38 @@ class Every:
         return to_seconds(self.value, self.unit)
 
 
-Gate = Callable[[DataFrame], DataFrame]
-Task = Callable[[DataFrame], DataFrame]
+#: Rows of a frame that each tick's lookback holds.
+Seen = Callable[[DataFrame], DataFrame]
+#: A gate or a task: takes ticks, and ``Seen`` if it has a second argument.
+Step = Callable[..., DataFrame]
+
+
+def window(ticks: DataFrame, lookback: Every | None) -> Seen:
+    """What each of ``ticks`` sees: its lookback by time or by frames, without one all rows so far."""
+
+    def seen(df: DataFrame) -> DataFrame:
+        if lookback is None:
+            return asof_rows(df, ticks)
+        if lookback.unit == "frame":
+            return lookback_frames(df, ticks, int(lookback.value))
+        return lookback_time(df, ticks, lookback.seconds())
+
+    return seen
 
 
 @dataclass(frozen=True)
 class Pipeline:
-    """``when``: None is once, at the end."""
+    """``when``: None is once, at the end. ``lookback`` is that of all gates and tasks that have none of
+    their own in ``lookbacks``."""
 
     name: str
     topic: str
     when: Every | None = None
     lookback: Every | None = None
-    gates: dict[str, Gate] = field(default_factory=dict)
-    tasks: dict[str, Task] = field(default_factory=dict)
+    gates: dict[str, Step] = field(default_factory=dict)
+    tasks: dict[str, Step] = field(default_factory=dict)
     allow_failure: bool = False
+    lookbacks: dict[str, Every] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         for name in (self.name, *self.gates, *self.tasks):
@@ -69,33 +87,57 @@ class Pipeline:
             return ticks_every_frames(cadence, int(self.when.value))
         return ticks_every_seconds(cadence, self.when.seconds())
 
+    def step(self, name: str, fn: Step, ticks: DataFrame) -> DataFrame:
+        if len(inspect.signature(fn).parameters) < 2:
+            return fn(ticks)
+        return fn(ticks, window(ticks, self.lookbacks.get(name, self.lookback)))
+
     def run(self, messages: DataFrame, ticks: DataFrame | None = None) -> tuple[dict[str, DataFrame], DataFrame]:
-        """Each task's rows, and the run log. A task may mark ticks that failed with a column
-        ``error``; unless ``allow_failure``, ticks after a log's first failure aren't executed."""
+        """Each task's rows, and the run log. A task may mark ticks that failed with a column ``error``:
+        later tasks have no rows there and, unless ``allow_failure``, no task has any at later ticks of
+        that log."""
         ticks = self.ticks(messages) if ticks is None else ticks
-        passed = gate_and(ticks, list(self.gates.values()))
-        made = {name: task(passed) for name, task in self.tasks.items()}
-        return made, run_log(ticks, passed, [df for df in made.values() if "error" in df.columns], self.allow_failure)
+        passed = gate_and(ticks, [lambda t, n=name, g=gate: self.step(n, g, t) for name, gate in self.gates.items()])
+        made = {name: self.step(name, task, passed) for name, task in self.tasks.items()}
+        failed = failures(list(made.values()))
+        log = run_log(ticks, passed, failed, self.allow_failure)
+        return {name: until_failed(df, i, failed, self.allow_failure) for i, (name, df) in enumerate(made.items())}, log
+
+
+def failures(outputs: list[DataFrame]) -> DataFrame | None:
+    """Ticks at which one of ``outputs`` has an error: the position of the first that failed, and its error."""
+    found = None
+    for i, df in enumerate(outputs):
+        if "error" in df.columns:
+            one = df.filter("error IS NOT NULL").select(*TICK, F.struct(F.lit(i).alias("task"), "error").alias("first"))
+            found = one if found is None else found.union(one)
+    return None if found is None else found.groupBy(*TICK).agg(F.min("first").alias("first")).select(*TICK, "first.task", "first.error")
+
+
+def stops(failed: DataFrame) -> DataFrame:
+    return failed.groupBy("log_id").agg(F.min("tick_no").alias("stopped"))
+
+
+def until_failed(df: DataFrame, position: int, failed: DataFrame | None, allow_failure: bool) -> DataFrame:
+    """The rows of the task at ``position`` that a run makes before it fails."""
+    if failed is None or not set(TICK) <= set(df.columns):
+        return df
+    made = df.join(failed.select(*TICK, "task"), list(TICK), "left").filter(F.col("task").isNull() | (F.col("task") >= position))
+    if not allow_failure:
+        made = made.join(stops(failed), "log_id", "left").filter("stopped IS NULL OR tick_no <= stopped")
+    return made.select(*df.columns)
 
 
-def run_log(ticks: DataFrame, passed: DataFrame, outputs: list[DataFrame], allow_failure: bool = False) -> DataFrame:
+def run_log(ticks: DataFrame, passed: DataFrame, failed: DataFrame | None, allow_failure: bool = False) -> DataFrame:
     """executed, skipped (a gate said no) or failed for each tick, with the error. Unless failures
     are allowed, ticks after a log's first failure are left out: the run stops there."""
     log = ticks.select(*TICK).join(passed.select(*TICK).withColumn("ok", F.lit(True)), list(TICK), "left")
-    errors = None
-    for df in outputs:
-        one = df.filter("error IS NOT NULL").select(*TICK, "error")
-        errors = one if errors is None else errors.union(one)
-    if errors is None:
-        log = log.withColumn("error", F.lit(None).cast("string"))
-    else:
-        log = log.join(errors.groupBy(*TICK).agg(F.min("error").alias("error")), list(TICK), "left")
+    log = log.withColumn("error", F.lit(None).cast("string")) if failed is None else log.join(failed.drop("task"), list(TICK), "left")
     status = F.when(F.col("error").isNotNull(), "failed").when(F.col("ok"), "executed").otherwise("skipped")
     log = log.select(*TICK, status.alias("status"), "error")
-    if allow_failure or errors is None:
+    if allow_failure or failed is None:
         return log
-    first = log.filter("status = 'failed'").groupBy("log_id").agg(F.min("tick_no").alias("stopped"))
-    return log.join(first, "log_id", "left").filter("stopped IS NULL OR tick_no <= stopped").drop("stopped")
+    return log.join(stops(failed), "log_id", "left").filter("stopped IS NULL OR tick_no <= stopped").drop("stopped")
 
 
 def every_from(spec: dict | None, what: str) -> Every | None:
@@ -106,22 +148,30 @@ def every_from(spec: dict | None, what: str) -> Every | None:
     return Every(float(spec["value"]), str(spec["unit"]))
 
 
-def pipeline_from_config(spec: dict, gates: dict[str, Gate], tasks: dict[str, Task]) -> Pipeline:
-    """A pipeline from a dict: name, cadence {topic, when}, lookback, gates and tasks by name."""
+def pipeline_from_config(spec: dict, gates: dict[str, Step], tasks: dict[str, Step]) -> Pipeline:
+    """A pipeline from a dict: name, cadence {topic, when}, lookback, gates and tasks. A gate or task is
+    its name, or a dict of ``name`` and a ``lookback`` of its own."""
     for key in ("name", "cadence", "tasks"):
         if key not in spec:
             raise SpecError(f"a pipeline needs {key!r}")
     if "topic" not in spec["cadence"]:
         raise SpecError("a cadence needs 'topic'")
+    chosen, lookbacks = {}, {}
     for kind, asked, known in (("gate", spec.get("gates", []), gates), ("task", spec["tasks"], tasks)):
-        if unknown := [n for n in asked if n not in known]:
+        listed = [{"name": x} if isinstance(x, str) else x for x in asked]
+        if any("name" not in x for x in listed):
+            raise SpecError(f"a {kind} needs 'name'")
+        if unknown := [x["name"] for x in listed if x["name"] not in known]:
             raise SpecError(f"unknown {kind}: {', '.join(unknown)}")
+        chosen[kind] = {x["name"]: known[x["name"]] for x in listed}
+        lookbacks |= {x["name"]: every_from(x["lookback"], "a lookback") for x in listed if x.get("lookback")}
     return Pipeline(
         spec["name"],
         spec["cadence"]["topic"],
         every_from(spec["cadence"].get("when"), "a cadence"),
         every_from(spec.get("lookback"), "a lookback"),
-        {n: gates[n] for n in spec.get("gates", [])},
-        {n: tasks[n] for n in spec["tasks"]},
+        chosen["gate"],
+        chosen["task"],
         bool(spec.get("allow_failure", False)),
+        lookbacks,
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -76,7 +77,7 @@ def _(s, d):
 
 @query(
     "tabular_as_topic",
-    "SELECT 'orders' AS log_id, 'message' AS topic, epoch_us(o_orderdate)/1e6 AS timestamp_seconds, row_number() OVER (PARTITION BY floor(epoch_us(o_orderdate)/1e6) ORDER BY o_orderkey) AS seq, o_orderkey FROM orders",
+    "SELECT 'orders' AS log_id, 'message' AS topic, epoch_us(o_orderdate)/1e6 AS timestamp_seconds, row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS seq, o_orderkey FROM orders",
 )
 def _(s, d):
     made = relation.as_messages(table(s, d, "orders"), C.seconds_of(F.col("o_orderdate")), "orders", ["o_orderkey"])
@@ -101,29 +102,40 @@ def written(s: SparkSession, d: str, fmt: str) -> str:
     return path
 
 
-@query("csv_source", "SELECT event_id, event_type, value FROM events")
+@query("csv_source", "SELECT event_id, event_type, value, event_id / 1000.0::DOUBLE AS timestamp_seconds FROM events")
 def _(s, d):
     path = written(s, d, "csv")
-    return files.read_csv(s, path).select(F.col("event_id").cast("long").alias("event_id"), "event_type", "value")
+    made = files.read_csv(s, path, ignore=["skip_"], exclude_invalid=True, timestamp="t", fmt="milliseconds")
+    return made.select(F.col("event_id").cast("long").alias("event_id"), "event_type", "value", "timestamp_seconds")
 
 
-@query("json_source", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+@query("json_source", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS timestamp_seconds FROM events")
 def _(s, d):
     path = new_folder(s, "events-json")
     table(s, d, "events").select("event_id", F.struct(F.from_json("props", "k long").alias("inner")).alias("outer")).write.json(path)
-    return files.read_json(s, path, "event_id long, outer struct<inner: struct<k: long>>").select("event_id", F.col("outer.inner.k").alias("k"))
+    made = files.read_json(s, path, "event_id long, outer struct<inner: struct<k: long>>", timestamp=["outer", "inner", "k"], fmt="seconds")
+    return made.select("event_id", F.col("outer.inner.k").alias("k"), "timestamp_seconds")
 
 
-@query("file_inventory")
+def topic_of_path():
+    return F.regexp_extract("path", "event_type=([^/]+)", 1).alias("topic")
+
+
+@query("file_inventory", "SELECT DISTINCT event_type AS topic, 'table.csv' AS format FROM events")
 def _(s, d):
-    return files.file_inventory(s, written(s, d, "csv")).select("size_bytes", "format")
+    return files.file_inventory(s, written(s, d, "csv")).select(topic_of_path(), "format").distinct()
 
 
-@query("path_validation")
+@query(
+    "path_validation",
+    "SELECT DISTINCT event_type AS topic, unnest(['table.json', 'table.csv', 'table.csv', 'px4.ulg']) AS format, unnest([NULL, 'missing', 'wrong content', 'wrong extension']) AS error FROM events",
+)
 def _(s, d):
     found = files.file_inventory(s, written(s, d, "json"))
-    wanted = found.select("path", F.lit("table.json").alias("format")).union(found.select(F.concat("path", F.lit(".gone")), F.lit("table.csv")))
-    return files.validate_paths(found, wanted).groupBy("format", "error").count()
+    asked = [("path", "table.json"), (F.concat("path", F.lit(".gone")), "table.csv"), ("path", "table.csv"), ("path", "px4.ulg")]
+    wanted = [found.select(F.col(p).alias("path") if isinstance(p, str) else p.alias("path"), F.lit(fmt).alias("format")) for p, fmt in asked]
+    wanted = wanted[0].union(wanted[1]).union(wanted[2]).union(wanted[3])
+    return files.validate_paths(found, wanted).select(topic_of_path(), "format", "error").distinct()
 
 
 @query("content_uuid")
@@ -204,10 +216,16 @@ GAPS = ", g AS (SELECT *, t - lag(t) OVER (PARTITION BY log_id, topic ORDER BY t
 
 @query("topic_frequency", f"{M}{GAPS} SELECT log_id, topic, round(1 / median(latency), 8) AS frequency FROM g GROUP BY ALL")
 def _(s, d):
-    return catalog.topic_frequency(one(s, d)).withColumn("frequency", F.round("frequency", 8))
+    return catalog.topic_frequency(one(s, d), huge=True).withColumn("frequency", F.round("frequency", 8))
 
 
-@query("describe_topic")
+FIELDS = "['event_id', 'user_id', 'value', 'props']"
+
+
+@query(
+    "describe_topic",
+    f"SELECT 'click' AS topic, n AS message_count, unnest({FIELDS}) AS \"column\", unnest(['bigint', 'bigint', 'double', 'string']) AS type, NULL::VARCHAR AS description, NULL::VARCHAR AS units FROM (SELECT count(*) AS n FROM events WHERE event_type = 'click')",
+)
 def _(s, d):
     return catalog.describe_topic(one(s, d), "click")
 
@@ -233,7 +251,11 @@ def _(s, d):
     return catalog.drop_untimed(one(s, d), ["signup", "error"]).groupBy("topic").agg(F.count("*").alias("n"))
 
 
-@query("field_dictionary")
+@query(
+    "field_dictionary",
+    "WITH c AS (SELECT count(event_id) AS event_id, count(ts) AS ts, count(user_id) AS user_id, count(event_type) AS event_type, count(value) AS value, count(props) AS props FROM events) "
+    "SELECT field, n, CASE field WHEN 'value' THEN 'reading' WHEN 'user_id' THEN 'who' END AS description, CASE field WHEN 'value' THEN 'm' END AS units FROM (UNPIVOT c ON COLUMNS(*) INTO NAME field VALUE n)",
+)
 def _(s, d):
     named = catalog.annotate(table(s, d, "events"), {"value": {"description": "reading", "units": "m"}, "user_id": {"description": "who"}})
     described = [(f.name, f.metadata.get("description"), f.metadata.get("units")) for f in named.schema.fields]
@@ -249,63 +271,178 @@ def _(s, d):
     return table(s, d, "events").select(field.alias("field")).distinct().select("field", name.alias("name"), index.alias("idx"))
 
 
+#: A message definition for each part: lines with names in braces for a part's values, each line's kind, and
+#: its section. Then what its field is: type, string bound, array, array size, name, value, comment.
+PART = {"key": "p_partkey", "size": "p_size", "limit": "p_size * 8", "name": "p_name", "brand": "p_brand", "type": "lower(p_type)"}
+LINES = [
+    ("# part {key}", "comment", 0, None),
+    ("Header header", "complex", 0, ("Header", None, "none", None, "header", None, None)),
+    ("int32 size {size}", "builtin", 0, ("int32", None, "none", None, "size", "{size}", None)),
+    ("uint8 LIMIT={limit}", "constant", 0, ("uint8", None, "none", None, "LIMIT", "{limit}", None)),
+    ('string<=12 name "{name}" # name of {brand}', "builtin", 0, ("string", 12, "none", None, "name", '"{name}"', "name of {brand}")),
+    ("float64[{size}] prices", "builtin", 0, ("float64", None, "fixed", "p_size", "prices", None, None)),
+    ("Place[] places", "complex", 0, ("Place", None, "unbounded", None, "places", None, None)),
+    ("Unknown%thing", "invalid", 0, None),
+    ("", "empty", 0, None),
+    ("int32[0] none", "builtin", 0, ("int32", None, "fixed", 0, "none", None, None)),
+    ("string<=0 blank", "builtin", 0, ("string", 0, "none", None, "blank", None, None)),
+    ("float32 wide 1e39", "builtin", 0, ("float32", None, "none", None, "wide", "1e39", None)),
+    ("int8[<=2] pair [1, 2, {size}]", "builtin", 0, ("int8", None, "bounded", 2, "pair", "[1, 2, {size}]", None)),
+    ("geometry_msgs/Point point", "complex", 0, ("geometry_msgs/Point", None, "none", None, "point", None, None)),
+    ("Time stamp", "complex", 0, ("Time", None, "none", None, "stamp", None, None)),
+    ("std_msgs/Empty nothing", "complex", 0, ("std_msgs/Empty", None, "none", None, "nothing", None, None)),
+    ("Lost lost", "complex", 0, ("Lost", None, "none", None, "lost", None, None)),
+    ("=" * 20, "separator", 1, None),
+    ("MSG: std_msgs/Header", "type", 1, None),
+    ("uint32 seq", "builtin", 1, ("uint32", None, "none", None, "seq", None, None)),
+    ("=" * 20, "separator", 2, None),
+    ("MSG: shop_{type}/Place", "type", 2, None),
+    ("float32 x 0.5", "builtin", 2, ("float32", None, "none", None, "x", "0.5", None)),
+    ("Shelf shelf", "complex", 2, ("Shelf", None, "none", None, "shelf", None, None)),
+    ("=" * 20, "separator", 3, None),
+    ("MSG: shop_{type}/Shelf", "type", 3, None),
+    ("int16 y", "builtin", 3, ("int16", None, "none", None, "y", None, None)),
+    ("=" * 20, "separator", 4, None),
+    ("MSG: geometry_msgs/Point", "type", 4, None),
+    ("float64 x", "builtin", 4, ("float64", None, "none", None, "x", None, None)),
+    ("=" * 20, "separator", 5, None),
+    ("MSG: builtin_interfaces/msg/Time", "type", 5, None),
+    ("int32 sec", "builtin", 5, ("int32", None, "none", None, "sec", None, None)),
+    ("=" * 20, "separator", 6, None),
+    ("MSG: std_msgs/msg/Empty", "type", 6, None),
+]
+SECTIONS = [None, "std_msgs/Header", "shop_{type}/Place", "shop_{type}/Shelf", "geometry_msgs/Point", "builtin_interfaces/msg/Time", "std_msgs/msg/Empty"]
+
+
+def in_sql(template) -> str:
+    """A template, a number or None as SQL over ``part``."""
+    if template is None or isinstance(template, int):
+        return "NULL" if template is None else str(template)
+    parts = re.split(r"[{}]", template)
+    return " || ".join(PART[x].join("()") if i % 2 else f"'{x}'" for i, x in enumerate(parts) if x or len(parts) == 1)
+
+
+def lines_sql(rows: list[tuple], columns: list[str]) -> str:
+    """Rows of templates for each part: ``text_id`` and the columns."""
+    values = ", ".join("{" + ", ".join(f"'{c}': {v}" for c, v in zip(columns, row)) + "}" for row in rows)
+    return f"SELECT text_id, unnest(x, recursive := true) FROM (SELECT CAST(p_partkey AS VARCHAR) AS text_id, unnest([{values}]) AS x FROM part)"
+
+
+def numbered_lines(*more: Callable[[tuple], str]) -> list[tuple]:
+    return [(f"{i}::INTEGER", in_sql(x[0]), f"'{x[1]}'", *(f(x) for f in more)) for i, x in enumerate(LINES)]
+
+
+def section_sql(x: tuple) -> str:
+    return f"{in_sql(SECTIONS[x[2]])}::VARCHAR"
+
+
 def definition_texts(s, d):
-    """A message definition for each part, as text."""
-    lines = [
-        F.format_string("# part %d", "p_partkey"),
-        F.lit("Header header"),
-        F.format_string("int32 size %d", "p_size"),
-        F.format_string("uint8 LIMIT=%d", F.col("p_size") * 8),
-        F.format_string('string<=12 name "%s" # name of %s', "p_name", "p_brand"),
-        F.format_string("float64[%d] prices", "p_size"),
-        F.lit("Place[] places"),
-        F.lit("Unknown%thing"),
-        F.lit("=" * 20),
-        F.lit("MSG: std_msgs/Header"),
-        F.lit("uint32 seq"),
-        F.lit("=" * 20),
-        F.concat(F.lit("MSG: shop_"), F.lower("p_type"), F.lit("/Place")),
-        F.lit("float32 x 0.5"),
-    ]
-    return table(s, d, "part").select(F.col("p_partkey").cast("string").alias("text_id"), F.concat_ws("\n", *lines).alias("text"))
+    """The part's definition as text."""
+    line = lambda t: F.concat(*(F.expr(PART[x]).cast("string") if i % 2 else F.lit(x) for i, x in enumerate(re.split(r"[{}]", t))))
+    return table(s, d, "part").select(F.col("p_partkey").cast("string").alias("text_id"), F.concat_ws("\n", *(line(x[0]) for x in LINES)).alias("text"))
+
+
+def definition_sections(s, d):
+    return definitions.definition_sections(definitions.definition_lines(definition_texts(s, d)))
 
 
 def definition_fields(s, d):
-    return definitions.definition_fields(definitions.definition_sections(definitions.definition_lines(definition_texts(s, d))))
+    return definitions.definition_fields(definition_sections(s, d))
 
 
-@query("definition_lines")
+@query("definition_lines", lines_sql(numbered_lines(), ["line_no", "line", "kind"]))
 def _(s, d):
     return definitions.definition_lines(definition_texts(s, d))
 
 
-@query("definition_sections")
+@query("definition_sections", lines_sql(numbered_lines(lambda x: f"{x[2]}::INTEGER", section_sql), ["line_no", "line", "kind", "section", "section_type"]))
 def _(s, d):
-    return definitions.definition_sections(definitions.definition_lines(definition_texts(s, d)))
+    return definition_sections(s, d)
+
+
+FIELD_COLUMNS = {"type": "VARCHAR", "string_bound": "BIGINT", "array": "VARCHAR", "array_size": "BIGINT", "name": "VARCHAR", "value": "VARCHAR", "comment": "VARCHAR"}
+
+
+def field_sql(x: tuple) -> list[str]:
+    raw = ("array_size",)
+    return [f"({v if c in raw and isinstance(v, str) else in_sql(v)})::{kind}" for v, (c, kind) in zip(x[3], FIELD_COLUMNS.items())]
+
 
+FIELD_ROWS = [(f"{i}::INTEGER", f"'{x[1]}'", f"{x[2]}::INTEGER", section_sql(x), *field_sql(x)) for i, x in enumerate(LINES) if x[3]]
 
-@query("definition_fields")
+
+@query("definition_fields", lines_sql(FIELD_ROWS, ["line_no", "kind", "section", "section_type", *FIELD_COLUMNS]))
 def _(s, d):
     return definition_fields(s, d)
 
 
-@query("definition_errors", "SELECT CAST(p_partkey AS VARCHAR) AS text_id, 3 AS line_no, 'LIMIT' AS name, 'integer out of range' AS error FROM part WHERE p_size * 8 > 255 UNION ALL SELECT CAST(p_partkey AS VARCHAR), 4, 'name', 'string longer than its bound' FROM part WHERE length(p_name) > 12")
+def line_no(start: str) -> int:
+    return next(i for i, x in enumerate(LINES) if x[0].startswith(start))
+
+
+def error_sql(start: str, name: str, error: str, where: str = "true") -> str:
+    return f"SELECT CAST(p_partkey AS VARCHAR) AS text_id, {line_no(start)} AS line_no, '{name}' AS name, '{error}' AS error FROM part WHERE {where}"
+
+
+@query(
+    "definition_errors",
+    " UNION ALL ".join(
+        [
+            error_sql("uint8", "LIMIT", "integer out of range", "p_size * 8 > 255"),
+            error_sql("string<=12", "name", "string longer than its bound", "length(p_name) > 12"),
+            error_sql("int32[0]", "none", "array size must be above 0"),
+            error_sql("string<=0", "blank", "string bound must be above 0"),
+            error_sql("float32 wide", "wide", "float32 out of range"),
+            error_sql("int8", "pair", "default has the wrong length"),
+        ]
+    ),
+)
 def _(s, d):
     return definitions.definition_errors(definition_fields(s, d))
 
 
-@query("definition_resolve", "SELECT CAST(p_partkey AS VARCHAR) AS text_id, 'Header' AS type, 'std_msgs/Header' AS target, 2 AS rule FROM part UNION ALL SELECT CAST(p_partkey AS VARCHAR), 'Place', 'shop_' || lower(p_type) || '/Place', 6 FROM part")
+def resolve_sql(name: str, target: str, rule: str) -> str:
+    return f"SELECT CAST(p_partkey AS VARCHAR) AS text_id, '{name}' AS type, {target} AS target, {rule} AS rule FROM part"
+
+
+@query(
+    "definition_resolve",
+    " UNION ALL ".join(
+        [
+            resolve_sql("geometry_msgs/Point", "'geometry_msgs/Point'", "1"),
+            resolve_sql("Header", "'std_msgs/Header'", "2"),
+            resolve_sql("Time", "'builtin_interfaces/msg/Time'", "3"),
+            resolve_sql("std_msgs/Empty", "'std_msgs/msg/Empty'", "4"),
+            resolve_sql("Shelf", "'shop_' || lower(p_type) || '/Shelf'", "5"),
+            resolve_sql("Place", "'shop_' || lower(p_type) || '/Place'", "6"),
+            resolve_sql("Lost", "NULL", "NULL"),
+        ]
+    ),
+)
 def _(s, d):
-    return definitions.resolve_types(definition_fields(s, d)).select("text_id", "type", "target", "rule")
+    return definitions.resolve_types(definition_fields(s, d), definition_sections(s, d)).select("text_id", "type", "target", "rule")
+
+
+LEAVES = [
+    ("header.seq", "seq", "bigint"), ("size", "size", "int"), ("LIMIT", "LIMIT", "smallint"), ("name", "name", "string"), ("prices", "prices", "array<double>"), ("places", "places", "array<struct<x:float,shelf:struct<y:smallint>>>"),
+    ("none", "none", "array<int>"), ("blank", "blank", "string"), ("wide", "wide", "float"), ("pair", "pair", "array<tinyint>"), ("point.x", "x", "double"), ("stamp.sec", "sec", "int"),
+]
 
 
-@query("definition_schema")
+@query(
+    "definition_schema",
+    f"WITH f AS ({lines_sql(FIELD_ROWS, ['line_no', 'kind', 'section', 'section_type', *FIELD_COLUMNS])}), k AS (SELECT name, count(*) AS n FROM f GROUP BY name) "
+    "SELECT path, name, leaf_type, n FROM (" + " UNION ALL ".join(f"SELECT '{a}' AS path, '{b}' AS name, '{c}' AS leaf_type" for a, b, c in LEAVES) + ") LEFT JOIN k USING (name)",
+)
 def _(s, d):
+    """The schema of the first part's definition without what can't be resolved, and how many fields of all
+    parts have each leaf's name."""
     fields = definition_fields(s, d)
-    kinds = fields.groupBy("type", "array").agg(F.count("*").alias("n"))
-    schema = definitions.to_struct(fields, definitions.resolve_types(fields), "1")
-    leaves = s.createDataFrame(catalog.field_rows(schema), "path string, leaf_type string")
-    return leaves.withColumn("type", F.regexp_extract("path", "[^.]*$", 0)).join(kinds, "type", "full")
+    resolved = definitions.resolve_types(fields, definition_sections(s, d))
+    sound = fields.join(resolved.filter("target IS NULL").select("text_id", "line_no"), ["text_id", "line_no"], "left_anti")
+    schema = definitions.to_struct(sound, resolved, "1")
+    leaves = s.createDataFrame([(p, p.rpartition(".")[2], k) for p, k in catalog.field_rows(schema)], "path string, name string, leaf_type string")
+    return leaves.join(fields.groupBy("name").agg(F.count("*").alias("n")), "name", "left").select("path", "name", "leaf_type", "n")
 
 
 @query("definition_lookup", "SELECT event_type AS topic, event_type AS type_name, user_id AS version, CASE WHEN user_id % 2 = 0 THEN 'float64 x' END AS definition FROM events GROUP BY ALL")
@@ -316,7 +453,11 @@ def _(s, d):
     return definitions.lookup_definition(asked, known.withColumn("text", F.when(F.col("folder") == "msg", "float64 x").otherwise("float32 x")))
 
 
-@query("topic_text")
+@query(
+    "topic_text",
+    f"WITH f AS ({lines_sql(FIELD_ROWS, ['line_no', 'kind', 'section', 'section_type', *FIELD_COLUMNS])}) "
+    "SELECT text_id AS topic, '# ' || text_id || chr(10) || string_agg(type || ' ' || name || coalesce(' # ' || comment, ''), chr(10) ORDER BY line_no) AS text FROM f GROUP BY text_id",
+)
 def _(s, d):
     f = definition_fields(s, d)
     return catalog.describe_text(f.select(F.col("text_id").alias("topic"), F.col("line_no").alias("position"), "type", "name", F.col("comment").alias("description")))
@@ -357,15 +498,26 @@ def _(s, d):
     return filled(one(s, d), True)
 
 
+@query(
+    "wide_typed",
+    f"{M} SELECT log_id, seq, t AS timestamp_seconds, CASE WHEN topic = 'click' THEN value END AS click_value, CASE WHEN topic = 'view' THEN user_id END AS view_user, CASE WHEN topic = 'view' THEN props END AS view_props FROM m WHERE topic IN ('click', 'view')",
+)
+def _(s, d):
+    schemas = {"click": F.struct("message.value"), "view": F.struct("message.user_id", "message.props")}
+    made = relation.wide_typed({t: one(s, d).filter(F.col("topic") == t).withColumn("message", m) for t, m in schemas.items()})
+    return made.select("log_id", "seq", "timestamp_seconds", F.col("click.value").alias("click_value"), F.col("view.user_id").alias("view_user"), F.col("view.props").alias("view_props"))
+
+
 @query("time_window", f"{M} SELECT topic, count(*) AS n, min(t) AS low, max(t) AS high FROM m WHERE t BETWEEN {T0 + DAY} AND {T0 + 5 * DAY} GROUP BY topic")
 def _(s, d):
     t = F.col("timestamp_seconds")
-    return relation.between(one(s, d), T0 + DAY, T0 + 5 * DAY).groupBy("topic").agg(F.count("*").alias("n"), F.min(t).alias("low"), F.max(t).alias("high"))
+    return event_messages(s, d, lo=T0 + DAY, hi=T0 + 5 * DAY).groupBy("topic").agg(F.count("*").alias("n"), F.min(t).alias("low"), F.max(t).alias("high"))
 
 
-@query("empty_relation")
+@query("empty_relation", f"{M} SELECT log_id, seq, t AS timestamp_seconds, value AS click FROM m WHERE false")
 def _(s, d):
-    return relation.empty(relation.wide(one(s, d), ["click", "view"]))
+    made = relation.empty(relation.wide(one(s, d), ["click", "view"]))
+    return made.select("log_id", "seq", "timestamp_seconds", F.col("click.value").alias("click"))
 
 
 @query("merged_order", f"{M} SELECT log_id, topic, seq, row_number() OVER (ORDER BY t, topic, seq) - 1 AS row_index FROM m WHERE topic IN ('click', 'view')")
@@ -405,7 +557,9 @@ def _(s, d):
 
 @query("materialise", f"{M} SELECT log_id, count(*) AS n FROM m WHERE topic IN ('click', 'view') GROUP BY log_id")
 def _(s, d):
-    made = relation.materialise(relation.wide(one(s, d), ["click", "view"]), d, "click,view", "None", "None", "False")
+    listed = files.listing(s, f"{d}/events.parquet").select(F.lit("events").alias("log_id"), "path")
+    content = files.content_uuid(listed).first()["content_uuid"]
+    made = relation.materialise(relation.wide(one(s, d), ["click", "view"]), content, "click,view", "None", "None", "False")
     return made.groupBy("log_id").agg(F.count("*").alias("n"))
 
 
@@ -484,20 +638,25 @@ def _(s, d):
     return catalog.gaps(fleet(s, d)).select("log_id", "topic", "seq", R4(F.col("latency")).alias("latency"))
 
 
+@query("latency_huge_log", f"{M}{GAPS} SELECT log_id, topic, seq, round(latency, 4) AS latency FROM g")
+def _(s, d):
+    return catalog.gaps(one(s, d), huge=True).select("log_id", "topic", "seq", R4(F.col("latency")).alias("latency"))
+
+
 @query("latency_stats", f"{M}{GAPS} SELECT log_id, topic, round(min(latency), 3) AS low, round(max(latency), 3) AS high, round(avg(latency), 3) AS mean, round(median(latency), 3) AS middle, round(stddev(latency), 3) AS spread FROM g GROUP BY ALL")
 def _(s, d):
-    made = analysis.latency_stats(one(s, d))
+    made = analysis.latency_stats(one(s, d), huge=True)
     return made.withColumns({c: F.round(c, 3) for c in ("low", "high", "mean", "middle", "spread")})
 
 
 @query("rate_class", f"{M}{GAPS} SELECT log_id, topic, round(1 / avg(latency), 8) AS frequency, CASE WHEN stddev(latency) / avg(latency) <= 1.0 THEN 'fixed' ELSE 'event' END AS kind FROM g GROUP BY ALL")
 def _(s, d):
-    return analysis.rate_class(one(s, d), 1.0).withColumn("frequency", F.round("frequency", 8))
+    return analysis.rate_class(one(s, d), 1.0, huge=True).withColumn("frequency", F.round("frequency", 8))
 
 
 @query("latency_anomalies", f"{M}{GAPS}, x AS (SELECT *, avg(latency) OVER (PARTITION BY topic) + 3 * stddev(latency) OVER (PARTITION BY topic) AS lim FROM g) SELECT topic, seq FROM x WHERE latency > lim")
 def _(s, d):
-    return analysis.latency_anomalies(one(s, d), 3.0).select("topic", "seq")
+    return analysis.latency_anomalies(one(s, d), 3.0, huge=True).select("topic", "seq")
 
 
 @query("field_corr", f"{M} SELECT log_id, topic, round(corr(value, user_id), 6) AS correlation FROM m GROUP BY ALL")
@@ -505,14 +664,30 @@ def _(s, d):
     return analysis.correlate(one(s, d), value(), F.col("message.user_id").cast("double")).withColumn("correlation", F.round("correlation", 6))
 
 
-@query("sudden_change", f"{FLEET}, x AS (SELECT *, abs(value - lag(value) OVER w) / nullif(t - lag(t) OVER w, 0) AS slope FROM m WINDOW w AS (PARTITION BY log_id, topic ORDER BY t, seq)) SELECT log_id, topic, seq FROM x WHERE slope > 0.01")
+SUDDEN = ", x AS (SELECT *, abs(value - lag(value) OVER w) / nullif(t - lag(t) OVER w, 0) AS slope FROM m WINDOW w AS (PARTITION BY log_id, topic ORDER BY t, seq)) SELECT log_id, topic, seq FROM x WHERE slope > 0.01"
+
+
+@query("sudden_change", FLEET + SUDDEN)
 def _(s, d):
     return analysis.sudden_change(fleet(s, d), value(), 0.01).select("log_id", "topic", "seq")
 
 
-@query("excursions", f"{M}, x AS (SELECT *, sum(CASE WHEN value > 40 THEN 0 ELSE 1 END) OVER (PARTITION BY log_id, topic ORDER BY t, seq) AS run FROM m) SELECT log_id, topic, min(t) AS start_seconds, max(t) AS end_seconds, count(*) AS n, max(value) AS peak FROM x WHERE value > 40 GROUP BY log_id, topic, run")
+@query("sudden_change_huge_log", M + SUDDEN)
 def _(s, d):
-    return analysis.excursions(one(s, d), value(), 40.0)
+    return analysis.sudden_change(one(s, d), value(), 0.01, huge=True).select("log_id", "topic", "seq")
+
+
+EXCURSIONS = ", x AS (SELECT *, sum(CASE WHEN value > 40 THEN 0 ELSE 1 END) OVER (PARTITION BY log_id, topic ORDER BY t, seq) AS run FROM m) SELECT log_id, topic, min(t) AS start_seconds, max(t) AS end_seconds, count(*) AS n, max(value) AS peak FROM x WHERE value > 40 GROUP BY log_id, topic, run"
+
+
+@query("excursions", FLEET + EXCURSIONS)
+def _(s, d):
+    return analysis.excursions(fleet(s, d), value(), 40.0)
+
+
+@query("excursions_huge_log", M + EXCURSIONS)
+def _(s, d):
+    return analysis.excursions(one(s, d), value(), 40.0, huge=True)
 
 
 @query("topic_parity", f"{FLEET} SELECT log_id, count(DISTINCT topic) AS topics, CASE WHEN count(DISTINCT topic) % 2 = 0 THEN 'even' ELSE 'odd' END AS parity FROM m GROUP BY log_id")
@@ -609,15 +784,28 @@ def _(s, d):
     return gates.gate_and(frame_ticks(s, d), [lambda t: error_gate(s, d, t), lambda t: purchase_gate(s, d, t)])
 
 
-@query(
-    "detection_gate",
+DETECTED = (
     "WITH x AS (SELECT l_orderkey AS frame, l_returnflag AS label, l_discount * 10 AS score, l_extendedprice AS c, min(l_extendedprice) OVER w AS lo, max(l_extendedprice) OVER w AS hi FROM lineitem WINDOW w AS (PARTITION BY l_orderkey)), "
     "y AS (SELECT *, CASE WHEN hi > lo THEN (c - lo) / (hi - lo) ELSE 0 END AS near FROM x), z AS (SELECT *, median(near) OVER (PARTITION BY frame) AS lim FROM y) "
-    "SELECT frame, bool_or(label IN ('A', 'R') AND score >= 0.5 AND near >= lim) AS passed FROM z GROUP BY frame",
+    "SELECT frame, bool_or({} score >= 0.5 AND near >= lim) AS passed FROM z GROUP BY frame"
+)
+
+
+def detections(s, d):
+    return table(s, d, "lineitem").select(F.col("l_orderkey").alias("frame"), F.col("l_returnflag").alias("label"), (F.col("l_discount") * 10).alias("score"), F.col("l_extendedprice").alias("closeness"))
+
+
+@query("detection_gate_all_labels", DETECTED.format(""))
+def _(s, d):
+    return gates.detection_gate(detections(s, d), None, 0.5)
+
+
+@query(
+    "detection_gate",
+    DETECTED.format("label IN ('A', 'R') AND"),
 )
 def _(s, d):
-    seen = table(s, d, "lineitem").select(F.col("l_orderkey").alias("frame"), F.col("l_returnflag").alias("label"), (F.col("l_discount") * 10).alias("score"), F.col("l_extendedprice").alias("closeness"))
-    return gates.detection_gate(seen, ["A", "R"], 0.5)
+    return gates.detection_gate(detections(s, d), ["A", "R"], 0.5)
 
 
 @query("run_log", f"{M}{FRAME_TICKS} SELECT log_id, tick_no, asof_seconds, CASE WHEN passed THEN 'executed' ELSE 'skipped' END AS status FROM ({GATE})")
@@ -626,6 +814,37 @@ def _(s, d):
     return p.run(one(s, d), frame_ticks(s, d))[1].drop("error")
 
 
+def failing(t: DataFrame) -> DataFrame:
+    """A task that fails at every 40th tick from the 8th on."""
+    return t.withColumn("error", F.when(F.col("tick_no") % 40 == 7, "no file"))
+
+
+FAILING = "CASE WHEN tick_no % 40 = 7 AND passed THEN 'failed' WHEN passed THEN 'executed' ELSE 'skipped' END AS status, CASE WHEN tick_no % 40 = 7 AND passed THEN 'no file' END AS error"
+HALVES = ", p AS (SELECT log_id, tick_no, upto, tick_no % 3 > 0 AS passed FROM ticks)"
+
+
+def failing_pipeline(allow: bool) -> Pipeline:
+    third = {"third": lambda t: t.withColumn("passed", F.col("tick_no") % 3 > 0)}
+    return Pipeline("watch", "click", Every(50, "frame"), None, third, {"fetch": failing, "note": lambda t: tasks.alert_task(t, "x", "y")}, allow)
+
+
+@query("run_log_failed", f"{M}{FRAME_TICKS}{HALVES} SELECT log_id, tick_no, upto AS asof_seconds, {FAILING} FROM p WHERE tick_no <= (SELECT coalesce(min(tick_no), 1000000) FROM p WHERE passed AND tick_no % 40 = 7)")
+def _(s, d):
+    return failing_pipeline(False).run(one(s, d), frame_ticks(s, d))[1]
+
+
+@query("run_log_allowed", f"{M}{FRAME_TICKS}{HALVES} SELECT log_id, tick_no, upto AS asof_seconds, {FAILING} FROM p")
+def _(s, d):
+    return failing_pipeline(True).run(one(s, d), frame_ticks(s, d))[1]
+
+
+@query("failed_task_rows", f"{M}{FRAME_TICKS}{HALVES} SELECT tick_no, unnest(CASE WHEN tick_no % 40 = 7 THEN ['fetch'] ELSE ['fetch', 'note'] END) AS task FROM p WHERE passed AND tick_no <= (SELECT coalesce(min(tick_no), 1000000) FROM p WHERE passed AND tick_no % 40 = 7)")
+def _(s, d):
+    made = failing_pipeline(False).run(one(s, d), frame_ticks(s, d))[0]
+    rows = [df.select("tick_no", F.lit(name).alias("task")) for name, df in made.items()]
+    return rows[0].union(rows[1])
+
+
 @query("snake_case", "SELECT DISTINCT p_name, lower(replace(p_name, ' ', '_')) AS snake FROM part")
 def _(s, d):
     return table(s, d, "part").select("p_name", C.snake_case(F.col("p_name")).alias("snake")).distinct()
@@ -637,11 +856,32 @@ def _(s, d):
     return gates.call(gates.GATES, "even", ticks=frame_ticks(s, d), unused=1)
 
 
-@query("pipeline_config", f"{M}{FRAME_TICKS} SELECT tick_no, 'late' AS body FROM ticks")
+@query(
+    "pipeline_config",
+    f"{M}{FRAME_TICKS}, e AS (SELECT tick_no, count(m.t) AS n FROM ticks LEFT JOIN m ON m.topic = 'error' AND m.t BETWEEN upto - 7200 AND upto GROUP BY tick_no) "
+    "SELECT e.tick_no, e.n AS errors, count(*) AS rows FROM e JOIN ticks ON ticks.tick_no = e.tick_no JOIN m ON m.t BETWEEN upto - 3600 AND upto WHERE e.n >= 2 GROUP BY ALL",
+)
 def _(s, d):
-    spec = {"name": "watch_clicks", "cadence": {"topic": "click", "when": {"value": 50, "unit": "frame"}}, "tasks": ["alert"]}
-    p = pipeline_from_config(spec, {}, {"alert": lambda t: tasks.alert_task(t, "clicks", "late")})
-    return p.run(one(s, d))[0]["alert"].select("tick_no", "body")
+    """Gate and task count in lookbacks of their own."""
+    errors = one(s, d).filter("topic = 'error'")
+    spec = {
+        "name": "watch_clicks", "cadence": {"topic": "click", "when": {"value": 50, "unit": "frame"}}, "lookback": {"value": 1, "unit": "hour"},
+        "gates": [{"name": "errors", "lookback": {"value": 2, "unit": "hour"}}], "tasks": ["rows", {"name": "errors_seen", "lookback": {"value": 7200, "unit": "second"}}],
+    }
+    counted = lambda df, name: df.groupBy(*lookback.TICK).agg(F.count("*").alias(name))
+    p = pipeline_from_config(
+        spec,
+        {"errors": lambda t, seen: counted(seen(errors), "n").withColumn("passed", F.col("n") >= 2)},
+        {"rows": lambda t, seen: counted(seen(one(s, d)), "rows"), "errors_seen": lambda t, seen: counted(seen(errors), "errors")},
+    )
+    made = p.run(one(s, d), frame_ticks(s, d))[0]
+    return made["rows"].join(made["errors_seen"], list(lookback.TICK)).select("tick_no", "errors", "rows")
+
+
+@query("custom_task", f"{M}{FRAME_TICKS} SELECT tick_no, 'late' AS body FROM ticks")
+def _(s, d):
+    gates.register_task("alert", tasks.alert_task)
+    return gates.call(gates.TASKS, "alert", ticks=frame_ticks(s, d), subject="clicks", body="late", unused=1).select("tick_no", "body")
 
 
 # Tasks
@@ -687,10 +927,15 @@ def _(s, d):
     return tasks.explode_points(table(s, d, "embeddings").select("vec_id", "embedding"), "embedding", ["x", "y", "z", "w"])
 
 
-@query("files_modified")
+@query(
+    "files_modified",
+    f"{M}{FRAME_TICKS}, f AS (SELECT topic, max(t) AS modified FROM m WHERE t < {T0 + 20 * DAY} GROUP BY topic) SELECT tick_no, topic AS file, '/fetched/' || topic AS destination, modified AS modified_seconds FROM ticks JOIN f ON modified BETWEEN upto - 86400 AND upto",
+)
 def _(s, d):
-    found = files.files_modified(s, written(s, d, "csv"), "2000-01-01 00:00:00", "2200-01-01 00:00:00")
-    return found.select(F.regexp_extract("path", "event_type=([^/]+)", 1).alias("topic"), "size_bytes")
+    """Files named after topics, last written at their last message before a day."""
+    last = one(s, d).filter(F.col("timestamp_seconds") < T0 + 20 * DAY).groupBy("log_id", F.col("topic").alias("file")).agg(F.max("timestamp_seconds").alias("t"), F.count("*").alias("size_bytes"))
+    found = last.withColumn("modified", F.timestamp_micros(F.round(F.col("t") * 1e6).cast("long")))
+    return files.files_modified(found, frame_ticks(s, d), Every(1440, "minute"), "/fetched").select("tick_no", "file", "destination", "modified_seconds")
 
 
 @query("task_alerts", f"{M}{FRAME_TICKS} SELECT tick_no, 'clicks (asof_seconds=' || printf('%.8f', upto) || ')' AS subject, 'see log' AS body FROM ticks")
@@ -703,18 +948,24 @@ def _(s, d):
     return tasks.artifact_columns(frame_ticks(s, d), "watch", "topics", "here", "robot").drop("log_id", "asof_seconds")
 
 
-@query("log_uuid")
+@query(
+    "log_uuid",
+    "WITH l AS (SELECT DISTINCT 'user_' || user_id AS log_id FROM events), h AS (SELECT log_id, sha1(unhex('6ba7b8109dad11d180b400c04fd430c8') || encode('[\"here\", \"' || log_id || '\", \"/logs/' || log_id || '\"]')) AS x FROM l) "
+    "SELECT log_id, x[1:8] || '-' || x[9:12] || '-5' || x[14:16] || '-' || substr('89ab89ab89ab89ab', strpos('0123456789abcdef', x[17]), 1) || x[18:20] || '-' || x[21:32] AS uuid FROM h",
+)
 def _(s, d):
     logs = fleet(s, d).select("log_id").distinct()
     return logs.select("log_id", tasks.log_uuid(F.lit("here"), F.col("log_id"), F.concat(F.lit("/logs/"), "log_id")).alias("uuid"))
 
 
-@query("sync_plan")
+@query("sync_plan", "SELECT DISTINCT event_type AS topic, CASE WHEN length(event_type) % 3 = 1 THEN 'changed' ELSE 'new' END AS reason FROM events WHERE length(event_type) % 3 < 2")
 def _(s, d):
+    """The remote side has a stale file of some topics and the same of others."""
     listed = files.listing(s, written(s, d, "json")).select(F.concat(F.regexp_extract("path", "event_type=([^/]*)", 1), F.regexp_extract("path", "/part-[0-9]+", 0)).alias("key"), "path")
     local = files.file_digests(listed)
-    remote = local.withColumn("k", F.pmod(F.xxhash64("key"), F.lit(3))).filter("k > 0").select("key", F.when(F.col("k") == 1, "stale").otherwise(F.col("digest")).alias("digest"))
-    return tasks.sync_plan(local, remote)
+    k = F.length(F.regexp_extract("key", "^[^/]*", 0)) % 3
+    remote = local.withColumn("k", k).filter("k > 0").select("key", F.when(F.col("k") == 1, "stale").otherwise(F.col("digest")).alias("digest"))
+    return tasks.sync_plan(local, remote).select(F.regexp_extract("key", "^[^/]*", 0).alias("topic"), "reason").distinct()
 
 
 @query("short_digest", "SELECT event_id, left(sha256(event_id || '_' || event_type), 8) AS digest FROM events")
@@ -726,11 +977,14 @@ def _(s, d):
 
 
 def stream(s: SparkSession, d: str) -> DataFrame:
-    """Events as a live source: their file, read as a stream."""
-    source = table(s, d, "events")
-    live_events = s.readStream.schema(source.schema).option("pathGlobFilter", "events.parquet").parquet(d)
-    return live_events.select(
-        F.lit("events").alias("log_id"), F.col("event_type").alias("topic"), F.col("event_id").alias("seq"), C.seconds_of(F.col("ts")).alias("timestamp_seconds"), F.struct("value", "user_id").alias("message")
+    """Events as a live source: their file, or the files of their folder, read as a stream."""
+    source, path = table(s, d, "events"), f"{d}/events.parquet"
+    fs, at = live.file_system(s, path)
+    reader = s.readStream.schema(source.schema)
+    live_events = reader.parquet(path) if fs.getFileStatus(at).isDirectory() else reader.option("pathGlobFilter", "events.parquet").parquet(d)
+    timed = live.with_timestamp(live_events, C.seconds_of(F.col("ts")))
+    return timed.select(
+        F.lit("events").alias("log_id"), F.col("event_type").alias("topic"), F.col("event_id").alias("seq"), "timestamp_seconds", F.struct("value", "user_id").alias("message")
     )
 
 
@@ -772,6 +1026,18 @@ def _(s, d):
     return live.snapshot(s, f"{folder}/table").groupBy("topic").agg(F.count("*").alias("n"), F.round(F.sum("message.value"), 2).alias("total"))
 
 
+@query("stream_resume", f"{M} SELECT topic, count(*) AS n, round(sum(value), 2) AS total FROM m WHERE topic IN ('click', 'view') AND (t < {T0 + 8 * DAY} OR t >= {T0 + 16 * DAY}) GROUP BY topic")
+def _(s, d):
+    """Paused on the 8th day and resumed on the 16th: what came between is lost, the rest is there once."""
+    folder, t = new_folder(s, "resumed"), F.col("timestamp_seconds")
+    where = (f"{folder}/table", f"{folder}/checkpoint", ["click", "view"])
+    q = live.ingest(stream(s, d).filter(t < T0 + 8 * DAY), *where, name="resumed")
+    q.awaitTermination()
+    live.pause(q)
+    live.resume(stream(s, d), *where, name="resumed", since=t >= T0 + 16 * DAY).awaitTermination()
+    return live.snapshot(s, f"{folder}/table").groupBy("topic").agg(F.count("*").alias("n"), F.round(F.sum("message.value"), 2).alias("total"))
+
+
 @query("stream_topics", f"{M} SELECT topic, count(*) AS message_count FROM m GROUP BY topic")
 def _(s, d):
     folder, out = new_folder(s, "topics"), {}
@@ -803,11 +1069,19 @@ def _(s, d):
     return collected(s, live.throttle_stream(stream(s, d), 43_200_000), "throttled").select("topic", "seq")
 
 
-@query("retain_bytes", f"{FLEET}, x AS (SELECT *, sum(strlen(props) + 1) OVER (PARTITION BY log_id, topic ORDER BY t DESC, seq DESC) AS held FROM m) SELECT log_id, topic, seq FROM x WHERE held <= 100")
+RETAINED = ", x AS (SELECT *, sum(strlen(props) + 1) OVER (PARTITION BY log_id, topic ORDER BY t DESC, seq DESC) AS held FROM m) SELECT log_id, topic, seq FROM x WHERE held <= {}"
+
+
+@query("retain_bytes", FLEET + RETAINED.format(100))
 def _(s, d):
     return live.retain_bytes(fleet(s, d), 100, F.col("message.props")).select("log_id", "topic", "seq")
 
 
+@query("retain_bytes_huge_log", M + RETAINED.format(9000))
+def _(s, d):
+    return live.retain_bytes(one(s, d), 9000, F.col("message.props"), huge=True).select("log_id", "topic", "seq")
+
+
 @query(
     "stream_ticks",
     f"{M}, c AS (SELECT topic, t, (row_number() OVER (PARTITION BY topic ORDER BY t, seq) - 1) AS i FROM m) SELECT topic, t AS asof_seconds FROM c WHERE i % 100 = 0",
@@ -818,19 +1092,16 @@ def _(s, d):
 
 @query(
     "stream_run",
-    f"{M}, c AS (SELECT topic, t, (row_number() OVER (PARTITION BY topic ORDER BY t, seq) - 1) AS i FROM m), k AS (SELECT topic, t AS upto FROM c WHERE i % 100 = 0) SELECT k.topic, upto AS asof_seconds, count(*) AS n FROM k JOIN m ON m.t BETWEEN upto - 3600 AND upto GROUP BY ALL",
+    f"{M}, c AS (SELECT topic, t, (row_number() OVER (PARTITION BY topic ORDER BY t, seq) - 1) AS i FROM m), k AS (SELECT topic, t AS upto FROM c WHERE i % 100 = 0) SELECT upto AS asof_seconds, count(*) AS n FROM k JOIN m ON m.t BETWEEN upto - 3600 AND upto GROUP BY ALL",
 )
 def _(s, d):
+    """A pipeline over the live table, at the ticks of its own messages."""
     folder = new_folder(s, "run")
-
-    def run(fired: DataFrame) -> None:
-        numbered = fired.select("log_id", F.col("topic").alias("tick_topic"), F.xxhash64("topic", "asof_seconds").alias("tick_no"), "asof_seconds")
-        seen = lookback.lookback_time(one(s, d), numbered.drop("tick_topic"), 3600.0).groupBy("tick_no").agg(F.count("*").alias("n"))
-        out = numbered.join(seen, "tick_no").select(F.col("tick_topic").alias("topic"), "asof_seconds", "n")
-        out.write.mode("append").parquet(f"{folder}/table")
-
-    live.stream_run(live.stream_ticks(stream(s, d), Every(100, "frame")), run, f"{folder}/checkpoint").awaitTermination()
-    return s.read.schema("topic string, asof_seconds double, n long").parquet(f"{folder}/table")
+    live.ingest(stream(s, d), f"{folder}/live", f"{folder}/live-checkpoint", name=folder.rpartition("/")[2]).awaitTermination()
+    buffer = lambda: live.snapshot(s, f"{folder}/live")
+    p = Pipeline("watch", "click", Every(100, "frame"), Every(1, "hour"), {}, {"seen": lambda t, seen: seen(buffer()).groupBy(*lookback.TICK).agg(F.count("*").alias("n"))})
+    live.stream_run(live.stream_ticks(stream(s, d), Every(100, "frame")), p, buffer, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    return s.read.schema("asof_seconds double, n long").parquet(f"{folder}/out/seen").select("asof_seconds", "n")
 
 
 @query("stream_finish", f"{M} SELECT log_id, topic, max(t) AS asof_seconds FROM m GROUP BY log_id, topic HAVING topic <> 'error'")

@@ -3,15 +3,22 @@
 from __future__ import annotations
 
 import base64
+import csv
+import json
+import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.columns import to_seconds_col
+from ..operators.catalog import leaf
+from ..operators.lookback import TICK, asof_rows, lookback_time
 from ..operators.tasks import file_digest
+from ..plans.pipeline import Every
 
 #: First bytes of formats, and the size of what is looked at; fixed values.
 MAGIC = [
@@ -22,6 +29,11 @@ MAGIC = [
     ("ardupilot.bin", b"\xa3\x95\x80"),
 ]
 BLACKBOX = b"H Product:"
+#: Directories: storage that a bag's manifest names, and the magic of a topic sink's; fixed values.
+BAGS = {"ros2.db3": "sqlite3", "ros2.mcap": "mcap"}
+TABLES = ("table.json", "table.csv")
+SINK = r"^[A-Z]+_SINK$"
+DELIMITERS = ",;\t|"  # letters are no delimiters, so prose is no table
 HEAD = 4096
 CONTENT_BYTES = 64 << 20
 EXTENSIONS = {"ros1.bag": ".bag", "ros2.db3": ".db3", "ros2.mcap": ".mcap", "px4.ulg": ".ulg", "ardupilot.bin": ".bin"}
@@ -41,10 +53,9 @@ def listing(spark: SparkSession, root: str, **options: str) -> DataFrame:
     return files.select("path", F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified"))
 
 
-def format_of(path: str, head: bytes, whole: bytes | None = None) -> str | None:
-    """The format that a file's name and first bytes say, in order of precedence."""
-    import json
-
+def format_of(path: str, head: bytes, line: bytes | None = None, rest: Callable[[], bytes] = bytes) -> str | None:
+    """The format that a file's name and content say, in order of precedence: ``head``, its first bytes;
+    ``line``, its first line (of ``head``, if that is not given); ``rest()``, what follows ``head``."""
     name = path.lower()
     for fmt, magic in MAGIC:
         if head.startswith(magic) or (fmt == "ros2.db3" and name.endswith(".db3.zstd")) or (fmt == "ros2.mcap" and name.endswith(".mcap.zstd")):
@@ -53,36 +64,41 @@ def format_of(path: str, head: bytes, whole: bytes | None = None) -> str | None:
         for kind in ("bbl", "bfl"):
             if name.endswith(f".{kind}"):
                 return f"betaflight.{kind}"
+    line = head.split(b"\n", 1)[0] if line is None else line
+    if is_json(line) or (head.lstrip()[:1] in (b"{", b"[") and is_json(head + rest())):
+        return "table.json"
     try:
         text = head.decode("utf-8", "strict" if len(head) < HEAD else "ignore")
-    except UnicodeDecodeError:
-        return None
-    first = text.split("\n", 1)[0].strip()
-    for candidate in (first, whole.decode("utf-8", "replace") if whole else ""):
-        try:
-            if candidate and isinstance(json.loads(candidate), (dict, list)):
-                return "table.json"
-        except ValueError:
-            pass
-    lines = [x for x in text.splitlines() if x][:3]
-    if len(lines) > 1 and "\0" not in text and lines[0].count(",") and all(x.count(",") >= lines[0].count(",") for x in lines[:2]):
-        return "table.csv"
+        if text.strip() and "\0" not in text:
+            csv.Sniffer().sniff(text, DELIMITERS)
+            return "table.csv"
+    except (UnicodeDecodeError, csv.Error):
+        pass
     return None
 
 
+def is_json(data: bytes) -> bool:
+    try:
+        json.loads(data)
+    except ValueError:
+        return False
+    return True
+
+
 def file_inventory(spark: SparkSession, root: str) -> DataFrame:
-    """Format of each file below ``root`` by its first 4 KiB, a JSON candidate as a whole; ``topic
-    buffer`` where the file lies under a ``data`` folder of line files."""
+    """Format of each file below ``root`` by its first 4 KiB and its first line, a JSON document of several
+    lines by all of it; ``topic.buffer`` where the file lies under a ``data`` folder of line files."""
 
     def look(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             found = []
-            for path, size in zip(pdf["path"], pdf["size_bytes"]):
+            for path in pdf["path"]:
                 fs, at = opened(path)
                 with fs.open_input_stream(at) as f:
-                    head = f.read(HEAD)
-                    whole = head + f.read() if head[:1] in (b"{", b"[") and size <= CONTENT_BYTES else None
-                found.append(format_of(path, head, whole))
+                    head = line = f.read(HEAD)
+                    while b"\n" not in line and line.lstrip()[:1] in (b"{", b"[") and (more := f.read(1 << 20)):
+                        line += more
+                    found.append(format_of(path, head, line.split(b"\n", 1)[0], lambda line=line, head=head, f=f: line[len(head) :] + f.read()))
             yield pdf.assign(format=found)
 
     made = listing(spark, root).mapInPandas(look, "path string, size_bytes long, modified timestamp, format string")
@@ -90,12 +106,25 @@ def file_inventory(spark: SparkSession, root: str) -> DataFrame:
     return made.withColumn("format", F.when(buffer, "topic.buffer").otherwise(F.col("format")))
 
 
-def directory_formats(inventory: DataFrame) -> DataFrame:
-    """A folder has a format if all its files do."""
+def directory_formats(inventory: DataFrame, manifests: DataFrame, sink: str = SINK) -> DataFrame:
+    """(folder, format, files): what each folder with files is as a whole, or NULL.
+
+    A sink's ``metadata.yaml`` has a magic that matches ``sink``; a bag's lists only files that are there
+    and have its format; a folder of tables has nothing else in it. ``manifests``: parsed ones.
+    """
     folder = F.regexp_replace("path", "/[^/]*$", "")
-    return inventory.groupBy(folder.alias("folder")).agg(
-        F.when(F.bool_and(F.col("format").isNotNull()) & (F.count_distinct("format") == 1), F.min("format")).alias("format"), F.count("*").alias("files")
+    file = F.col("format").isNotNull() & ~F.col("path").endswith("/metadata.yaml")
+    plain = inventory.groupBy(folder.alias("folder")).agg(
+        *(F.bool_and(F.coalesce(F.col("format") == f, F.lit(False))).alias(f.replace(".", "_")) for f in TABLES),
+        F.count_if(file).alias("files"),
     )
+    known = manifests.select(folder.alias("folder"), "storage", F.coalesce(F.col("magic").rlike(sink), F.lit(False)).alias("sink"), F.explode_outer("files.file").alias("file"))
+    there = inventory.select("path", F.col("format").alias("found"))
+    listed = known.withColumn("path", F.concat("folder", F.lit("/"), "file")).join(there, "path", "left")
+    is_bag = lambda fmt, storage: F.bool_and(F.col("storage").isin(storage, "") & F.coalesce(F.col("found") == fmt, F.col("file").isNull()))
+    bags = listed.groupBy("folder").agg(F.bool_or("sink").alias("sink"), *(is_bag(fmt, storage).alias(fmt.replace(".", "_")) for fmt, storage in BAGS.items()))
+    verdict = F.coalesce(*(F.when(F.col(c), F.lit(name)) for c, name in (("sink", "topic.buffer"), *((f.replace(".", "_"), f) for f in (*BAGS, *TABLES)))))
+    return plain.join(bags, "folder", "left").select("folder", verdict.alias("format"), "files")
 
 
 def validate_paths(inventory: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -139,26 +168,102 @@ def file_digests(files: DataFrame) -> DataFrame:
     return files.select("key", "path").mapInPandas(digest, "key string, digest string")
 
 
-def files_modified(spark: SparkSession, root: str, lo: str, hi: str) -> DataFrame:
-    """Files with lo ≤ modified ≤ hi (ISO times in the session's zone)."""
-    return listing(spark, root).filter((F.col("modified") >= F.lit(lo).cast("timestamp")) & (F.col("modified") <= F.lit(hi).cast("timestamp")))
-
-
-def read_csv(spark: SparkSession, path: str, schema: str | None = None, parts: list[str] | None = None, base: str | None = None, ignore: str | None = None) -> DataFrame:
-    """A CSV source. ``parts``: names of positional partition folders below ``base``."""
+def files_modified(found: DataFrame, ticks: DataFrame, lookback: Every | None, directory: str) -> DataFrame:
+    """Files of a log that each tick's lookback holds by modified time, and where they are to go.
+
+    ``found``: (log_id, file, size_bytes, modified), ``file`` below the source's root. Both ends count.
+    A file may not leave ``directory``.
+    """
+    if lookback is not None and lookback.unit == "frame":
+        raise ValueError("files have no frames to look back on")
+    rows = found.select("log_id", "file", "size_bytes", (F.unix_micros("modified") / 1e6).alias("timestamp_seconds"))
+    seen = asof_rows(rows, ticks) if lookback is None else lookback_time(rows, ticks, lookback.seconds())
+    # Each .. takes the name before it away; one that is left over leads out.
+    parts = F.filter(F.split("file", "/"), lambda x: ~x.isin("", "."))
+    depth = F.aggregate(parts, F.struct(F.lit(0).alias("at"), F.lit(0).alias("low")), lambda s, x: deeper(s, F.when(x == "..", -1).otherwise(1)))
+    target = F.concat(F.lit(directory.rstrip("/") + "/"), "file")
+    inside = F.when(depth["low"] < 0, F.raise_error(F.concat(F.lit("a file would leave the folder: "), "file"))).otherwise(target)
+    return seen.select(*TICK, "file", inside.alias("destination"), "size_bytes", F.col("timestamp_seconds").alias("modified_seconds"))
+
+
+def deeper(s: Column, by: Column) -> Column:
+    return F.struct((s["at"] + by).alias("at"), F.least(s["low"], s["at"] + by).alias("low"))
+
+
+def with_seconds(df: DataFrame, path: str | list[str] | None, fmt: str | None) -> DataFrame:
+    """``df`` with ``timestamp_seconds`` from the field at ``path`` (names from the outside in), by its type
+    and ``fmt``; without a path, processing time."""
+    if path is None:
+        return df.withColumn("timestamp_seconds", to_seconds_col(None, ""))
+    field = leaf((path,) if isinstance(path, str) else tuple(path))
+    kind = df.select(field).schema[0].dataType
+    name = "string" if isinstance(kind, T.StringType) else "number" if isinstance(kind, T.NumericType) else "timestamp"
+    return df.withColumn("timestamp_seconds", to_seconds_col(field, name, fmt))
+
+
+def chosen(spark: SparkSession, root: str, fmt: str, ignore: list[str] | None, exclude_invalid: bool) -> list[str]:
+    """Files below ``root`` whose names start with none of ``ignore``, and that are what they should be."""
+    found = file_inventory(spark, root) if exclude_invalid else listing(spark, root)
+    for prefix in ignore or []:
+        found = found.filter(~F.regexp_extract("path", "[^/]*$", 0).startswith(prefix))
+    if exclude_invalid:
+        found = found.filter(F.col("format") == fmt)
+    return [r["path"] for r in found.select("path").collect()]
+
+
+def read_files(reader: DataFrameReader, fmt: str, path: str, parts: list[str] | None, base: str | None, ignore: list[str] | None, exclude_invalid: bool, flavor: str) -> DataFrame:
+    spark = SparkSession.active()
+    paths = chosen(spark, path, f"table.{fmt}", ignore, exclude_invalid) if ignore or exclude_invalid else [path]
+    if not paths:
+        raise ValueError(f"no {fmt} files below {path}")
+    reader = reader.option("recursiveFileLookup", "true") if parts else reader.option("basePath", base or path) if len(paths) > 1 else reader
+    df = reader.format(fmt).load(paths)
+    if parts and flavor == "filename":
+        place = F.split(F.regexp_extract("_metadata.file_name", r"^([^.]*)", 1), "_")
+    else:
+        place = F.split(F.regexp_replace("_metadata.file_path", f"^.*{re.escape((base or path).rstrip('/').rpartition('/')[2])}/", ""), "/")
+    return df.select("*", *(F.get(place, F.lit(i)).alias(name) for i, name in enumerate(parts or [])))
+
+
+def read_csv(
+    spark: SparkSession,
+    path: str,
+    schema: str | None = None,
+    parts: list[str] | None = None,
+    base: str | None = None,
+    ignore: list[str] | None = None,
+    exclude_invalid: bool = False,
+    flavor: str = "directory",
+    timestamp: str | None = None,
+    fmt: str | None = None,
+) -> DataFrame:
+    """A CSV source. Folders named ``key=value`` are partitions of themselves; ``parts`` names positional ones:
+    folders below ``base`` or, with the flavor ``filename``, parts of file names between underscores.
+    ``ignore``: prefixes of file names that are left out; ``exclude_invalid``: so are files of other
+    formats (each is looked at). ``timestamp`` and ``fmt`` add ``timestamp_seconds``."""
     reader = spark.read.option("header", True)
     reader = reader.schema(schema) if schema else reader.option("inferSchema", True)
-    reader = reader.option("pathGlobFilter", ignore) if ignore else reader
-    df = (reader.option("recursiveFileLookup", "true") if parts else reader).csv(path)
-    for i, name in enumerate(parts or []):
-        below = F.split(F.regexp_replace(F.input_file_name(), f"^.*{base}/", ""), "/")
-        df = df.withColumn(name, F.get(below, F.lit(i)))
-    return df
-
-
-def read_json(spark: SparkSession, path: str, schema: str | None = None, lines: bool = True) -> DataFrame:
-    reader = spark.read.schema(schema) if schema else spark.read
-    return reader.option("multiLine", not lines).json(path)
+    df = read_files(reader, "csv", path, parts, base, ignore, exclude_invalid, flavor)
+    return with_seconds(df, timestamp, fmt) if timestamp else df
+
+
+def read_json(
+    spark: SparkSession,
+    path: str,
+    schema: str | None = None,
+    lines: bool = True,
+    parts: list[str] | None = None,
+    base: str | None = None,
+    ignore: list[str] | None = None,
+    exclude_invalid: bool = False,
+    flavor: str = "directory",
+    timestamp: list[str] | None = None,
+    fmt: str | None = None,
+) -> DataFrame:
+    """A JSON source; options as in ``read_csv``, ``timestamp`` is the path of a nested field."""
+    reader = (spark.read.schema(schema) if schema else spark.read).option("multiLine", not lines)
+    df = read_files(reader, "json", path, parts, base, ignore, exclude_invalid, flavor)
+    return with_seconds(df, timestamp, fmt) if timestamp else df
 
 
 def read_buffer(spark: SparkSession, folder: str, topics: dict[str, str]) -> DataFrame:
@@ -181,6 +286,7 @@ def read_buffer(spark: SparkSession, folder: str, topics: dict[str, str]) -> Dat
 MANIFEST = T.StructType(
     [
         T.StructField("path", T.StringType()),
+        T.StructField("magic", T.StringType()),
         T.StructField("version", T.LongType()),
         T.StructField("storage", T.StringType()),
         T.StructField("compression", T.StringType()),
@@ -200,12 +306,13 @@ def parsed_manifests(texts: DataFrame) -> DataFrame:
         for pdf in frames:
             out = []
             for path, text in zip(pdf["path"], pdf["value"]):
-                info = (yaml.safe_load(text) or {}).get("rosbag2_bagfile_information", {})
+                whole = yaml.safe_load(text) or {}
+                info = whole.get("rosbag2_bagfile_information", {})
                 listed = info.get("files") or [{"path": p} for p in info.get("relative_file_paths", [])]
                 files = [(x.get("path"), x.get("starting_time", {}).get("nanoseconds_since_epoch"), x.get("duration", {}).get("nanoseconds"), x.get("message_count")) for x in listed]
                 topics = [(x["topic_metadata"].get("name"), x["topic_metadata"].get("type"), x["topic_metadata"].get("serialization_format"), x.get("message_count")) for x in info.get("topics_with_message_count", [])]
                 names = [[f.name for f in MANIFEST[k].dataType.elementType] for k in ("files", "topics")]
-                out.append((path, info.get("version"), info.get("storage_identifier"), info.get("compression_format") or None, info.get("message_count"), [dict(zip(names[0], x)) for x in files], [dict(zip(names[1], x)) for x in topics]))
+                out.append((path, whole.get("magic"), info.get("version"), info.get("storage_identifier"), info.get("compression_format") or None, info.get("message_count"), [dict(zip(names[0], x)) for x in files], [dict(zip(names[1], x)) for x in topics]))
             yield pd.DataFrame(out, columns=MANIFEST.names)
 
     return texts.mapInPandas(parse, MANIFEST)

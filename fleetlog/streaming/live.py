@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators.rowindex import with_running_sum
 from ..operators.ticks import greedy
-from ..plans.pipeline import Every
+from ..plans.pipeline import Every, Pipeline
 
 GIB = 1 << 30
 
@@ -25,9 +26,30 @@ def with_timestamp(df: DataFrame, extractor: Column | None = None) -> DataFrame:
     return df.withColumn("timestamp_seconds", now if extractor is None else F.coalesce(extractor.cast("double"), now))
 
 
-def ingest(source: DataFrame, folder: str, checkpoint: str, topics: list[str] | None = None, name: str = "ingest", available_now: bool = True, overwrite: bool = False) -> StreamingQuery:
+def file_system(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def runs(spark: SparkSession, folder: str) -> list[str]:
+    """The sub-tables of a live table, one for each time it was started or resumed, in order."""
+    fs, at = file_system(spark, folder)
+    return sorted(x.getPath().getName() for x in fs.listStatus(at) if x.getPath().getName().startswith("run-")) if fs.exists(at) else []
+
+
+def ingest(
+    source: DataFrame,
+    folder: str,
+    checkpoint: str,
+    topics: list[str] | None = None,
+    name: str = "ingest",
+    available_now: bool = True,
+    overwrite: bool = False,
+    new_run: bool = False,
+) -> StreamingQuery:
     """Appends each message of the topics to a table partitioned by topic. One live query a name;
-    ``overwrite`` stops it and starts a new table."""
+    ``overwrite`` stops it and starts a new table. A run has a sub-table and a checkpoint of its own; the
+    last one goes on where it ended, unless ``new_run``."""
     spark = source.sparkSession
     running = [q for q in spark.streams.active if q.name == name]
     if running and not overwrite:
@@ -36,10 +58,12 @@ def ingest(source: DataFrame, folder: str, checkpoint: str, topics: list[str] |
         q.stop()
     if overwrite:
         for path in (folder, checkpoint):
-            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+            fs, at = file_system(spark, path)
+            fs.delete(at, True)
+    known = runs(spark, folder)
+    run = f"run-{len(known):06d}" if new_run or not known else known[-1]
     df = source if topics is None else source.filter(F.col("topic").isin(topics))
-    writer = df.writeStream.queryName(name).format("parquet").partitionBy("topic").option("path", folder).option("checkpointLocation", checkpoint)
+    writer = df.writeStream.queryName(name).format("parquet").partitionBy("topic").option("path", f"{folder}/{run}").option("checkpointLocation", f"{checkpoint}/{run}")
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
@@ -48,14 +72,23 @@ def pause(query: StreamingQuery) -> None:
     query.stop()
 
 
-def resume(source: DataFrame, folder: str, checkpoint: str, topics: list[str] | None = None, name: str = "ingest", available_now: bool = True) -> StreamingQuery:
-    """Goes on with the same table from a new checkpoint."""
-    return ingest(source, folder, checkpoint, topics, name, available_now)
+def resume(
+    source: DataFrame, folder: str, checkpoint: str, topics: list[str] | None = None, name: str = "ingest", available_now: bool = True, since: Column | None = None
+) -> StreamingQuery:
+    """Goes on with the same table, in a run of its own. ``source`` starts at the latest offsets, or ``since``
+    says which of its messages were sent after the pause; the others are lost."""
+    return ingest(source if since is None else source.filter(since), folder, checkpoint, topics, name, available_now, new_run=True)
 
 
 def snapshot(spark: SparkSession, folder: str) -> DataFrame:
-    """What is committed of a growing table: the sink's log says which files."""
-    return spark.read.parquet(folder)
+    """What is committed of a growing table: each run's sink log says which files."""
+    out = None
+    for run in runs(spark, folder):
+        one = spark.read.parquet(f"{folder}/{run}")
+        out = one if out is None else out.unionByName(one, allowMissingColumns=True)
+    if out is None:
+        raise ValueError(f"no live table in {folder}")
+    return out
 
 
 def live_topics(df: DataFrame) -> DataFrame:
@@ -63,18 +96,20 @@ def live_topics(df: DataFrame) -> DataFrame:
 
 
 def throttle(df: DataFrame, ms: float) -> DataFrame:
-    """Batch: keeps a topic's messages at least ``ms`` apart, greedily, the first included."""
+    """Batch: keeps a topic's messages at least ``ms`` apart, greedily, the first included. Only times are
+    shipped to Python."""
 
     def keep(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["timestamp_seconds", "seq"])
         return pdf.iloc[greedy(pdf["timestamp_seconds"].to_numpy(), ms / 1000)]
 
-    kept = df.select("log_id", "topic", "seq", "timestamp_seconds")
-    return kept.groupBy("log_id", "topic").applyInPandas(keep, kept.schema)
+    keys = df.select("log_id", "topic", "seq", "timestamp_seconds")
+    kept = keys.groupBy("log_id", "topic").applyInPandas(keep, keys.schema)
+    return df.join(kept, keys.columns, "left_semi")
 
 
 def throttle_stream(df: DataFrame, ms: float) -> DataFrame:
-    """The same on a stream: the state is the time last kept."""
+    """The same on a stream, whole messages: the state is the time last kept."""
 
     def keep(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         last = state.get[0] if state.exists else None
@@ -84,18 +119,21 @@ def throttle_stream(df: DataFrame, ms: float) -> DataFrame:
             state.update((float(pdf["timestamp_seconds"].iloc[at[-1]]),))
         yield pdf.iloc[at]
 
-    kept = df.select("log_id", "topic", "seq", "timestamp_seconds")
-    return kept.groupBy("log_id", "topic").applyInPandasWithState(keep, kept.schema, "last double", "append", "NoTimeout")
+    return df.groupBy("log_id", "topic").applyInPandasWithState(keep, df.schema, "last double", "append", "NoTimeout")
 
 
-def retain_bytes(df: DataFrame, budget: int | None = GIB, line: Column | None = None) -> DataFrame:
+def retain_bytes(df: DataFrame, budget: int | None = GIB, line: Column | None = None, huge: bool = False) -> DataFrame:
     """The newest whole lines (JSON, or ``line``) of each topic within ``budget`` bytes; without one, all."""
     line = F.to_json(F.struct("timestamp_seconds", "message")) if line is None else line
     made = df.withColumn("line_bytes", F.octet_length(line) + 1)
     if budget is None:
         return made
-    w = Window.partitionBy("log_id", "topic").orderBy(F.desc("timestamp_seconds"), F.desc("seq"))
-    return made.withColumn("held", F.sum("line_bytes").over(w)).filter(F.col("held") <= budget).drop("held")
+    # From the newest on: all of the topic's bytes less those of older lines.
+    keys = ["log_id", "topic"]
+    upto = with_running_sum(made, keys, ["timestamp_seconds", "seq"], F.col("line_bytes"), "upto", huge)
+    whole = made.groupBy(*keys).agg(F.sum("line_bytes").alias("whole"))
+    held = F.col("whole") - F.col("upto") + F.col("line_bytes")
+    return upto.join(whole, keys).filter(held <= budget).select(*made.columns)
 
 
 def stream_ticks(df: DataFrame, cadence: Every | None) -> DataFrame:
@@ -124,11 +162,20 @@ def stream_ticks(df: DataFrame, cadence: Every | None) -> DataFrame:
     )
 
 
-def stream_run(ticks: DataFrame, run: Callable[[DataFrame], None], checkpoint: str) -> StreamingQuery:
-    """All ticks of a micro-batch through ``run``, a set-based plan over the buffer so far."""
+def stream_run(ticks: DataFrame, pipeline: Pipeline, buffer: Callable[[], DataFrame], folder: str, checkpoint: str) -> StreamingQuery:
+    """The pipeline at all ticks of each micro-batch, as one set-based plan over the buffer so far.
+
+    Each task's rows go to ``folder/<task>`` and the run log to ``folder/run_log``, a sub-folder a batch
+    that is overwritten, so that a batch which is repeated after a failure is there once. Tick numbers are
+    positions in a log, after those of earlier batches.
+    """
 
-    def batch(df: DataFrame, _: int) -> None:
-        run(df)
+    def batch(df: DataFrame, number: int) -> None:
+        w = Window.partitionBy("log_id").orderBy("asof_seconds", "topic")
+        numbered = df.withColumn("tick_no", F.row_number().over(w) - 1 + F.lit(number << 32)).select("log_id", "tick_no", "asof_seconds")
+        made, log = pipeline.run(buffer(), numbered)
+        for name, out in {**made, "run_log": log}.items():
+            out.write.mode("overwrite").parquet(f"{folder}/{name}/batch={number}")
 
     return ticks.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -68,7 +68,7 @@ def test_set_based_lookback_equals_a_loop_over_ticks(spark):
     pdf = df.toPandas().sort_values(["timestamp_seconds", "seq"])
     times = ticks.ticks_every_frames(df, 7)
     seen = lookback.lookback_time(df, times, 2.5).groupBy("tick_no").agg(F.sort_array(F.collect_list("seq")).alias("s"))
-    last = lookback.lookback_frames(df, times, 5, bin_seconds=3.0).groupBy("tick_no").agg(F.sort_array(F.collect_list("seq")).alias("s"))
+    last = lookback.lookback_frames(df, times, 5).groupBy("tick_no").agg(F.sort_array(F.collect_list("seq")).alias("s"))
     by_time, by_frame = ({r["tick_no"]: r["s"] for r in x.collect()} for x in (seen, last))
     for r in times.collect():
         upto = pdf[pdf.timestamp_seconds <= r["asof_seconds"]]
@@ -174,7 +174,7 @@ def test_definitions(spark):
     by = {r["name"]: r for r in fields.collect()}
     assert (by["points"]["array"], by["points"]["array_size"], by["label"]["string_bound"], by["KIND"]["value"], by["KIND"]["comment"]) == ("bounded", 3, 4, "3", "which")
     assert sorted((r["name"], r["error"]) for r in definitions.definition_errors(fields).collect()) == [("far", "float32 out of range"), ("wide", "integer out of range")]
-    resolved = definitions.resolve_types(fields)
+    resolved = definitions.resolve_types(fields, lines)
     got = {r["type"]: (r["target"], r["rule"]) for r in resolved.collect()}
     assert got == {"Header": ("std_msgs/Header", 2), "Point": ("geometry_msgs/Point", 6), "Nowhere": (None, None)}
     sound = fields.filter("name <> 'gone'")
