@@ -7,11 +7,12 @@ that stay competitive are probed for the remaining terms, the largest bound firs
 soon as the bounds left cannot lift them. Each shard gives its k best; shards are merged by rank.
 
 Queries and vectors meet in blocks: every block of queries with every shard, so no task holds more
-than one of each. A vector is dense, so a term's postings are a column of the shard and a block of
-queries traverses its essential postings as one matrix product.
+than one of each. A vector is dense, so a term's postings are a column of the shard. Queries of like
+essential terms go together, and traverse the columns that one of them holds essential as one matrix
+product.
 
-Defined cases: vectors that are null or hold null or non-finite components take no part; shorter
-vectors count as ending in zeros; repeated ids are separate candidates; a query never finds its own
+Defined cases: vectors that are null or hold null or non-finite components, and those with a null id,
+take no part; shorter vectors count as ending in zeros; repeated ids are separate candidates; a query never finds its own
 id; an empty table gives no rows; other columns are ignored; ties go to the smaller id.
 """
 
@@ -21,11 +22,14 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import stage
+from ._common import partitions, stage
 
+TOGETHER = 64  # queries of one matrix product
+LEAST = 4096  # rows that a shard has at least, where there are enough
 FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
 
@@ -36,12 +40,17 @@ def whole_numbers(vector: Column, scale: int) -> Column:
 
 
 def matrix(vectors: pa.ChunkedArray, width: int) -> np.ndarray:
-    out = np.zeros((len(vectors), width), np.int64)
-    for i, v in enumerate(vectors.to_pylist()):
-        out[i, : len(v)] = v
+    size = lengths(vectors)
+    out = np.zeros((len(size), width), np.int64)
+    row = np.repeat(np.arange(len(size)), size)
+    out[row, np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)] = pc.list_flatten(vectors).to_numpy()
     return out
 
 
+def lengths(vectors: pa.ChunkedArray) -> np.ndarray:
+    return pc.list_value_length(vectors).to_numpy().astype(np.int64)
+
+
 def max_score(q_ids: np.ndarray, q: np.ndarray, v_ids: np.ndarray, v: np.ndarray, k: int, block: int = 2048):
     """Exact k best (score, then smaller id) of the shard ``v`` for each query: ids and scores."""
     most = int(np.abs(q).max(initial=0)) * int(np.abs(v).max(initial=0)) * max(1, v.shape[1])
@@ -54,43 +63,56 @@ def max_score(q_ids: np.ndarray, q: np.ndarray, v_ids: np.ndarray, v: np.ndarray
     left = np.cumsum(np.take_along_axis(bound, by_bound, 1), axis=1)
     low = np.full(len(q), -np.inf)  # the k-th score so far
     best = [(np.zeros(0, np.int64), np.zeros(0, kind)) for _ in q]
-    for at in range(0, len(v), block):
-        part, ids = v[at : at + block], v_ids[at : at + block]
-        # Later ids lose ties, so a vector must beat the k-th score once k are found.
-        skipped = (left < low[:, None]).sum(1) if at else np.zeros(len(q), int)
-        essential = q.copy()
-        rank = np.argsort(by_bound, axis=1)
-        essential[rank < skipped[:, None]] = 0
-        score = essential @ part.T
-        spare = np.where(skipped > 0, np.take_along_axis(left, np.maximum(skipped - 1, 0)[:, None], 1)[:, 0], 0)
-        rows, cols = np.nonzero(score + spare[:, None] > low[:, None])
-        own = q_ids[rows] != ids[cols]
-        rows, cols = rows[own], cols[own]
+
+    def search(own, part, ids, essential, skipped, spare, by_bound, left) -> None:
+        """Queries ``own`` against one part of the shard."""
+        terms = np.flatnonzero(essential.any(0))
+        score = (q[own] * essential)[:, terms] @ part[:, terms].T
+        rows, cols = np.nonzero(score + spare[:, None] > low[own][:, None])
+        other = q_ids[own][rows] != ids[cols]
+        rows, cols = rows[other], cols[other]
         sums = score[rows, cols]
         for step in range(int(skipped.max(initial=0)) - 1, -1, -1):  # probe, the largest bound first
             due = skipped[rows] > step
             term = by_bound[rows, step]
-            sums = sums + np.where(due, q[rows, term] * part[cols, term], 0)
+            sums = sums + np.where(due, q[own[rows], term] * part[cols, term], 0)
             rest = left[rows, step - 1] if step else 0
-            keep = ~due | (sums + rest > low[rows])
+            keep = ~due | (sums + rest > low[own[rows]])
             rows, cols, sums = rows[keep], cols[keep], sums[keep]
         for r in np.unique(rows):
             lo, hi = np.searchsorted(rows, (r, r + 1))
-            i, s = np.concatenate([best[r][0], ids[cols[lo:hi]]]), np.concatenate([best[r][1], sums[lo:hi]])
+            n = own[r]
+            i, s = np.concatenate([best[n][0], ids[cols[lo:hi]]]), np.concatenate([best[n][1], sums[lo:hi]])
             top = np.lexsort((i, -s))[:k]
-            best[r] = i[top], s[top]
+            best[n] = i[top], s[top]
             if len(top) == k:
-                low[r] = s[top[-1]]
+                low[n] = s[top[-1]]
+
+    for at in range(0, len(v), block):
+        part, ids = v[at : at + block], v_ids[at : at + block]
+        # Later ids lose ties, so a vector must beat the k-th score once k are found.
+        skipped = (left < low[:, None]).sum(1) if at else np.zeros(len(q), int)
+        essential = np.argsort(by_bound, axis=1) >= skipped[:, None]
+        spare = np.where(skipped > 0, np.take_along_axis(left, np.maximum(skipped - 1, 0)[:, None], 1)[:, 0], 0)
+        alike = np.lexsort(essential.T)
+        for own in np.split(alike, range(TOGETHER, len(alike), TOGETHER)):
+            search(own, part, ids, essential[own], skipped[own], spare[own], by_bound[own], left[own])
     return best
 
 
 def top_k(
-    queries: DataFrame, vectors: DataFrame, k: int = 20, scale: int = 64, query_block: int = 2048, shard_rows: int = 8192
+    queries: DataFrame, vectors: DataFrame, k: int = 20, scale: int = 64, query_block: int = 16384, shard_rows: int = 65536
 ) -> DataFrame:
-    """The ``k`` best ``vectors`` (vec_id, embedding) for each of ``queries``: query_id, rank, vec_id, score."""
-    whole = lambda df: df.select("vec_id", whole_numbers(F.col("embedding"), scale).alias("v")).filter("v IS NOT NULL")
+    """The ``k`` best ``vectors`` (vec_id, embedding) for each of ``queries``: query_id, rank, vec_id, score.
+
+    ``query_block`` and ``shard_rows`` bound a task's memory, and how often each side is copied: every
+    vector once a block of queries, every query once a shard. Small inputs get smaller shards, so that
+    all cores have one.
+    """
+    whole = lambda df: df.select("vec_id", whole_numbers(F.col("embedding"), scale).alias("v")).filter("vec_id IS NOT NULL AND v IS NOT NULL")
     q, v = stage(whole(queries), "topk-queries"), stage(whole(vectors), "topk-vectors")
-    blocks, shards = (max(1, math.ceil(df.count() / n)) for df, n in ((q, query_block), (v, shard_rows)))
+    n = v.count()
+    blocks, shards = max(1, math.ceil(q.count() / query_block)), max(1, math.ceil(n / shard_rows), min(partitions(v.sparkSession), n // LEAST))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     q = q.select("vec_id", "v", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("block"), every(shards).alias("shard"))
     v = v.select("vec_id", "v", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).alias("shard"), every(blocks).alias("block"))
@@ -98,7 +120,7 @@ def top_k(
     def searched(a: pa.Table, b: pa.Table) -> pa.Table:
         if not a.num_rows or not b.num_rows:
             return FOUND.empty_table()
-        width = max(len(x) for t in (a, b) for x in t.column("v"))
+        width = max(int(lengths(t.column("v")).max()) for t in (a, b))
         ids = [t.column("vec_id").to_numpy() for t in (a, b)]
         best = max_score(ids[0], matrix(a.column("v"), width), ids[1], matrix(b.column("v"), width), k)
         return pa.table(
