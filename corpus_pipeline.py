@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and gives the documents it keeps, with their columns; the last
 gives packed pieces.
+
+Defined cases: texts that are null or have no letter go in the first stage; rows with a null doc_id stay,
+as they are no one's copy; repeated rows go on as they are; other columns go along, whatever their names;
+very long texts count whole; an empty table gives no pieces.
 """
 
 from __future__ import annotations
@@ -14,6 +18,7 @@ from pyspark.sql import functions as F
 from fleetlog.llm import language_id, line_dedup, mixing, ngram_join, packing
 from fleetlog.llm._common import stage, table
 from fleetlog.llm.queries import MIX_WEIGHTS, tokenizer_file
+from fleetlog.storage import STAGED, remove_staged
 
 #: Texts whose best language is less ahead of the second than this (of about 2) have no clear language.
 MIN_LANGUAGE_LEAD = 0.0625
@@ -61,7 +66,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, first = table(spark, sf_dir, "documents"), len(STAGED)
     for name, step in STAGES[:-1]:
         docs = stage(step(spark, docs, sf_dir), f"pipeline-{name}")
+        remove_staged(spark, first, keep=(STAGED[-1],))  # what led to it isn't read any more
     return STAGES[-1][1](spark, docs, sf_dir)
