@@ -6,7 +6,7 @@ threshold are dropped, except in the largest ``doc_id``; texts are put together
 Defined cases: a null or empty text is one empty line; a null ``doc_id`` counts as no document
 and never keeps a shared line; repeated rows are one document and get the same result each; an
 empty table gives an empty result; other columns pass through, ``n_lines`` and ``n_dropped`` are
-replaced.
+replaced; all lines of very long texts count.
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 from ._common import SPACE, ascii_lower, hash_pair, stage
 
+HOT = 10_000
+
 
 def line_key(line: Column) -> Column:
     return ascii_lower(F.btrim(line, F.lit(SPACE)))
@@ -24,8 +26,8 @@ def line_key(line: Column) -> Column:
 def dedup_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20) -> DataFrame:
     """``docs`` with ``text`` replaced by its kept lines, plus ``n_lines`` and ``n_dropped``.
 
-    Only hashes of lines are shuffled by line, so a line held by a third of all documents costs
-    16 bytes a holder, counted before the shuffle's last step; texts are shuffled once.
+    Only hashes of lines are shuffled by line; texts are shuffled once. Lines with more than one in
+    ``HOT`` of all holders are at most ``HOT`` lines, so they are broadcast and no task gathers theirs.
     """
     rest = [c for c in docs.columns if c not in ("doc_id", "text", "n_lines", "n_dropped")]
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -44,12 +46,20 @@ def dedup_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20) -> Data
     keys = stage(keys, "line-keys")
     common = (
         keys.groupBy("h1", "h2")
-        .agg(F.count_distinct("doc_id").alias("n"), F.max("doc_id").alias("last"))
+        .agg(F.count_distinct("doc_id").alias("n"), F.count("*").alias("rows"), F.max("doc_id").alias("last"))
         .filter(F.col("n") >= min_docs)
         .drop("n")
     )
+    common = stage(common, "line-common")
+    many = F.col("rows") > keys.count() / HOT
+    hot = common.filter(many).select("h1", "h2", F.col("last").alias("hot_last"))
+    marked = keys.join(F.broadcast(hot), ["h1", "h2"], "left")
+    held = ["doc_id", "rid", "pos", "last"]
     drops = (
-        keys.join(common, ["h1", "h2"])
+        marked.filter("hot_last IS NOT NULL")
+        .withColumnRenamed("hot_last", "last")
+        .select(*held)
+        .union(marked.filter("hot_last IS NULL").join(common.filter(~many), ["h1", "h2"]).select(*held))
         .filter(F.col("doc_id").isNull() | (F.col("doc_id") < F.col("last")))
         .groupBy(F.col("doc_id").alias("drop_id"), F.col("rid").alias("drop_rid"))
         .agg(F.collect_set("pos").alias("gone"))
