@@ -12,6 +12,7 @@ exactly. The join loses no link; links that join nothing new within a task are n
 2. A second pass sends each set's prefix, packed, to ranges of tokens. Tokens that a single class
    holds end there.
 3. A class joins the group of its commonest shared token; large groups are split.
+   Members of a home that is split meet a few pivots first; those which that connects don't meet again.
 4. Classes that share a prefix token with a group are its queries. Whole sets are made again for the
    classes concerned only, and met in blocks: one group of bounded size, a bounded number of queries.
 
@@ -32,6 +33,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import stage
+from ._tokens import slices
 from .components import components
 
 SKETCH_BITS, SLICES = 18, 16
@@ -41,6 +43,8 @@ SENT = pa.schema([("range", pa.int64()), ("tokens", pa.binary()), ("owner", pa.b
 SHARED = pa.schema([("token", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("holders", pa.int64())])
 SETS = pa.schema([("cls", pa.binary()), ("text", pa.binary())])
 HOT = 10_000  # a class with more than one in so many of all rows is joined by broadcast: at most so many rows
+TEXT_BYTES = 4 << 20
+PIVOTS = 8  # sets of a crowded home that all others of it meet first
 LINK = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
 
@@ -50,7 +54,7 @@ class Words(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         self[word] = h = xxhash.xxh64_intdigest(word)
         return h
@@ -108,8 +112,10 @@ def from_sorted(data: bytes) -> np.ndarray:
     return np.cumsum(wide.view("<u8").ravel()).view(np.int64)
 
 
-def texts(b: pa.RecordBatch) -> list[bytes | None]:
-    return b.column(1).cast(pa.large_binary()).to_pylist()
+def texts(b: pa.RecordBatch) -> Iterator[bytes | None]:
+    """A batch's texts, of which only a few MB at a time are held twice."""
+    for low, high in slices(b.column(1), TEXT_BYTES):
+        yield from b.column(1).slice(low, high - low).cast(pa.large_binary()).to_pylist()
 
 
 def made(schema: pa.Schema, *columns) -> pa.RecordBatch:
@@ -136,7 +142,7 @@ def classify(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
                 cls.append(class_of(tokens))
                 held.append(tokens)
                 size += len(tokens)
-                if size > 1 << 20:
+                if size > 1 << 18:
                     count()
                     size = 0
             yield made(CLASS, b.column(0), n, cls, list(map(key_of, cls)), [None] * len(n))
@@ -193,7 +199,7 @@ def shared_tokens(docs: DataFrame, sketch: np.ndarray, percent: int, ranges: int
                 keys.append(key)
                 n.append(len(found))
                 size += len(prefix)
-                if size > 1 << 20 or len(keys) == 1 << 16:
+                if size > 1 << 19 or len(keys) == 1 << 16:
                     yield flush()
                     size = 0
         if keys:
@@ -336,32 +342,76 @@ def pieces(n: Column, tokens: Column, most: int, room: int) -> Column:
     return F.greatest(F.ceil(n / most), F.ceil(tokens / room))
 
 
+def compared(docs: DataFrame, wanted: DataFrame, going: DataFrame, percent: int) -> DataFrame:
+    """Links (u, v) found where ``going`` (cls, rep, grp, block, asks) sends the sets of ``wanted``; members
+    meet each other in block 0."""
+
+    def check(key: tuple, met: pa.Table) -> pa.Table:
+        found = compare(met, key[1].as_py() == 0, percent)
+        return pa.Table.from_batches([made(LINK, *(zip(*found) if found else ([], [])))])
+
+    sent = sets_of(docs, wanted).join(going, "cls").select("grp", "block", "rep", "asks", "text")
+    return sent.groupBy("grp", "block").applyInArrow(check, "u long, v long")
+
+
+def settled(member: DataFrame, crowded: DataFrame, docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Links of the members of ``crowded`` homes (home, parts) to a few pivots of theirs, and ``member`` with
+    what they settle: ``top``, the component that most of a home's members are in; ``settled``, the same for
+    those members; and ``loose``, whether a member of such a home is not. Each set is sent once."""
+    inside = member.withColumn("home", F.col("grp.home")).join(crowded, "home")
+    chosen = F.min(F.struct(F.xxhash64(F.lit(5), "cls").alias("h"), "cls", "rep")).alias("p")
+    pivots = inside.groupBy("home", "parts", F.pmod(F.xxhash64("cls"), F.lit(PIVOTS)).alias("slot")).agg(chosen)
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")
+    pivots = pivots.select("p.cls", "p.rep", "home", every).select("cls", "rep", F.struct("home", "part").alias("grp"), F.lit(False).alias("asks"))
+    going = stage(inside.select("cls", "rep", "grp", F.lit(True).alias("asks")).union(pivots).withColumn("block", F.lit(1).cast("long")), "join-pivots")
+    links = stage(compared(docs, inside.select(F.col("rep").alias("doc_id")), going, percent), "join-pivot-links")
+    reached = components(links)
+    label = inside.join(reached, inside.rep == reached.node, "left").select("home", "cls", F.coalesce("component", "rep").alias("label"))
+    most = label.groupBy("home", "label").agg(F.count("*").alias("n")).groupBy("home").agg(F.max(F.struct("n", "label"))["label"].alias("top"))
+    label = label.join(most, "home").select("cls", "label", "top")
+    tagged = member.join(label, "cls", "left").withColumns(
+        {"settled": F.when(F.col("label") == F.col("top"), F.col("top")), "loose": F.coalesce(F.col("label") != F.col("top"), F.lit(False))}
+    )
+    return links, stage(tagged.drop("label"), "join-settled")
+
+
 def links_of(shared: DataFrame, classes: DataFrame, docs: DataFrame, percent: int, group_size: int, block: int, room: int) -> DataFrame:
-    """Links (u, v) between the smallest doc_ids of classes; enough of them to connect all that link."""
+    """Links (u, v) between the smallest doc_ids of classes; enough of them to connect all that link.
+
+    Members of one component of their home don't ask groups whose home mostly is in that component, as all
+    of those are connected already; the few loose ones of such groups ask them.
+    """
     reps = classes.filter("n > 0 AND doc_id IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("key").alias("key"), F.first("n").alias("n"))
     home = shared.groupBy("key").agg(F.first("home").alias("home"))
     home = stage(home.join(reps, "key"), "join-homes")
     parts = home.groupBy("home").agg(pieces(F.count("*"), F.sum("n"), group_size, room).alias("parts"))
     grp = F.struct("home", F.pmod(F.xxhash64("cls"), "parts").alias("part")).alias("grp")
     member = stage(home.join(parts, "home").select("cls", "key", "n", "rep", grp), "join-groups")
-    held = shared.select("token", "key", "n").join(member.select("key", "grp"), "key")
+    crowded, links = stage(parts.filter("parts > 1"), "join-crowded"), None
+    if crowded.isEmpty():
+        none = F.lit(None).cast("long")
+        member = member.withColumns({"top": none, "settled": none, "loose": F.lit(False)})
+    else:
+        links, member = settled(member, crowded, docs, percent)
+    held = shared.select("token", "key", "n").join(member.select("key", "grp", "settled", "loose"), "key")
     row = held.groupBy("token", F.col("grp").alias("to")).agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    smallest = member.groupBy(F.col("grp").alias("to")).agg(F.min("n").alias("smallest"))
+    group = member.groupBy(F.col("grp").alias("to")).agg(F.min("n").alias("smallest"), F.max("top").alias("top"), F.count("*").alias("members"), F.bool_or("loose").alias("any_loose"))
+    asks = (F.col("grp") > F.col("to")) | (F.col("loose") & (F.col("grp") != F.col("to")))
     query = stage(
         held.join(row, "token")
-        .filter((F.col("grp") > F.col("to")) & (100 * F.col("n") >= percent * F.col("least")) & (100 * F.col("most") >= percent * F.col("n")))
-        .groupBy("key", "n", "to")
+        .filter(asks & (100 * F.col("n") >= percent * F.col("least")) & (100 * F.col("most") >= percent * F.col("n")))
+        .groupBy("key", "n", "to", "settled")
         .agg(F.count("*").alias("k"))
-        .join(smallest, "to")
+        .join(group, "to")
         .filter(F.col("k") >= F.least(needed(F.col("n")), F.greatest(needed(F.col("smallest")), needed(smallest_partner(percent)))))
+        .filter("settled IS NULL OR top IS NULL OR settled <> top")
         .select("key", F.col("to").alias("grp")),
         "join-queries",
     )
     # Alone in a group that nobody opens, and opening none: no partner.
-    crowd = member.groupBy("grp").count().filter("count > 1").select("grp")
+    crowd = group.filter("members > 1 AND (top IS NULL OR any_loose)").select(F.col("to").alias("grp"))
     met = member.join(crowd.union(query.select("grp")).distinct(), "grp", "left_semi").select("key").union(query.select("key"))
-    member = stage(member.join(met, "key", "left_semi"), "join-met")
-    wanted = member.select(F.col("rep").alias("doc_id"))
+    member = stage(member.select("cls", "key", "n", "rep", "grp").join(met, "key", "left_semi"), "join-met")
     # Where each set is to go, before any set moves: members to all blocks of their group, queries to one.
     query = query.join(member.select("cls", "key", "n", "rep"), "key")
     blocks = query.groupBy("grp").agg(pieces(F.count("*"), F.sum("n"), block, room).alias("blocks"))
@@ -369,13 +419,8 @@ def links_of(shared: DataFrame, classes: DataFrame, docs: DataFrame, percent: in
     mine = member.join(blocks, "grp", "left").select("cls", "rep", "grp", every, F.lit(False).alias("asks"))
     theirs = query.join(blocks, "grp").select("cls", "rep", "grp", F.pmod(F.xxhash64("cls"), "blocks").alias("block"), F.lit(True).alias("asks"))
     going = stage(mine.union(theirs), "join-going")
-
-    def check(key: tuple, met: pa.Table) -> pa.Table:
-        found = compare(met, key[1].as_py() == 0, percent)
-        return pa.Table.from_batches([made(LINK, *(zip(*found) if found else ([], [])))])
-
-    sent = sets_of(docs, wanted).join(going, "cls").select("grp", "block", "rep", "asks", "text")
-    return sent.groupBy("grp", "block").applyInArrow(check, "u long, v long")
+    found = compared(docs, member.select(F.col("rep").alias("doc_id")), going, percent)
+    return found if links is None else found.union(links)
 
 
 def with_top(classes: DataFrame, top: DataFrame) -> DataFrame:
