@@ -50,14 +50,16 @@ def topic_frequency(messages: DataFrame, huge: bool = False) -> DataFrame:
     return gap.groupBy("log_id", "topic").agg(F.when(middle > 0, 1 / middle).alias("frequency"))
 
 
-def describe_topic(messages: DataFrame, topic: str) -> DataFrame:
-    """A row a field: column, type, description, units, and the topic's message count."""
+def describe_topic(messages: DataFrame, topic: str, definitions: DataFrame | None = None) -> DataFrame:
+    """A row a field: column, type, description, units, and the topic's message count; ``definitions``
+    (topic, definition) adds the text of its message definition."""
     require_topics(messages, [topic])
     fields = messages.schema["message"].dataType.fields
     rows = [(f.name, f.dataType.simpleString(), f.metadata.get("description"), f.metadata.get("units")) for f in fields]
     made = messages.sparkSession.createDataFrame(rows, "column string, type string, description string, units string")
     count = messages.filter(F.col("topic") == topic).groupBy("topic").agg(F.count("*").alias("message_count"))
-    return count.join(made.withColumn("topic", F.lit(topic)), "topic")
+    out = count.join(made.withColumn("topic", F.lit(topic)), "topic")
+    return out if definitions is None else out.join(definitions.select("topic", "definition"), "topic", "left")
 
 
 def describe_source(messages: DataFrame) -> DataFrame:

@@ -224,10 +224,11 @@ FIELDS = "['event_id', 'user_id', 'value', 'props']"
 
 @query(
     "describe_topic",
-    f"SELECT 'click' AS topic, n AS message_count, unnest({FIELDS}) AS \"column\", unnest(['bigint', 'bigint', 'double', 'string']) AS type, NULL::VARCHAR AS description, NULL::VARCHAR AS units FROM (SELECT count(*) AS n FROM events WHERE event_type = 'click')",
+    f"SELECT 'click' AS topic, n AS message_count, unnest({FIELDS}) AS \"column\", unnest(['bigint', 'bigint', 'double', 'string']) AS type, NULL::VARCHAR AS description, NULL::VARCHAR AS units, 'float64 click' AS definition FROM (SELECT count(*) AS n FROM events WHERE event_type = 'click')",
 )
 def _(s, d):
-    return catalog.describe_topic(one(s, d), "click")
+    texts = one(s, d).select("topic", F.concat(F.lit("float64 "), "topic").alias("definition")).distinct()
+    return catalog.describe_topic(one(s, d), "click", texts)
 
 
 @query("describe_source", f"{FLEET} SELECT log_id, count(*) AS total_message_count, min(t) AS start_seconds, max(t) AS end_seconds, max(t) - min(t) AS duration_seconds, array_to_string(list_sort(list(DISTINCT topic)), ',') AS topics FROM m GROUP BY log_id")
