@@ -5,23 +5,27 @@ cells (count, XOR of digests, XOR of their checks); each distinct digest is adde
 third of the table. The cells of two versions subtract, so that shared paragraphs cancel out, and
 peeling recovers the digests that differ: a cell with one digest left gives it away, and it is taken
 out of its other cells. One third is peeled at a time, so no digest is taken out twice. The
-fingerprint is a sketch of ``CELLS`` cells. Pairs with more paragraphs than that are compared by tables
-for all of them; where cells don't peel empty, tables twice as large are tried, then four times.
+fingerprint is a sketch of ``CELLS`` cells. Two texts are compared by the cells of their fingerprints;
+where those don't peel empty, by tables for all their paragraphs, then by ones twice as large.
 
 Defined cases: a null text is empty; an empty text has no paragraphs, and two of those are alike (1);
 a null doc_id comes first in the order of documents, equal ones are ordered by text hash; repeated
-rows are documents of their own; a table of one document is its own next; other columns are ignored.
+rows are documents of their own; a table of one document is its own next; other columns are ignored;
+all paragraphs of very long texts count.
 """
 
 from __future__ import annotations
 
+import json
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import partitions, stage
 
 PIECE, CELLS, SEED = 128, 24, 1
-MOST_BUCKETS = 1 << 20  # bounds what is broadcast: one small row a bucket
+MOST_BUCKETS = 1 << 15  # bounds what the driver holds and what is broadcast: one small row a bucket
 
 
 def digests(text: Column) -> Column:
@@ -38,37 +42,59 @@ def cell_of(digest: Column, third: int, size: Column, seed: int) -> Column:
     return third * size + F.pmod(F.xxhash64(F.lit(1000 * seed + third), digest), size)
 
 
-def sketch(found: Column, cells: int = CELLS, seed: int = SEED) -> Column:
-    """The fingerprint as a string: number of digests, then count, XORs of digests and checks by cell."""
+def cells_of(found: Column, cells: int = CELLS, seed: int = SEED) -> Column:
+    """The sketch of distinct digests: for each cell count, XOR of digests and XOR of their checks."""
     size = F.lit(cells // 3).cast("long")
-    placed = F.transform(found, lambda d: F.struct(d.alias("d"), check_of(d).alias("c"), *(cell_of(d, t, size, seed).alias(f"t{t}") for t in range(3))))
     zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("d"), F.lit(0).cast("long").alias("c"))
 
-    def cell(at: Column) -> Column:
-        own = F.filter(placed, lambda x: (x["t0"] == at) | (x["t1"] == at) | (x["t2"] == at))
-        sums = F.aggregate(
-            own,
-            zero,
-            lambda s, x: F.struct((s["n"] + 1).alias("n"), s["d"].bitwiseXOR(x["d"]).alias("d"), s["c"].bitwiseXOR(x["c"]).alias("c")),
-            lambda s: F.concat_ws(".", F.hex(s["n"]), F.hex(s["d"]), F.hex(s["c"])),
-        )
-        return sums
+    def third(t: int) -> Column:
+        placed = F.transform(found, lambda d: F.struct(d.alias("d"), check_of(d).alias("c"), cell_of(d, t, size, seed).alias("at")))
+        places = F.sequence(t * size, (t + 1) * size - 1)
+        cells = lambda own: F.transform(places, lambda at: F.aggregate(F.filter(own, lambda x: x["at"] == at), zero, lambda s, x: combined(s, x, 1)))
+        # In an array of one, so that the digests are placed once and not once a cell.
+        return F.get(F.transform(F.array(placed), cells), F.lit(0))
+
+    return F.concat(*(third(t) for t in range(3)))
+
 
-    return F.concat_ws("|", F.size(found).cast("string"), F.transform(F.sequence(F.lit(0).cast("long"), F.lit(cells - 1).cast("long")), cell))
+def combined(a: Column, b: Column, n: int | Column) -> Column:
+    """``a`` with ``n`` times the digest ``b``."""
+    return F.struct((a["n"] + n).alias("n"), a["d"].bitwiseXOR(b["d"]).alias("d"), a["c"].bitwiseXOR(b["c"]).alias("c"))
+
+
+def sketch(found: Column, cells: int = CELLS, seed: int = SEED) -> Column:
+    """The fingerprint as a string: number of digests, then count, XORs of digests and checks by cell."""
+    text = F.transform(cells_of(found, cells, seed), lambda x: F.concat_ws(".", F.hex(x["n"]), F.hex(x["d"]), F.hex(x["c"])))
+    return F.concat_ws("|", F.size(found).cast("string"), text)
+
+
+def bucket_of(key: Column, bounds: list[tuple]) -> Column:
+    """How many of the sorted ``bounds`` are at or below ``key``, a struct: found in two steps."""
+    fan = max(1, math.isqrt(len(bounds)))
+    groups = [bounds[i : i + fan] for i in range(0, len(bounds), fan)]
+    kind = "array<struct<doc_id: long, h: long>>"
+    fixed = lambda x, kind: F.from_json(F.lit(json.dumps(x)), kind)
+    named = lambda x: [{"doc_id": i, "h": h} for i, h in x]
+    below = lambda c: F.size(F.filter(c, lambda b: b <= key))
+    whole = below(fixed(named(g[-1] for g in groups), kind))
+    inside = F.get(fixed([named(g) for g in groups], f"array<{kind}>"), whole)
+    return (whole * fan + F.coalesce(F.when(inside.isNotNull(), below(inside)), F.lit(0))).cast("long")
 
 
 def with_next(docs: DataFrame) -> DataFrame:
     """(doc_id, text, found, next_text, next_found): each document and the next in doc_id order.
 
-    Documents are dealt to buckets of neighbouring ids, about 256 each; a bucket also gets the first
-    document of the next one, found among bucket minima, so texts are shuffled once.
+    Documents are dealt to buckets of neighbours, about 256 each by a sample of ids and text hashes; a
+    bucket also gets the first document of the next one, found among bucket minima, so texts are shuffled
+    once. Beyond ``MOST_BUCKETS`` buckets grow, and the window over one spills.
     """
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
-    low, high, n = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-    low, high = low or 0, high or 0
-    width = -(-(high - low + 1) // min(MOST_BUCKETS, max(1, n // 256)))
-    bucket = F.coalesce(F.floor((F.col("doc_id") - low) / width), F.lit(0)).cast("long")
-    docs = docs.withColumn("bucket", bucket)
+    n = docs.count()
+    buckets = min(MOST_BUCKETS, max(1, n // 256))
+    drawn = docs.sample(min(1.0, 16 * buckets / max(1, n)), seed=3).select("doc_id", "h").collect()
+    drawn = sorted({(r["doc_id"], r["h"]) for r in drawn}, key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
+    bounds = [drawn[len(drawn) * i // buckets] for i in range(1, buckets)] if len(drawn) >= buckets else []
+    docs = docs.withColumn("bucket", bucket_of(F.struct("doc_id", "h"), bounds))
     firsts = docs.groupBy("bucket").agg(F.min(F.struct("doc_id", "h")).alias("first"))
     order = Window.orderBy("bucket")  # at most MOST_BUCKETS small rows
     firsts = firsts.select(
@@ -133,23 +159,49 @@ def differing(pairs: DataFrame, seed: int) -> DataFrame:
     )
 
 
-def compare(pairs: DataFrame, attempts: int = 4) -> DataFrame:
-    """(pid, kind, differ): how many digests differ, for those of ``pairs`` (pid, kind, mine, yours;
-    partitioned by pid) that differ at all.
+def by_fingerprints(df: DataFrame, pairs: dict[str, tuple[str, str]], seed: int = SEED) -> DataFrame:
+    """``df`` with a column for each of ``pairs`` (two columns of cells): how many digests differ, found
+    by subtracting one's cells from the other's and peeling; null where they don't peel empty."""
+    size = F.lit(CELLS // 3).cast("long")
+    less = lambda a, b: F.zip_with(a, b, lambda x, y: combined(x, y, -y["n"]))
+    df = df.withColumns({f"{name}_left": less(a, b) for name, (a, b) in pairs.items()})
+    df = df.withColumns({name: F.lit(0) for name in pairs})
+    for third in (0, 1, 2, 0, 1, 2):
+        alone = lambda x, i: (F.abs(x["n"]) == 1) & (x["c"] == check_of(x["d"])) & (cell_of(x["d"], third, size, seed) == i + third * size)  # noqa: B023, E731
+        lone = {f"{name}_lone": F.filter(F.slice(f"{name}_left", third * CELLS // 3 + 1, CELLS // 3), alone) for name in pairs}
+        placed = lambda x: F.struct(x["n"].alias("n"), x["d"].alias("d"), x["c"].alias("c"), F.array(*(cell_of(x["d"], t, size, seed) for t in range(3))).alias("at"))  # noqa: B023, E731
+        df = df.withColumns({name: F.transform(c, placed) for name, c in lone.items()})
+
+        def without(name: str) -> Column:
+            own = F.col(f"{name}_lone")
+            taken = lambda x, i: F.aggregate(own, x, lambda s, p: F.when(F.array_contains(p["at"], i.cast("long")), combined(s, p, -p["n"])).otherwise(s))
+            return F.when(F.size(own) == 0, F.col(f"{name}_left")).otherwise(F.transform(f"{name}_left", taken))
+
+        df = df.withColumns({f"{name}_left": without(name) for name in pairs} | {name: F.col(name) + F.size(f"{name}_lone") for name in pairs})
+    empty = lambda name: F.forall(f"{name}_left", lambda x: (x["n"] == 0) & (x["d"] == 0) & (x["c"] == 0))
+    df = df.withColumns({name: F.when(empty(name), F.col(name)) for name in pairs})
+    return df.drop(*(f"{name}_{x}" for name in pairs for x in ("left", "lone")))
+
 
-    A pair that could differ in few paragraphs is tried with the fingerprint's own size, others with
-    a table for all their paragraphs; cells that don't peel empty are tried again with tables twice as
-    large and other places. What ``attempts`` leave undecided (practically never) is counted from the
-    digests themselves.
+def compare(pairs: DataFrame, attempts: int = 4, size: Column | None = None) -> DataFrame:
+    """(pid, kind, differ): how many digests differ, for those of ``pairs`` (pid, kind, mine, yours) that
+    differ at all.
+
+    Each pair has a table for all its paragraphs (thirds of ``size`` cells); cells that don't peel empty
+    are tried again with tables twice as large and other places. What ``attempts`` leave undecided
+    (practically never) is counted from the digests themselves.
     """
     both = F.size("mine") + F.size("yours")
-    size = F.greatest(F.lit(CELLS // 3), F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(both, F.lit(1)))))).cast("long")
+    if size is None:
+        size = F.greatest(F.lit(CELLS // 3), F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(both, F.lit(1)))))).cast("long")
     done, left = None, pairs.withColumn("size", size)
-    for attempt in range(attempts):
-        found = stage(differing(left, SEED + attempt).withColumn("differ", F.size("differ")), "sketch-found")
+    for attempt in range(1, attempts):
+        # Cells are many times the digests, so the number of partitions is kept, whatever the digests' size.
+        dealt = left.repartition(2 * partitions(pairs.sparkSession), "pid")
+        found = stage(differing(dealt, SEED + attempt).withColumn("differ", F.size("differ")), "sketch-found")
         good = found.filter("whole").select("pid", "kind", "differ")
         done = good if done is None else done.union(good)
-        # A table of its own, so that the next join knows how small it is and leaves the pairs in place.
+        # A table of its own, so that the next join knows how small it is: then only these pairs are dealt again.
         failed = stage(found.filter("NOT whole").select("pid", "kind"), "sketch-failed")
         if failed.isEmpty():
             return done
@@ -168,23 +220,23 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """For each of ``docs``: doc_id, n_chars, the edited text's SHA-256, both fingerprints, and how
     like its fingerprint is to the edited text's and to the next document's."""
     new = edited(F.col("text"), F.col("next_text"))
-    made = with_next(docs).withColumn("new", new)
-    base = stage(
-        made.select(
-            F.monotonically_increasing_id().alias("pid"),
-            "doc_id",
-            F.length("text").cast("long").alias("n_chars"),
-            F.sha2(F.col("new").cast("binary"), 256).alias("edited_sha256"),
-            "found",
-            digests(F.col("new")).alias("new_found"),
-            "next_found",
-        ),
-        "sketch-digests",
+    made = with_next(docs).withColumn("new", new).select(
+        F.monotonically_increasing_id().alias("pid"),
+        "doc_id",
+        F.length("text").cast("long").alias("n_chars"),
+        F.sha2(F.col("new").cast("binary"), 256).alias("edited_sha256"),
+        "found",
+        digests(F.col("new")).alias("new_found"),
+        "next_found",
     )
-    pair = lambda kind, other: F.struct(F.lit(kind).alias("kind"), F.col("found").alias("mine"), F.col(other).alias("yours"))
-    # Cells are many times the digests, so the number of partitions is kept, whatever the digests' size.
-    dealt = base.select("pid", "found", "new_found", "next_found").repartition(2 * partitions(docs.sparkSession), "pid")
-    differ = compare(dealt.select("pid", F.inline(F.array(pair("edited", "new_found"), pair("next", "next_found")))))
+    names = {f"{c}_cells": c for c in ("found", "new_found", "next_found")}
+    own = made.withColumns({name: cells_of(F.col(c)) for name, c in names.items()})
+    own = by_fingerprints(own, {"own_edited": ("found_cells", "new_found_cells"), "own_next": ("found_cells", "next_found_cells")})
+    base = stage(own.drop(*names), "sketch-digests")
+    pair = lambda kind, other: F.when(F.col(f"own_{kind}").isNull(), F.struct(F.lit(kind).alias("kind"), F.col("found").alias("mine"), F.col(other).alias("yours")))
+    left = F.array_compact(F.array(pair("edited", "new_found"), pair("next", "next_found")))
+    unsettled = base.filter("own_edited IS NULL OR own_next IS NULL")
+    differ = compare(unsettled.select("pid", F.inline(left)))
     by_pid = differ.groupBy("pid").agg(
         F.max(F.when(F.col("kind") == "edited", F.col("differ"))).alias("d_edited"),
         F.max(F.when(F.col("kind") == "next", F.col("differ"))).alias("d_next"),
@@ -195,6 +247,6 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         "edited_sha256",
         sketch(F.col("found")).alias("fingerprint"),
         sketch(F.col("new_found")).alias("edited_fingerprint"),
-        likeness(F.col("found"), F.col("new_found"), F.col("d_edited")).alias("near_edited"),
-        likeness(F.col("found"), F.col("next_found"), F.col("d_next")).alias("near_next"),
+        likeness(F.col("found"), F.col("new_found"), F.coalesce("own_edited", "d_edited")).alias("near_edited"),
+        likeness(F.col("found"), F.col("next_found"), F.coalesce("own_next", "d_next")).alias("near_next"),
     )
