@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binary_records, fingerprint, language_id, line_dedup, mixing, ngram_join, packing, suffix_dedup, topk, url_filter
+from . import binary_records, bpe, fingerprint, language_id, line_dedup, mixing, negatives, ngram_join, packing, spelling, suffix_dedup, topk, url_filter
 from ._common import table
 
 #: The rules of the URL query: host, path, verdict.
@@ -83,6 +83,23 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spelling.count_words(spelling.dropped_letters(spelling.runs(table(spark, sf_dir, "documents")), one_in=97))
+    return spelling.group_variants(words.filter((F.length("word") >= 5) & (F.col("n") >= 3)))
+
+
+def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenizer_file("byte_bpe_50k.json")
+    made = bpe.decode_ids(bpe.encode_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), path), path)
+    decoded = F.sha2(F.col("decoded").cast("binary"), 256)
+    return made.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), decoded.alias("decoded_sha256"))
+
+
+def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(table(spark, sf_dir, "embeddings").withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -96,6 +113,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_ngram_join,
         op9_url_filter,
         op10_fingerprint,
+        op11_spelling,
+        op12_bpe,
+        op13_negatives,
     )
 }
 
@@ -153,5 +173,44 @@ r AS (SELECT doc_id AS node, doc_id AS seen FROM documents UNION SELECT r.node,
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id
 FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id
 JOIN (SELECT node, min(seen) AS component_id FROM r GROUP BY node) c ON c.node = d.doc_id
+""",
+    "op11_spelling": """
+WITH RECURSIVE t AS (
+  SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+    lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS crc),
+r AS (SELECT doc_id, unnest(regexp_extract_all(_LOWER_, '[a-zÀ-ÿ]+')) AS run FROM documents),
+c AS (SELECT doc_id, run, count(*) AS n, string_split(concat(doc_id, ':', run), '') AS cs FROM r GROUP BY doc_id, run),
+h AS (
+  SELECT run, c.n, xor(list_reduce(list_prepend(4294967295, flatten(list_transform(cs,
+    lambda x: CASE WHEN unicode(x) < 128 THEN [unicode(x)::BIGINT] ELSE [195, unicode(x)::BIGINT - 64] END))),
+    lambda a, b: xor(a >> 8, crc[(xor(a, b) & 255) + 1])), 4294967295) AS h FROM c, t),
+e AS (SELECT n, CASE WHEN h % 97 = 0 THEN left(run, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word FROM h),
+w AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM e WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+d AS (SELECT word, n, i, left(word, i - 1) || substr(word, i + 1) AS rest FROM (SELECT *, unnest(range(1, length(word) + 1))::INT AS i FROM w)),
+p AS (
+  SELECT DISTINCT d.word AS a, w.word AS b, w.n FROM d JOIN w ON w.word = d.rest
+  UNION SELECT w.word, d.word, d.n FROM d JOIN w ON w.word = d.rest
+  UNION SELECT x.word, y.word, y.n FROM d x JOIN d y ON x.rest = y.rest AND x.i = y.i AND x.word <> y.word),
+b AS (SELECT a, count(*) AS n_near, arg_max(b, struct_pack(n := n, o := -k)) AS best, max(n) AS best_n
+  FROM (SELECT *, row_number() OVER (ORDER BY b) AS k FROM p) GROUP BY a),
+f AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= 2 * w.n THEN best END AS form,
+  CASE WHEN best_n >= 2 * w.n THEN best_n END AS form_n FROM w LEFT JOIN b ON b.a = w.word),
+s AS (SELECT word, word AS at, form AS next FROM f UNION ALL SELECT s.word, s.next, f.form FROM s JOIN f ON f.word = s.next)
+SELECT f.word, f.form, s.at AS root, f.n, f.n_near, f.form_n FROM f JOIN s ON s.word = f.word WHERE s.next IS NULL
+""".replace("_LOWER_", _LOWER.format("coalesce(text, '')")),
+    "op13_negatives": """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, v.vec_id, a.label = v.label AS alike, CAST(list_inner_product(a.e, v.e) AS BIGINT) AS score
+  FROM v a JOIN v ON a.vec_id <> v.vec_id WHERE a.vec_id % 100 = 0),
+p AS (SELECT * FROM s WHERE alike QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, p.vec_id AS positive_id,
+  CAST(row_number() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY n.score DESC, n.vec_id) AS INTEGER) AS rank,
+  n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM p JOIN s n ON n.anchor_id = p.anchor_id AND NOT n.alike AND 80 * p.score <= 100 * n.score AND n.score <= p.score
+QUALIFY rank <= 5
 """,
 }

@@ -11,9 +11,11 @@ than one of each. A vector is dense, so a term's postings are a column of the sh
 essential terms go together, and traverse the columns that one of them holds essential as one matrix
 product.
 
-Defined cases: vectors that are null or hold null or non-finite components, and those with a null id,
-take no part; shorter vectors count as ending in zeros; repeated ids are separate candidates; a query never finds its own
-id; an empty table gives no rows; other columns are ignored; ties go to the smaller id.
+Defined cases: vectors that are null or hold null or non-finite components (scaled ones too), and those with a null
+id, take no part; shorter vectors count as ending in zeros; repeated ids are separate candidates, and repeated queries separate
+queries with k rows each; a query doesn't find its own row, which is one of its id and vector, but other rows
+of its id; an empty table gives no rows; other columns are ignored; ties go to the smaller id. Numbers of any size are scored
+exactly: in floats where these hold all sums, else in whole numbers; a score that no long holds is an error.
 """
 
 from __future__ import annotations
@@ -30,31 +32,41 @@ from ._common import partitions, stage
 
 TOGETHER = 64  # queries of one matrix product
 LEAST = 4096  # rows that a shard has at least, where there are enough
-FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+FOUND = pa.schema([("query", pa.int64()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64()), ("own", pa.bool_())])
 
 
 def whole_numbers(vector: Column, scale: int) -> Column:
     """floor(scale * x) of each component as a double; null where the vector takes no part."""
-    sound = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return F.when(sound, F.transform(vector, lambda x: F.floor(F.lit(float(scale)) * x.cast("double"))))
+    scaled = F.transform(vector, lambda x: F.lit(float(scale)) * x.cast("double"))
+    sound = F.forall(scaled, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    # Doubles from 2^52 on are whole already, and may be too large for floor's long.
+    return F.when(sound, F.transform(scaled, lambda x: F.when(F.abs(x) < float(1 << 52), F.floor(x).cast("double")).otherwise(x)))
 
 
 def matrix(vectors: pa.ChunkedArray, width: int) -> np.ndarray:
-    size = lengths(vectors)
-    out = np.zeros((len(size), width), np.int64)
+    """Whole numbers as 64-bit integers, or as Python's where one is larger."""
+    size, numbers = lengths(vectors), pc.list_flatten(vectors).to_numpy()
+    large = len(numbers) and float(np.abs(numbers.astype(float)).max()) >= 1 << 63
+    out = np.zeros((len(size), width), object if large else np.int64)
     row = np.repeat(np.arange(len(size)), size)
-    out[row, np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)] = pc.list_flatten(vectors).to_numpy()
+    out[row, np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)] = list(map(int, numbers.tolist())) if large else numbers
     return out
 
 
+def exact_kind(a: np.ndarray, b: np.ndarray) -> type:
+    """The narrowest kind of number that holds every sum of products of rows of ``a`` and ``b``."""
+    largest = lambda x: max(int(x.max(initial=0)), -int(x.min(initial=0)))
+    most = largest(a) * largest(b) * max(1, a.shape[1])
+    return np.float32 if most < 1 << 24 else np.float64 if most < 1 << 53 else np.int64 if most < 1 << 62 else object
+
+
 def lengths(vectors: pa.ChunkedArray) -> np.ndarray:
     return pc.list_value_length(vectors).to_numpy().astype(np.int64)
 
 
 def max_score(q_ids: np.ndarray, q: np.ndarray, v_ids: np.ndarray, v: np.ndarray, k: int, block: int = 2048):
     """Exact k best (score, then smaller id) of the shard ``v`` for each query: ids and scores."""
-    most = int(np.abs(q).max(initial=0)) * int(np.abs(v).max(initial=0)) * max(1, v.shape[1])
-    kind = np.float32 if most < 1 << 24 else np.float64 if most < 1 << 53 else np.int64
+    kind = exact_kind(q, v)
     order = np.argsort(v_ids, kind="stable")
     v_ids, v = v_ids[order], v[order].astype(kind)
     q = q.astype(kind)
@@ -110,29 +122,36 @@ def top_k(
     all cores have one.
     """
     whole = lambda df: df.select("vec_id", whole_numbers(F.col("embedding"), scale).alias("v")).filter("vec_id IS NOT NULL AND v IS NOT NULL")
-    q, v = stage(whole(queries), "topk-queries"), stage(whole(vectors), "topk-vectors")
+    q = stage(whole(queries).withColumn("query", F.monotonically_increasing_id()), "topk-queries")
+    v = stage(whole(vectors), "topk-vectors")
     n = v.count()
     blocks, shards = max(1, math.ceil(q.count() / query_block)), max(1, math.ceil(n / shard_rows), min(partitions(v.sparkSession), n // LEAST))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    q = q.select("vec_id", "v", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("block"), every(shards).alias("shard"))
-    v = v.select("vec_id", "v", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).alias("shard"), every(blocks).alias("block"))
+    q = q.select("query", "vec_id", "v", F.pmod(F.xxhash64("query"), F.lit(blocks)).alias("block"), every(shards).alias("shard"))
+    v = v.select("vec_id", "v", F.pmod(F.xxhash64("vec_id", "v"), F.lit(shards)).alias("shard"), every(blocks).alias("block"))
 
     def searched(a: pa.Table, b: pa.Table) -> pa.Table:
         if not a.num_rows or not b.num_rows:
             return FOUND.empty_table()
         width = max(int(lengths(t.column("v")).max()) for t in (a, b))
-        ids = [t.column("vec_id").to_numpy() for t in (a, b)]
-        best = max_score(ids[0], matrix(a.column("v"), width), ids[1], matrix(b.column("v"), width), k)
-        return pa.table(
-            [
-                pa.array(np.repeat(ids[0], [len(i) for i, _ in best])),
-                pa.array(np.concatenate([i for i, _ in best])),
-                pa.array(np.concatenate([s for _, s in best]).astype(np.int64)),
-            ],
-            schema=FOUND,
-        )
+        b = b.sort_by("vec_id")
+        query, own, ids = (t.column(c).to_numpy() for t, c in ((a, "query"), (a, "vec_id"), (b, "vec_id")))
+        m, n = matrix(a.column("v"), width), matrix(b.column("v"), width)
+        # By position, which is the order of ids; one more than k, as a query's own row may be among them.
+        best = max_score(-1 - np.arange(len(m)), m, np.arange(len(n)), n, k + 1)
+        asked = np.repeat(np.arange(len(m)), [len(i) for i, _ in best])
+        at = np.concatenate([i for i, _ in best])
+        score = [int(x) for _, s in best for x in s.tolist()]
+        same = (ids[at] == own[asked]) & (n[at] == m[asked]).all(1)
+        try:
+            return pa.table([pa.array(query[asked]), pa.array(own[asked]), pa.array(ids[at]), pa.array(score, pa.int64()), pa.array(same)], schema=FOUND)
+        except (OverflowError, pa.ArrowInvalid) as e:
+            raise ValueError("a score is too large for a long") from e
 
     keys = ("block", "shard")
-    found = q.groupBy(*keys).cogroup(v.groupBy(*keys)).applyInArrow(searched, "query_id long, vec_id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    found = q.groupBy(*keys).cogroup(v.groupBy(*keys)).applyInArrow(searched, "query long, query_id long, vec_id long, score long, own boolean")
+    best = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
+    # One of the rows of a query's own id and vector is the query's own; the others are like it.
+    first_own = F.row_number().over(Window.partitionBy("query", "own").orderBy(F.desc("score")))
+    others = found.withColumn("nth", first_own).filter(~(F.col("own") & (F.col("nth") == 1)))
+    return others.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
