@@ -1,12 +1,15 @@
 """Spelling variants of words, found by pivotal grams.
 
 Two words are near if one inserted, deleted or replaced code point leads from one to the other. A word's
-bigrams are ranked by how rare they are; its *prefix* is its three rarest (and others as rare as the third), and its
+bigrams are ranked by how rare they are; its *prefix* is its three rarest, and its
 *pivots* are two bigrams of the prefix that share no letter, chosen by dynamic programming for the least frequency. One
 edit spoils one of two disjoint bigrams at most, so of two near words, the one whose prefix ends at the rarer
-bigram has a pivot in the other's prefix. The edit also moves that bigram by no more than the lengths
-differ. So prefixes are indexed by bigram, position and length, each pivot asks the five places where it can lie
-in a near word, and what meets there is verified.
+bigram has a pivot in the other's prefix. Its position there is limited: if the edit is behind the pivot, all up to the pivot
+is as it was, and if before, all from it on. So a prefix bigram is indexed with the word's length twice, with
+what is before it and with what is behind it, a pivot asks the three lengths of near words, and what meets is verified.
+
+A bigram as rare as the prefix's last may occur many times. An edit brings two more of them before a pivot at most, so
+if pivots are among the first three of that rank, index entries of the first five hold them.
 
 Bigrams fall into 65,536 buckets (exact for Latin-1), so their frequencies are a small table whatever the
 words. Index entries that very many words share are dealt over parts, each asked by all pivots.
@@ -18,10 +21,15 @@ code-point order; texts and words count whole, of any length; an empty table giv
 
 from __future__ import annotations
 
+import functools
+import heapq
+import itertools
+import operator
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +39,7 @@ from ._common import ascii_lower, stage
 RUN = "[a-zÀ-ÿ]+"
 BUCKETS = 1 << 16
 SHORTEST = 4  # code points of a word that has three bigrams
+LEVEL = 3  # bigrams of the prefix's last rank among which pivots are chosen
 HOT = 2048  # words of an index entry that are kept together
 KEYS = pa.schema(
     [("word", pa.string()), ("n", pa.int64()), ("last", pa.int32()), ("letters", pa.int64()), ("prefix", pa.list_(pa.int64())), ("pivots", pa.list_(pa.int64()))]
@@ -100,37 +109,36 @@ def disjoint_pair(at: list[int], cost: list[int]) -> tuple[int, int]:
     return best[1:]
 
 
-def place(bucket: int, position: int, length: int) -> int:
-    """An index entry; places of words over 8 million letters may coincide, which only costs a look."""
-    return bucket << 46 | position % (1 << 23) << 23 | length % (1 << 23)
+def entry(side: str, length: int, part: str) -> int:
+    """An index entry: a word of this length starts (or ends) with this part."""
+    return xxhash.xxh3_64_intdigest(f"{side}{length} {part}") - (1 << 63)
 
 
-def keys_of(word: str, rank: np.ndarray, cost: np.ndarray) -> tuple[int, list[int], list[int]]:
-    """The rank at which a word's prefix ends, its index entries, and the places that its pivots ask."""
-    codes, _ = letter_codes([word])
-    own, size = bigrams(codes), len(word)
-    ranks = rank[own]
-    last = int(np.partition(ranks, 2)[2])
-    prefix = np.flatnonzero(ranks <= last).tolist()
-    asked = set()
-    for p in disjoint_pair(prefix, cost[own[prefix]].tolist()):
-        g = int(own[p])
-        asked |= {place(g, p, size), place(g, p, size + 1), place(g, p + 1, size + 1), place(g, p, size - 1)}
-        asked |= {place(g, p - 1, size - 1)} if p else set()
-    return last, sorted({place(int(own[p]), p, size) for p in prefix}), sorted(asked)
+def keys_of(word: str, rank: list[int], cost: list[int]) -> tuple[int, list[int], list[int]]:
+    """The rank at which a word's prefix ends, its index entries, and the entries that its pivots ask for."""
+    own, size = [(ord(a) * 256 + ord(b)) % BUCKETS for a, b in zip(word, word[1:])], len(word)
+    ranks = [rank[g] for g in own]
+    last = heapq.nsmallest(3, ranks)[2]
+    rarer = [p for p, r in enumerate(ranks) if r < last]
+    level = list(itertools.islice((p for p, r in enumerate(ranks) if r == last), LEVEL + 2))
+    entries = {entry(side, size, part) for p in rarer + level for side, part in (("<", word[: p + 2]), (">", word[p:]))}
+    prefix = sorted(rarer + level[:LEVEL])
+    pivots = disjoint_pair(prefix, [cost[own[p]] for p in prefix])
+    asked = {entry(side, n, part) for p in pivots for side, part in (("<", word[: p + 2]), (">", word[p:])) for n in (size - 1, size, size + 1)}
+    return last, list(entries), list(asked)
 
 
 def with_keys(words: DataFrame, counts: np.ndarray) -> DataFrame:
-    """Each word with the end of its prefix, a mask of its letters, its index entries and what its pivots ask."""
-    rank = np.empty(BUCKETS, np.int32)
-    rank[np.argsort(counts, kind="stable")] = np.arange(BUCKETS, dtype=np.int32)
+    """Each word with the end of its prefix, a mask of its letters, its index entries and what its pivots ask for."""
+    rank, cost = np.argsort(np.argsort(counts, kind="stable"), kind="stable").tolist(), counts.tolist()
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             names = b.column(0).to_pylist()
-            made = [keys_of(w, rank, counts) for w in names]
-            masks = [int(np.bitwise_or.reduce(1 << (letter_codes([w])[0] % 63))) for w in names]
-            columns = [b.column(0).cast(pa.string()), b.column(1), *(pa.array(c, k.type) for c, k in zip(([x[0] for x in made], masks, [x[1] for x in made], [x[2] for x in made]), list(KEYS)[2:]))]
+            made = [keys_of(w, rank, cost) for w in names]
+            masks = [functools.reduce(operator.or_, (1 << (ord(c) % 63) for c in set(w))) for w in names]
+            last, prefix, pivots = ([x[i] for x in made] for i in range(3))
+            columns = [b.column(0).cast(pa.string()), b.column(1), *(pa.array(c, k.type) for c, k in zip((last, masks, prefix, pivots), list(KEYS)[2:]))]
             yield pa.RecordBatch.from_arrays(columns, schema=KEYS)
 
     return words.select("word", F.col("n").cast("long").alias("n")).mapInArrow(make, "word string, n long, last int, letters long, prefix array<long>, pivots array<long>")
