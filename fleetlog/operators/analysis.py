@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .catalog import gaps
 from .relation import between, topic_relation
-from .rowindex import row_index, with_previous, with_running_sum
+from .rowindex import join_same, row_index, with_previous, with_running_sum
 
 ORDER = ("timestamp_seconds", "seq")
 
@@ -71,7 +71,7 @@ def latency_anomalies(df: DataFrame, k: float, huge: bool = False) -> DataFrame:
     """Messages whose gap is more than mean + k standard deviations of their topic."""
     gap = gaps(df, huge)
     limit = gap.groupBy("log_id", "topic").agg((F.avg("latency") + k * F.stddev("latency")).alias("limit"))
-    return gap.join(limit, ["log_id", "topic"]).filter(F.col("latency") > F.col("limit")).select(*gap.columns)
+    return join_same(gap, limit, ["log_id", "topic"]).filter(F.col("latency") > F.col("limit")).select(*gap.columns)
 
 
 def correlate(df: DataFrame, a: Column, b: Column) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .lookback import TICK, lookback_time
+from .panes import Condition, aggregate_time
 
 GATES: dict[str, Callable[..., DataFrame]] = {}
 TASKS: dict[str, Callable[..., DataFrame]] = {}
@@ -32,14 +33,21 @@ def call(registry: dict[str, Callable[..., DataFrame]], name: str, **arguments)
     return registry[name](**{k: v for k, v in arguments.items() if k in known})
 
 
-def sql_gate(ticks: DataFrame, rows: DataFrame, select: Column, seconds: float) -> DataFrame:
+def sql_gate(ticks: DataFrame, rows: DataFrame, select: Column | Condition, seconds: float, huge: bool = False) -> DataFrame:
     """``select``, a boolean aggregate, over each tick's lookback of ``rows``. A tick with an empty
-    window gets the aggregate's value on no rows; NULL is an error."""
+    window gets the aggregate's value on no rows; NULL is an error.
+
+    A ``Condition`` of mergeable aggregates is answered from panes, at a cost that doesn't grow with the overlap of
+    lookbacks; any other aggregate copies a row to each window that holds it."""
+    wrong = F.raise_error(F.lit("a gate's value is NULL")).cast("boolean")
+    if isinstance(select, Condition):
+        made = aggregate_time(rows, ticks, seconds, select.aggregates, huge, empty=True)
+        return made.select(*TICK, F.coalesce(select.holds, wrong).alias("passed"))
     seen = lookback_time(rows, ticks, seconds).groupBy(*TICK).agg(select.alias("value"))
     nothing = rows.limit(0).agg(select.alias("value")).first()[0]
     value = F.when(F.col("hit"), F.col("value")).otherwise(F.lit(nothing).cast("boolean"))
     joined = ticks.join(seen.withColumn("hit", F.lit(True)), list(TICK), "left")
-    return joined.select(*TICK, F.coalesce(value, F.raise_error(F.lit("a gate's value is NULL")).cast("boolean")).alias("passed"))
+    return joined.select(*TICK, F.coalesce(value, wrong).alias("passed"))
 
 
 def sql_gate_statement(ticks: DataFrame, rows: DataFrame, statement: str, seconds: float) -> DataFrame:

@@ -5,20 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .rowindex import earlier, ranged, row_index
+from .rowindex import earlier, join_same, ranged, row_index
 
 TICK = ("log_id", "tick_no", "asof_seconds")
 
 
 def lookback_time(df: DataFrame, ticks: DataFrame, seconds: float) -> DataFrame:
     """Rows with asof - seconds ≤ timestamp ≤ asof. A window of T seconds touches two bins of T, so
-    this is an equi-join on bins and a filter, not a nested loop. A lower bound below 0 is none."""
-    rows = df.withColumn("bin", F.floor(F.col("timestamp_seconds") / seconds))
-    at = F.floor(F.col("asof_seconds") / seconds)
-    dealt = ticks.select(*TICK, F.explode(F.sequence(at - 2, at)).alias("bin"))
+    this is an equi-join on bins and a filter, not a nested loop. A lower bound below 0 is none, so
+    times below 0 are one bin."""
+    bin_of = lambda t: F.greatest(F.floor(t / seconds), F.lit(-1))
+    rows, at = df.withColumn("bin", bin_of(F.col("timestamp_seconds"))), bin_of(F.col("asof_seconds"))
+    dealt = ticks.select(*TICK, F.explode(F.sequence(F.greatest(at - 2, F.lit(-1)), at)).alias("bin"))
     low = F.col("asof_seconds") - seconds
     return (
-        rows.join(dealt, ["log_id", "bin"])
+        join_same(rows, dealt, ["log_id"], ["bin"])
         .filter((F.col("timestamp_seconds") <= F.col("asof_seconds")) & ((low < 0) | (F.col("timestamp_seconds") >= low)))
         .select(*TICK, *(F.col(f"`{c}`") for c in df.columns if c != "log_id"))
     )
@@ -30,7 +31,7 @@ def lookback_frames(df: DataFrame, ticks: DataFrame, n: int, huge: bool = False)
     indexed = row_index(df, ["log_id"], ["timestamp_seconds", "seq"], huge)
     at = asof_all(indexed, ticks, F.col("row_index"), huge).filter("high IS NOT NULL")
     wanted = at.select(*TICK, F.explode(F.sequence(F.greatest(F.col("high") - (n - 1), F.lit(0)), F.col("high"))).alias("row_index"))
-    return indexed.join(wanted, ["log_id", "row_index"]).select(*TICK, "row_index", *(F.col(f"`{c}`") for c in df.columns if c != "log_id"))
+    return join_same(indexed, wanted, ["log_id"], ["row_index"]).select(*TICK, "row_index", *(F.col(f"`{c}`") for c in df.columns if c != "log_id"))
 
 
 def asof_all(df: DataFrame, ticks: DataFrame, value: Column, huge: bool = False) -> DataFrame:
@@ -57,7 +58,7 @@ def asof_all(df: DataFrame, ticks: DataFrame, value: Column, huge: bool = False)
     tails = both.groupBy(*keys).agg(F.count("v").alias("n0"), F.sum("v").alias("total0"), F.max("v").alias("high0"))
     before = earlier(["log_id"])
     carry = tails.select(*keys, F.sum("n0").over(before).alias("n0"), F.sum("total0").over(before).alias("total0"), F.max("high0").over(before).alias("high0"))
-    return seen.join(carry, keys).select(
+    return join_same(seen, carry, ["log_id"], ["chunk"]).select(
         "log_id", "tick_no", "asof_seconds",
         (F.col("n") + F.coalesce("n0", F.lit(0))).alias("n"),
         F.coalesce(F.col("total") + F.col("total0"), "total", "total0").alias("total"),
@@ -66,5 +67,6 @@ def asof_all(df: DataFrame, ticks: DataFrame, value: Column, huge: bool = False)
 
 
 def asof_rows(df: DataFrame, ticks: DataFrame) -> DataFrame:
-    """All rows at or before each tick; as many rows as that is, so for few ticks."""
-    return df.join(ticks.select(*TICK), "log_id").filter("timestamp_seconds <= asof_seconds").select(*TICK, *(F.col(f"`{c}`") for c in df.columns if c != "log_id"))
+    """All rows at or before each tick; as many rows as that is, so for few ticks. ``panes.aggregate_time`` without
+    seconds gives mergeable aggregates of them for any number."""
+    return join_same(df, ticks.select(*TICK), ["log_id"]).filter("timestamp_seconds <= asof_seconds").select(*TICK, *(F.col(f"`{c}`") for c in df.columns if c != "log_id"))

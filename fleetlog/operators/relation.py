@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from ..storage import shared_dir, stage
 from .catalog import field_paths, leaves, require_topics
-from .rowindex import row_index
+from .rowindex import join_same, row_index
 
 KEYS = ("log_id", "seq", "timestamp_seconds")
 
@@ -68,7 +68,7 @@ def ffill(relation: DataFrame, huge: bool = False) -> DataFrame:
     )
     before = Window.partitionBy("log_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     carry = tails.select("log_id", "chunk", *(F.last(f"t{i}", ignorenulls=True).over(before).alias(f"t{i}") for i in range(len(names))))
-    return local.join(carry, ["log_id", "chunk"]).select(
+    return join_same(local, carry, ["log_id"], ["chunk"]).select(
         *KEYS, *(F.coalesce(quoted(c), f"t{i}").alias(c) for i, c in enumerate(names))
     )
 

@@ -8,6 +8,14 @@ from pyspark.sql import functions as F
 from ..storage import stage
 
 
+def join_same(left: DataFrame, right: DataFrame, nullable: list[str], keys: list[str] = (), how: str = "inner") -> DataFrame:
+    """An equi-join of ``left`` and ``right`` in which NULLs of the ``nullable`` keys are equal, as they are in a window's
+    groups; ``keys`` are never NULL."""
+    named = {k: f"_same_{k}" for k in [*nullable, *keys]}
+    on = [F.col(k).eqNullSafe(F.col(named[k])) for k in nullable] + [F.col(k) == F.col(named[k]) for k in keys]
+    return left.join(right.withColumnsRenamed(named), on, how).drop(*named.values())
+
+
 def row_index(df: DataFrame, keys: list[str], order: list[str], huge: bool = False) -> DataFrame:
     """``df`` with ``row_index``, from 0, by ``order`` within ``keys``.
 
@@ -26,7 +34,7 @@ def row_index(df: DataFrame, keys: list[str], order: list[str], huge: bool = Fal
     # A group's rows in a partition are consecutive, so its index there starts at its first row.
     spans = dealt.groupBy(*keys, "_part").agg(F.count("*").alias("_n"), F.min("_local").alias("_first"))
     spans = spans.withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).drop("_n", "_first")
-    joined = dealt.join(spans, [*keys, "_part"])
+    joined = join_same(dealt, spans, keys, ["_part"])
     return joined.select(*df.columns, (F.col("_base") + F.col("_local")).cast("long").alias("row_index"))
 
 
@@ -53,7 +61,7 @@ def with_previous(df: DataFrame, keys: list[str], order: list[str], value: Colum
     last = dealt.groupBy(*keys, "chunk").agg(F.max_by(held, F.struct(*order)).alias("_last"))
     carry = last.withColumn("_last", F.last("_last").over(earlier(keys)))
     local = F.lag(held).over(Window.partitionBy(*keys, "chunk").orderBy(*order))
-    made = dealt.withColumn("_own", local).join(carry, [*keys, "chunk"])
+    made = join_same(dealt.withColumn("_own", local), carry, keys, ["chunk"])
     return made.withColumn(name, F.coalesce("_own", "_last")["v"]).select(*df.columns, name)
 
 
@@ -65,5 +73,5 @@ def with_running_sum(df: DataFrame, keys: list[str], order: list[str], value: Co
     dealt = ranged(df.withColumn("_v", value), keys, order, "running")
     total = dealt.groupBy(*keys, "chunk").agg(F.sum("_v").alias("_sum"))
     carry = total.withColumn("_sum", F.coalesce(F.sum("_sum").over(earlier(keys)), F.lit(0)))
-    made = dealt.withColumn("_own", F.sum("_v").over(first([*keys, "chunk"]))).join(carry, [*keys, "chunk"])
+    made = join_same(dealt.withColumn("_own", F.sum("_v").over(first([*keys, "chunk"]))), carry, keys, ["chunk"])
     return made.withColumn(name, F.col("_own") + F.col("_sum")).select(*df.columns, name)

@@ -13,13 +13,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .lookback import TICK, lookback_frames, lookback_time
+from .panes import Mergeable, aggregate_time
 from ..functions.columns import fixed8
 from .catalog import leaves
 from .relation import ffill, wide
 
 
-def topic_sql_task(ticks: DataFrame, rows: DataFrame, aggregates: list[Column], seconds: float) -> DataFrame:
-    """The aggregates over each tick's lookback."""
+def topic_sql_task(ticks: DataFrame, rows: DataFrame, aggregates: list[Column] | dict[str, Mergeable], seconds: float, huge: bool = False) -> DataFrame:
+    """The aggregates over each tick's lookback that holds a row. Named mergeable ones are answered from panes, at a cost
+    that doesn't grow with the overlap of lookbacks; other columns copy a row to each window that holds it."""
+    if isinstance(aggregates, dict):
+        return aggregate_time(rows, ticks, seconds, aggregates, huge)
     return lookback_time(rows, ticks, seconds).groupBy(*TICK).agg(*aggregates)
 
 

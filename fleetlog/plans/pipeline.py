@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import to_seconds
 from ..operators.gates import gate_and
 from ..operators.lookback import TICK, asof_rows, lookback_frames, lookback_time
+from ..operators.panes import Mergeable, aggregate_frames, aggregate_time
 from ..operators.ticks import ticks_at_end, ticks_every_frames, ticks_every_seconds
 
 NAME = re.compile(r"[a-z][a-z0-9]*(_[a-z0-9]+)*")
@@ -41,23 +42,31 @@ class Every:
         return to_seconds(self.value, self.unit)
 
 
-#: Rows of a frame that each tick's lookback holds.
-Seen = Callable[[DataFrame], DataFrame]
-#: A gate or a task: takes ticks, and ``Seen`` if it has a second argument.
-Step = Callable[..., DataFrame]
+@dataclass(frozen=True)
+class Seen:
+    """What each of ``ticks`` sees: its lookback by time or by frames, without one all so far.
+
+    Calling it on a frame gives the rows, copied to each tick that sees them; ``aggregate`` gives mergeable
+    aggregates of them, at a cost of rows and ticks, however much lookbacks overlap."""
 
+    ticks: DataFrame
+    lookback: Every | None
 
-def window(ticks: DataFrame, lookback: Every | None) -> Seen:
-    """What each of ``ticks`` sees: its lookback by time or by frames, without one all rows so far."""
+    def __call__(self, df: DataFrame) -> DataFrame:
+        if self.lookback is None:
+            return asof_rows(df, self.ticks)
+        if self.lookback.unit == "frame":
+            return lookback_frames(df, self.ticks, int(self.lookback.value))
+        return lookback_time(df, self.ticks, self.lookback.seconds())
 
-    def seen(df: DataFrame) -> DataFrame:
-        if lookback is None:
-            return asof_rows(df, ticks)
-        if lookback.unit == "frame":
-            return lookback_frames(df, ticks, int(lookback.value))
-        return lookback_time(df, ticks, lookback.seconds())
+    def aggregate(self, df: DataFrame, aggregates: dict[str, Mergeable], huge: bool = False, empty: bool = False) -> DataFrame:
+        if self.lookback is not None and self.lookback.unit == "frame":
+            return aggregate_frames(df, self.ticks, int(self.lookback.value), aggregates, huge, empty)
+        return aggregate_time(df, self.ticks, self.lookback and self.lookback.seconds(), aggregates, huge, empty)
 
-    return seen
+
+#: A gate or a task: takes ticks, and ``Seen`` if it has a second argument.
+Step = Callable[..., DataFrame]
 
 
 @dataclass(frozen=True)
@@ -90,7 +99,7 @@ class Pipeline:
     def step(self, name: str, fn: Step, ticks: DataFrame) -> DataFrame:
         if len(inspect.signature(fn).parameters) < 2:
             return fn(ticks)
-        return fn(ticks, window(ticks, self.lookbacks.get(name, self.lookback)))
+        return fn(ticks, Seen(ticks, self.lookbacks.get(name, self.lookback)))
 
     def run(self, messages: DataFrame, ticks: DataFrame | None = None) -> tuple[dict[str, DataFrame], DataFrame]:
         """Each task's rows, and the run log. A task may mark ticks that failed with a column ``error``:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.rowindex import with_running_sum
+from ..operators.rowindex import join_same, with_running_sum
 from ..operators.ticks import greedy
 from ..plans.pipeline import Every, Pipeline
 
@@ -133,7 +133,7 @@ def retain_bytes(df: DataFrame, budget: int | None = GIB, line: Column | None =
     upto = with_running_sum(made, keys, ["timestamp_seconds", "seq"], F.col("line_bytes"), "upto", huge)
     whole = made.groupBy(*keys).agg(F.sum("line_bytes").alias("whole"))
     held = F.col("whole") - F.col("upto") + F.col("line_bytes")
-    return upto.join(whole, keys).filter(held <= budget).select(*made.columns)
+    return join_same(upto, whole, keys).filter(held <= budget).select(*made.columns)
 
 
 def stream_ticks(df: DataFrame, cadence: Every | None) -> DataFrame:
