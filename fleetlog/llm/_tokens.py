@@ -65,6 +65,9 @@ class Encoder:
     def whole(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def several(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
     def learn(self, keys: list[str]) -> None:
         """Encode runs together, each with its one white space in front; each is a word of the joined text."""
         for at in range(0, len(keys), TOGETHER):
@@ -110,8 +113,7 @@ class Encoder:
         own_runs, own_marks = self.run_ids(strings(run.dictionary)), self.mark_ids(strings(marks.dictionary))
         others = strings(names.filter(pa.array(~simple)))
         spaced = others if self.drops_space else [p if p[:1] == "\n" else " " + p for p in others]
-        encoded = self.tok.encode_batch_fast(spaced, add_special_tokens=False)
-        units = lists([*own_runs, *own_marks, *(np.array(e.ids, "<u4").tobytes() for e in encoded), b""])
+        units = lists([*own_runs, *own_marks, *self.several(spaced), b""])
         # Each piece is a run and its marks, or another piece and nothing.
         two = np.empty((len(names), 2), np.int64)
         two[simple, 0] = run.indices.to_numpy()

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -122,27 +123,32 @@ def random_texts(seed, size):
     return ["".join(r.choice(parts) for _ in range(r.randint(0, 40))) for _ in range(size)]
 
 
+def ids_of(library, text):
+    return np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
 def test_bpe_equals_the_library():
-    library, own = Tokenizer.from_file(BYTES), bpe.PrefixCoder(BYTES)
+    library, own = Tokenizer.from_file(BYTES), bpe.PrefixEncoder(BYTES)
     r = random.Random(8)
     letters = ["".join(r.choice(a) for _ in range(r.randint(1, 300))) for a in ("ab", "aeinrst", "abcdefghijklmnopqrstuvwxyz", "-=_*#") for _ in range(200)]
-    for t in [*ODD, *random_texts(1, 2000), *letters]:
-        ids = library.encode(t, add_special_tokens=False).ids
-        made = own.encode(t)
-        assert np.frombuffer(made, "<u4").tolist() == ids, t
-        assert own.decode(made) == library.decode(ids, skip_special_tokens=False)
-    for _ in range(2000):  # tokens that cut characters
-        ids = [r.randrange(50257) for _ in range(r.randint(0, 12))]
-        assert own.decode(np.array(ids, "<u4").tobytes()) == library.decode(ids, skip_special_tokens=False)
-    assert own.decode(np.array([64, 999_999], "<u4").tobytes()) == library.decode([64, 999_999], skip_special_tokens=False)
+    texts = [*ODD, *random_texts(1, 2000), *letters]
+    ids, starts, ends = own.encode(pa.array(texts))
+    for t, a, b in zip(texts, starts, ends):
+        assert ids[a:b].tobytes() == own.coder.encode(t) == ids_of(library, t), t
+    runs = [ids_of(library, t) for t in texts]
+    runs += [np.array([r.randrange(50257) for _ in range(r.randint(0, 12))], "<u4").tobytes() for _ in range(2000)]  # they cut characters
+    runs.append(np.array([64, 999_999, 2**32 - 1, 65], "<u4").tobytes())
+    assert own.coder.decode(runs) == [library.decode(np.frombuffer(x, "<u4").tolist(), skip_special_tokens=False) for x in runs]
+    assert own.coder.decode([]) == [] and own.coder.decode([b""]) == [""]
 
 
 def test_every_prefix_ends_in_the_last_token_of_its_encoding():
     library, own = Tokenizer.from_file(BYTES), bpe.PrefixCoder(BYTES)
     for word in ("unbelievableness", "aaaaaaaaaaa", "Donaudampfschifffahrt", "xyzzyxyzzy"):
-        last = own.last_tokens(word.encode())
-        for i in range(len(word)):
-            assert own.id_of[last[i]] == library.encode(word[: i + 1], add_special_tokens=False).ids[-1]
+        for _, last in own.last_tokens([word[:3].encode(), word.encode()]):
+            pass
+        for i in range(1, len(word) + 1):
+            assert own.id_of[last[i]] == library.encode(word[:i], add_special_tokens=False).ids[-1]
 
 
 def test_bpe_needs_a_plain_byte_level_file():
@@ -150,11 +156,12 @@ def test_bpe_needs_a_plain_byte_level_file():
         bpe.PrefixCoder(tokenizer_file("word_bpe_49k.json"))
 
 
-def test_bpe_memo_is_bounded(monkeypatch):
-    monkeypatch.setattr(bpe, "MEMO", 50)
-    own = bpe.PrefixCoder(BYTES)
-    text = " ".join(f"w{i}x" for i in range(500))
-    assert own.decode(own.encode(text)) == text and len(own.memo) <= 50
+def test_bpe_of_a_text_in_parts(monkeypatch):
+    monkeypatch.setattr(bpe, "TOGETHER", 7)
+    monkeypatch.setattr(bpe, "MEMO", 5)
+    library, own = Tokenizer.from_file(BYTES), bpe.PrefixCoder(BYTES)
+    for text in random_texts(3, 100):
+        assert own.encode(text) == ids_of(library, text)
 
 
 def test_bpe_of_documents(spark):
