@@ -4,9 +4,10 @@ Two words are near if one inserted, deleted or replaced code point leads from on
 bigrams are ranked by how rare they are; its *prefix* is its three rarest, and its
 *pivots* are two bigrams of the prefix that share no letter, chosen by dynamic programming for the least frequency. One
 edit spoils one of two disjoint bigrams at most, so of two near words, the one whose prefix ends at the rarer
-bigram has a pivot in the other's prefix. Its position there is limited: if the edit is behind the pivot, all up to the pivot
-is as it was, and if before, all from it on. So a prefix bigram is indexed with the word's length twice, with
-what is before it and with what is behind it, a pivot asks the three lengths of near words, and what meets is verified.
+bigram has a pivot in the other's prefix. Its position there is limited: an edit behind the first pivot leaves all up to it as
+it was, any other edit leaves all from the second one on. Of what the edit is in, it leaves the first or
+the second half. So a prefix bigram is indexed with the word's length and these parts, the pivots ask for the three lengths of
+near words, and what meets is verified.
 
 A bigram as rare as the prefix's last may occur many times. An edit brings two more of them before a pivot at most, so
 if pivots are among the first three of that rank, index entries of the first five hold them.
@@ -109,9 +110,27 @@ def disjoint_pair(at: list[int], cost: list[int]) -> tuple[int, int]:
     return best[1:]
 
 
-def entry(side: str, length: int, part: str) -> int:
-    """An index entry: a word of this length starts (or ends) with this part."""
-    return xxhash.xxh3_64_intdigest(f"{side}{length} {part}") - (1 << 63)
+def entry(side: str, length: int, *parts: str) -> int:
+    """An index entry: a word of this length has these parts."""
+    return xxhash.xxh3_64_intdigest(f"{side}{length} {' '.join(parts)}") - (1 << 63)
+
+
+def up_to(word: str, p: int, length: int) -> list[int]:
+    """Entries of a word of ``length`` that is ``word`` up to the bigram at p, and has one half of what ``word`` has behind it."""
+    left = length - p - 2
+    half = (left + 1) // 2
+    if left < 0 or p + 2 + half > len(word):
+        return []
+    return [entry("<", length, word[: p + 2 + half]), entry("<>", length, word[: p + 2], word[len(word) - left + half :])]
+
+
+def down_to(word: str, p: int, length: int) -> list[int]:
+    """Entries of a word of ``length`` that is ``word`` from the bigram at p on, and has one half of what is before it."""
+    left = length - (len(word) - p)
+    half = (left + 1) // 2
+    if left < 0 or half > p:
+        return []
+    return [entry(">", length, word[p - half :]), entry("><", length, word[: left - half], word[p:])]
 
 
 def keys_of(word: str, rank: list[int], cost: list[int]) -> tuple[int, list[int], list[int]]:
@@ -121,10 +140,10 @@ def keys_of(word: str, rank: list[int], cost: list[int]) -> tuple[int, list[int]
     last = heapq.nsmallest(3, ranks)[2]
     rarer = [p for p, r in enumerate(ranks) if r < last]
     level = list(itertools.islice((p for p, r in enumerate(ranks) if r == last), LEVEL + 2))
-    entries = {entry(side, size, part) for p in rarer + level for side, part in (("<", word[: p + 2]), (">", word[p:]))}
+    entries = {x for p in rarer + level for x in (*up_to(word, p, size), *down_to(word, p, size))}
     prefix = sorted(rarer + level[:LEVEL])
-    pivots = disjoint_pair(prefix, [cost[own[p]] for p in prefix])
-    asked = {entry(side, n, part) for p in pivots for side, part in (("<", word[: p + 2]), (">", word[p:])) for n in (size - 1, size, size + 1)}
+    first, second = disjoint_pair(prefix, [cost[own[p]] for p in prefix])
+    asked = {x for n in (size - 1, size, size + 1) for x in (*up_to(word, first, n), *down_to(word, second, n))}
     return last, list(entries), list(asked)
 
 

@@ -255,3 +255,20 @@ def test_topk_of_repeated_queries_and_large_numbers(spark):
     with pytest.raises(Exception, match="too large for a long"):
         topk.top_k(large.filter("vec_id = 20"), large, k=4).collect()
     assert topk.top_k(large.filter("vec_id = 22"), large.filter("vec_id <> 21"), k=4, scale=2).first()["score"] == 20_000_000_002
+
+
+def test_near_words_meet_in_an_entry():
+    met = 0
+    for seed in range(40):
+        words = [w for w in made_words(seed, 60, random.Random(seed).choice(["a", "ab", "abc", "abcdefgh"])) if len(w) >= 4]
+        counts = np.zeros(spelling.BUCKETS, np.int64)
+        for w in words:
+            np.add.at(counts, spelling.bigrams(spelling.letter_codes([w])[0]), 1)
+        rank, cost = np.argsort(np.argsort(counts, kind="stable"), kind="stable").tolist(), counts.tolist()
+        keys = {w: spelling.keys_of(w, rank, cost) for w in words}
+        for a in words:
+            for b in words:
+                if (keys[a][0], a) < (keys[b][0], b) and one_edit(a, b):
+                    met += 1
+                    assert set(keys[a][2]) & set(keys[b][1]), (a, b)
+    assert met > 500
