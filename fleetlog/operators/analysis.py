@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import stage
 from .catalog import gaps
+from .quantiles import exact_quantiles
 from .relation import between, topic_relation
 from .rowindex import join_same, row_index, with_previous, with_running_sum
 
@@ -35,36 +37,35 @@ def every_nth(df: DataFrame, n: int, huge: bool = False) -> DataFrame:
     return row_index(df, ["log_id", "topic"], list(ORDER), huge).filter(F.col("row_index") % n == 0).drop("row_index")
 
 
-def summarise(df: DataFrame, value: Column) -> DataFrame:
-    return df.groupBy("log_id", "topic").agg(
+def summarise(df: DataFrame, value: Column, huge: bool = False) -> DataFrame:
+    """Figures of a value by topic. The median takes one buffer a topic; with ``huge`` it is selected."""
+    made = df.groupBy("log_id", "topic").agg(
         F.avg(value).alias("mean"),
         F.min(value).alias("low"),
         F.max(value).alias("high"),
         F.count(value).alias("n"),
-        F.median(value).alias("middle"),
+        *([] if huge else [F.median(value).alias("middle")]),
         F.stddev(value).alias("spread"),
     )
+    if not huge:
+        return made
+    middle = exact_quantiles(df, ["log_id", "topic"], value, [0.5])
+    return join_same(made, middle, ["log_id", "topic"], how="left").withColumn("middle", F.get("quantiles", F.lit(0))).drop("quantiles")
 
 
 def latency_stats(df: DataFrame, huge: bool = False) -> DataFrame:
     """Of the gaps between messages, by topic."""
-    return gaps(df.select("log_id", "topic", *ORDER), huge).groupBy("log_id", "topic").agg(
-        F.min("latency").alias("low"),
-        F.max("latency").alias("high"),
-        F.avg("latency").alias("mean"),
-        F.median("latency").alias("middle"),
-        F.stddev("latency").alias("spread"),
-    )
+    gap = gaps(df.select("log_id", "topic", *ORDER), huge)
+    gap = stage(gap.select("log_id", "topic", "latency"), "latency") if huge else gap
+    return summarise(gap, F.col("latency"), huge).drop("n")
 
 
 def rate_class(df: DataFrame, cv: float, huge: bool = False) -> DataFrame:
     """Frequency, and ``fixed`` if gaps vary by at most ``cv`` of their mean, else ``event``."""
-    return latency_stats(df, huge).select(
-        "log_id",
-        "topic",
-        F.when(F.col("mean") > 0, 1 / F.col("mean")).alias("frequency"),
-        F.when(F.col("spread") / F.col("mean") <= cv, "fixed").otherwise("event").alias("kind"),
-    )
+    gap = gaps(df.select("log_id", "topic", *ORDER), huge)
+    mean, spread = F.avg("latency"), F.stddev("latency")
+    kind = F.when(spread / mean <= cv, "fixed").otherwise("event")
+    return gap.groupBy("log_id", "topic").agg(F.when(mean > 0, 1 / mean).alias("frequency"), kind.alias("kind"))
 
 
 def latency_anomalies(df: DataFrame, k: float, huge: bool = False) -> DataFrame:

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import split_type
-from .rowindex import with_previous
+from .quantiles import exact_quantiles
+from .rowindex import join_same, with_previous
 
 
 class MissingTopicError(ValueError):
@@ -46,6 +47,10 @@ def gaps(messages: DataFrame, huge: bool = False) -> DataFrame:
 def topic_frequency(messages: DataFrame, huge: bool = False) -> DataFrame:
     """Messages a second: one over the median gap."""
     gap = gaps(messages.select("log_id", "topic", "seq", "timestamp_seconds"), huge)
+    if huge:
+        middle = exact_quantiles(gap, ["log_id", "topic"], F.col("latency"), [0.5]).withColumn("middle", F.get("quantiles", F.lit(0)))
+        found = join_same(gap.select("log_id", "topic").distinct(), middle, ["log_id", "topic"], how="left")
+        return found.select("log_id", "topic", F.when(F.col("middle") > 0, 1 / F.col("middle")).alias("frequency"))
     middle = F.median("latency")
     return gap.groupBy("log_id", "topic").agg(F.when(middle > 0, 1 / middle).alias("frequency"))
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .lookback import TICK, lookback_time
 from .panes import Condition, aggregate_time
+from .rowindex import join_same
 
 GATES: dict[str, Callable[..., DataFrame]] = {}
 TASKS: dict[str, Callable[..., DataFrame]] = {}
@@ -46,7 +47,7 @@ def sql_gate(ticks: DataFrame, rows: DataFrame, select: Column | Condition, seco
     seen = lookback_time(rows, ticks, seconds).groupBy(*TICK).agg(select.alias("value"))
     nothing = rows.limit(0).agg(select.alias("value")).first()[0]
     value = F.when(F.col("hit"), F.col("value")).otherwise(F.lit(nothing).cast("boolean"))
-    joined = ticks.join(seen.withColumn("hit", F.lit(True)), list(TICK), "left")
+    joined = join_same(ticks, seen.withColumn("hit", F.lit(True)), list(TICK), how="left")
     return joined.select(*TICK, F.coalesce(value, wrong).alias("passed"))
 
 
@@ -74,7 +75,8 @@ def passing(gate: DataFrame) -> DataFrame:
 def gate_and(ticks: DataFrame, gates: list[Callable[[DataFrame], DataFrame]]) -> DataFrame:
     """Ticks that pass all gates; a later gate sees only what earlier ones passed."""
     for gate in gates:
-        ticks = ticks.join(passing(gate(ticks)), list(TICK), "left_semi")
+        passed = passing(gate(ticks)).withColumnsRenamed({k: f"_{k}" for k in TICK})
+        ticks = ticks.join(passed, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in TICK], "left_semi")
     return ticks
 
 

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .rowindex import row_index
@@ -15,11 +15,6 @@ ORDER = ["timestamp_seconds", "seq"]
 TICKS = pa.schema([("log_id", pa.string()), ("tick_no", pa.int64()), ("asof_seconds", pa.float64())])
 
 
-def numbered(ticks: DataFrame) -> DataFrame:
-    w = Window.partitionBy("log_id").orderBy(*ORDER)
-    return ticks.select("log_id", (F.row_number().over(w) - 1).cast("long").alias("tick_no"), F.col("timestamp_seconds").alias("asof_seconds"))
-
-
 def ticks_at_end(df: DataFrame) -> DataFrame:
     """The last message of each log."""
     last = df.groupBy("log_id").agg(F.max(F.struct(*ORDER)).alias("last"))
@@ -49,10 +44,15 @@ def greedy(seconds: np.ndarray, every: float, last: float | None = None) -> list
     return fired
 
 
-def ticks_every_seconds(df: DataFrame, every: float) -> DataFrame:
+def ticks_every_seconds(df: DataFrame, every: float, huge: bool = False) -> DataFrame:
     """Greedy: fires on the first message, then on the first at least ``every`` seconds after the
-    last fired. Sequential within a log by definition, so only its times are shipped: sorted, many logs
-    in a batch, and a long log over several."""
+    last fired. Only times are shipped: sorted, many logs in a batch, and a long log over several, a log in one
+    task. With ``huge`` a log is cut into ranges, which fire alone once it is known how each is entered."""
+    if huge:
+        from .jumps import greedy_rows
+
+        fired = row_index(greedy_rows(df, ["log_id"], ORDER, every), ["log_id"], ORDER, True)
+        return fired.select("log_id", F.col("row_index").alias("tick_no"), F.col("timestamp_seconds").alias("asof_seconds"))
 
     def fire(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, last, count = object(), None, 0

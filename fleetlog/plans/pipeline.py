@@ -17,6 +17,7 @@ from ..functions.columns import to_seconds
 from ..operators.gates import gate_and
 from ..operators.lookback import TICK, asof_rows, lookback_frames, lookback_time
 from ..operators.panes import Mergeable, aggregate_frames, aggregate_time
+from ..operators.rowindex import join_same
 from ..operators.ticks import ticks_at_end, ticks_every_frames, ticks_every_seconds
 
 NAME = re.compile(r"[a-z][a-z0-9]*(_[a-z0-9]+)*")
@@ -46,20 +47,23 @@ class Every:
 class Seen:
     """What each of ``ticks`` sees: its lookback by time or by frames, without one all so far.
 
-    Calling it on a frame gives the rows, copied to each tick that sees them; ``aggregate`` gives mergeable
-    aggregates of them, at a cost of rows and ticks, however much lookbacks overlap."""
+    Calling it on a frame, or on none for the run's own messages, gives the rows, copied to each tick that sees them;
+    ``aggregate`` gives mergeable aggregates of them, at a cost of rows and ticks, however much lookbacks overlap."""
 
     ticks: DataFrame
     lookback: Every | None
+    messages: DataFrame | None = None
 
-    def __call__(self, df: DataFrame) -> DataFrame:
+    def __call__(self, df: DataFrame | None = None) -> DataFrame:
+        df = self.messages if df is None else df
         if self.lookback is None:
             return asof_rows(df, self.ticks)
         if self.lookback.unit == "frame":
             return lookback_frames(df, self.ticks, int(self.lookback.value))
         return lookback_time(df, self.ticks, self.lookback.seconds())
 
-    def aggregate(self, df: DataFrame, aggregates: dict[str, Mergeable], huge: bool = False, empty: bool = False) -> DataFrame:
+    def aggregate(self, df: DataFrame | None, aggregates: dict[str, Mergeable], huge: bool = False, empty: bool = False) -> DataFrame:
+        df = self.messages if df is None else df
         if self.lookback is not None and self.lookback.unit == "frame":
             return aggregate_frames(df, self.ticks, int(self.lookback.value), aggregates, huge, empty)
         return aggregate_time(df, self.ticks, self.lookback and self.lookback.seconds(), aggregates, huge, empty)
@@ -96,18 +100,22 @@ class Pipeline:
             return ticks_every_frames(cadence, int(self.when.value))
         return ticks_every_seconds(cadence, self.when.seconds())
 
-    def step(self, name: str, fn: Step, ticks: DataFrame) -> DataFrame:
+    def step(self, name: str, fn: Step, ticks: DataFrame, messages: DataFrame | None = None) -> DataFrame:
         if len(inspect.signature(fn).parameters) < 2:
             return fn(ticks)
-        return fn(ticks, Seen(ticks, self.lookbacks.get(name, self.lookback)))
+        return fn(ticks, Seen(ticks, self.lookbacks.get(name, self.lookback), messages))
+
+    def reaches(self) -> list[Every | None]:
+        """The lookbacks of all gates and tasks; None sees all so far."""
+        return [self.lookbacks.get(name, self.lookback) for name in (*self.gates, *self.tasks)]
 
     def run(self, messages: DataFrame, ticks: DataFrame | None = None) -> tuple[dict[str, DataFrame], DataFrame]:
         """Each task's rows, and the run log. A task may mark ticks that failed with a column ``error``:
         later tasks have no rows there and, unless ``allow_failure``, no task has any at later ticks of
         that log."""
         ticks = self.ticks(messages) if ticks is None else ticks
-        passed = gate_and(ticks, [lambda t, n=name, g=gate: self.step(n, g, t) for name, gate in self.gates.items()])
-        made = {name: self.step(name, task, passed) for name, task in self.tasks.items()}
+        passed = gate_and(ticks, [lambda t, n=name, g=gate: self.step(n, g, t, messages) for name, gate in self.gates.items()])
+        made = {name: self.step(name, task, passed, messages) for name, task in self.tasks.items()}
         failed = failures(list(made.values()))
         log = run_log(ticks, passed, failed, self.allow_failure)
         return {name: until_failed(df, i, failed, self.allow_failure) for i, (name, df) in enumerate(made.items())}, log
@@ -131,22 +139,22 @@ def until_failed(df: DataFrame, position: int, failed: DataFrame | None, allow_f
     """The rows of the task at ``position`` that a run makes before it fails."""
     if failed is None or not set(TICK) <= set(df.columns):
         return df
-    made = df.join(failed.select(*TICK, "task"), list(TICK), "left").filter(F.col("task").isNull() | (F.col("task") >= position))
+    made = join_same(df, failed.select(*TICK, "task"), list(TICK), how="left").filter(F.col("task").isNull() | (F.col("task") >= position))
     if not allow_failure:
-        made = made.join(stops(failed), "log_id", "left").filter("stopped IS NULL OR tick_no <= stopped")
+        made = join_same(made, stops(failed), ["log_id"], how="left").filter("stopped IS NULL OR tick_no <= stopped")
     return made.select(*df.columns)
 
 
 def run_log(ticks: DataFrame, passed: DataFrame, failed: DataFrame | None, allow_failure: bool = False) -> DataFrame:
     """executed, skipped (a gate said no) or failed for each tick, with the error. Unless failures
     are allowed, ticks after a log's first failure are left out: the run stops there."""
-    log = ticks.select(*TICK).join(passed.select(*TICK).withColumn("ok", F.lit(True)), list(TICK), "left")
-    log = log.withColumn("error", F.lit(None).cast("string")) if failed is None else log.join(failed.drop("task"), list(TICK), "left")
+    log = join_same(ticks.select(*TICK), passed.select(*TICK).withColumn("ok", F.lit(True)), list(TICK), how="left")
+    log = log.withColumn("error", F.lit(None).cast("string")) if failed is None else join_same(log, failed.drop("task"), list(TICK), how="left")
     status = F.when(F.col("error").isNotNull(), "failed").when(F.col("ok"), "executed").otherwise("skipped")
     log = log.select(*TICK, status.alias("status"), "error")
     if allow_failure or failed is None:
         return log
-    return log.join(stops(failed), "log_id", "left").filter("stopped IS NULL OR tick_no <= stopped").drop("stopped")
+    return join_same(log, stops(failed), ["log_id"], how="left").filter("stopped IS NULL OR tick_no <= stopped").drop("stopped")
 
 
 def every_from(spec: dict | None, what: str) -> Every | None:

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators.jumps import greedy_rows
 from ..operators.rowindex import join_same, with_running_sum
 from ..operators.ticks import greedy
 from ..plans.pipeline import Every, Pipeline
@@ -95,17 +97,22 @@ def live_topics(df: DataFrame) -> DataFrame:
     return df.groupBy("topic").agg(F.count("*").alias("message_count"))
 
 
-def throttle(df: DataFrame, ms: float) -> DataFrame:
+def throttle(df: DataFrame, ms: float, huge: bool = False) -> DataFrame:
     """Batch: keeps a topic's messages at least ``ms`` apart, greedily, the first included. Only times are
-    shipped to Python."""
+    shipped to Python; with ``huge`` a topic is cut into ranges."""
+    order, keys = ["timestamp_seconds", "seq"], ["log_id", "topic"]
+    if huge:
+        kept = greedy_rows(df, keys, order, ms / 1000)
+    else:
 
-    def keep(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["timestamp_seconds", "seq"])
-        return pdf.iloc[greedy(pdf["timestamp_seconds"].to_numpy(), ms / 1000)]
+        def keep(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values(order)
+            return pdf.iloc[greedy(pdf["timestamp_seconds"].to_numpy(), ms / 1000)]
 
-    keys = df.select("log_id", "topic", "seq", "timestamp_seconds")
-    kept = keys.groupBy("log_id", "topic").applyInPandas(keep, keys.schema)
-    return df.join(kept, keys.columns, "left_semi")
+        times = df.select("log_id", "topic", "seq", "timestamp_seconds")
+        kept = times.groupBy(*keys).applyInPandas(keep, times.schema)
+    named = kept.withColumnsRenamed({c: f"_{c}" for c in kept.columns})
+    return df.join(named, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in kept.columns], "left_semi")
 
 
 def throttle_stream(df: DataFrame, ms: float) -> DataFrame:
@@ -128,30 +135,39 @@ def retain_bytes(df: DataFrame, budget: int | None = GIB, line: Column | None =
     made = df.withColumn("line_bytes", F.octet_length(line) + 1)
     if budget is None:
         return made
+    return newest_lines(made, budget, ["timestamp_seconds", "seq"], huge)
+
+
+def newest_lines(df: DataFrame, budget: int | None, order: list[str], huge: bool = False) -> DataFrame:
+    """The newest of ``df`` by ``order`` whose ``line_bytes`` are within ``budget`` for each topic of a log."""
+    if budget is None:
+        return df
     # From the newest on: all of the topic's bytes less those of older lines.
     keys = ["log_id", "topic"]
-    upto = with_running_sum(made, keys, ["timestamp_seconds", "seq"], F.col("line_bytes"), "upto", huge)
-    whole = made.groupBy(*keys).agg(F.sum("line_bytes").alias("whole"))
-    held = F.col("whole") - F.col("upto") + F.col("line_bytes")
-    return join_same(upto, whole, keys).filter(held <= budget).select(*made.columns)
+    upto = with_running_sum(df, keys, order, F.col("line_bytes"), "_upto", huge)
+    whole = df.groupBy(*keys).agg(F.sum("line_bytes").alias("_whole"))
+    held = F.col("_whole") - F.col("_upto") + F.col("line_bytes")
+    return join_same(upto, whole, keys).filter(held <= budget).select(*df.columns)
+
+
+def fires(t: np.ndarray, cadence: Every | None, count: int, last: float | None) -> list[int]:
+    """Positions in sorted times ``t`` at which a cadence fires after ``count`` messages and a tick at ``last``."""
+    if cadence is None:
+        return [0] if last is None and len(t) else []
+    if cadence.unit == "frame":
+        return list(range(-count % int(cadence.value), len(t), int(cadence.value)))
+    return greedy(t, cadence.seconds(), last)
 
 
 def stream_ticks(df: DataFrame, cadence: Every | None) -> DataFrame:
     """Ticks of a live topic: the first message always fires, then every N messages or T seconds;
     without a cadence (once at the end) nothing more until ``final_ticks``."""
-    by_count = cadence is not None and cadence.unit == "frame"
-    every = None if cadence is None else cadence.value if by_count else cadence.seconds()
 
     def fire(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         count, last = state.get if state.exists else (0, None)
         pdf = pd.concat(list(frames)).sort_values(["timestamp_seconds", "seq"])
         t = pdf["timestamp_seconds"].to_numpy()
-        if every is None:
-            at = [0] if last is None and len(t) else []
-        elif by_count:
-            at = [i for i in range(len(t)) if (count + i) % int(every) == 0]
-        else:
-            at = greedy(t, every, last)
+        at = fires(t, cadence, count, last)
         last = float(t[at[-1]]) if at else last
         state.update((count + len(t), last))
         yield pd.DataFrame({"log_id": key[0], "topic": key[1], "asof_seconds": t[at]})
@@ -163,7 +179,9 @@ def stream_ticks(df: DataFrame, cadence: Every | None) -> DataFrame:
 
 
 def stream_run(ticks: DataFrame, pipeline: Pipeline, buffer: Callable[[], DataFrame], folder: str, checkpoint: str) -> StreamingQuery:
-    """The pipeline at all ticks of each micro-batch, as one set-based plan over the buffer so far.
+    """The pipeline at the ticks of its own topic in each micro-batch, as one set-based plan over the buffer so far.
+    A log that failed in an earlier batch has no more ticks, unless failures are allowed. ``pipelines.run_live`` also
+    makes the ticks, numbers them on, and keeps only the rows that lookbacks need.
 
     Each task's rows go to ``folder/<task>`` and the run log to ``folder/run_log``, a sub-folder a batch
     that is overwritten, so that a batch which is repeated after a failure is there once. Tick numbers are
@@ -172,6 +190,11 @@ def stream_run(ticks: DataFrame, pipeline: Pipeline, buffer: Callable[[], DataFr
 
     def batch(df: DataFrame, number: int) -> None:
         w = Window.partitionBy("log_id").orderBy("asof_seconds", "topic")
+        df = df.filter(F.col("topic") == pipeline.topic) if "topic" in df.columns else df
+        earlier = [p for p in (f"{folder}/run_log/batch={i}" for i in range(number)) if file_system(df.sparkSession, p)[0].exists(file_system(df.sparkSession, p)[1])]
+        if earlier and not pipeline.allow_failure:
+            failed = df.sparkSession.read.parquet(*earlier).filter("status = 'failed'").select("log_id").distinct()
+            df = df.join(failed.withColumnRenamed("log_id", "_log"), F.col("log_id").eqNullSafe(F.col("_log")), "left_anti")
         numbered = df.withColumn("tick_no", F.row_number().over(w) - 1 + F.lit(number << 32)).select("log_id", "tick_no", "asof_seconds")
         made, log = pipeline.run(buffer(), numbered)
         for name, out in {**made, "run_log": log}.items():
