@@ -10,13 +10,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .functions import columns as C
-from .operators import analysis, catalog, definitions, gates, loggings, lookback, relation, tasks, ticks
+from .operators import analysis, catalog, definitions, gates, loggings, lookback, panes, quantiles, relation, tasks, ticks
 from .operators.rowindex import row_index
 from .plans.pipeline import Every, Pipeline, pipeline_from_config
 from .sources import files
 from .sources.tables import event_messages, table, talk_messages
 from .storage import new_folder
-from .streaming import live
+from .streaming import bounded, live, pipelines
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -634,6 +634,19 @@ def _(s, d):
     return made.withColumns({c: R4(F.col(c)) for c in ("mean", "middle", "spread")})
 
 
+@query("field_summary_huge_log", ORACLE_SQL["field_summary"])
+def _(s, d):
+    made = analysis.summarise(one(s, d), value(), huge=True)
+    return made.withColumns({c: R4(F.col(c)) for c in ("mean", "middle", "spread")})
+
+
+@query("quantiles_huge_log", f"{M} SELECT log_id, topic, round(quantile_cont(value, 0.05), 4) AS low, round(quantile_cont(value, 0.5), 4) AS middle, round(quantile_cont(value, 0.99), 4) AS high FROM m GROUP BY ALL")
+def _(s, d):
+    """By selection in every topic, as none is held whole."""
+    made = quantiles.exact_quantiles(one(s, d), ["log_id", "topic"], value(), [0.05, 0.5, 0.99], limit=100)
+    return made.select("log_id", "topic", *(F.round(F.get("quantiles", F.lit(i)), 4).alias(c) for i, c in enumerate(("low", "middle", "high"))))
+
+
 @query("latency", f"{FLEET}{GAPS} SELECT log_id, topic, seq, round(latency, 4) AS latency FROM g")
 def _(s, d):
     return catalog.gaps(fleet(s, d)).select("log_id", "topic", "seq", R4(F.col("latency")).alias("latency"))
@@ -729,6 +742,15 @@ def _(s, d):
     return ticks.ticks_every_seconds(clicks(fleet(s, d)), C.to_seconds(24, "hour"))
 
 
+@query(
+    "cadence_seconds_huge_log",
+    f"{M}, c AS (SELECT log_id, t FROM m), g AS (SELECT log_id, 0::BIGINT AS tick_no, min(t) AS asof_seconds FROM c GROUP BY log_id "
+    "UNION ALL SELECT * FROM (SELECT g.log_id, g.tick_no + 1, min(c.t) AS n FROM g JOIN c ON c.log_id = g.log_id AND c.t - g.asof_seconds >= 3600 GROUP BY g.log_id, g.tick_no)) SELECT * FROM g",
+)
+def _(s, d):
+    return ticks.ticks_every_seconds(one(s, d), 3600.0, huge=True)
+
+
 @query("lookback_time", f"{M}{FRAME_TICKS} SELECT ticks.log_id, tick_no, m.topic, count(*) AS n, round(sum(value), 4) AS total FROM ticks JOIN m ON m.t BETWEEN upto - 7200 AND upto GROUP BY ALL")
 def _(s, d):
     seen = lookback.lookback_time(one(s, d), frame_ticks(s, d), C.to_seconds(2, "hour"))
@@ -738,6 +760,38 @@ def _(s, d):
 LAST_ROWS = "SELECT tick_no, seq, value, topic, t, row_number() OVER (PARTITION BY tick_no ORDER BY t DESC, seq DESC) AS back FROM ticks JOIN m ON m.t <= upto"
 
 
+DENSE = ", k AS (SELECT log_id, row_number() OVER (PARTITION BY log_id ORDER BY t, seq) - 1 AS i, t FROM m), ticks AS (SELECT log_id, i // 10 AS tick_no, t AS upto FROM k WHERE i % 10 = 0)"
+
+
+def dense_ticks(s, d):
+    """A tick every ten messages, for lookbacks that overlap a lot."""
+    return ticks.ticks_every_frames(one(s, d), 10, huge=True)
+
+
+@query(
+    "lookback_overlap_huge_log",
+    f"{M}{DENSE} SELECT tick_no, count(*) AS n, round(sum(value), 2) AS total, min(value) AS low, max(value) AS high, round(stddev(value), 4) AS spread, arg_max(seq, struct_pack(t := t, s := seq)) AS last, "
+    "bool_or(value > 99) AS some FROM ticks JOIN m ON m.t BETWEEN upto - 172800 AND upto GROUP BY tick_no",
+)
+def _(s, d):
+    made = {
+        "n": panes.count(), "total": panes.total(value()), "low": panes.low(value()), "high": panes.high(value()), "spread": panes.spread(value(), about=50.0),
+        "last": panes.newest(F.col("seq")), "some": panes.any_of(value() > 99),
+    }
+    found = panes.aggregate_time(one(s, d), dense_ticks(s, d), 2 * DAY, made, huge=True)
+    return found.drop("log_id", "asof_seconds").withColumns({"total": F.round("total", 2), "spread": F.round("spread", 4)})
+
+
+@query("asof_overlap_huge_log", f"{M}{DENSE} SELECT tick_no, count(*) AS n, max(value) AS high FROM ticks JOIN m ON m.t <= upto GROUP BY tick_no")
+def _(s, d):
+    return panes.aggregate_time(one(s, d), dense_ticks(s, d), None, {"n": panes.count(), "high": panes.high(value())}, huge=True).drop("log_id", "asof_seconds")
+
+
+@query("frames_overlap", f"{M}{DENSE}, r AS (SELECT *, row_number() OVER (ORDER BY t, seq) AS j FROM m), h AS (SELECT tick_no, max(j) AS j FROM ticks JOIN r ON r.t <= upto GROUP BY tick_no) SELECT tick_no, count(*) AS n, max(value) AS high FROM h JOIN r ON r.j > h.j - 500 AND r.j <= h.j GROUP BY tick_no")
+def _(s, d):
+    return panes.aggregate_frames(one(s, d), dense_ticks(s, d), 500, {"n": panes.count(), "high": panes.high(value())}, huge=True).drop("log_id", "asof_seconds")
+
+
 @query("lookback_frames", f"{M}{FRAME_TICKS}, x AS ({LAST_ROWS}) SELECT tick_no, seq FROM x WHERE back <= 10")
 def _(s, d):
     return lookback.lookback_frames(one(s, d), frame_ticks(s, d), 10, huge=True).select("tick_no", "seq")
@@ -773,6 +827,13 @@ def _(s, d):
     return gates.sql_gate_statement(frame_ticks(s, d), errors, "SELECT count(*) >= 2 FROM {window}", 7200.0)
 
 
+@query("sql_gate_overlap", f"{M}{DENSE} SELECT tick_no, coalesce(count(m.t) >= 40 AND max(value) > 98, false) AS passed FROM ticks LEFT JOIN m ON m.topic = 'error' AND m.t BETWEEN upto - 86400 AND upto GROUP BY tick_no")
+def _(s, d):
+    errors = one(s, d).filter("topic = 'error'")
+    many = panes.Condition({"n": panes.count(), "high": panes.high(value())}, F.coalesce((F.col("n") >= 40) & (F.col("high") > 98), F.lit(False)))
+    return gates.sql_gate(dense_ticks(s, d), errors, many, DAY, huge=True).select("tick_no", "passed")
+
+
 def purchase_gate(s, d, t: DataFrame) -> DataFrame:
     return gates.sql_gate(t, one(s, d).filter("topic = 'purchase'"), F.coalesce(F.max(value()) > 50, F.lit(False)), 3600.0)
 
@@ -894,6 +955,21 @@ def _(s, d):
     return tasks.topic_sql_task(frame_ticks(s, d), views, [F.round(F.avg(value()), 8).alias("mean"), F.count("*").alias("n")], 7200.0).drop("log_id", "asof_seconds")
 
 
+@query("task_topic_sql_overlap", f"{M}{DENSE} SELECT tick_no, round(avg(value), 9) AS mean, count(*) AS n FROM ticks JOIN m ON m.topic = 'view' AND m.t BETWEEN upto - 86400 AND upto GROUP BY tick_no")
+def _(s, d):
+    views = one(s, d).filter("topic = 'view'")
+    made = tasks.topic_sql_task(dense_ticks(s, d), views, {"mean": panes.mean(value()), "n": panes.count()}, DAY)
+    return made.select("tick_no", F.round("mean", 9).alias("mean"), "n")
+
+
+@query("pipeline_overlap", f"{M}{FRAME_TICKS} SELECT tick_no, count(*) AS n, max(value) AS high FROM ticks JOIN m ON m.t <= upto GROUP BY tick_no")
+def _(s, d):
+    """A pipeline without lookback: its task aggregates all so far at each tick."""
+    seen = {"all": lambda t, seen: seen.aggregate(None, {"n": panes.count(), "high": panes.high(value())}, huge=True)}
+    p = Pipeline("watch", "click", Every(50, "frame"), None, {}, seen)
+    return p.run(one(s, d), frame_ticks(s, d))[0]["all"].select("tick_no", "n", "high")
+
+
 @query("task_write_topics", f"{M}{FRAME_TICKS} SELECT tick_no, seq, CASE WHEN topic = 'click' THEN value END AS click, CASE WHEN topic = 'error' THEN value END AS error FROM ticks JOIN m ON m.topic IN ('click', 'error') AND m.t BETWEEN upto - 3600 AND upto")
 def _(s, d):
     seen = tasks.write_topics_task(frame_ticks(s, d), one(s, d), ["click", "error"], 3600.0)
@@ -977,15 +1053,15 @@ def _(s, d):
 # Streams
 
 
-def stream(s: SparkSession, d: str) -> DataFrame:
-    """Events as a live source: their file, or the files of their folder, read as a stream."""
+def stream(s: SparkSession, d: str, *fields: str) -> DataFrame:
+    """Events as a live source: their file, or the files of their folder, read as a stream; ``fields`` more of a message."""
     source, path = table(s, d, "events"), f"{d}/events.parquet"
     fs, at = live.file_system(s, path)
     reader = s.readStream.schema(source.schema)
     live_events = reader.parquet(path) if fs.getFileStatus(at).isDirectory() else reader.option("pathGlobFilter", "events.parquet").parquet(d)
     timed = live.with_timestamp(live_events, C.seconds_of(F.col("ts")))
     return timed.select(
-        F.lit("events").alias("log_id"), F.col("event_type").alias("topic"), F.col("event_id").alias("seq"), "timestamp_seconds", F.struct("value", "user_id").alias("message")
+        F.lit("events").alias("log_id"), F.col("event_type").alias("topic"), F.col("event_id").alias("seq"), "timestamp_seconds", F.struct("value", "user_id", *fields).alias("message")
     )
 
 
@@ -1065,6 +1141,11 @@ def _(s, d):
     return live.throttle(one(s, d), 43_200_000).select("topic", "seq")
 
 
+@query("throttle_huge_log", M + THROTTLED)
+def _(s, d):
+    return live.throttle(one(s, d), 43_200_000, huge=True).select("topic", "seq")
+
+
 @query("throttle_stream", M + THROTTLED)
 def _(s, d):
     return collected(s, live.throttle_stream(stream(s, d), 43_200_000), "throttled").select("topic", "seq")
@@ -1091,12 +1172,24 @@ def _(s, d):
     return collected(s, live.stream_ticks(stream(s, d), Every(100, "frame")), "ticks").select("topic", "asof_seconds")
 
 
-@query(
-    "stream_run",
-    f"{M}, c AS (SELECT topic, t, (row_number() OVER (PARTITION BY topic ORDER BY t, seq) - 1) AS i FROM m), k AS (SELECT topic, t AS upto FROM c WHERE i % 100 = 0) SELECT upto AS asof_seconds, count(*) AS n FROM k JOIN m ON m.t BETWEEN upto - 3600 AND upto GROUP BY ALL",
-)
+@query("stream_bounded", f"{M}, x AS (SELECT *, sum(strlen(props) + 1) OVER (PARTITION BY topic ORDER BY t DESC, seq DESC) AS held FROM m WHERE topic IN ('click', 'view')) SELECT topic, seq FROM x WHERE held <= 9000")
 def _(s, d):
-    """A pipeline over the live table, at the ticks of its own messages."""
+    """A live table that keeps the newest lines of each topic within 9000 bytes."""
+    folder = new_folder(s, "bounded")
+    known = ["click", "error", "purchase", "signup", "view"]
+    q = bounded.ingest_bounded(
+        stream(s, d, "props"), f"{folder}/table", f"{folder}/checkpoint", ["click", "view"], 9000, F.col("message.props"), name=folder.rpartition("/")[2], available=known, huge=True
+    )
+    q.awaitTermination()
+    return bounded.bounded_snapshot(s, f"{folder}/table", huge=True).select("topic", "seq")
+
+
+CLICK_TICKS = f"{M}, c AS (SELECT t, (row_number() OVER (ORDER BY t, seq) - 1) AS i FROM m WHERE topic = 'click'), k AS (SELECT i // 100 AS tick_no, t AS upto FROM c WHERE i % 100 = 0)"
+
+
+@query("stream_run", f"{CLICK_TICKS} SELECT upto AS asof_seconds, count(*) AS n FROM k JOIN m ON m.t BETWEEN upto - 3600 AND upto GROUP BY ALL")
+def _(s, d):
+    """A pipeline over the live table, at the ticks of its own topic."""
     folder = new_folder(s, "run")
     live.ingest(stream(s, d), f"{folder}/live", f"{folder}/live-checkpoint", name=folder.rpartition("/")[2]).awaitTermination()
     buffer = lambda: live.snapshot(s, f"{folder}/live")
@@ -1105,6 +1198,27 @@ def _(s, d):
     return s.read.schema("asof_seconds double, n long").parquet(f"{folder}/out/seen").select("asof_seconds", "n")
 
 
+@query(
+    "stream_pipeline",
+    f"{CLICK_TICKS}, x AS (SELECT tick_no, upto, count(*) AS n, max(value) AS high FROM k JOIN m ON m.t BETWEEN upto - 3600 AND upto GROUP BY ALL), f AS (SELECT min(tick_no) AS stopped FROM x WHERE tick_no >= 3 AND n >= 10) "
+    "SELECT tick_no, upto AS asof_seconds, n, high, CASE WHEN tick_no = stopped THEN 'failed' ELSE 'executed' END AS status FROM x, f WHERE stopped IS NULL OR tick_no <= stopped",
+)
+def _(s, d):
+    """A live pipeline that stops at its first tick, from the fourth on, that sees ten messages."""
+    folder = new_folder(s, "pipeline")
+    figures = lambda t, seen: seen.aggregate(None, {"n": panes.count(), "high": panes.high(value())})
+
+    def crowded(t: DataFrame, seen) -> DataFrame:
+        made = seen.aggregate(None, {"n": panes.count()}, empty=True)
+        return made.withColumn("error", F.when((F.col("tick_no") >= 3) & (F.col("n") >= 10), "crowded"))
+
+    p = Pipeline("watch", "click", Every(100, "frame"), Every(1, "hour"), {}, {"figures": figures, "crowded": crowded})
+    pipelines.run_live(stream(s, d), p, folder, f"{folder}/checkpoint").awaitTermination()
+    log = s.read.schema("log_id string, tick_no long, status string").parquet(f"{folder}/run_log")
+    made = s.read.schema("log_id string, tick_no long, asof_seconds double, n long, high double").parquet(f"{folder}/figures")
+    return made.join(log, ["log_id", "tick_no"]).select("tick_no", "asof_seconds", "n", "high", "status")
+
+
 @query("stream_finish", f"{M} SELECT log_id, topic, max(t) AS asof_seconds FROM m GROUP BY log_id, topic HAVING topic <> 'error'")
 def _(s, d):
     ran = one(s, d).filter("topic = 'error'").groupBy("log_id", "topic").agg(F.max("timestamp_seconds").alias("asof_seconds"))
