@@ -11,7 +11,8 @@ where those don't peel empty, by tables for all their paragraphs, then by ones t
 Defined cases: a null text is empty; an empty text has no paragraphs, and two of those are alike (1);
 a null doc_id comes first in the order of documents, equal ones are ordered by text hash; repeated
 rows are documents of their own; a table of one document is its own next; other columns are ignored;
-all paragraphs of very long texts count.
+all paragraphs of very long texts count. A fingerprint is of a text's set of paragraphs, so it
+doesn't see their order, how often they come, or blank lines.
 """
 
 from __future__ import annotations
@@ -92,8 +93,10 @@ def with_next(docs: DataFrame) -> DataFrame:
     n = docs.count()
     buckets = min(MOST_BUCKETS, max(1, n // 256))
     drawn = docs.sample(min(1.0, 16 * buckets / max(1, n)), seed=3).select("doc_id", "h").collect()
-    drawn = sorted({(r["doc_id"], r["h"]) for r in drawn}, key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
-    bounds = [drawn[len(drawn) * i // buckets] for i in range(1, buckets)] if len(drawn) >= buckets else []
+    in_order = lambda x: (x[0] is not None, x[0] or 0, x[1])
+    drawn = sorted({(r["doc_id"], r["h"]) for r in drawn}, key=in_order)
+    # Where rows repeat there are fewer bounds, but all that were drawn.
+    bounds = sorted({drawn[len(drawn) * i // buckets] for i in range(1, buckets)}, key=in_order) if drawn else []
     docs = docs.withColumn("bucket", bucket_of(F.struct("doc_id", "h"), bounds))
     firsts = docs.groupBy("bucket").agg(F.min(F.struct("doc_id", "h")).alias("first"))
     order = Window.orderBy("bucket")  # at most MOST_BUCKETS small rows

@@ -7,8 +7,9 @@ lower bound), are matched through an inverted index on each rule's rarest token.
 Defined cases: a null url or one without ``://`` has an empty host and path, fits no fixed rule
 and has no tokens, so it is allowed; without labelled rows no rules are learnt; repeated pages
 get the same verdict each; other columns pass through (``host``, ``path``, ``rule`` and
-``verdict`` are replaced); an empty table gives an empty result; all of a very long url counts, but rules
-are learnt from its ``MOST_TOKENS`` rarest frequent tokens.
+``verdict`` are replaced); an empty table gives an empty result; all of a very long url counts. The
+model alone is bounded: rules are fitted to the ``most_tokens`` rarest frequent tokens of a labelled row, as the miner
+looks at all combinations of a row's; rules are matched against all tokens of all urls.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from ._common import LOWER, UPPER, hash_pair, stage
 
 BLOCKED = "label=block"
-MOST_TOKENS = 12  # of a labelled url, so that its combinations are bounded
+MOST_TOKENS = 12  # of a labelled url that rules are fitted to, unless given
 
 
 def host_of(url: Column) -> Column:
@@ -67,7 +68,7 @@ def wilson_low(share: Column, n: Column, z: float) -> Column:
     return (share + z * z / (2 * n) - z * F.sqrt(share * (1 - share) / n + z * z / (4 * n * n))) / (1 + z * z / n)
 
 
-def learn_rules(labelled: DataFrame, min_support: float, min_confidence: float, min_rows: int = 20, z: float = 2.33) -> DataFrame:
+def learn_rules(labelled: DataFrame, min_support: float, min_confidence: float, min_rows: int = 20, z: float = 2.33, most_tokens: int = MOST_TOKENS) -> DataFrame:
     """From ``labelled`` (tokens, blocked): rules (rule_tokens, confidence, support).
 
     A rule holds for ``min_rows`` blocked rows and ``min_support`` of all at least, and even the lower
@@ -88,7 +89,7 @@ def learn_rules(labelled: DataFrame, min_support: float, min_confidence: float,
         rows.select("row", "blocked", F.explode("tokens").alias("token"))
         .join(often, "token")
         .groupBy("row", "blocked")
-        .agg(F.slice(F.array_sort(F.collect_list(F.struct("count", "token"))), 1, MOST_TOKENS)["token"].alias("tokens"))
+        .agg(F.slice(F.array_sort(F.collect_list(F.struct("count", "token"))), 1, most_tokens)["token"].alias("tokens"))
     )
     items = listed.select(F.when(F.col("blocked"), F.array_append("tokens", F.lit(BLOCKED))).otherwise(F.col("tokens")).alias("items"))
     # Rows without frequent tokens are left out of ``items``, so shares are counted from rows here.
@@ -128,10 +129,11 @@ def filter_urls(
     min_support: float = 0.005,
     min_confidence: float = 0.6,
     min_rows: int = 20,
+    most_tokens: int = MOST_TOKENS,
 ) -> DataFrame:
     """``pages`` with ``host``, ``path``, ``rule`` and ``verdict``.
 
-    ``labels``: (page_id, blocked). ``min_support`` and ``MOST_TOKENS`` bound the number of rules.
+    ``labels``: (page_id, blocked). ``min_support`` and ``most_tokens`` bound the number of rules.
     Urls are matched by 128 bits of hash. Pages that a fixed rule judges are learnt from as labelled, too;
     the rule's own verdict is not a label, as it would spread to all pages that look like those few.
     """
@@ -151,7 +153,7 @@ def filter_urls(
         labelled = judged.join(marks, "page_id").select(
             url_tokens(F.col("url"), F.col("host"), F.col("path")).alias("tokens"), "blocked"
         )
-        mined = learn_rules(stage(labelled, "url-labelled"), min_support, min_confidence, min_rows)
+        mined = learn_rules(stage(labelled, "url-labelled"), min_support, min_confidence, min_rows, most_tokens=most_tokens)
     hits = match_rules(stage(urls, "url-tokens"), mined).withColumn("hit", F.lit(True))
     return (
         judged.withColumns(uid)

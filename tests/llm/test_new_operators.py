@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from fleetlog.llm import bpe, negatives, spelling, topk
+from fleetlog.llm import bpe, fingerprint, negatives, spelling, topk, url_filter
 from fleetlog.llm.queries import tokenizer_file
 
 BYTES = tokenizer_file("byte_bpe_50k.json")
@@ -272,3 +272,21 @@ def test_near_words_meet_in_an_entry():
                     met += 1
                     assert set(keys[a][2]) & set(keys[b][1]), (a, b)
     assert met > 500
+
+
+def test_buckets_of_fingerprints_where_rows_repeat(spark, monkeypatch):
+    """Nearly all rows are one: the others still have bounds."""
+    seen = []
+    monkeypatch.setattr(fingerprint, "bucket_of", lambda key, bounds, f=fingerprint.bucket_of: seen.append(bounds) or f(key, bounds))
+    df = spark.createDataFrame([(5, "same")] * 5000 + [(i, f"text {i}") for i in range(10, 800)], "doc_id long, text string")
+    got = {(x["doc_id"], x["text"], x["next_text"]) for x in fingerprint.with_next(df.repartition(3)).select("doc_id", "text", "next_text").collect()}
+    assert len(seen[0]) > 10
+    assert got == {(5, "same", "same"), (5, "same", "text 10"), (799, "text 799", "same")} | {(i, f"text {i}", f"text {i + 1}") for i in range(10, 799)}
+
+
+def test_rules_of_as_many_tokens_as_asked_for(spark):
+    names = [f"t{i}" for i in range(14)]
+    rows = [(names, True)] * 30 + [(names[:k] + names[k + 1 :], False) for k in range(14) for _ in range(4)]
+    df = spark.createDataFrame(rows, "tokens array<string>, blocked boolean")
+    assert url_filter.learn_rules(df, 0.01, 0.9).count() == 0  # it takes all fourteen
+    assert any(len(x["rule_tokens"]) == 14 for x in url_filter.learn_rules(df, 0.01, 0.9, most_tokens=14).collect())
