@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import Protocol
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,8 +16,17 @@ from .rowindex import join_same, row_index, with_previous, with_running_sum
 ORDER = ("timestamp_seconds", "seq")
 
 
-def query(messages: DataFrame, sql: str, topics: list[str], lo: float | None = None, hi: float | None = None) -> DataFrame:
-    """SQL over topics in a time window; each is a view, and a column, of its own name."""
+class Windowed(Protocol):
+    """A table that chooses what it reads by time and topic, such as ``sources.clustered.MessageTable``."""
+
+    def messages(self, lo: float | None = None, hi: float | None = None, logs: list[str] | None = None, topics: list[str] | None = None) -> DataFrame: ...
+
+
+def query(messages: DataFrame | Windowed, sql: str, topics: list[str], lo: float | None = None, hi: float | None = None) -> DataFrame:
+    """SQL over topics in a time window; each is a view, and a column, of its own name. Of a ``Windowed`` table only the
+    files that can hold the window are read."""
+    if not isinstance(messages, DataFrame):
+        messages = messages.messages(lo, hi, topics=topics)
     spark = messages.sparkSession
     for t in topics:
         between(topic_relation(messages, t), lo, hi).createOrReplaceTempView(f"`{t}`")

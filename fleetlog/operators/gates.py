@@ -52,15 +52,18 @@ def sql_gate(ticks: DataFrame, rows: DataFrame, select: Column | Condition, seco
 
 
 def sql_gate_statement(ticks: DataFrame, rows: DataFrame, statement: str, seconds: float) -> DataFrame:
-    """A full statement over ``window``, evaluated for each tick (a correlated subquery: few ticks)."""
+    """A full statement over ``{window}``, the rows of a tick's lookback, evaluated for each tick.
+
+    Rows are joined to ticks by bins of time first, so the statement depends on its tick by equality alone, and Spark
+    runs it as hash joins and grouping by tick for all ticks together. A row is copied to each lookback that
+    holds it; mergeable aggregates (a ``Condition``) don't need that."""
     spark = ticks.sparkSession
     own = uuid.uuid4().hex  # runs in one session don't share views
+    seen = lookback_time(rows, ticks, seconds).withColumnsRenamed({"log_id": "_log", "tick_no": "_tick", "asof_seconds": "_asof"}).withColumn("log_id", F.col("_log"))
     ticks.createOrReplaceTempView(f"gate_ticks_{own}")
-    rows.createOrReplaceTempView(f"gate_rows_{own}")
-    body = statement.replace(
-        "{window}",
-        f"(SELECT * FROM gate_rows_{own} r WHERE r.log_id = t.log_id AND r.timestamp_seconds BETWEEN t.asof_seconds - {seconds} AND t.asof_seconds)",
-    )
+    seen.createOrReplaceTempView(f"gate_rows_{own}")
+    columns = ", ".join(f"r.`{c}`" for c in rows.columns)
+    body = statement.replace("{window}", f"(SELECT {columns} FROM gate_rows_{own} r WHERE r._log <=> t.log_id AND r._tick = t.tick_no)")
     try:
         return spark.sql(f"SELECT t.log_id, t.tick_no, t.asof_seconds, g.passed FROM gate_ticks_{own} t, LATERAL ({body}) AS g(passed)")
     finally:

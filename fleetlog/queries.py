@@ -13,7 +13,7 @@ from .functions import columns as C
 from .operators import analysis, catalog, definitions, gates, loggings, lookback, panes, quantiles, relation, tasks, ticks
 from .operators.rowindex import row_index
 from .plans.pipeline import Every, Pipeline, pipeline_from_config
-from .sources import files
+from .sources import clustered, files
 from .sources.tables import event_messages, table, talk_messages
 from .storage import new_folder
 from .streaming import bounded, live, pipelines
@@ -634,6 +634,18 @@ def _(s, d):
     return made.withColumns({c: R4(F.col(c)) for c in ("mean", "middle", "spread")})
 
 
+WINDOW = f"{M} SELECT count(*) AS n, round(avg(value), 6) AS mean, max(seq) AS last FROM m WHERE topic = 'click' AND t BETWEEN {T0 + 5 * DAY} AND {T0 + 6 * DAY}"
+
+
+@query("sql_window_clustered", WINDOW)
+def _(s, d):
+    """A window's question to a table of many files, which opens those of the window."""
+    known = clustered.MessageTable(s, new_folder(s, "clustered"))
+    known.write(one(s, d), file_rows=500)
+    sql = "SELECT count(*) AS n, round(avg(click.value), 6) AS mean, max(seq) AS last FROM click"
+    return analysis.query(known, sql, ["click"], lo=T0 + 5 * DAY, hi=T0 + 6 * DAY)
+
+
 @query("field_summary_huge_log", ORACLE_SQL["field_summary"])
 def _(s, d):
     made = analysis.summarise(one(s, d), value(), huge=True)

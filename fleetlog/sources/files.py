@@ -19,6 +19,7 @@ from ..operators.catalog import leaf
 from ..operators.lookback import TICK, asof_rows, lookback_time
 from ..operators.tasks import file_digest
 from ..plans.pipeline import Every
+from .jsonform import JsonRecogniser
 
 #: First bytes of formats, and the size of what is looked at; fixed values.
 MAGIC = [
@@ -53,9 +54,9 @@ def listing(spark: SparkSession, root: str, **options: str) -> DataFrame:
     return files.select("path", F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified"))
 
 
-def format_of(path: str, head: bytes, line: bytes | None = None, rest: Callable[[], bytes] = bytes) -> str | None:
+def format_of(path: str, head: bytes, document: Callable[[], bool] | None = None) -> str | None:
     """The format that a file's name and content say, in order of precedence: ``head``, its first bytes;
-    ``line``, its first line (of ``head``, if that is not given); ``rest()``, what follows ``head``."""
+    ``document()``, whether its first line, or all of it, is JSON (of ``head``, if that is not given)."""
     name = path.lower()
     for fmt, magic in MAGIC:
         if head.startswith(magic) or (fmt == "ros2.db3" and name.endswith(".db3.zstd")) or (fmt == "ros2.mcap" and name.endswith(".mcap.zstd")):
@@ -64,8 +65,9 @@ def format_of(path: str, head: bytes, line: bytes | None = None, rest: Callable[
         for kind in ("bbl", "bfl"):
             if name.endswith(f".{kind}"):
                 return f"betaflight.{kind}"
-    line = head.split(b"\n", 1)[0] if line is None else line
-    if is_json(line) or (head.lstrip()[:1] in (b"{", b"[") and is_json(head + rest())):
+    nested = head.lstrip()[:1] in (b"{", b"[")
+    document = document or (lambda: is_json_table(head, lambda n: b""))
+    if document() if nested else is_json(head.split(b"\n", 1)[0]):
         return "table.json"
     try:
         text = head.decode("utf-8", "strict" if len(head) < HEAD else "ignore")
@@ -85,9 +87,26 @@ def is_json(data: bytes) -> bool:
     return True
 
 
+def is_json_table(head: bytes, read: Callable[[int], bytes]) -> bool:
+    """Whether the first line is JSON, or else all there is, a block at a time."""
+    seen, block, first = JsonRecogniser(), head, True
+    while block:
+        line, newline, rest = block.partition(b"\n") if first else (block, b"", b"")
+        if not seen.feed(line):
+            return False
+        if newline:
+            if line.strip() and seen.complete:
+                return True
+            first = False
+            if not seen.feed(newline + rest):
+                return False
+        block = read(1 << 20)
+    return seen.feed(b"", last=True) and seen.complete
+
+
 def file_inventory(spark: SparkSession, root: str) -> DataFrame:
-    """Format of each file below ``root`` by its first 4 KiB and its first line, a JSON document of several
-    lines by all of it; ``topic.buffer`` where the file lies under a ``data`` folder of line files."""
+    """Format of each file below ``root`` by its first 4 KiB, JSON by its first line or else by all of it, a block
+    at a time; ``topic.buffer`` where the file lies under a ``data`` folder of line files."""
 
     def look(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
@@ -95,10 +114,8 @@ def file_inventory(spark: SparkSession, root: str) -> DataFrame:
             for path in pdf["path"]:
                 fs, at = opened(path)
                 with fs.open_input_stream(at) as f:
-                    head = line = f.read(HEAD)
-                    while b"\n" not in line and line.lstrip()[:1] in (b"{", b"[") and (more := f.read(1 << 20)):
-                        line += more
-                    found.append(format_of(path, head, line.split(b"\n", 1)[0], lambda line=line, head=head, f=f: line[len(head) :] + f.read()))
+                    head = f.read(HEAD)
+                    found.append(format_of(path, head, lambda head=head, f=f: is_json_table(head, f.read)))
             yield pdf.assign(format=found)
 
     made = listing(spark, root).mapInPandas(look, "path string, size_bytes long, modified timestamp, format string")
