@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .functions import columns as C
-from .operators import analysis, catalog, definitions, gates, loggings, lookback, panes, quantiles, relation, tasks, ticks
+from .operators import analysis, catalog, definitions, gates, loggings, lookback, panes, quantiles, relation, tasks, ticks, versions
 from .operators.rowindex import row_index
 from .plans.pipeline import Every, Pipeline, pipeline_from_config
 from .sources import clustered, files
@@ -464,6 +464,37 @@ def _(s, d):
     return catalog.describe_text(f.select(F.col("text_id").alias("topic"), F.col("line_no").alias("position"), "type", "name", F.col("comment").alias("description")))
 
 
+VERSIONS = {0: "int32 event_id\nfloat32 value", 1: "int64 event_id\nfloat64 value\nint16 user_id", 2: "int64 event_id\nfloat64 value\nint32 user_id\nProps props\n===\nMSG: pkg/Props\nint32 k"}
+
+
+def versioned(s, d) -> tuple[DataFrame, DataFrame]:
+    """Events as JSON payloads of logs with three versions of their types, and the definitions."""
+    v, by = F.col("user_id") % 3, "user_id"
+    props = F.from_json("props", "k int")
+    payload = F.when(v == 0, F.to_json(F.struct("event_id", "value"))).when(v == 1, F.to_json(F.struct("event_id", "value", by))).otherwise(F.to_json(F.struct("event_id", "value", by, props.alias("props"))))
+    made = table(s, d, "events").select(
+        F.concat(F.lit("user_"), F.col(by)).alias("log_id"), F.col("event_type").alias("topic"), F.col("event_id").alias("seq"), C.seconds_of(F.col("ts")).alias("timestamp_seconds"), payload.alias("text")
+    )
+    known = F.array(*(F.struct(F.lit(v).alias("version"), F.lit(t).alias("text")) for v, t in VERSIONS.items()))
+    topics = table(s, d, "events").select(F.col("event_type").alias("topic")).distinct()
+    return versions.json_payloads(made, F.col("text")), topics.select("topic", F.inline(known))
+
+
+VERSIONED = "SELECT event_type AS topic, user_id % 3 AS version, event_id, value, CASE WHEN user_id % 3 > 0 THEN user_id END AS user_id, CASE WHEN user_id % 3 = 2 THEN CAST(json_extract(props, '$.k') AS INT) END AS k, epoch_us(ts)/1e6 AS t FROM events"
+
+
+@query("versions_sql", f"SELECT count(*) AS n, count(user_id) AS users, count(k) AS ks, sum(k)::BIGINT AS total, round(sum(value), 2) AS value FROM ({VERSIONED}) WHERE topic = 'click' AND t BETWEEN {T0 + DAY} AND {T0 + 9 * DAY}")
+def _(s, d):
+    """SQL over one topic whose logs have three versions of its type."""
+    sql = "SELECT count(*) AS n, count(click.user_id) AS users, count(click.props.k) AS ks, sum(click.props.k) AS total, round(sum(click.value), 2) AS value FROM click"
+    return versions.query_versions(*versioned(s, d), sql, ["click"], T0 + DAY, T0 + 9 * DAY)
+
+
+@query("versions_wide", f"SELECT event_id AS seq, CASE WHEN topic = 'click' THEN event_id END AS click, CASE WHEN topic = 'view' THEN k END AS \"view\" FROM ({VERSIONED}) WHERE topic IN ('click', 'view')")
+def _(s, d):
+    return versions.wide_versions(*versioned(s, d), ["click", "view"]).select("seq", F.col("click.event_id").alias("click"), F.col("view.props.k").alias("view"))
+
+
 # The message relation
 
 
