@@ -288,8 +288,9 @@ def remove_repeats(docs: DataFrame, chunk_bytes: int = 4 << 20, range_bytes: int
 
     def hashes(key: tuple, t: pa.Table) -> pa.Table:
         h = np.unique(Chunk(t).anchors()[1])
-        ends = np.searchsorted(h, (np.arange(parts + 1, dtype=np.float64) * ((1 << 48) / parts)).astype(np.uint64))
-        return rows(SENT, [(r, key[0].as_py(), six_bytes(h[ends[r] : ends[r + 1]])) for r in range(parts) if ends[r] < ends[r + 1]])
+        part = (h >> np.uint64(16)) * np.uint64(parts) >> np.uint64(32)  # ascending, of equal width
+        first = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(h) else []
+        return rows(SENT, [(int(part[a]), key[0].as_py(), six_bytes(h[a:b])) for a, b in zip(first, [*first[1:], len(h)])])
 
     def repeated(key: tuple, t: pa.Table) -> pa.Table:
         h = [from_six(x) for x in t.column("payload").to_pylist()]
@@ -308,10 +309,10 @@ def remove_repeats(docs: DataFrame, chunk_bytes: int = 4 << 20, range_bytes: int
         if not t.num_rows:
             return RUN.empty_table()
         run = Chunk(t).run(known(back))
-        ends, out = run.ends(splitters), []
-        for r, (a, b) in enumerate(zip(ends, ends[1:])):
-            if a < b:
-                out.append((r, key[0].as_py(), *front_coded(run.matrix[a:b]), packed(run.least[a:b].tobytes())))
+        ends, out = np.asarray(run.ends(splitters)), []
+        for r in np.flatnonzero(np.diff(ends)).tolist():  # ranges that the chunk has strings for
+            a, b = ends[r], ends[r + 1]
+            out.append((r, key[0].as_py(), *front_coded(run.matrix[a:b]), packed(run.least[a:b].tobytes())))
         return rows(RUN, out)
 
     def combine(key: tuple, t: pa.Table) -> pa.Table:
