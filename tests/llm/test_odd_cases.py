@@ -235,14 +235,3 @@ def test_pipeline_stages_on_odd_tables(spark, tmp_path):
             docs = step(spark, docs, str(tmp_path))
             assert docs.columns == before
         assert cp.STAGES[-1][1](spark, docs, str(tmp_path)).count() >= (1 if rows and docs.count() else 0)
-
-
-def test_a_cluster_needs_a_shared_folder(spark):
-    from types import SimpleNamespace
-
-    from fleetlog.storage import shared_dir
-
-    context = SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None)
-    session = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: d), sparkContext=context)
-    with pytest.raises(ValueError, match="checkpoint"):
-        shared_dir(session)
