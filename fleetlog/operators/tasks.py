@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -94,17 +94,25 @@ def artifact_columns(df: DataFrame, pipeline: str, task: str, site: str, asset:
 LAYOUT = ["pipeline", "task", "datestr", "site", "asset", "log_id", "asof_seconds"]
 
 
-def write_artifacts(df: DataFrame, path: str, fmt: str = "parquet") -> None:
+def write_artifacts(df: DataFrame, path: str, fmt: str = "parquet", each_tick: bool = True) -> None:
     """Files by ``LAYOUT``; CSV has no structs, so they are flattened. Rows are dealt by folder first, so
-    that a folder has one file, or a few where AQE splits a large one."""
+    that a folder has one file, or a few where AQE splits a large one. Without ``each_tick`` a log has one folder and
+    its ticks are a column, for runs of many ticks."""
+    layout = LAYOUT if each_tick else LAYOUT[:-1]
     if fmt == "csv":
         df = df.select(*leaves(df.schema))
     elif fmt != "parquet":
         raise ValueError(f"unknown format {fmt!r}")
-    writer = df.repartition(*LAYOUT).write.mode("append").partitionBy(*LAYOUT)
+    writer = df.repartition(*layout).write.mode("append").partitionBy(*layout)
     writer.option("header", True).csv(path) if fmt == "csv" else writer.parquet(path)
 
 
+def read_artifacts(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet") -> DataFrame:
+    """Written artifacts of a known schema; no file is opened to learn it."""
+    reader = spark.read.schema(schema)
+    return reader.option("header", True).csv(path) if fmt == "csv" else reader.parquet(path)
+
+
 @F.pandas_udf(T.StringType())
 def log_uuid(site: pd.Series, asset: pd.Series, path: pd.Series) -> pd.Series:
     """uuid5 of the JSON list [site, asset, path]."""

@@ -1017,8 +1017,9 @@ def _(s, d):
 def _(s, d):
     seen = tasks.write_topics_task(frame_ticks(s, d), one(s, d), ["click", "error"], 3600.0)
     path = new_folder(s, "artifacts")
-    tasks.write_artifacts(tasks.artifact_columns(seen, "watch", "topics", "here", "robot"), path)
-    return s.read.parquet(path).select("tick_no", "seq", F.col("click.value").alias("click"), F.col("error.value").alias("error"))
+    made = tasks.artifact_columns(seen, "watch", "topics", "here", "robot")
+    tasks.write_artifacts(made, path)
+    return tasks.read_artifacts(s, path, made.schema).select("tick_no", "seq", F.col("click.value").alias("click"), F.col("error.value").alias("error"))
 
 
 @query("task_snippet", f"{M}{FRAME_TICKS} SELECT tick_no, seq, topic FROM ticks JOIN m ON m.topic IN ('click', 'error') AND m.t BETWEEN upto - 3600 AND upto")

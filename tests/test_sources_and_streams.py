@@ -196,3 +196,12 @@ def test_staged_tables_can_be_removed(spark):
     keep, drop = path(before), path(before + 1)
     storage.remove_staged(spark, before, (storage.STAGED[before],))
     assert os.path.exists(keep) and not os.path.exists(drop) and kept.count() == 3 and gone is not None
+
+
+def test_a_cluster_needs_a_shared_folder(spark):
+    from types import SimpleNamespace
+
+    context = SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None)
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: d), sparkContext=context)
+    with pytest.raises(ValueError, match="checkpoint"):
+        storage.shared_dir(session)
