@@ -37,8 +37,9 @@ from pyspark.sql import functions as F
 
 from ._tokens import Encoder, slices
 
-MEMO = 300_000  # pairs of tokens, and steps of the automaton, that a worker keeps
+MEMO = 300_000  # pairs of tokens that a worker keeps, and a third as many steps of the automaton
 TOGETHER = 100_000  # pieces of a text that are encoded together
+BATCH_BYTES = 6 << 20  # of texts, or of ids, that are worked on together; a longer one goes alone
 #: How byte-level BPE of this kind splits texts; a fixed value.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Below these, all versions of Unicode agree on what is a letter, a number or white space.
@@ -72,7 +73,7 @@ class Suffixes:
         for key, child in self.step.items():
             children.setdefault(key >> 8, []).append((key & 255, child))
         #: The longest proper suffix of each state that is a state, and the words that end there, longest first.
-        self.back, self.words, self.most = [0] * size, [()] * size, len(self.step) + MEMO
+        self.back, self.words, self.most = [0] * size, [()] * size, len(self.step) + MEMO // 3
         queue = deque([0])
         while queue:
             state = queue.popleft()
@@ -271,7 +272,7 @@ def encoded(text: Column, path: str) -> Column:
     @F.arrow_udf("binary")
     def encode(texts: pa.Array) -> pa.Array:
         own, made = encoder(path), []
-        for start, end in slices(texts):
+        for start, end in slices(texts, BATCH_BYTES):
             ids, starts, ends = own.encode(texts.slice(start, end - start))
             made.extend(ids[a:b].tobytes() for a, b in zip(starts.tolist(), ends.tolist()))
         return pa.array(made, pa.binary())
@@ -285,7 +286,7 @@ def decoded(ids: Column, path: str) -> Column:
     @F.arrow_udf("string")
     def decode(binaries: pa.Array) -> pa.Array:
         own, made = encoder(path).coder, []
-        for start, end in slices(binaries):
+        for start, end in slices(binaries, BATCH_BYTES):
             made.extend(own.decode([b or b"" for b in binaries.slice(start, end - start).to_pylist()]))
         return pa.array(made, pa.string())
 
