@@ -13,7 +13,7 @@ from .functions import columns as C
 from .operators import analysis, catalog, definitions, gates, loggings, lookback, panes, quantiles, relation, tasks, ticks, versions
 from .operators.rowindex import row_index
 from .plans.pipeline import Every, Pipeline, pipeline_from_config
-from .sources import clustered, files
+from .sources import clustered, files, topicfolder
 from .sources.tables import event_messages, table, talk_messages
 from .storage import new_folder
 from .streaming import bounded, live, pipelines
@@ -159,6 +159,40 @@ def _(s, d):
     return flat(made).select("topic", "timestamp_seconds", "value")
 
 
+LINES = f"{M} SELECT topic, t AS timestamp_seconds, value FROM m WHERE topic IN ('click', 'view')"
+
+
+def folder_values(df: DataFrame) -> DataFrame:
+    """Lines of ``buffer_folder`` as columns."""
+    return df.select("topic", "timestamp_seconds", F.get_json_object("message", "$.value").cast("double").alias("value"))
+
+
+@query("topic_folder", LINES)
+def _(s, d):
+    """The folder as a data source, its files cut into ranges of bytes."""
+    topicfolder.register(s)
+    return folder_values(s.read.format("topic_folder").option("part_bytes", 1 << 16).load(buffer_folder(s, d)))
+
+
+@query("topic_folder_window", f"{LINES[: LINES.index('IN (')]}= 'click' AND t BETWEEN {T0 + 5 * DAY} AND {T0 + 6 * DAY}")
+def _(s, d):
+    """A topic and a time window, which choose folders and parts."""
+    folder, index = buffer_folder(s, d), new_folder(s, "index")
+    topicfolder.write_index(s, folder, index, 1 << 14)
+    made = s.read.format("topic_folder").option("part_bytes", 1 << 14).option("index", index).load(folder)
+    return folder_values(made.filter((F.col("topic") == "click") & F.col("timestamp_seconds").between(T0 + 5 * DAY, T0 + 6 * DAY)))
+
+
+@query("topic_folder_stream", LINES)
+def _(s, d):
+    """The folder as a stream."""
+    topicfolder.register(s)
+    out = new_folder(s, "lines")
+    made = s.readStream.format("topic_folder").load(buffer_folder(s, d))
+    made.writeStream.option("checkpointLocation", f"{out}-checkpoint").trigger(availableNow=True).start(out, "parquet").awaitTermination()
+    return folder_values(s.read.schema(made.schema).parquet(out))
+
+
 def bag_folder(s: SparkSession, d: str) -> str:
     """Manifests made of events: a bag a user, with counts by topic."""
     folder = new_folder(s, "bags")
