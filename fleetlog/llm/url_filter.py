@@ -7,9 +7,11 @@ lower bound), are matched through an inverted index on each rule's rarest token.
 Defined cases: a null url or one without ``://`` has an empty host and path, fits no fixed rule
 and has no tokens, so it is allowed; without labelled rows no rules are learnt; repeated pages
 get the same verdict each; other columns pass through (``host``, ``path``, ``rule`` and
-``verdict`` are replaced); an empty table gives an empty result; all of a very long url counts. The
-model alone is bounded: rules are fitted to the ``most_tokens`` rarest frequent tokens of a labelled row, as the miner
-looks at all combinations of a row's; rules are matched against all tokens of all urls.
+``verdict`` are replaced); an empty table gives an empty result; all of a very long url counts.
+
+The miner looks at all combinations of a row's frequent tokens. Tokens that the same labelled rows hold are one item to it, as
+no rule can tell them apart there: a rule asks for one token of each of its items, which is what all rules of single
+tokens would ask together. ``most_tokens`` can bound the model further, to the rarest items of a labelled row.
 """
 
 from __future__ import annotations
@@ -21,7 +23,8 @@ from pyspark.sql import functions as F
 from ._common import LOWER, UPPER, hash_pair, stage
 
 BLOCKED = "label=block"
-MOST_TOKENS = 12  # of a labelled url that rules are fitted to, unless given
+MOST_TOKENS = 12  # items of a labelled row that ``learn_rules`` fits to, unless given
+RULE = "rule_tokens array<string>, choices array<array<string>>, confidence double, support double"
 
 
 def host_of(url: Column) -> Column:
@@ -68,8 +71,20 @@ def wilson_low(share: Column, n: Column, z: float) -> Column:
     return (share + z * z / (2 * n) - z * F.sqrt(share * (1 - share) / n + z * z / (4 * n * n))) / (1 + z * z / n)
 
 
-def learn_rules(labelled: DataFrame, min_support: float, min_confidence: float, min_rows: int = 20, z: float = 2.33, most_tokens: int = MOST_TOKENS) -> DataFrame:
-    """From ``labelled`` (tokens, blocked): rules (rule_tokens, confidence, support).
+def token_items(rows: DataFrame, least: float) -> DataFrame:
+    """(token, item, choices, count): tokens that ``least`` of the ``rows`` (row, tokens) hold. Those that the same rows
+    hold (by 128 bits of hash) are one item, named by the first of them; ``choices`` are all of them."""
+    a, b = hash_pair(F.col("row"))
+    held = rows.select(F.explode(F.array_distinct("tokens")).alias("token"), a.alias("a"), b.alias("b")).filter("token IS NOT NULL")
+    often = held.groupBy("token").agg(F.count("*").alias("count"), F.bit_xor("a").alias("a"), F.bit_xor("b").alias("b")).filter(F.col("count") >= least)
+    # No more tokens come together here than one url holds.
+    items = often.groupBy("count", "a", "b").agg(F.array_sort(F.collect_list("token")).alias("choices"))
+    return items.select("count", "choices", F.get("choices", F.lit(0)).alias("item"), F.explode("choices").alias("token"))
+
+
+def learn_rules(labelled: DataFrame, min_support: float, min_confidence: float, min_rows: int = 20, z: float = 2.33, most_tokens: int | None = MOST_TOKENS) -> DataFrame:
+    """From ``labelled`` (tokens, blocked): rules (rule_tokens, choices, confidence, support); a row that has one token of
+    each of the ``choices`` fits a rule, and ``rule_tokens`` are the first of each.
 
     A rule holds for ``min_rows`` blocked rows and ``min_support`` of all at least, and even the lower
     bound of its confidence (``z`` standard errors) is above the share of blocked rows.
@@ -77,20 +92,21 @@ def learn_rules(labelled: DataFrame, min_support: float, min_confidence: float,
     spark = labelled.sparkSession
     rows = labelled.filter(F.size("tokens") > 0)
     n, bad = rows.agg(F.count("*"), F.count_if("blocked")).first()
-    none = spark.createDataFrame([], "rule_tokens array<string>, confidence double, support double")
+    none = spark.createDataFrame([], RULE)
     if bad < min_rows:
         return none
     support = max(min_support, min_rows / n)
     # Rare tokens are in no rule; of the others, each row's rarest say most.
-    often = rows.select(F.explode("tokens").alias("token")).groupBy("token").count().filter(F.col("count") >= support * n)
-    rows = rows.select(F.monotonically_increasing_id().alias("row"), "tokens", "blocked")
-    rows = stage(rows, "url-rows")
+    rows = stage(rows.select(F.monotonically_increasing_id().alias("row"), "tokens", "blocked"), "url-rows")
+    often = stage(token_items(rows, support * n), "url-tokens-often")
     listed = (
         rows.select("row", "blocked", F.explode("tokens").alias("token"))
         .join(often, "token")
         .groupBy("row", "blocked")
-        .agg(F.slice(F.array_sort(F.collect_list(F.struct("count", "token"))), 1, most_tokens)["token"].alias("tokens"))
+        .agg(F.array_sort(F.collect_set(F.struct("count", "item"))).alias("found"))
     )
+    found = F.col("found") if most_tokens is None else F.slice("found", 1, most_tokens)
+    listed = listed.select("blocked", found["item"].alias("tokens"))
     items = listed.select(F.when(F.col("blocked"), F.array_append("tokens", F.lit(BLOCKED))).otherwise(F.col("tokens")).alias("items"))
     # Rows without frequent tokens are left out of ``items``, so shares are counted from rows here.
     items = stage(items, "url-items")
@@ -100,23 +116,30 @@ def learn_rules(labelled: DataFrame, min_support: float, min_confidence: float,
     model = FPGrowth(itemsCol="items", minSupport=min(1.0, support * n / held), minConfidence=min_confidence).fit(items)
     rules = model.associationRules.filter(F.array_contains("consequent", BLOCKED)).withColumn("seen", F.col("support") * held / F.col("confidence"))
     rules = rules.filter(wilson_low(F.col("confidence"), F.col("seen"), z) > bad / n)
-    return stage(rules.select(F.array_sort("antecedent").alias("rule_tokens"), "confidence", (F.col("support") * held / n).alias("support")), "url-rules")
+    rules = stage(rules.select(F.array_sort("antecedent").alias("rule_tokens"), "confidence", (F.col("support") * held / n).alias("support")), "url-mined")
+    asked = rules.select("rule_tokens", F.explode("rule_tokens").alias("item")).join(often.select("item", "choices").distinct(), "item")
+    asked = asked.groupBy("rule_tokens").agg(F.array_sort(F.collect_list("choices")).alias("choices"))
+    return stage(rules.join(asked, "rule_tokens").select("rule_tokens", "choices", "confidence", "support"), "url-rules")
 
 
 def match_rules(pages: DataFrame, rules: DataFrame) -> DataFrame:
-    """``u1``, ``u2`` of the ``pages`` (u1, u2, tokens) that hold all tokens of a rule."""
+    """``u1``, ``u2`` of the ``pages`` (u1, u2, tokens) that hold one token of each of a rule's choices."""
     seen = pages.select(F.explode("tokens").alias("token")).groupBy("token").count()
-    rarest = (
-        rules.select("rule_tokens", F.explode("rule_tokens").alias("token"))
+    # A rule is posted at the choice that the fewest pages hold a token of.
+    posted = (
+        rules.select("choices", F.posexplode("choices").alias("at", "choice"))
+        .select("choices", "at", F.explode("choice").alias("token"))
         .join(seen, "token")
-        .groupBy("rule_tokens")
-        .agg(F.min_by("token", F.struct("count", "token")).alias("token"))
+        .groupBy("choices", "at")
+        .agg(F.sum("count").alias("count"), F.collect_list("token").alias("posts"))
+        .groupBy("choices")
+        .agg(F.min_by("posts", F.struct("count", "at")).alias("posts"))
     )
-    index = rarest.groupBy("token").agg(F.collect_list("rule_tokens").alias("posted"))
+    index = posted.select("choices", F.explode("posts").alias("token")).groupBy("token").agg(F.collect_list("choices").alias("posted"))
     return (
         pages.select("u1", "u2", "tokens", F.explode("tokens").alias("token"))
         .join(index, "token")
-        .filter(F.exists("posted", lambda r: F.size(F.array_except(r, F.col("tokens"))) == 0))
+        .filter(F.exists("posted", lambda rule: F.forall(rule, lambda choice: F.arrays_overlap(choice, F.col("tokens")))))
         .select("u1", "u2")
         .distinct()
     )
@@ -129,11 +152,11 @@ def filter_urls(
     min_support: float = 0.005,
     min_confidence: float = 0.6,
     min_rows: int = 20,
-    most_tokens: int = MOST_TOKENS,
+    most_tokens: int | None = None,
 ) -> DataFrame:
     """``pages`` with ``host``, ``path``, ``rule`` and ``verdict``.
 
-    ``labels``: (page_id, blocked). ``min_support`` and ``most_tokens`` bound the number of rules.
+    ``labels``: (page_id, blocked). ``min_support`` bounds the number of rules, and so does ``most_tokens``, if given.
     Urls are matched by 128 bits of hash. Pages that a fixed rule judges are learnt from as labelled, too;
     the rule's own verdict is not a label, as it would spread to all pages that look like those few.
     """
@@ -147,7 +170,7 @@ def filter_urls(
     uid = dict(zip(("u1", "u2"), hash_pair(F.col("url"))))
     urls = urls.select(*(h.alias(c) for c, h in uid.items()), url_tokens(F.col("url"), F.col("host"), F.col("path")).alias("tokens"))
     if labels is None:
-        mined = judged.sparkSession.createDataFrame([], "rule_tokens array<string>, confidence double, support double")
+        mined = judged.sparkSession.createDataFrame([], RULE)
     else:
         marks = labels.groupBy("page_id").agg(F.max("blocked").alias("blocked")).filter("blocked IS NOT NULL")
         labelled = judged.join(marks, "page_id").select(
