@@ -159,6 +159,13 @@ def _(s, d):
     return flat(made).select("topic", "timestamp_seconds", "value")
 
 
+@query("buffer_numbers", f"{M} SELECT topic, row_number() OVER (PARTITION BY topic ORDER BY t) AS seq, t AS timestamp_seconds FROM m WHERE topic IN ('click', 'view')")
+def _(s, d):
+    """Numbers of a buffer's messages; a topic is numbered by ranges."""
+    made = files.read_buffer(s, buffer_folder(s, d), dict.fromkeys(("click", "view"), "value: double, user_id: long"))
+    return files.buffer_messages(made, huge=True).select("topic", "seq", "timestamp_seconds")
+
+
 LINES = f"{M} SELECT topic, t AS timestamp_seconds, value FROM m WHERE topic IN ('click', 'view')"
 
 

@@ -10,13 +10,14 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession, Window
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import to_seconds_col
 from ..operators.catalog import leaf
 from ..operators.lookback import TICK, asof_rows, lookback_time
+from ..operators.rowindex import row_index
 from ..operators.tasks import file_digest
 from ..plans.pipeline import Every
 from .jsonform import JsonRecogniser
@@ -353,7 +354,8 @@ def param_snapshot(params: DataFrame) -> DataFrame:
     return params.groupBy("log_id", "name").agg(F.max_by("value", F.struct("timestamp_seconds", "seq")).alias("value"))
 
 
-def buffer_messages(df: DataFrame) -> DataFrame:
-    """``read_buffer``'s rows with ``seq``: in time order within a topic, overflow first."""
-    w = Window.partitionBy("log_id", "topic").orderBy("part", "timestamp_seconds")
-    return df.withColumn("seq", F.row_number().over(w).cast("long")).drop("part")
+def buffer_messages(df: DataFrame, huge: bool = False) -> DataFrame:
+    """``read_buffer``'s rows with ``seq``, from 1: in time order within a topic, overflow first. With ``huge`` a topic is
+    numbered by ranges."""
+    made = row_index(df, ["log_id", "topic"], ["part", "timestamp_seconds"], huge)
+    return made.withColumn("seq", F.col("row_index") + 1).drop("part", "row_index")

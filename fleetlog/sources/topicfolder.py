@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 from pyspark.sql.types import StructType
 
+from ..operators.rowindex import row_index
 from .files import opened
 
 FORMAT = "topic_folder"
@@ -292,3 +293,10 @@ def typed(messages: DataFrame, topics: dict[str, str]) -> dict[str, DataFrame]:
 def in_order() -> list[Column]:
     """The order of a topic's lines."""
     return [F.col(c) for c in ("log_id", "topic", "seq", "path")]
+
+
+def numbered(messages: DataFrame, huge: bool = False) -> DataFrame:
+    """Messages whose ``seq`` are numbers from 0 in the order of a topic's lines, instead of positions in bytes. With ``huge`` a
+    topic is numbered by ranges. Number a whole topic: a window has numbers of its own."""
+    made = row_index(messages, ["log_id", "topic"], ["seq", "path"], huge)
+    return made.withColumn("seq", F.col("row_index")).drop("row_index")

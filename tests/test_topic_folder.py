@@ -7,8 +7,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from fleetlog.sources import topicfolder
+from fleetlog.sources import files, topicfolder
 from fleetlog.sources.topicfolder import Bounds, Part, RotatedFileError, TopicFolderReader, TopicFolderStreamReader, lines_of, parts_of
+from fleetlog.streaming import bounded
 
 
 def put(folder, log, topic, name, lines, mode="w", end="\n"):
@@ -145,3 +146,21 @@ def test_rotated_files_are_an_error(folder):
 def test_parts_are_cut_at_multiples():
     assert parts_of("f", 5, 25, 10, True) == [Part("f", 5, 10), Part("f", 10, 20), Part("f", 20, 25, True)]
     assert parts_of("f", 0, 0, 10, True) == [] and Bounds().lo is None
+
+
+@pytest.mark.parametrize("huge", [False, True])
+def test_numbers_of_lines(spark, folder, huge):
+    rows = topicfolder.numbered(read(spark, folder, part_bytes=20_000), huge).collect()
+    assert sorted((r["log_id"], r["topic"], r["seq"], r["timestamp_seconds"]) for r in rows) == [(log, topic, i, float(i)) for log in "ab" for topic in "xy" for i in range(400)]
+    made = files.read_buffer(spark, str(folder / "b"), {"x": "v: long"})
+    got = files.buffer_messages(made.filter("timestamp_seconds <> 1.0"), huge).orderBy("seq").collect()
+    assert [(r["seq"], r["message"]["v"]) for r in got] == [(i + 1, v) for i, v in enumerate([0, *range(2, 400)])]
+
+
+def test_a_folder_feeds_a_bounded_table(spark, folder, tmp_path_factory):
+    topicfolder.register(spark)
+    to = tmp_path_factory.mktemp("live")
+    made = spark.readStream.format("topic_folder").load(str(folder)).drop("path", "part")
+    bounded.ingest_bounded(made, f"{to}/table", f"{to}/checkpoint", ["x"], budget=40 * 50, line=F.lpad(F.lit("x"), 49, " "), name="folder").awaitTermination()
+    got = bounded.bounded_snapshot(spark, f"{to}/table").groupBy("log_id", "topic").agg(F.min("timestamp_seconds"), F.max("timestamp_seconds"), F.count("*")).collect()
+    assert sorted(map(tuple, got)) == [(log, "x", 359.0, 398.0, 40) for log in "ab"]  # the last line waits for its break
