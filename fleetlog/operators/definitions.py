@@ -23,62 +23,100 @@ FLOAT32 = 3.4028235e38
 NAME = r"[A-Za-z][A-Za-z0-9_/]*"
 #: type, array, field name, and what follows.
 FIELD = rf"^\s*({NAME}(?:<=\d+)?)(\[(?:<=)?\d*\])?\s+([A-Za-z][A-Za-z0-9_]*)\s*(.*)$"
+TYPE = r"^MSG:\s*(\S+)"
 CONSTANT = rf"^\s*({NAME}(?:<=\d+)?)\s+([A-Za-z][A-Za-z0-9_]*)\s*=\s*(.*)$"
 
 
-def definition_lines(texts: DataFrame) -> DataFrame:
-    """(text_id, line_no, line, kind) of ``texts`` (text_id, text)."""
-    line = F.col("line")
+def is_separator(line: Column) -> Column:
+    return line.startswith("===") & line.rlike(r"^={3,}\s*$")
+
+
+def is_type(line: Column) -> Column:
+    return line.startswith("MSG:") & line.rlike(TYPE)
+
+
+def kind_of(line: Column) -> Column:
+    """A plain look at characters comes before each pattern that only few lines can fit."""
     base = F.regexp_extract(line, rf"^\s*({NAME})", 1)
-    kind = (
-        F.when(F.trim("line") == "", "empty")
-        .when(line.rlike(r"^\s*#"), "comment")
-        .when(line.rlike(r"^={3,}\s*$"), "separator")
-        .when(line.rlike(r"^MSG:\s*\S+"), "type")
-        .when(line.rlike(CONSTANT), "constant")
-        .when(line.rlike(FIELD) & base.isin(*BUILTIN), "builtin")
-        .when(line.rlike(FIELD), "complex")
+    return (
+        F.when(F.trim(line) == "", "empty")
+        .when(line.contains("#") & line.rlike(r"^\s*#"), "comment")
+        .when(is_separator(line), "separator")
+        .when(is_type(line), "type")
+        .when(line.contains("=") & line.rlike(CONSTANT), "constant")
+        .when(line.rlike(FIELD), F.when(base.isin(*BUILTIN), "builtin").otherwise("complex"))
         .otherwise("invalid")
     )
-    return texts.select("text_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line")).withColumn("kind", kind)
+
+
+def definition_lines(texts: DataFrame) -> DataFrame:
+    """(text_id, line_no, line, kind) of ``texts`` (text_id, text)."""
+    # The outer form, as Spark would split once more to see that there are lines.
+    made = texts.filter("text IS NOT NULL").select("text_id", F.posexplode_outer(F.split("text", "\n", -1)).alias("line_no", "line"))
+    return made.withColumn("kind", kind_of(F.col("line")))
+
+
+def sectioned_texts(texts: DataFrame) -> DataFrame:
+    """``definition_sections`` of whole ``texts`` (text_id, text), and the text's sections with a type as ``known``. A text
+    is cut within its row, so nothing is sorted or shuffled."""
+    cut = texts.filter("text IS NOT NULL").select("text_id", F.split("text", "\n", -1).alias("lines"))
+    first = F.filter(F.transform("lines", lambda x, i: F.when(is_separator(x), i)), lambda i: i.isNotNull())
+    cut = cut.withColumn("starts", F.concat(F.array(F.lit(0)), first))
+    end = lambda k: F.coalesce(F.get("starts", k + 1), F.size("lines"))
+    own = F.transform("starts", lambda a, k: F.struct(k.alias("at"), a.alias("start"), F.slice("lines", a + 1, end(k) - a).alias("own")))
+    named = lambda x: F.array_max(F.transform(F.filter(x["own"], is_type), lambda line: F.regexp_extract(line, TYPE, 1)))
+    cut = cut.select("text_id", F.transform(own, lambda x: x.withField("target", named(x))).alias("sections"))
+    known = F.filter(F.transform("sections", lambda x: F.struct(x["at"].alias("at"), x["target"].alias("target"))), lambda x: x["target"].isNotNull())
+    parts = cut.withColumn("known", known).select("text_id", "known", F.explode_outer("sections").alias("x"))
+    lines = parts.select("text_id", "known", F.col("x.at").alias("section"), F.col("x.target").alias("section_type"), F.col("x.start").alias("start"), F.posexplode_outer("x.own").alias("i", "line"))
+    lines = lines.filter("i IS NOT NULL").withColumn("line_no", F.col("start") + F.col("i"))
+    return lines.select("text_id", "line_no", "line", kind_of(F.col("line")).alias("kind"), "section", "section_type", "known")
 
 
 def definition_sections(lines: DataFrame) -> DataFrame:
-    """``lines`` with the section they belong to, and its type (NULL in section 0, the main message)."""
+    """``lines`` with the section they belong to, and its type (NULL in section 0, the main message). For lines from
+    anywhere; ``sectioned_texts`` does it for whole texts without a sort."""
     w = Window.partitionBy("text_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     made = lines.withColumn("section", F.sum((F.col("kind") == "separator").cast("int")).over(w).cast("int"))
-    named = F.max(F.when(F.col("kind") == "type", F.regexp_extract("line", r"^MSG:\s*(\S+)", 1)))
+    named = F.max(F.when(F.col("kind") == "type", F.regexp_extract("line", TYPE, 1)))
     return made.withColumn("section_type", named.over(Window.partitionBy("text_id", "section")))
 
 
 def without_comment(line: Column) -> tuple[Column, Column]:
     """The line up to a # that is outside quotes, and the comment's text or NULL."""
-    code = F.regexp_extract(line, r"""^((?:[^#"']|"[^"]*"|'[^']*')*)""", 1)
+    # Possessive, so that a long line doesn't need a deep stack; most lines hold none of the three.
+    code = F.when(~line.rlike("""[#"']"""), line).otherwise(F.regexp_extract(line, r"""^((?:[^#"']++|"[^"]*+"|'[^']*+')*+)""", 1))
     rest = F.substring(line, F.length(code) + 1, F.length(line))
     return F.rtrim(code), F.when(rest.startswith("#"), F.trim(F.substring(rest, F.lit(2), F.length(rest))))
 
 
-def definition_fields(lines: DataFrame) -> DataFrame:
-    """Type, array kind and size, string bound, default or constant value, and comment of each field."""
+def definition_fields(lines: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Type, array kind and size, string bound, default or constant value, and comment of each field; of ``lines``' other
+    columns those to ``keep``."""
     code, comment = without_comment(F.col("line"))
     made = lines.filter(F.col("kind").isin("constant", "builtin", "complex")).withColumns({"code": code, "comment": comment})
-    constant = F.col("kind") == "constant"
-    part = lambda i, j: F.when(constant, F.regexp_extract("code", CONSTANT, i) if i else F.lit("")).otherwise(F.regexp_extract("code", FIELD, j))
-    made = made.withColumns({"full": part(1, 1), "array": part(0, 2), "name": part(2, 3), "value": part(3, 4)})
-    number = lambda c, pattern: F.try_to_number(F.nullif(F.regexp_extract(c, pattern, 1), F.lit("")), F.lit("9999999999")).cast("long")
+    # All groups of one match, apart by a character that none but the last, the value, can hold.
+    groups = lambda pattern, wanted: F.regexp_replace("code", pattern + r"[\s\S]*", "\0".join(wanted))
+    matched = F.when(F.col("kind") == "constant", groups(CONSTANT, ("$1", "", "$2", "$3"))).otherwise(groups(FIELD, ("$1", "$2", "$3", "$4")))
+    made = made.withColumn("parts", F.split(matched, "\0", 4))
+    part = lambda i: F.when(F.size("parts") == 4, F.get("parts", F.lit(i))).otherwise("")
+    made = made.withColumns({"full": part(0), "array": part(1), "name": part(2), "value": part(3)})
+    digits = lambda c, mark, pattern: F.when(c.contains(mark), F.nullif(F.regexp_extract(c, pattern, 1), F.lit("")))
+    number = lambda *args: F.try_to_number(digits(*args), F.lit("9999999999")).cast("long")
     return made.select(
         "text_id",
         "section",
         "section_type",
         "line_no",
         "kind",
-        F.regexp_replace("full", "<=.*$", "").alias("type"),
-        number(F.col("full"), r"<=(\d+)$").alias("string_bound"),
+        F.substring_index("full", "<=", 1).alias("type"),
+        number(F.col("full"), "<=", r"<=(\d+)$").alias("string_bound"),
         F.when(F.col("array") == "", "none").when(F.col("array") == "[]", "unbounded").when(F.col("array").contains("<="), "bounded").otherwise("fixed").alias("array"),
-        number(F.col("array"), r"(\d+)").alias("array_size"),
+        number(F.col("array"), "[", r"(\d+)").alias("array_size"),
         "name",
         F.nullif(F.trim("value"), F.lit("")).alias("value"),
         "comment",
+        *keep,
     )
 
 
@@ -104,7 +142,37 @@ def definition_errors(fields: DataFrame) -> DataFrame:
         "string longer than its bound": F.col("string_bound").isNotNull() & F.exists("items", lambda x: F.length(bare(x)) > F.col("string_bound")),
     }
     broken = F.array_compact(F.array(*(F.when(F.coalesce(rule & (F.col("items").isNotNull() | F.lit(not name.startswith(("default", "string longer")))), F.lit(False)), F.lit(name)) for name, rule in rules.items())))
-    return wide.select("text_id", "line_no", "name", F.explode(broken).alias("error"))
+    return wide.select("text_id", "line_no", "name", F.explode_outer(broken).alias("error")).filter("error IS NOT NULL")
+
+
+def target_of(t: Column, section_type: Column, known: Column, version: int) -> Column:
+    """(rule, at, target) of the first rule that fits, or NULL. ``known``: an array of sections (at, target)."""
+    space = F.regexp_replace(section_type, "/[^/]*$", "")
+    name = F.substring_index(t, "/", -1)
+    builtin = F.lit(version == 2) & t.isin("Time", "Duration", "builtin_interfaces/Time", "builtin_interfaces/Duration")
+    with_msg = F.when(F.lit(version == 2), F.regexp_replace(t, "^([^/]+)/([^/]+)$", "$1/msg/$2"))
+
+    def ruled(x: Column) -> Column:
+        target = x["target"]
+        rules = [
+            target == t,
+            (t == "Header") & target.isin("std_msgs/Header", "std_msgs/msg/Header"),
+            builtin & (target.startswith("builtin_interfaces/")) & (F.substring_index(target, "/", -1) == name),
+            target == with_msg,
+            target == F.concat(space, F.lit("/"), t),
+            target.endswith(F.concat(F.lit("/"), t)),
+        ]
+        rule = F.coalesce(*(F.when(r, F.lit(i + 1)) for i, r in enumerate(rules)))
+        return F.struct(rule.alias("rule"), x["at"].alias("at"), target.alias("target"))
+
+    return F.array_min(F.filter(F.transform(known, ruled), lambda x: x["rule"].isNotNull()))
+
+
+def resolved(asked: DataFrame, version: int) -> DataFrame:
+    """``asked``: (text_id, line_no, type, section_type, known)."""
+    best = target_of(F.col("type"), F.col("section_type"), F.col("known"), version)
+    made = asked.select("text_id", "line_no", "type", best.alias("best")).select("text_id", "line_no", "type", F.col("best.target").alias("target"), F.col("best.rule").alias("rule"))
+    return made.withColumn("error", F.when(F.col("target").isNull(), F.concat(F.lit("unresolved type "), "type")))
 
 
 def resolve_types(fields: DataFrame, sections: DataFrame, version: int = 2) -> DataFrame:
@@ -115,24 +183,14 @@ def resolve_types(fields: DataFrame, sections: DataFrame, version: int = 2) -> D
     the first dependency that ends in /T.
     """
     asked = fields.filter("kind = 'complex'").select("text_id", "line_no", "type", "section_type")
-    known = sections.filter("section_type IS NOT NULL").select("text_id", F.col("section_type").alias("target"), F.col("section").alias("at")).distinct()
-    t, target = F.col("type"), F.col("target")
-    space = F.regexp_replace("section_type", "/[^/]*$", "")
-    rules = [
-        target == t,
-        (t == "Header") & target.isin("std_msgs/Header", "std_msgs/msg/Header"),
-        F.lit(version == 2) & t.isin("Time", "Duration", "builtin_interfaces/Time", "builtin_interfaces/Duration") & target.rlike("^builtin_interfaces/(msg/)?") & (F.regexp_extract(target, "[^/]*$", 0) == F.regexp_extract(t, "[^/]*$", 0)),
-        F.lit(version == 2) & (F.regexp_replace(t, "^([^/]+)/([^/]+)$", "$1/msg/$2") == target),
-        F.concat(space, F.lit("/"), t) == target,
-        target.endswith(F.concat(F.lit("/"), t)),
-    ]
-    rule = F.coalesce(*(F.when(r, F.lit(i + 1)) for i, r in enumerate(rules)))
-    found = asked.join(known, "text_id").withColumn("rule", rule).filter("rule IS NOT NULL")
-    w = Window.partitionBy("text_id", "line_no").orderBy("rule", "at")
-    best = found.withColumn("k", F.row_number().over(w)).filter("k = 1").select("text_id", "line_no", "target", "rule")
-    return asked.join(best, ["text_id", "line_no"], "left").select(
-        "text_id", "line_no", "type", "target", "rule", F.when(F.col("target").isNull(), F.concat(F.lit("unresolved type "), "type")).alias("error")
-    )
+    section = F.struct(F.col("section").alias("at"), F.col("section_type").alias("target"))
+    known = sections.filter("section_type IS NOT NULL").groupBy("text_id").agg(F.collect_set(section).alias("known"))
+    return resolved(asked.join(known, "text_id", "left"), version)
+
+
+def resolve_texts(lines: DataFrame, version: int = 2) -> DataFrame:
+    """``resolve_types`` of ``sectioned_texts``, whose rows hold their text's sections: nothing is joined."""
+    return resolved(definition_fields(lines.filter("kind = 'complex'"), keep=("known",)), version)
 
 
 def to_struct(fields: DataFrame, resolved: DataFrame, text_id: str) -> T.StructType:

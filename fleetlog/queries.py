@@ -381,11 +381,13 @@ def section_sql(x: tuple) -> str:
 def definition_texts(s, d):
     """The part's definition as text."""
     line = lambda t: F.concat(*(F.expr(PART[x]).cast("string") if i % 2 else F.lit(x) for i, x in enumerate(re.split(r"[{}]", t))))
-    return table(s, d, "part").select(F.col("p_partkey").cast("string").alias("text_id"), F.concat_ws("\n", *(line(x[0]) for x in LINES)).alias("text"))
+    # The table may be one small group of rows, of which each becomes 36 lines.
+    parts = table(s, d, "part").repartition(int(s.conf.get("spark.sql.shuffle.partitions")), "p_partkey")
+    return parts.select(F.col("p_partkey").cast("string").alias("text_id"), F.concat_ws("\n", *(line(x[0]) for x in LINES)).alias("text"))
 
 
 def definition_sections(s, d):
-    return definitions.definition_sections(definitions.definition_lines(definition_texts(s, d)))
+    return definitions.sectioned_texts(definition_texts(s, d))
 
 
 def definition_fields(s, d):
@@ -399,7 +401,7 @@ def _(s, d):
 
 @query("definition_sections", lines_sql(numbered_lines(lambda x: f"{x[2]}::INTEGER", section_sql), ["line_no", "line", "kind", "section", "section_type"]))
 def _(s, d):
-    return definition_sections(s, d)
+    return definition_sections(s, d).drop("known")
 
 
 FIELD_COLUMNS = {"type": "VARCHAR", "string_bound": "BIGINT", "array": "VARCHAR", "array_size": "BIGINT", "name": "VARCHAR", "value": "VARCHAR", "comment": "VARCHAR"}
@@ -462,7 +464,7 @@ def resolve_sql(name: str, target: str, rule: str) -> str:
     ),
 )
 def _(s, d):
-    return definitions.resolve_types(definition_fields(s, d), definition_sections(s, d)).select("text_id", "type", "target", "rule")
+    return definitions.resolve_texts(definition_sections(s, d)).select("text_id", "type", "target", "rule")
 
 
 LEAVES = [
@@ -480,7 +482,7 @@ def _(s, d):
     """The schema of the first part's definition without what can't be resolved, and how many fields of all
     parts have each leaf's name."""
     fields = definition_fields(s, d)
-    resolved = definitions.resolve_types(fields, definition_sections(s, d))
+    resolved = definitions.resolve_texts(definition_sections(s, d))
     sound = fields.join(resolved.filter("target IS NULL").select("text_id", "line_no"), ["text_id", "line_no"], "left_anti")
     schema = definitions.to_struct(sound, resolved, "1")
     leaves = s.createDataFrame([(p, p.rpartition(".")[2], k) for p, k in catalog.field_rows(schema)], "path string, name string, leaf_type string")
