@@ -1,6 +1,7 @@
 """A message table that skips files: written by log and time, with an index of what each file holds.
 
-Rows are range-partitioned by log, time and position, so a file holds a stretch of one log, or some small logs whole. The
+Rows are range-partitioned by log, time and position, and a range is written as files of so many rows, so a file holds a
+stretch of one log, or some small logs whole. The
 index has a row for each file and log: first and last time, and the topics. A question with a time window, logs or
 topics chooses files from the index before any is opened; within them the window is pushed to the row groups. Each write
 is a folder of its own, and its files are there once the index lists them.
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 from ..operators.relation import between
 
 FILE_ROWS = 1_000_000
+MOST_TASKS = 200  # of a write, or as many as a shuffle has
 MOST_PATHS = 20_000  # files that are named one by one; beyond, folders are read with the same filters
 INDEX = "batch string, path string, log_id string, low double, high double, rows long, topics array<string>"
 
@@ -33,9 +35,11 @@ class MessageTable:
         """Adds messages. A folder that a failed write has left is never read."""
         batch = uuid.uuid4().hex
         order = ["log_id", "timestamp_seconds", "seq"]
-        parts = max(1, math.ceil(messages.count() / file_rows))
-        dealt = messages.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-        dealt.write.parquet(f"{self.folder}/data/{batch}")
+        # A task writes its range as files of file_rows; each task reports to the driver, so there are few where files are many.
+        files = max(1, math.ceil(messages.count() / file_rows))
+        tasks = min(files, max(MOST_TASKS, int(self.spark.conf.get("spark.sql.shuffle.partitions"))))
+        dealt = messages.repartitionByRange(tasks, *order).sortWithinPartitions(*order)
+        dealt.write.option("maxRecordsPerFile", file_rows).parquet(f"{self.folder}/data/{batch}")
         made = self.spark.read.parquet(f"{self.folder}/data/{batch}").withColumn("path", F.col("_metadata.file_path"))
         index = made.groupBy("path", "log_id").agg(
             F.min("timestamp_seconds").alias("low"), F.max("timestamp_seconds").alias("high"), F.count("*").alias("rows"), F.array_sort(F.collect_set("topic")).alias("topics")
