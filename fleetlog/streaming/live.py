@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pickle
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -115,16 +117,37 @@ def throttle(df: DataFrame, ms: float, huge: bool = False) -> DataFrame:
     return df.join(named, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in kept.columns], "left_semi")
 
 
+def sorted_times(frames: Iterator[pd.DataFrame], packed: list[bytes] | None = None) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """Times of a group in order, ties by ``seq``; the rows' positions in that order; and the sizes of the frames. Of a frame two
+    numbers a row are held, and with ``packed`` its rows as compressed bytes, as a group may be a whole topic."""
+    t, seq = [], []
+    for pdf in frames:
+        t.append(pdf["timestamp_seconds"].to_numpy(float, copy=True))
+        seq.append(pdf["seq"].to_numpy(copy=True))
+        if packed is not None:
+            packed.append(zlib.compress(pickle.dumps(pdf, pickle.HIGHEST_PROTOCOL), 1))
+        del pdf
+    sizes = [len(x) for x in t]
+    times, numbers = np.concatenate(t), np.concatenate(seq)
+    del t, seq
+    order = np.lexsort((numbers, times))
+    return times[order], order, sizes
+
+
 def throttle_stream(df: DataFrame, ms: float) -> DataFrame:
     """The same on a stream, whole messages: the state is the time last kept."""
 
     def keep(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        pdf = pd.concat(list(frames)).sort_values(["timestamp_seconds", "seq"])
-        at = greedy(pdf["timestamp_seconds"].to_numpy(), ms / 1000, last)
+        last, packed = state.get[0] if state.exists else None, []
+        t, order, sizes = sorted_times(frames, packed)
+        at = greedy(t, ms / 1000, last)
         if at:
-            state.update((float(pdf["timestamp_seconds"].iloc[at[-1]]),))
-        yield pdf.iloc[at]
+            state.update((float(t[at[-1]]),))
+        kept = np.sort(order[at])
+        ends = np.cumsum(sizes)
+        for i in np.unique(np.searchsorted(ends, kept, "right")):
+            own = kept[(kept >= ends[i] - sizes[i]) & (kept < ends[i])] - (ends[i] - sizes[i])
+            yield pickle.loads(zlib.decompress(packed[i])).iloc[own]
 
     return df.groupBy("log_id", "topic").applyInPandasWithState(keep, df.schema, "last double", "append", "NoTimeout")
 
@@ -165,8 +188,7 @@ def stream_ticks(df: DataFrame, cadence: Every | None) -> DataFrame:
 
     def fire(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         count, last = state.get if state.exists else (0, None)
-        pdf = pd.concat(list(frames)).sort_values(["timestamp_seconds", "seq"])
-        t = pdf["timestamp_seconds"].to_numpy()
+        t = sorted_times(frames)[0]
         at = fires(t, cadence, count, last)
         last = float(t[at[-1]]) if at else last
         state.update((count + len(t), last))
