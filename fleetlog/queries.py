@@ -212,25 +212,28 @@ def bag_folder(s: SparkSession, d: str) -> str:
         "topics",
         F.format_string("  files:\n    - path: bag_%d.mcap\n      starting_time: {nanoseconds_since_epoch: %d}\n      duration: {nanoseconds: 5}\n      message_count: %d", "user", F.floor("t") * 1_000_000_000, "n"),
     )
-    bags.select(text.alias("value"), "user").repartition("user").write.partitionBy("user").text(folder)
+    # A file a bag, which costs more than its few bytes say: they are dealt to all tasks, and each moves its own into place.
+    dealt = bags.select(text.alias("value"), "user").repartition(int(s.conf.get("spark.sql.shuffle.partitions")), "user")
+    writer = dealt.write.option("mapreduce.fileoutputcommitter.algorithm.version", 2)
+    writer.partitionBy("user").text(folder)
     return folder
 
 
-def manifests(s: SparkSession, d: str) -> DataFrame:
+def manifest_texts(s: SparkSession, d: str) -> DataFrame:
     """The written manifests; here files aren't called metadata.yaml, so they are read as texts."""
     texts = s.read.option("recursiveFileLookup", "true").text(bag_folder(s, d), wholetext=True)
-    return files.parsed_manifests(texts.select(F.col("_metadata.file_path").alias("path"), "value"))
+    return texts.select(F.col("_metadata.file_path").alias("path"), "value")
 
 
 @query("bag_manifest", f"{M}, c AS (SELECT user_id, topic, count(*) AS n FROM m GROUP BY ALL) SELECT 5::BIGINT AS version, 'mcap' AS storage, '/' || topic AS topic, n AS messages, sum(n) OVER (PARTITION BY user_id)::BIGINT AS total FROM c")
 def _(s, d):
-    return manifests(s, d).select("version", "storage", F.col("messages").alias("total"), F.inline("topics")).select("version", "storage", "topic", "messages", "total")
+    return files.parsed_manifests(manifest_texts(s, d)).select("version", "storage", F.col("messages").alias("total"), F.inline("topics")).select("version", "storage", "topic", "messages", "total")
 
 
 @query("missing_files", "SELECT 'bag_' || user_id || '.mcap' AS file FROM events GROUP BY user_id")
 def _(s, d):
-    made = manifests(s, d)
-    return files.missing_files(made, made.select("path")).select(F.regexp_extract("path", "[^/]*$", 0).alias("file"))
+    texts = manifest_texts(s, d)
+    return files.missing_files(files.parsed_manifests(texts), texts.select("path")).select(F.regexp_extract("path", "[^/]*$", 0).alias("file"))
 
 
 @query("available_topics", f"{FLEET} SELECT DISTINCT log_id, topic FROM m")

@@ -321,10 +321,11 @@ def parsed_manifests(texts: DataFrame) -> DataFrame:
     def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import yaml
 
+        loader = getattr(yaml, "CSafeLoader", yaml.SafeLoader)  # libyaml's, which is ten times as fast
         for pdf in frames:
             out = []
             for path, text in zip(pdf["path"], pdf["value"]):
-                whole = yaml.safe_load(text) or {}
+                whole = yaml.load(text, loader) or {}
                 info = whole.get("rosbag2_bagfile_information", {})
                 listed = info.get("files") or [{"path": p} for p in info.get("relative_file_paths", [])]
                 files = [(x.get("path"), x.get("starting_time", {}).get("nanoseconds_since_epoch"), x.get("duration", {}).get("nanoseconds"), x.get("message_count")) for x in listed]
