@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -49,11 +51,17 @@ def kind_of(line: Column) -> Column:
     )
 
 
+def with_kind(lines: DataFrame) -> DataFrame:
+    """``lines`` with their kind. It comes from an array of one, as Spark would move a filter on a plain column below it
+    and match all its patterns twice."""
+    return lines.select("*", F.explode_outer(F.array(kind_of(F.col("line")))).alias("kind"))
+
+
 def definition_lines(texts: DataFrame) -> DataFrame:
     """(text_id, line_no, line, kind) of ``texts`` (text_id, text)."""
     # The outer form, as Spark would split once more to see that there are lines.
     made = texts.filter("text IS NOT NULL").select("text_id", F.posexplode_outer(F.split("text", "\n", -1)).alias("line_no", "line"))
-    return made.withColumn("kind", kind_of(F.col("line")))
+    return with_kind(made)
 
 
 def sectioned_texts(texts: DataFrame) -> DataFrame:
@@ -70,7 +78,7 @@ def sectioned_texts(texts: DataFrame) -> DataFrame:
     parts = cut.withColumn("known", known).select("text_id", "known", F.explode_outer("sections").alias("x"))
     lines = parts.select("text_id", "known", F.col("x.at").alias("section"), F.col("x.target").alias("section_type"), F.col("x.start").alias("start"), F.posexplode_outer("x.own").alias("i", "line"))
     lines = lines.filter("i IS NOT NULL").withColumn("line_no", F.col("start") + F.col("i"))
-    return lines.select("text_id", "line_no", "line", kind_of(F.col("line")).alias("kind"), "section", "section_type", "known")
+    return with_kind(lines).select("text_id", "line_no", "line", "kind", "section", "section_type", "known")
 
 
 def definition_sections(lines: DataFrame) -> DataFrame:
@@ -85,7 +93,7 @@ def definition_sections(lines: DataFrame) -> DataFrame:
 def without_comment(line: Column) -> tuple[Column, Column]:
     """The line up to a # that is outside quotes, and the comment's text or NULL."""
     # Possessive, so that a long line doesn't need a deep stack; most lines hold none of the three.
-    code = F.when(~line.rlike("""[#"']"""), line).otherwise(F.regexp_extract(line, r"""^((?:[^#"']++|"[^"]*+"|'[^']*+')*+)""", 1))
+    code = F.when(~(line.contains("#") | line.contains('"') | line.contains("'")), line).otherwise(F.regexp_extract(line, r"""^((?:[^#"']++|"[^"]*+"|'[^']*+')*+)""", 1))
     rest = F.substring(line, F.length(code) + 1, F.length(line))
     return F.rtrim(code), F.when(rest.startswith("#"), F.trim(F.substring(rest, F.lit(2), F.length(rest))))
 
@@ -123,14 +131,14 @@ def definition_fields(lines: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame
 def list_items(value: Column) -> Column:
     """Items of ``[a, b]``, else the value alone."""
     inner = F.trim(F.regexp_extract(value, r"^\[(.*)\]$", 1))
-    return F.when(value.rlike(r"^\[.*\]$"), F.when(inner == "", F.array().cast("array<string>")).otherwise(F.transform(F.split(inner, ","), lambda x: F.trim(x)))).otherwise(F.array(value))
+    return F.when(value.startswith("[") & value.rlike(r"^\[.*\]$"), F.when(inner == "", F.array().cast("array<string>")).otherwise(F.transform(F.split(inner, ","), lambda x: F.trim(x)))).otherwise(F.array(value))
 
 
 def definition_errors(fields: DataFrame) -> DataFrame:
     """A row for each rule a field breaks."""
     wide = fields.withColumn("items", F.when(F.col("value").isNotNull(), list_items(F.col("value"))))
-    low = F.create_map(*(F.lit(x) for k, (a, _) in RANGES.items() for x in (k, str(a))))[F.col("type")].cast("decimal(20,0)")
-    high = F.create_map(*(F.lit(x) for k, (_, b) in RANGES.items() for x in (k, str(b))))[F.col("type")].cast("decimal(20,0)")
+    bound = lambda i: F.create_map(*(x for k, v in RANGES.items() for x in (F.lit(k), F.lit(Decimal(v[i])).cast("decimal(20,0)"))))[F.col("type")]
+    low, high = bound(0), bound(1)
     outside = F.exists("items", lambda x: F.coalesce((x.try_cast("decimal(20,0)") < low) | (x.try_cast("decimal(20,0)") > high), F.lit(True)))
     bare = lambda x: F.regexp_replace(x, r"""^["']|["']$""", "")
     rules = {
@@ -142,7 +150,9 @@ def definition_errors(fields: DataFrame) -> DataFrame:
         "string longer than its bound": F.col("string_bound").isNotNull() & F.exists("items", lambda x: F.length(bare(x)) > F.col("string_bound")),
     }
     broken = F.array_compact(F.array(*(F.when(F.coalesce(rule & (F.col("items").isNotNull() | F.lit(not name.startswith(("default", "string longer")))), F.lit(False)), F.lit(name)) for name, rule in rules.items())))
-    return wide.select("text_id", "line_no", "name", F.explode_outer(broken).alias("error")).filter("error IS NOT NULL")
+    # A field without value, array and bound breaks no rule. As a filter this would be moved below the parsing, and repeat it.
+    some = F.col("items").isNotNull() | (F.col("array") != "none") | F.col("string_bound").isNotNull()
+    return wide.select("text_id", "line_no", "name", F.explode_outer(F.when(some, broken)).alias("error")).filter("error IS NOT NULL")
 
 
 def target_of(t: Column, section_type: Column, known: Column, version: int) -> Column:

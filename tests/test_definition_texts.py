@@ -36,3 +36,14 @@ def test_a_long_line_needs_no_deep_stack(spark):
     texts = spark.createDataFrame([("1", text)], "text_id string, text string")
     field = definitions.definition_fields(definitions.definition_lines(texts).selectExpr("*", "0 AS section", "'' AS section_type")).first()
     assert (field["name"], len(field["value"]), len(field["comment"])) == ("s", 200_002, 200_000)
+
+
+def test_a_line_is_matched_once(spark):
+    texts = spark.createDataFrame([("1", "int8 X=300\nint8 y\nint8[0] z\nstring<=0 s\nfloat32 w 1e39\nint8[2] p [1]\nint8 q [\nint8 r [1, 200]\nint8 t 99999999999999999999999\nuint64 u 18446744073709551615")], "text_id string, text string")
+    for lines in (definitions.sectioned_texts(texts), definitions.definition_sections(definitions.definition_lines(texts))):
+        made = definitions.definition_errors(definitions.definition_fields(lines))
+        assert made._jdf.queryExecution().optimizedPlan().toString().count("(trim(line") == 1
+        assert rows(made.select("name", "error")) == [
+            ("X", "integer out of range"), ("p", "default has the wrong length"), ("q", "integer out of range"), ("r", "integer out of range"), ("s", "string bound must be above 0"),
+            ("t", "integer out of range"), ("w", "float32 out of range"), ("z", "array size must be above 0"),
+        ]
