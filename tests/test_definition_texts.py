@@ -1,6 +1,6 @@
 """Definitions of whole texts: cut, parsed and resolved within their rows, like the general operators on lines."""
 
-from fleetlog.operators import definitions
+from fleetlog.operators import catalog, definitions
 
 TEXTS = [
     ("1", "int32 a 1 # first\r\nstring<=3 b \"x # y\" # z\nHeader h\nTime t\nPlace p\nLost l\n====\nMSG: std_msgs/Header\nuint32 seq\n===\nMSG: shop/Place\nShelf s\n===\nMSG: shop/Shelf\nMSG: shop/Again\nint8 X=3"),
@@ -47,3 +47,11 @@ def test_a_line_is_matched_once(spark):
             ("X", "integer out of range"), ("p", "default has the wrong length"), ("q", "integer out of range"), ("r", "integer out of range"), ("s", "string bound must be above 0"),
             ("t", "integer out of range"), ("w", "float32 out of range"), ("z", "array size must be above 0"),
         ]
+
+
+def test_topic_texts_parse_each_line_once(spark):
+    texts = spark.createDataFrame([("b", "int8 y # up\nThing x\n# no\n\nint8 A = 3"), ("a", "===\nMSG: k/Thing\nfloat32 z")], "text_id string, text string")
+    fields = definitions.definition_fields(definitions.sectioned_texts(texts))
+    made = catalog.describe_text(fields.selectExpr("text_id AS topic", "line_no AS position", "type", "name", "comment AS description"))
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("(trim(line") == 1
+    assert rows(made) == [("a", "# a\nfloat32 z"), ("b", "# b\nint8 y # up\nThing x\nint8 A")]
