@@ -10,19 +10,27 @@ from .rowindex import earlier, join_same, ranged, row_index
 TICK = ("log_id", "tick_no", "asof_seconds")
 
 
-def lookback_time(df: DataFrame, ticks: DataFrame, seconds: float) -> DataFrame:
-    """Rows with asof - seconds ≤ timestamp ≤ asof. A window of T seconds touches two bins of T, so
-    this is an equi-join on bins and a filter, not a nested loop. A lower bound below 0 is none, so
-    times below 0 are one bin."""
+def binned(df: DataFrame, ticks: DataFrame, seconds: float) -> tuple[DataFrame, DataFrame, Column]:
+    """Rows and ticks with bins on which they meet, and whether the tick's lookback holds the row. A window of T
+    seconds touches two bins of T. A lower bound below 0 is none, so times below 0 are one bin."""
     bin_of = lambda t: F.greatest(F.floor(t / seconds), F.lit(-1))
     rows, at = df.withColumn("bin", bin_of(F.col("timestamp_seconds"))), bin_of(F.col("asof_seconds"))
     dealt = ticks.select(*TICK, F.explode(F.sequence(F.greatest(at - 2, F.lit(-1)), at)).alias("bin"))
     low = F.col("asof_seconds") - seconds
-    return (
-        join_same(rows, dealt, ["log_id"], ["bin"])
-        .filter((F.col("timestamp_seconds") <= F.col("asof_seconds")) & ((low < 0) | (F.col("timestamp_seconds") >= low)))
-        .select(*TICK, *(F.col(f"`{c}`") for c in df.columns if c != "log_id"))
-    )
+    return rows, dealt, (F.col("timestamp_seconds") <= F.col("asof_seconds")) & ((low < 0) | (F.col("timestamp_seconds") >= low))
+
+
+def lookback_time(df: DataFrame, ticks: DataFrame, seconds: float) -> DataFrame:
+    """Rows with asof - seconds ≤ timestamp ≤ asof: an equi-join on bins and a filter, not a nested loop."""
+    rows, dealt, held = binned(df, ticks, seconds)
+    return join_same(rows, dealt, ["log_id"], ["bin"]).filter(held).select(*TICK, *(F.col(f"`{c}`") for c in df.columns if c != "log_id"))
+
+
+def seen_once(df: DataFrame, ticks: DataFrame, seconds: float) -> DataFrame:
+    """The rows that ``lookback_time`` returns for any tick, each once however many ticks see it."""
+    rows, dealt, held = binned(df, ticks, seconds)
+    dealt = dealt.select(F.col("log_id").alias("_log"), F.col("bin").alias("_bin"), "asof_seconds")
+    return rows.join(dealt, F.col("log_id").eqNullSafe(F.col("_log")) & (F.col("bin") == F.col("_bin")) & held, "left_semi").drop("bin")
 
 
 def lookback_frames(df: DataFrame, ticks: DataFrame, n: int, huge: bool = False) -> DataFrame:

@@ -1061,11 +1061,9 @@ def _(s, d):
 
 @query("task_write_topics", f"{M}{FRAME_TICKS} SELECT tick_no, seq, CASE WHEN topic = 'click' THEN value END AS click, CASE WHEN topic = 'error' THEN value END AS error FROM ticks JOIN m ON m.topic IN ('click', 'error') AND m.t BETWEEN upto - 3600 AND upto")
 def _(s, d):
-    seen = tasks.write_topics_task(frame_ticks(s, d), one(s, d), ["click", "error"], 3600.0)
-    path = new_folder(s, "artifacts")
-    made = tasks.artifact_columns(seen, "watch", "topics", "here", "robot")
-    tasks.write_artifacts(made, path)
-    return tasks.read_artifacts(s, path, made.schema).select("tick_no", "seq", F.col("click.value").alias("click"), F.col("error.value").alias("error"))
+    relation, path = tasks.topics_relation(one(s, d), ["click", "error"]), new_folder(s, "artifacts")
+    tasks.write_windows(relation, frame_ticks(s, d), 3600.0, path, ("watch", "topics", "here", "robot"))
+    return tasks.read_windows(s, path, relation.schema, 3600.0).select("tick_no", "seq", F.col("click.value").alias("click"), F.col("error.value").alias("error"))
 
 
 @query("task_snippet", f"{M}{FRAME_TICKS} SELECT tick_no, seq, topic FROM ticks JOIN m ON m.topic IN ('click', 'error') AND m.t BETWEEN upto - 3600 AND upto")
